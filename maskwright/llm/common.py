@@ -124,3 +124,28 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 8)
         if np.abs(step).max(initial=0) < 1e-6:
             break
     return w
+
+
+def grouped(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[tuple, list[dict]], Iterator[dict]], schema: str) -> DataFrame:
+    """Deal df by keys, sort, and call fn(key, rows) for each group; one group at a time is in memory, so callers bound
+    the groups. fn yields dicts with the columns of schema."""
+    from itertools import groupby
+
+    from pyspark.sql.types import StructType
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in b.to_pylist())
+        out: list[dict] = []
+        for key, group in groupby(rows, key=lambda r: tuple(r[k] for k in keys)):
+            for x in fn(key, list(group)):
+                out.append(x)
+                if len(out) >= 4096:
+                    yield pa.RecordBatch.from_pylist(out, schema=target)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=target)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

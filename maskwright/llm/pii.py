@@ -1,0 +1,323 @@
+"""Personal data by weak-supervision aggregation.
+
+1. Candidates. The four base kinds (email, ip, card, phone) are found by fixed rules; further kinds (secret, iban, ssn,
+   person) by loose patterns that also match much that is harmless.
+2. Votes. Several labelers look at each candidate - regex (strict form), checksum, gazetteer (word lists), context before
+   and context after - and each says personal (1), harmless (-1) or nothing (0).
+3. Aggregation. Equal votes are counted over all documents, so that there are at most kinds * 3^labelers rows.
+   Expectation-maximisation over these counts estimates each labeler's reliability and each vote pattern's probability
+   (Dawid and Skene's model).
+4. Classifier. A logistic model over votes and shape features is fitted to those probabilities, on at most `max_rows`
+   candidates (those with the smallest hash); it decides on every further candidate. Base spans always stay.
+
+Offsets are code points, ends exclusive. Within a kind, spans are leftmost and don't overlap; kinds may overlap.
+
+Defined cases. Null text: as empty, no spans. Null doc_id: kept. No candidates at all: no model, no further spans. Empty
+tables give an empty result; repeated rows are each searched. Other columns are ignored by find() and kept by mask().
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+from collections import Counter
+from collections.abc import Callable
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from .common import fit_logistic, logistic, map_arrow, prepare, saved, strings, table
+
+BASE = ("email", "ip", "card", "phone")
+FURTHER = ("secret", "iban", "ssn", "person")
+KINDS = (*BASE, *FURTHER)
+LABELERS = ("form", "checksum", "gazetteer", "before", "after")
+
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+# The lookbehinds change no match - a number that can start inside a run of digits can also start at its beginning - but
+# keep the search linear on long runs.
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
+CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+LOOSE = {
+    "secret": re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,128}(?![A-Za-z0-9_])"),
+    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    "person": re.compile(r"(?<=[a-z.:,] )(?:[A-Z][a-z]{1,15} ){1,2}[A-Z][a-z]{1,15}(?![A-Za-z])"),
+}
+
+#: Words that stand before or after a kind, and lists of known members.
+CUES = {
+    "email": "mail email e-mail contact write reply address from to".split(),
+    "ip": "ip host server address addr client ping from".split(),
+    "card": "card visa mastercard amex credit payment pay cc number".split(),
+    "phone": "phone tel telephone call mobile fax cell number whatsapp".split(),
+    "secret": "token secret key apikey api_key password passwd auth bearer credential access".split(),
+    "iban": "iban account bank transfer konto cuenta compte".split(),
+    "ssn": "ssn social security insurance".split(),
+    "person": "mr mrs ms dr herr frau monsieur madame name named contact signed regards dear".split(),
+}
+HARMLESS = "sha sha1 sha256 md5 commit checksum hash version build part isbn order invoice id".split()
+MAIL_DOMAINS = "com org net edu gov io de fr es it uk info eu ch at".split()
+IBAN_LENGTHS = {"DE": 22, "FR": 27, "ES": 24, "IT": 27, "GB": 22, "NL": 18, "BE": 16, "CH": 21, "AT": 20, "PT": 25, "IE": 22, "LU": 20, "PL": 28, "SE": 24, "DK": 18, "FI": 18, "NO": 15}
+FIRST_NAMES = "anna maria john james robert michael david peter paul thomas mary linda susan laura julia jean pierre marie sophie claire hans klaus anja karl jose juan carlos carmen lucia ana luis marco giulia francesca emma louis alice".split()
+
+
+class Span(NamedTuple):
+    kind: str
+    start: int
+    end: int
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = ord(c) - 48
+        if i % 2:
+            d = d * 2 - 9 * (d > 4)
+        total += d
+    return total % 10 == 0
+
+
+def emails(text: str) -> list[Span]:
+    """Leftmost non-overlapping addresses, found from each @ outwards, so in linear time."""
+    out, done, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
+        m = DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            out.append(Span("email", start, m.end()))
+            done = m.end()
+        else:
+            done = max(done, at + 1)
+        at = text.find("@", max(done, at + 1))
+    return out
+
+
+def base_spans(text: str) -> list[Span]:
+    out = emails(text)
+    for m in IP.finditer(text):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
+            out.append(Span("ip", *m.span()))
+    for m in CARD.finditer(text):
+        if m.end() - m.start() >= 12:
+            digits = m[0].replace(" ", "").replace("-", "")
+            if 12 <= len(digits) <= 19 and luhn(digits):
+                out.append(Span("card", *m.span()))
+    for m in PHONE.finditer(text):
+        if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append(Span("phone", *m.span()))
+    return out
+
+
+def further_candidates(text: str) -> list[Span]:
+    return [Span(kind, *m.span()) for kind, p in LOOSE.items() for m in p.finditer(text)]
+
+
+def entropy(s: str) -> float:
+    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
+
+
+WORDS_BEFORE = re.compile(r"[A-Za-z_-]+")
+
+
+def votes(text: str, span: Span) -> tuple[int, ...]:
+    """What LABELERS say: 1, -1 or 0."""
+    kind, value = span.kind, text[span.start : span.end]
+    digits = [c for c in value if c.isdigit()]
+    before = [w.lower() for w in WORDS_BEFORE.findall(text[max(0, span.start - 32) : span.start])][-3:]
+    after, glued = text[span.end : span.end + 1], text[max(0, span.start - 1) : span.start]
+    form = checksum = gazetteer = 0
+    if kind == "email":
+        form = 1 if 3 <= len(value) <= 254 and ".." not in value else -1
+        gazetteer = 1 if value.rpartition(".")[2].lower() in MAIL_DOMAINS else 0
+    elif kind == "ip":
+        form = 1 if all(len(p) <= 3 and (p == "0" or p[0] != "0") for p in value.split(".")) else -1
+        gazetteer = -1 if value.split(".")[0] in ("0", "127", "255") else 0
+    elif kind == "card":
+        form = 1 if len(digits) in (13, 15, 16) else -1
+        checksum = 1 if luhn("".join(digits)) else -1
+        gazetteer = 1 if digits[0] in "3456" else -1
+    elif kind == "phone":
+        form = 1 if 10 <= len(digits) <= 13 else 0
+        gazetteer = -1 if digits[0] == "0" else 1
+    elif kind == "secret":
+        mixed = len(digits) >= 3 and any(c.isalpha() for c in value)
+        form = 1 if mixed and len(value) in (20, 24, 32, 36, 40, 48, 64) else -1 if not mixed else 0
+        checksum = 1 if mixed and entropy(value) >= 3.2 else -1
+        gazetteer = 1 if re.fullmatch(r"[0-9a-f]{32,64}|(AKIA|ghp_|sk_|xox)[A-Za-z0-9_]+", value) else -1 if value.isalpha() or value.isdigit() else 0
+    elif kind == "iban":
+        plain = value.replace(" ", "")
+        form = 1 if IBAN_LENGTHS.get(plain[:2]) == len(plain) else -1
+        checksum = 1 if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1 else -1
+        gazetteer = 1 if plain[:2] in IBAN_LENGTHS else -1
+    elif kind == "ssn":
+        form = -1 if value[:3] in ("000", "666") or value[0] == "9" or value[4:6] == "00" or value[7:] == "0000" else 1
+    elif kind == "person":
+        known = sum(w.lower() in FIRST_NAMES for w in value.split())
+        form = 1 if 2 <= len(value.split()) <= 3 else -1
+        gazetteer = 1 if known else -1
+    cue = 1 if any(w.strip("-") in CUES[kind] for w in before) else -1 if any(w in HARMLESS for w in before) or (kind == "person" and not before) else 0
+    if kind in ("person", "secret") and cue == 0:
+        cue = -1
+    tail = 1 if not after or after in " \n\t\"',;)" else -1 if after.isalnum() or after in "/\\_=" or glued in ("/", "=", "_") else 0
+    return form, checksum, gazetteer, cue, tail
+
+
+def features(text: str, span: Span, v: tuple[int, ...]) -> list[float]:
+    """For the classifier: the kind, each labeler's two votes, and the shape of the span."""
+    value = text[span.start : span.end]
+    n = len(value)
+    shape = [math.log1p(n) / 5, sum(c.isdigit() for c in value) / n, sum(c.isupper() for c in value) / n, entropy(value) / 6, float(text[max(0, span.start - 1) : span.start] in ("\"", "'")), float("=" in text[max(0, span.start - 4) : span.start])]
+    return [float(span.kind == k) for k in KINDS] + [float(x == s) for x in v for s in (1, -1)] + shape
+
+
+N_FEATURES = len(KINDS) + 2 * len(LABELERS) + 6
+
+
+def aggregate(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 50) -> tuple[dict[tuple[str, tuple[int, ...]], float], dict[str, np.ndarray]]:
+    """Expectation-maximisation. Returns the probability that each vote pattern is personal data, and for each kind the
+    table P(vote | truth) of shape (labelers, 3 votes, 2 truths). Smoothing: one pseudo-count a cell, two of them for the
+    vote that agrees with the truth."""
+    probability, tables = {}, {}
+    for kind in dict.fromkeys(k for k, _ in counts):
+        patterns = sorted(v for k, v in counts if k == kind)
+        n = np.array([counts[kind, v] for v in patterns], float)
+        at = np.array(patterns) + 1  # 0: harmless, 1: nothing, 2: personal
+        one_hot = np.eye(3)[at]  # pattern, labeler, vote
+        p = logistic(1.5 * (at - 1).sum(axis=1))
+        prior = np.ones((len(LABELERS), 3, 2))
+        prior[:, 2, 1] += 1
+        prior[:, 0, 0] += 1
+        for _ in range(rounds):
+            both = np.stack([1 - p, p]) * n  # truth, pattern
+            t = np.einsum("tp,plv->lvt", both, one_hot) + prior
+            t /= t.sum(axis=1, keepdims=True)
+            share = np.log((both.sum(axis=1) + 1) / (n.sum() + 2))
+            ll = np.einsum("plv,lvt->tp", one_hot, np.log(t)) + share[:, None]
+            new = logistic(ll[1] - ll[0])
+            if np.abs(new - p).max() < 1e-9:
+                break
+            p = new
+        tables[kind] = t
+        probability |= {(kind, v): float(x) for v, x in zip(patterns, p, strict=True)}
+    return probability, tables
+
+
+class Model(NamedTuple):
+    """weights of the span classifier; None: there was nothing to learn from."""
+
+    weights: np.ndarray | None
+    threshold: float = 0.5
+
+    def accepts(self, text: str, span: Span) -> bool:
+        if self.weights is None:
+            return False
+        x = np.array(features(text, span, votes(text, span)))
+        return bool(logistic(x @ self.weights[:-1] + self.weights[-1]) >= self.threshold)
+
+
+def train(docs: DataFrame, max_rows: int = 20_000) -> Model:
+    """Fit the classifier. The candidates of all documents are written to the shared folder once; only counts of vote
+    patterns and at most max_rows candidates reach the driver."""
+    prepare(docs.sparkSession)
+
+    def candidates(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kinds, vs, fs = [], [], []
+        for t in strings(batch.column("text")):
+            for s in base_spans(t) + further_candidates(t):
+                kinds.append(s.kind)
+                vs.append(v := votes(t, s))
+                fs.append(features(t, s, v))
+        return pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.string()), "votes": pa.array(vs, pa.list_(pa.int8())), "x": pa.array(fs, pa.list_(pa.float32()))})
+
+    found = saved(map_arrow(docs.select("text"), candidates, "kind string, votes array<tinyint>, x array<float>"), "pii-candidates")
+    counts = {(r.kind, tuple(r.votes)): r.n for r in found.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return Model(None)
+    probability, _ = aggregate(counts)
+    # equal candidates weigh as often as they occur in the sample; the hash covers everything, so the sample is stable
+    rows = found.orderBy(F.xxhash64("kind", "votes", "x"), "kind", "votes", "x").limit(max_rows).collect()
+    x = np.array([r.x for r in rows], float)
+    y = np.array([probability[r.kind, tuple(r.votes)] for r in rows])
+    # vote patterns that the sample may lack, once each, so that every kind and labeler is covered
+    more = [(k, v) for k, v in counts if k in FURTHER]
+    if more:
+        shape = {k: x[x[:, KINDS.index(k)] == 1, -6:].mean(axis=0) if (x[:, KINDS.index(k)] == 1).any() else np.full(6, 0.5) for k, _ in more}
+        extra = [[float(k == kk) for kk in KINDS] + [float(s == u) for s in v for u in (1, -1)] + list(shape[k]) for k, v in more]
+        x, y = np.vstack([x, extra]), np.append(y, [probability[m] for m in more])
+    return Model(fit_logistic(x, y, 0.1))
+
+
+def spans_of(text: str, model: Model) -> tuple[list[Span], list[Span]]:
+    """Base spans and all spans, by start, then kind as listed, then end."""
+    order = lambda s: (s.start, KINDS.index(s.kind), s.end)
+    base = sorted(base_spans(text), key=order)
+    covered = [(s.start, s.end) for s in base]
+    more = [s for s in further_candidates(text) if not any(a < s.end and s.start < b for a, b in covered) and model.accepts(text, s)]
+    return base, sorted(base + more, key=order)
+
+
+def written(spans: list[Span]) -> str:
+    return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in spans)
+
+
+def find(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans of the kind), base_sha256, spans, n_further."""
+    prepare(docs.sparkSession)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: dict[str, list] = {f"n_{k}": [] for k in BASE} | {"base_sha256": [], "spans": [], "n_further": []}
+        for t in strings(batch.column("text")):
+            base, both = spans_of(t, model)
+            n = Counter(s.kind for s in base)
+            for k in BASE:
+                out[f"n_{k}"].append(n[k])
+            out["base_sha256"].append(hashlib.sha256(written(base).encode()).hexdigest())
+            out["spans"].append(written(both))
+            out["n_further"].append(len(both) - len(base))
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {k: pa.array(v, pa.string() if k in ("base_sha256", "spans") else pa.int64()) for k, v in out.items()})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_further long")
+
+
+def masked(text: str, spans: list[Span], label: Callable[[str], str] = lambda kind: f"[{kind.upper()}]") -> str:
+    """Each span replaced by its label; overlapping spans together by the label of the one that starts first."""
+    out, at = [], 0
+    for s in sorted(spans, key=lambda s: (s.start, -s.end)):
+        if s.start >= at:
+            out += [text[at : s.start], label(s.kind)]
+        at = max(at, s.end)
+    return "".join([*out, text[at:]])
+
+
+def mask(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with every span in text masked; n_chars, if there, follows the new text. Null texts stay null."""
+    prepare(docs.sparkSession)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [None if t is None else masked(t, spans_of(t, model)[1]) for t in batch.column("t").to_pylist()]
+        return batch.set_column(batch.schema.get_field_index("t"), pa.field("t", pa.string()), pa.array(texts, pa.string()))
+
+    names = {c: f"k{i}" for i, c in enumerate(docs.columns)} | {"text": "t"}
+    schema = ", ".join(f"{names[f.name]} {f.dataType.simpleString()}" for f in docs.schema)
+    out = map_arrow(docs.withColumnsRenamed(names), run, schema).withColumnsRenamed({v: k for k, v in names.items()})
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def op3_pii(spark, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    docs = table(spark, sf_dir, "documents")
+    return find(docs, train(docs))
+
+
+def mask_pii(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: all documents, personal data masked."""
+    return mask(docs, train(docs))

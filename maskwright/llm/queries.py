@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from .dedup import op8_minhash
+from .fingerprint import op2_fingerprint
+from .langid import op10_langid
+from .pieces import op4_sentencepiece
+from .pii import op3_pii
 from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity,)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_fingerprint, op3_pii, op4_sentencepiece, op8_minhash, op10_langid)}
 
 ORACLE_SQL: dict[str, str] = {}
