@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from maskwright.llm.common import saved
+from maskwright.llm.dedup import drop_near_copies
+from maskwright.llm.mixing import mix_stage
+from maskwright.llm.pieces import encode_stage
+from maskwright.llm.pii import mask_pii
 from maskwright.llm.toxicity import reject_toxic
 
-STAGES = [("toxicity", reject_toxic)]
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near-dedup", drop_near_copies),
+    ("pii", mask_pii),
+    ("mixing", mix_stage),
+    ("encoding", encode_stage),
+]
 
 #: No SQL expresses a trained classifier: the stages are tested against brute force instead.
 ORACLE_SQL = None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .dedup import op8_minhash
 from .fingerprint import op2_fingerprint
+from .html import op9_html
 from .langid import op10_langid
 from .mixing import op5_mixing
 from .pieces import op4_sentencepiece
@@ -12,6 +13,6 @@ from .topk import OP7_SQL, op7_topk
 from .toxicity import op1_toxicity
 from .warc import OP6_SQL, op6_warc
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_fingerprint, op3_pii, op4_sentencepiece, op5_mixing, op6_warc, op7_topk, op8_minhash, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_fingerprint, op3_pii, op4_sentencepiece, op5_mixing, op6_warc, op7_topk, op8_minhash, op9_html, op10_langid)}
 
 ORACLE_SQL: dict[str, str] = {"op6_warc": OP6_SQL, "op7_topk": OP7_SQL}
