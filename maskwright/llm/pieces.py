@@ -14,8 +14,8 @@ do not touch another, so the first merge across the border of two neighbouring p
 only if it happens in the text of these two. Hence a sequence of pieces is the encoding if and only if all neighbours are
 compatible; every prefix of a text has exactly one such sequence, so the lattice has one finite state for each position.
 No piece holds the blank symbol after another character, and none holds a character that is no piece by itself (both are
-checked when compiling); so the path falls apart at spaces and at byte-fallback characters, and equal parts are composed
-once and remembered in a bounded memory.
+checked when compiling); so the path falls apart at spaces, at byte-fallback characters, and between two characters that
+no piece holds next to each other. Equal parts are composed once and remembered in a bounded memory.
 
 Defined cases. Null text: as empty, no ids. Empty text: no ids, decodes to empty. A blank symbol in the text itself is a
 space, as in the reference format. Very long texts and parts: linear time. Repeated rows: each. Empty tables: empty.
@@ -40,7 +40,7 @@ BLANK = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Parts and pairs that a worker remembers, and the longest such part.
-REMEMBERED, LONGEST, PAIRS = 200_000, 48, 1_000_000
+REMEMBERED, LONGEST, PAIRS = 150_000, 48, 1_000_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -111,12 +111,13 @@ class Transducer:
             if BLANK in p.lstrip(BLANK) or not single.issuperset(p):
                 raise ValueError(f"piece {p!r} does not let the path fall apart")
         self.single = single
-        self.tree: dict = {}
+        self.inner = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
+        self.tree: list = [{}, -1]  # children by character, and the id that ends here
         for p, i in self.id.items():
             node = self.tree
             for c in p:
-                node = node.setdefault(c, {})
-            node[""] = i
+                node = node[0].setdefault(c, [{}, -1])
+            node[1] = i
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.replace(BLANK, " ").encode() for p, k in zip(self.pieces, kinds, strict=True)]
         for i, k in enumerate(kinds):
             if k == UNKNOWN:
@@ -125,6 +126,8 @@ class Transducer:
         # two generations, so that forgetting what is rare keeps what is frequent
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.older_words: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[str]:
         """Merging by rank, for the few characters of two pieces."""
@@ -150,39 +153,57 @@ class Transducer:
         return found
 
     def shortest(self, part: str) -> list[int]:
-        """The tropical shortest path over a part without byte-fallback characters."""
-        n = len(part)
-        weight: list[float] = [0.0, *[float("inf")] * n]
-        last, back = [-1] * (n + 1), [0] * (n + 1)
-        accepts, tree = self.accepts, self.tree
-        for j in range(n):
-            if weight[j] == float("inf"):
-                continue
-            node, k = tree, j
-            while k < n and (node := node.get(part[k])) is not None:
+        """The tropical shortest path over a part without byte-fallback characters. Finite weights are all 0, so the first
+        path that gets to the end is the shortest: the search goes depth first, longest pieces first, and enters a place
+        once, as no place has two finite paths."""
+        n, many = len(part), len(self.pieces)
+        allowed, accepts, tree = self.allowed, self.accepts, self.tree
+        path, left, seen = [], [], set()  # pieces so far, arcs not tried yet before each, places entered
+        j, p = 0, -1
+        while j < n:
+            node, k, arcs = tree, j, []
+            while k < n:
+                node = node[0].get(part[k])
+                if node is None:
+                    break
                 k += 1
-                q = node.get("")
-                if q is not None and weight[j] < weight[k] and accepts(last[j], q):
-                    weight[k], last[k], back[k] = weight[j], q, j
-        out, k = [], n
-        while k:
-            out.append(last[k])
-            k = back[k]
-        out.reverse()
-        return out
+                if node[1] >= 0:
+                    arcs.append((k, node[1]))
+            while True:
+                if not arcs:  # infinitely far from here: back
+                    path.pop()
+                    p, arcs = (path[-1] if path else -1), left.pop()
+                    continue
+                k, q = arcs.pop()
+                if k in seen:
+                    continue
+                pair = p * many + q
+                weight = allowed.get(pair)
+                if weight or weight is None and accepts(p, q):
+                    seen.add(k)
+                    path.append(q)
+                    left.append(arcs)
+                    j, p = k, q
+                    break
+        return path
 
     def part(self, text: str) -> tuple[int, ...]:
         """Ids of normalised text that begins at a border of the path."""
         out: list[int] = []
-        at = 0
+        at, single, inner = 0, self.single, self.inner
         for k, c in enumerate(text):
-            if c not in self.single:
+            if c not in single:
                 if at < k:
-                    out += self.shortest(text[at:k])
+                    out += self.remembered(text[at:k])
                 out += [self.byte[b] for b in c.encode("utf-8", "surrogatepass")]
                 at = k + 1
+            elif k > at and text[k - 1 : k + 1] not in inner:
+                out += self.remembered(text[at:k])
+                at = k
+        if at == 0:
+            return tuple(self.shortest(text))
         if at < len(text):
-            out += self.shortest(text[at:])
+            out += self.remembered(text[at:])
         return tuple(out)
 
     def remembered(self, text: str) -> tuple[int, ...]:
@@ -195,22 +216,28 @@ class Transducer:
                 self.known[text] = ids
         return ids
 
+    def word(self, text: str) -> tuple[int, ...]:
+        """Ids of a blank and text, remembered under text."""
+        ids = self.older_words.get(text) or self.part(BLANK + text)
+        if len(text) <= LONGEST:
+            if len(self.words) >= REMEMBERED:
+                self.older_words, self.words = self.words, {}
+            self.words[text] = ids
+        return ids
+
     def encode(self, text: str) -> array:
         out = array("i")
         if not text:
             return out
-        text = text.replace(" ", BLANK)
-        if self.prefix:
-            text = BLANK + text
-        remembered, extend = self.remembered, out.extend
-        if BLANK * 2 in text or text[0] != BLANK:
-            for m in re.finditer(f"{BLANK}*[^{BLANK}]+|{BLANK}+", text):
-                extend(remembered(m[0]))
+        extend = out.extend
+        if self.prefix and "  " not in text and BLANK not in text and text[0] != " " and text[-1] != " ":
+            words, word = self.words, self.word
+            for w in text.split(" "):
+                extend(words.get(w) or word(w))
             return out
-        words = iter(text.split(BLANK))
-        next(words)  # nothing stands before the first blank
-        for w in words:
-            extend(remembered(BLANK + w))
+        text = (BLANK if self.prefix else "") + text.replace(" ", BLANK)
+        for m in re.finditer(f"{BLANK}*[^{BLANK}]+|{BLANK}+", text):
+            extend(self.remembered(m[0]))
         return out
 
     def decode(self, ids) -> str:
