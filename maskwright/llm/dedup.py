@@ -310,7 +310,7 @@ def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     one has the smallest doc_id. Columns unchanged."""
     listed, nodes = resolve(docs)
     columns = docs.columns
-    names = {c: f"k{i}" for i, c in enumerate(columns)} | {"text": "text"}
+    names = {c: f"k{i}" for i, c in enumerate(columns)} | {"text": "text"}  # so that no column's name clashes
 
     def name(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, off = utf8(batch.column("text"))
@@ -320,7 +320,7 @@ def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         return batch.append_column("node", pa.array(made, pa.binary()))
 
     schema = ", ".join([f"{names[f.name]} {f.dataType.simpleString()}" for f in docs.schema] + ["node binary"])
-    rows = map_arrow(docs.withColumnsRenamed(names), name, schema)
+    rows = map_arrow(docs.toDF(*names.values()), name, schema)
     # of a component's nodes with its smallest id, the one with the smallest name
     kept = nodes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min(F.struct("node", "doc_id")).alias("m")).select(F.col("m.node").alias("node"), F.col("m.doc_id").alias("keep_id"))
     same = (F.col("node") == F.col("keep_node")) & F.col(names["doc_id"]).eqNullSafe(F.col("keep_id"))
@@ -330,4 +330,4 @@ def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         order = [F.xxhash64("text"), *(F.col(names[c]) for c in columns if c != "text")]
         nth = F.row_number().over(Window.partitionBy("node", names["doc_id"]).orderBy(*order))
         found = found.withColumn("nth", nth).filter("nth = 1").drop("nth")
-    return found.unionByName(rows.filter("node is null")).drop("node").withColumnsRenamed({v: k for k, v in names.items()}).select(*columns)
+    return found.unionByName(rows.filter("node is null")).select(*names.values()).toDF(*columns)

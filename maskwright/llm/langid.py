@@ -123,7 +123,7 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, max_rows: int = 6_000, windows: int = 3, width: int = 240, buckets: int = 1 << 14, dim: int = 16, epochs: int = 4, rate: float = 1.0, precision: float = 0.99, seed: int = 7) -> Model | None:
+def train(docs: DataFrame, max_rows: int = 6_000, windows: int = 3, width: int = 240, buckets: int = 1 << 14, dim: int = 16, epochs: int = 4, least_steps: int = 400, rate: float = 1.0, precision: float = 0.99, seed: int = 7) -> Model | None:
     """Fit on rows that are not held out; None if there are none."""
     prepare(docs.sparkSession)
     known = docs.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
@@ -158,6 +158,7 @@ def train(docs: DataFrame, max_rows: int = 6_000, windows: int = 3, width: int =
     if check.all() or not check.any() or len(set(y[~check])) < len(langs):
         check = np.zeros(len(rows), bool)
     fit = np.flatnonzero(~check)
+    epochs = max(epochs, least_steps * 32 // len(fit))  # small training sets take more turns
     e, w, b = descend([grams[i] for i in fit], y[fit], len(langs), buckets, dim, epochs, rate, seed)
     logits = (e @ w).astype(np.float32)
     left = np.flatnonzero(check) if check.any() else fit

@@ -269,7 +269,7 @@ def mixed_texts(docs: DataFrame, **settings: int) -> DataFrame:
         return batch.set_column(batch.schema.get_field_index("text"), pa.field("text", pa.string()), pa.array(texts, pa.string())).drop_columns(["ranges"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name != "ranges")
-    out = map_arrow(joined, run, schema).withColumnsRenamed({k: c for c, k in names.items()}).select(*docs.columns)
+    out = map_arrow(joined, run, schema).select(*(names.get(c, c) for c in docs.columns)).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -1,7 +1,7 @@
 """Personal data by weak-supervision aggregation.
 
-1. Candidates. The four base kinds (email, ip, card, phone) are found by fixed rules; further kinds (secret, iban, ssn,
-   person) by loose patterns that also match much that is harmless.
+1. Candidates. The four base kinds (email, ip, card, phone) are found by fixed rules; further spans (secret, iban, ssn,
+   person, and cards next to other digits) by loose patterns that also match much that is harmless.
 2. Votes. Several labelers look at each candidate - regex (strict form), checksum, gazetteer (word lists), context before
    and context after - and each says personal (1), harmless (-1) or nothing (0).
 3. Aggregation. Equal votes are counted over all documents, so that there are at most kinds * 3^labelers rows.
@@ -32,8 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import fit_logistic, logistic, map_arrow, prepare, saved, strings, table
 
 BASE = ("email", "ip", "card", "phone")
-FURTHER = ("secret", "iban", "ssn", "person")
-KINDS = (*BASE, *FURTHER)
+KINDS = (*BASE, "secret", "iban", "ssn", "person")
 LABELERS = ("form", "checksum", "gazetteer", "before", "after")
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -44,6 +43,8 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOOSE = {
+    # what the base rule drops because other digits stand before or after the number
+    "card": re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])"),
     "secret": re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,128}(?![A-Za-z0-9_])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
@@ -117,8 +118,12 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def further_candidates(text: str) -> list[Span]:
-    return [Span(kind, *m.span(p.groups)) for kind, p in LOOSE.items() for m in p.finditer(text)]
+def further_candidates(text: str, base: list[Span]) -> list[Span]:
+    """Loose matches that are not inside a base span; cards must pass Luhn's test here too."""
+    found = [Span(kind, *m.span(p.groups)) for kind, p in LOOSE.items() for m in p.finditer(text)]
+    if base:
+        found = [s for s in found if not any(b.start <= s.start and s.end <= b.end for b in base)]
+    return [s for s in found if s.kind != "card" or luhn(text[s.start : s.end].replace(" ", "").replace("-", ""))]
 
 
 def entropy(s: str) -> float:
@@ -230,7 +235,8 @@ def train(docs: DataFrame, max_rows: int = 20_000) -> Model:
     def candidates(batch: pa.RecordBatch) -> pa.RecordBatch:
         kinds, vs, fs = [], [], []
         for t in strings(batch.column("text")):
-            for s in base_spans(t) + further_candidates(t):
+            base = base_spans(t)
+            for s in base + further_candidates(t, base):
                 kinds.append(s.kind)
                 vs.append(v := votes(t, s))
                 fs.append(features(t, s, v))
@@ -246,7 +252,7 @@ def train(docs: DataFrame, max_rows: int = 20_000) -> Model:
     x = np.array([r.x for r in rows], float)
     y = np.array([probability[r.kind, tuple(r.votes)] for r in rows])
     # vote patterns that the sample may lack, once each, so that every kind and labeler is covered
-    more = [(k, v) for k, v in counts if k in FURTHER]
+    more = [(k, v) for k, v in counts if k in LOOSE]
     if more:
         shape = {k: x[x[:, KINDS.index(k)] == 1, -6:].mean(axis=0) if (x[:, KINDS.index(k)] == 1).any() else np.full(6, 0.5) for k, _ in more}
         extra = [[float(k == kk) for kk in KINDS] + [float(s == u) for s in v for u in (1, -1)] + list(shape[k]) for k, v in more]
@@ -258,8 +264,7 @@ def spans_of(text: str, model: Model) -> tuple[list[Span], list[Span]]:
     """Base spans and all spans, by start, then kind as listed, then end."""
     order = lambda s: (s.start, KINDS.index(s.kind), s.end)
     base = sorted(base_spans(text), key=order)
-    covered = [(s.start, s.end) for s in base]
-    more = [s for s in further_candidates(text) if not any(a < s.end and s.start < b for a, b in covered) and model.accepts(text, s)]
+    more = [s for s in further_candidates(text, base) if model.accepts(text, s)]
     return base, sorted(base + more, key=order)
 
 
@@ -305,9 +310,9 @@ def mask(docs: DataFrame, model: Model) -> DataFrame:
         texts = [None if t is None else masked(t, spans_of(t, model)[1]) for t in batch.column("t").to_pylist()]
         return batch.set_column(batch.schema.get_field_index("t"), pa.field("t", pa.string()), pa.array(texts, pa.string()))
 
-    names = {c: f"k{i}" for i, c in enumerate(docs.columns)} | {"text": "t"}
-    schema = ", ".join(f"{names[f.name]} {f.dataType.simpleString()}" for f in docs.schema)
-    out = map_arrow(docs.withColumnsRenamed(names), run, schema).withColumnsRenamed({v: k for k, v in names.items()})
+    names = ["t" if c == "text" else f"k{i}" for i, c in enumerate(docs.columns)]
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
+    out = map_arrow(docs.toDF(*names), run, schema).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

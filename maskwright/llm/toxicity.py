@@ -172,7 +172,7 @@ def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",), th
         return pa.RecordBatch.from_arrays([*kept, *(pa.array(p[:, j]) for j in range(p.shape[1])), pa.array(p[:, -1] >= threshold)], names=[*(f"k{i}" for i in range(len(keep))), *names, "toxic"])
 
     schema = ", ".join([f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)] + [f"{n} double" for n in names] + ["toxic boolean"])
-    return map_arrow(docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("text").alias("t")), run, schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return map_arrow(docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("text").alias("t")), run, schema).toDF(*keep, *names, "toxic")
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
