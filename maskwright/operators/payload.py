@@ -142,7 +142,6 @@ def redact_payload(messages: Column, detectors: Sequence[Detector], structured:
     """struct<messages, mapping>: one mapping for the request. structured=False redacts string content alone and leaves
     parts and tool calls as they are."""
     none = F.array().cast("array<string>")
-    spans_in = lambda t: resolve(detect(t, detectors, allow=allow))
 
     def seen(m: Column) -> Column:
         out = [F.when(m["content_text"].isNotNull(), F.array(m["content_text"])).otherwise(none)]
@@ -151,17 +150,24 @@ def redact_payload(messages: Column, detectors: Sequence[Detector], structured:
             out.append(F.flatten(F.transform(F.filter(F.coalesce(m["tool_calls"], F.array().cast(CALLS)), lambda c: c["function"]["arguments"].isNotNull()), lambda c: leaves(c["function"]["arguments"]))))
         return F.concat(*out)
 
-    found = F.flatten(F.transform(F.flatten(F.transform(messages, seen)), spans_in))
+    # each distinct text is searched once; the rewritten texts are looked up by the old ones
+    texts_in = F.array_distinct(F.flatten(F.transform(messages, seen)))
+    searched = F.transform(texts_in, lambda t: F.struct(t.alias("text"), resolve(detect(t, detectors, allow=allow)).alias("spans")))
 
-    def rewritten(mapped: Column) -> Column:
-        change = lambda t: let(spans_in(t), lambda s: splice(t, s, mapped))
+    def redacted(pairs: Column) -> Column:
+        return let(mapping(F.coalesce(F.flatten(F.transform(pairs, lambda p: p["spans"])), F.array().cast(SPANS))), lambda mapped: rewritten(pairs, mapped))
+
+    def rewritten(pairs: Column, mapped: Column) -> Column:
+        lookup = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["text"].alias("old"), splice(p["text"], p["spans"], mapped).alias("new"))))
+        return let(lookup, lambda new: F.struct(replaced(lambda t: F.coalesce(F.try_element_at(new, t), t)).alias("messages"), mapped.alias("mapping")))
+
+    def replaced(change) -> Column:
         if structured:
-            done = _map_messages(messages, change, lambda a: _rewrite(a, change))
-        else:
-            done = F.transform(messages, lambda m: F.struct(m["role"].alias("role"), F.when(m["content_text"].isNotNull(), change(m["content_text"])).alias("content_text"), m["content_parts"].alias("content_parts"), m["tool_calls"].alias("tool_calls")))
-        return F.struct(done.alias("messages"), mapped.alias("mapping"))
+            return _map_messages(messages, change, lambda a: _rewrite(a, change))
+        text = lambda m: F.when(m["content_text"].isNotNull(), change(m["content_text"])).alias("content_text")
+        return F.transform(messages, lambda m: F.struct(m["role"].alias("role"), text(m), m["content_parts"].alias("content_parts"), m["tool_calls"].alias("tool_calls")))
 
-    return let(mapping(F.coalesce(found, F.array().cast(SPANS))), rewritten)
+    return let(searched, redacted)
 
 
 def restore_tool_calls(messages: Column, mapped: Column) -> Column:

@@ -76,7 +76,7 @@ def comparison_report(corpus: DataFrame, solutions: Sequence[Solution]) -> dict[
         every = every.unionByName(p)
     labels = every.select("solution", "lang", "out", "args", "mm", F.explode("labels").alias("x")).select("solution", "lang", F.col("x.type").alias("type"), (~literal_contains(F.col("out"), F.col("x.pii"))).alias("caught"), strictly_absent(F.col("x.pii"), F.col("out")).alias("strict"), literal_contains(F.col("args"), F.col("x.pii")).alias("tool_leak"), literal_contains(F.col("mm"), F.col("x.pii")).alias("mm_leak"))
     n = lambda c: F.count_if(c)
-    of = F.count("*")
+    of = F.count(F.lit(1))
     headline = labels.groupBy("solution").agg(of.alias("labels"), n("caught").alias("caught"), n("strict").alias("strict_caught"), rate(n("caught"), of, True).alias("recall"), rate(n("strict"), of, True).alias("recall_strict"), rate(n("tool_leak"), of, True).alias("tool_leak"), rate(n("mm_leak"), of, True).alias("mm_leak"), rate(n(F.col("caught") & ~F.col("tool_leak")), n("caught"), True).alias("tool_protection"))
     clean = every.filter(F.size("labels") == 0).groupBy("solution").agg(F.sum(F.size("found")).alias("false_positives"), F.count("*").alias("clean_docs"))
     recall = rate(n("caught"), of, True)
