@@ -7,23 +7,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.ranking import running_total
 from ..functions.text import nearest_rank
 
 
 def statistics(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """n, min, p50 (interpolated), p95, p99 (nearest rank by floor), max, mean of value by group.
-
-    The nearest ranks need a group's sorted values; exact percentiles hold counts of distinct values, so timings recorded
-    at fixed resolution stay small however many there are."""
-    per = df.groupBy(*by, value).agg(F.count("*").alias("__n"))  # pre-aggregated: distinct values with their counts
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*by).orderBy(value)
-    counted = per.withColumns({"__upto": F.sum("__n").over(w), "__all": F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    """n, min, p50 (interpolated), p95, p99 (nearest rank by floor), max, mean of value by group. Exact; distinct values
+    are counted first and ranked in ranges, so neither a group nor the whole is one task's work."""
+    per = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    counted = running_total(per, list(by), value, [value], F.col("__n"), "__upto").withColumnRenamed("__upto_all", "__all")
     rank = lambda p: F.least(F.floor(F.col("__all") * F.lit(p) / 100), F.col("__all") - 1)
     at = lambda r: F.min(F.when(F.col("__upto") > r, F.col(value)))
     lower, upper = at(F.floor((F.col("__all") - 1) / 2)), at(F.floor(F.col("__all") / 2))
-    return counted.filter(F.col(value).isNotNull()).groupBy(*by).agg(
+    return counted.groupBy(*by).agg(
         F.sum("__n").alias("n"), F.min(value).alias("min"), ((lower + upper) / 2).alias("p50"), at(rank(95.0)).alias("p95"), at(rank(99.0)).alias("p99"), F.max(value).alias("max"),
         (F.sum(F.col(value) * F.col("__n")) / F.sum("__n")).alias("mean"),
     )
