@@ -32,7 +32,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeating, and the mix's size in percent of all words.
 WEIGHTS, PERCENT, MOST = (5, 2, 1), 150, 2
 #: Rows of one bucket of a running total.
-BUCKET = 4096
+BUCKET = 1024
 
 
 class Source(NamedTuple):
@@ -221,7 +221,8 @@ def parts(rows: DataFrame, slots: DataFrame, length: int) -> DataFrame:
     blocks = rows.filter("__size > 0").select("__source", "__start", "__size", F.explode(F.sequence(F.floor(F.col("__start") / length), F.floor((end - 1) / length))).alias("block"))
     low = F.greatest(F.col("__start"), F.col("block") * length)
     high = F.least(end, F.col("block") * length + F.col("words"))
-    joined = blocks.join(slots.select("__source", "turn", "block", "words"), ["__source", "block"])
+    # a merge join: slots are made from a few counts, so their size is underestimated before they are written
+    joined = blocks.join(slots.select("__source", "turn", "block", "words").hint("merge"), ["__source", "block"])
     return joined.select("__source", "__start", "turn", (low - F.col("__start")).alias("skip"), (high - low).alias("take")).filter("take > 0")
 
 
