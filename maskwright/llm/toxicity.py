@@ -1,11 +1,13 @@
 """Toxicity by classifier chains.
 
-Categories are predicted one after the other. Each is a linear (logistic) model over the presence of selected words and
-the probabilities of the categories before it. While fitting, those earlier probabilities are out-of-fold predictions,
-so that a later model sees earlier ones as wrong as they will be on new texts.
+Categories are predicted one after the other. Each is a linear (logistic) model over the seed words present, a summary of
+how the text's words lean, and the probabilities of the categories before it. Words and word beginnings lean by their
+smoothed log-odds among the labelled documents of the text's language (of all languages, where that language lacks the
+word); every one in `least_docs` documents that leans by `least_odds` counts, whatever their number. While fitting,
+leanings and earlier probabilities are counted without the document's own part, so that they are as wrong as on new texts.
 
-Bounds: at most `max_rows` labelled documents (those with the smallest hash of doc_id) and `max_words` words are used for
-fitting; every document is scored, over its whole text.
+Bounds: at most `max_rows` labelled documents (those with the smallest hash of doc_id) are used for fitting; every document
+is scored, over its whole text.
 
 Defined cases. Null text: as empty. Null label or doc_id in labels: that label is not used; several labels of a document:
 the largest. No usable label, or one class only: the last category falls back to the seed words alone. Empty tables give
@@ -14,8 +16,11 @@ an empty result. Repeated documents are scored each. Other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,26 +38,40 @@ SEEDS = {
 }
 
 
+SEED_WORDS = [w for ws in SEEDS.values() for w in ws]
+
+#: Columns that design() adds to the seed words.
+SUMMARY = 7
+
 #: Lengths of word beginnings that count as features too: many languages build insults from a stem.
 STEMS = (4, 5, 6, 7)
 
 
+#: Parts of the labelled documents: the leaning of a document's features is counted over the other parts while fitting.
+PARTS = 5
+
+
 @dataclass(frozen=True)
 class Chain:
-    """leaning: log-odds towards the labelled category of each feature, in the order of index. models: one
-    (name, weights) for each category in order; the weights cover the features, then the highest and the summed leaning
-    of those that are present, then the earlier categories, then the bias."""
+    """leaning: for each language ('' for all together) and each of its features the log-odds towards the labelled category,
+    and those times the share of the category's documents that hold the feature.
+    models: one (name, weights) for each category in order; the weights cover the columns of design(), then the earlier
+    categories, then the bias."""
 
-    index: dict[str, int]
-    leaning: np.ndarray
+    leaning: dict[str, dict[str, tuple[float, float]]]
     models: tuple[tuple[str, np.ndarray], ...]
 
     @property
     def names(self) -> list[str]:
         return [name for name, _ in self.models]
 
-    def design(self, hits: list[list[int]]) -> np.ndarray:
-        return design(hits, self.leaning)
+    def design(self, texts: list[str], langs: list[str]) -> np.ndarray:
+        pooled = self.leaning.get("", {})
+        out = np.zeros((len(texts), len(SEED_WORDS) + SUMMARY))
+        for i, (t, lang) in enumerate(zip(texts, langs, strict=True)):
+            own = self.leaning.get(lang, pooled)
+            out[i] = design(features_of(t), lambda w, own=own: own[w] if w in own else pooled.get(w, (0.0, 0.0)))
+        return out
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Probabilities of all categories, for rows of design()."""
@@ -69,28 +88,17 @@ def features_of(text: str) -> set[str]:
     return words | {f"{w[:k]}-" for w in words for k in STEMS if len(w) > k}
 
 
-def hits_of(text: str, index: dict[str, int]) -> list[int]:
-    """Sorted features of the text, as features_of() finds them, but for those in index alone."""
-    found = set()
-    for w in set(WORD.findall(text.lower())):
-        if w in index:
-            found.add(index[w])
-        for k in STEMS:
-            if len(w) <= k:
-                break
-            if (j := index.get(f"{w[:k]}-")) is not None:
-                found.add(j)
-    return sorted(found)
-
-
-def design(hits: list[list[int]], leaning: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(hits), len(leaning) + 2))
-    for i, h in enumerate(hits):
-        if h:
-            x[i, h] = 1
-            up = np.maximum(leaning[h], 0)
-            x[i, -2:] = up.max(), min(up.sum(), 20.0) / 4
-    return x
+def design(features: set[str], leaning: Callable[[str], tuple[float, float]]) -> np.ndarray:
+    """Presence of the seed words; then, of the log-odds and of those times the share, the highest and the mean of the five
+    highest; the highest of the latter up to 1, as one clear word is enough; the sum of the log-odds for each feature; and the length. The length lets a model allow for what chance gives
+    in a long text."""
+    found = [x for w in features if (x := leaning(w))[0] > 0]
+    summary = []
+    for k in range(2):
+        top = heapq.nlargest(5, (x[k] for x in found))
+        summary += [max(top, default=0.0), sum(top) / 5]
+    summary += [min(summary[2], 1.0), 10 * sum(x[0] for x in found) / max(len(features), 1), math.log1p(len(features)) / 4]
+    return np.array([float(w in features) for w in SEED_WORDS] + summary)
 
 
 def fit_chain(x: np.ndarray, labels: list[tuple[str, np.ndarray]], folds: int = 5, l2: float = 1.0) -> tuple[tuple[str, np.ndarray], ...]:
@@ -111,53 +119,83 @@ def fit_chain(x: np.ndarray, labels: list[tuple[str, np.ndarray]], folds: int =
     return tuple(models)
 
 
-def count_features(labelled: DataFrame, max_words: int, least_docs: int, least_chi2: float) -> list[tuple[str, float]]:
-    """Features whose presence depends on the label, by chi-square, with their log-odds, counted over all labelled rows."""
+def log_odds(a, b, p, q):
+    """Smoothed log-odds of a feature in a of p toxic and b of q other documents: how far it leans, whatever the table's size."""
+    return np.log((a + 0.5) / (p + 1)) - np.log((b + 0.5) / (q + 1))
+
+
+def count_features(labelled: DataFrame, least_docs: int, least_odds: float) -> dict[str, tuple[np.ndarray, dict[str, np.ndarray]]]:
+    """For each language, and '' for all together: labelled rows, and rows with each feature that leans upwards, as arrays
+    of (other, toxic) by part."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         n: Counter = Counter()
-        for t, y in zip(strings(batch.column("text")), batch.column("y").to_pylist(), strict=True):
-            n["", y] += 1
-            n.update((w, y) for w in features_of(t))
-        return pa.RecordBatch.from_pydict({"word": [w for w, _ in n], "y": pa.array([y for _, y in n], pa.int32()), "n": pa.array(n.values(), pa.int64())})
-
-    of = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
-    per = map_arrow(labelled.select("text", "y"), count, "word string, y int, n long").groupBy("word").agg(of(1).alias("a"), of(0).alias("b"))
-    per = per.filter(f"word = '' or a + b >= {least_docs}").cache()
-    all_of = per.filter("word = ''").first()
-    if all_of is None or not all_of.a or not all_of.b:
-        per.unpersist()
-        return []
-    p, q = float(all_of.a), float(all_of.b)
-    a, b = F.col("a"), F.col("b")
-    chi2 = F.lit(p + q) * F.pow(a * F.lit(q) - b * F.lit(p), F.lit(2)) / ((a + b) * (F.lit(p + q) - a - b + F.lit(1e-9)) * F.lit(p * q))
-    odds = F.log((a + 0.5) / F.lit(p + 1)) - F.log((b + 0.5) / F.lit(q + 1))
-    found = per.filter("word <> ''").withColumns({"chi2": chi2, "odds": odds}).filter(f"chi2 >= {least_chi2}").orderBy(F.desc("chi2"), "word").limit(max_words).collect()
-    per.unpersist()
-    return [(r.word, r.odds) for r in found]
-
-
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_words: int = 256, least_docs: int = 5, least_chi2: float = 30.0) -> Chain:
-    """Fit the chain insult, contempt, toxic. least_chi2 is far above what chance gives over a vocabulary of a million."""
+        for t, lang, part, y in zip(strings(batch.column("text")), strings(batch.column("lang")), batch.column("part").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            for w in ("", *features_of(t)):
+                n[lang, w, part * 2 + y] += 1
+        return pa.RecordBatch.from_pydict({"lang": [k[0] for k in n], "word": [k[1] for k in n], "cell": pa.array([k[2] for k in n], pa.int32()), "n": pa.array(n.values(), pa.int64())})
+
+    cells = [F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(2 * PARTS)]
+    own = map_arrow(labelled.select("text", "lang", "part", "y"), count, "lang string, word string, cell int, n long").groupBy("lang", "word").agg(*cells).cache()
+    pooled = own.groupBy("word").agg(*(F.sum(f"c{c}").alias(f"c{c}") for c in range(2 * PARTS))).select(F.lit("").alias("lang"), "word", *(f"c{c}" for c in range(2 * PARTS)))
+    both = own.filter("lang <> ''").unionByName(pooled)
+    a, b = (sum((F.col(f"c{c}") for c in range(y, 2 * PARTS, 2)), F.lit(0)) for y in (1, 0))
+    both = both.withColumns({"a": a, "b": b})
+    shape = lambda r: np.array(r[2 : 2 + 2 * PARTS], float).reshape(PARTS, 2)
+    out = {r.lang: (shape(r), {}) for r in both.filter("word = ''").collect() if r.a and r.b}
+    for lang, (rows, found) in out.items():
+        q, p = (float(n) for n in rows.sum(axis=0))
+        odds = F.log((F.col("a") + 0.5) / F.lit(p + 1)) - F.log((F.col("b") + 0.5) / F.lit(q + 1))
+        leaning = both.filter((F.col("lang") == lang) & (F.col("word") != "") & (F.col("a") + F.col("b") >= least_docs) & (odds >= least_odds))
+        found.update((r.word, shape(r)) for r in leaning.collect())
+    own.unpersist()
+    return out
+
+
+def leanings(counts: dict[str, tuple[np.ndarray, dict[str, np.ndarray]]], without: int | None = None) -> dict[str, dict[str, tuple[float, float]]]:
+    """Log-odds, and those times the share, by language and feature, over all parts or all but one. The share is
+    taken of five documents more, so that it says little where few are toxic. Seed words lean by 3
+    where the labels do not say."""
+    out = {"": {}}
+    for lang, (rows, found) in counts.items():
+        keep = [k for k in range(PARTS) if k != without]
+        q, p = rows[keep].sum(axis=0)
+        n = np.array([c[keep].sum(axis=0) for c in found.values()]).reshape(-1, 2)
+        odds = log_odds(n[:, 1], n[:, 0], p, q)
+        out[lang] = dict(zip(found, zip(odds.tolist(), (odds * n[:, 1] / (p + 5)).tolist(), strict=True), strict=True))
+    for w in SEED_WORDS:
+        out[""].setdefault(w, (3.0, 0.0))
+    return out
+
+
+def with_lang(docs: DataFrame) -> DataFrame:
+    return docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(""))
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, least_docs: int = 3, least_odds: float = 1.0) -> Chain:
+    """Fit the chain insult, contempt, toxic."""
     prepare(docs.sparkSession)
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
     chosen = F.broadcast(lowest(known, max_rows, "doc_id"))  # at most max_rows rows of 12 bytes
-    labelled = docs.select("doc_id", "text").join(chosen, "doc_id")
-    leaning = {w: 3.0 for ws in SEEDS.values() for w in ws} | dict(count_features(labelled, max_words, least_docs, least_chi2))
-    index, odds = {w: i for i, w in enumerate(leaning)}, np.array(list(leaning.values()))
+    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(PARTS)).cast("int")
+    labelled = with_lang(docs).select("doc_id", "text", "lang").join(chosen, "doc_id").withColumn("part", part)
+    counts = count_features(labelled, least_docs, least_odds)
+    chains = [Chain(leanings(counts, k), ()) for k in range(PARTS)]
 
     def present(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hits = [hits_of(t, index) for t in strings(batch.column("text"))]
-        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "hits": pa.array(hits, pa.list_(pa.int32()))})
+        cols = zip(strings(batch.column("text")), strings(batch.column("lang")), batch.column("part").to_pylist(), strict=True)
+        x = [chains[part].design([t], [lang])[0].tolist() for t, lang, part in cols]
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "x": pa.array(x, pa.list_(pa.float64()))})
 
     # repeated documents may make more rows than labels: the smallest max_rows are taken
-    rows = map_arrow(labelled.select("doc_id", "y", "text"), present, "doc_id long, y int, hits array<int>").orderBy(F.xxhash64("doc_id"), "doc_id", "hits").limit(max_rows).collect()
-    hits, y = [r.hits for r in rows], np.array([r.y for r in rows], float)
+    rows = map_arrow(labelled.select("doc_id", "y", "text", "lang", "part"), present, "doc_id long, y int, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(max_rows).collect()
+    x, y = np.array([r.x for r in rows], float), np.array([r.y for r in rows], float)
     if len(set(y)) < 2:  # nothing to learn from: made-up rows, each seed word against none
-        hits, y = [[j] for j in range(len(index))] * 10 + [[]] * 10 * len(index), np.repeat([1.0, 0.0], 10 * len(index))
-    x = design(hits, odds)
-    seeded = [(name, x[:, [index[w] for w in ws]].max(axis=1, initial=0)) for name, ws in SEEDS.items()]
-    return Chain(index, odds, fit_chain(x, [*seeded, ("toxic", y)]))
+        x = np.zeros((20 * len(SEED_WORDS), len(SEED_WORDS) + SUMMARY))
+        y = np.repeat([1.0, 0.0], 10 * len(SEED_WORDS))
+        x[: 10 * len(SEED_WORDS), : len(SEED_WORDS)] = np.tile(np.eye(len(SEED_WORDS)), (10, 1))
+    seeded = [(name, x[:, [SEED_WORDS.index(w) for w in ws]].max(axis=1, initial=0)) for name, ws in SEEDS.items()]
+    return Chain(leanings(counts), fit_chain(x, [*seeded, ("toxic", y)], l2=0.1))
 
 
 def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
@@ -167,12 +205,12 @@ def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",), th
     names = [f"p_{n}" for n in chain.names]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p = chain.predict(chain.design([hits_of(t, chain.index) for t in strings(batch.column("t"))]))
+        p = chain.predict(chain.design(strings(batch.column("t")), strings(batch.column("l"))))
         kept = [batch.column(f"k{i}") for i in range(len(keep))]
         return pa.RecordBatch.from_arrays([*kept, *(pa.array(p[:, j]) for j in range(p.shape[1])), pa.array(p[:, -1] >= threshold)], names=[*(f"k{i}" for i in range(len(keep))), *names, "toxic"])
 
     schema = ", ".join([f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)] + [f"{n} double" for n in names] + ["toxic boolean"])
-    return map_arrow(docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("text").alias("t")), run, schema).toDF(*keep, *names, "toxic")
+    return map_arrow(with_lang(docs).select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("text").alias("t"), F.col("lang").alias("l")), run, schema).toDF(*keep, *names, "toxic")
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

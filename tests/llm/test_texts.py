@@ -41,6 +41,23 @@ def test_chain_learns_words_and_stems(spark):
     assert sorted((r.doc_id, r.toxic) for r in toxicity.score(more, chain).collect()) == [(1, False), (1, False), (2, False), (3, True), (4, True)]
 
 
+def test_few_labels_in_every_language(spark):
+    rng = random.Random(3)
+    docs, bad = [], {}
+    for lang, n, letters, stem in (("en", 200, "bcdf", "zorg"), ("de", 48, "ghkl", "lowei"), ("fr", 32, "mnpr", "vequa"), ("es", 32, "stvw", "chlla")):
+        plain = ["".join(rng.choice(letters) + rng.choice("aeiou") for _ in range(4)) for _ in range(150)]
+        for i in range(n):
+            words = rng.choices(plain, k=30)
+            if i % 8 == 0:
+                words[5] = stem + rng.choice(plain)
+            bad[len(docs)] = i % 8 == 0
+            docs.append((len(docs), " ".join(words), lang))
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(b)) for i, b in bad.items()], "doc_id long, toxic int")
+    got = {r.doc_id: r.toxic for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert got == bad
+
+
 def test_later_models_see_out_of_fold_predictions():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 40))  # noise that a model can learn by heart
