@@ -1,7 +1,7 @@
 """Personal data by weak-supervision aggregation.
 
 1. Candidates. The four base kinds (email, ip, card, phone) are found by fixed rules; further spans (secret, iban, ssn,
-   person, and cards next to other digits) by loose patterns that also match much that is harmless.
+   person, and cards and phones next to other digits) by loose patterns that also match much that is harmless.
 2. Votes. Several labelers look at each candidate - regex (strict form), checksum, gazetteer (word lists), context before
    and context after - and each says personal (1), harmless (-1) or nothing (0).
 3. Aggregation. Equal votes are counted over all documents, so that there are at most kinds * 3^labelers rows.
@@ -45,6 +45,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOOSE = {
     # what the base rule drops because other digits stand before or after the number
     "card": re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])"),
+    # likewise: country code, area code, 3-4 grouping; the base pattern runs on into numbers behind it
+    "phone": re.compile(r"(?<![0-9+])\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])"),
     "secret": re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,128}(?![A-Za-z0-9_])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),

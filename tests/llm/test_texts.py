@@ -189,6 +189,19 @@ def test_weak_supervision_adds_secrets(spark):
         assert ("secret" in {s[0] for s in spans}) == (i % 3 == 0)
 
 
+def test_phone_beside_other_digits(spark):
+    texts = [f"call +1 (826) 555-{4000 + i} now" for i in range(30)] + ["+1 (826) 555-4081 190.137.223.204 ok", "+49 30 555 4082 1234567890 ok", "+1 (826) 555-40812 190.137.223.204"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.train(df)
+    got = {r.doc_id: r for r in pii.find(df, model).collect()}
+    assert got[30].n_phone == got[31].n_phone == 0  # base spans stay as they are
+    assert got[30].spans == "phone:0:17,ip:18:33" and got[30].n_further == 1
+    assert got[31].spans == "phone:0:15"
+    assert "phone" not in got[32].spans
+    out = {r.doc_id: r.text for r in pii.mask(df, model).collect()}
+    assert out[30] == "[PHONE] [IP] ok" and out[31] == "[PHONE] 1234567890 ok"
+
+
 def test_masking_keeps_everything_else(spark):
     docs, df = personal(spark)
     texts = dict(docs)
