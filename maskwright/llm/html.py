@@ -3,9 +3,11 @@
 1. A tokenizer that follows the HTML rules for tags, attributes, comments, character references and raw-text elements.
 2. A tree builder that supplies implied tags: paragraphs end where a block begins, list items, options and table parts end
    where the next begins, cells get their row, the head ends where content begins; unmatched end tags are ignored.
-3. Visibility: elements without rendering (head, script, template, ...), the hidden attribute, display: none and visibility:
-   hidden in style attributes and in the page's own simple style rules (tag, .class, #id and their compounds), and the
-   content of closed details beyond their summary.
+3. Visibility: elements without rendering (head, script, template, ...), the hidden attribute, display and visibility in
+   style attributes and in the page's own simple style rules (tag, .class, #id and their compounds), in cascade order, and
+   the content of closed details beyond their summary. Visibility is inherited, so that a part of a hidden element may
+   show. Of svg, text elements and foreign objects show. Rules with combinators, pseudo-classes or attributes and those
+   within at-rules are not read.
 4. Layout: white space collapses outside pre; blocks begin on new lines, those with margins after a blank one; list items
    get bullets or numbers and hanging indents; table cells are aligned in columns (padded to `PAD` at most), with row
    and column spans.
@@ -30,7 +32,11 @@ from .common import map_arrow, prepare, strings, table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 ESCAPABLE = frozenset(("title", "textarea"))
-NEVER = frozenset("head script style template title meta link base noembed noframes iframe object audio video canvas svg math datalist param source track area map".split())
+NEVER = frozenset("head script style template title meta link base noembed noframes iframe audio video canvas datalist param source track area".split())
+DISPLAY_SHOWS = re.compile(r"block|inline|flow|flow-root|flex|grid|table|contents|list-item|ruby|run-in|math|initial|unset|inherit|revert|revert-layer|-(?:webkit|moz|ms)-.+|(?:inline|table|ruby)-[a-z-]+|(?:block|inline) .+")
+VISIBILITY = {"visible": True, "initial": True, "hidden": False, "collapse": False, "inherit": None, "unset": None, "revert": None, "revert-layer": None}
+#: Within svg only text is drawn; titles, descriptions and definitions are not.
+SVG_UNSEEN = frozenset("title desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter".split())
 IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template head html".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li dt dd".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -50,7 +56,7 @@ QUICK_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)[ \t\n\r\f]*>")
 TAG_NAME = re.compile(r"<(/?)([A-Za-z][^ \t\n\r\f/>]*)")
 BEFORE_ATTRIBUTE = re.compile(r"[ \t\n\r\f/]*")
 ATTRIBUTE = re.compile(r"(=?[^ \t\n\r\f/>=]*)(?:[ \t\n\r\f]*=[ \t\n\r\f]*(?:\"([^\"]*)\"|'([^']*)'|(?![\"'])([^ \t\n\r\f>]*)))?")
-UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.IGNORECASE)
+DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+(?:\s+[a-z-]+)*)\s*(!\s*important)?\s*(?=;|$)", re.IGNORECASE)
 AT_RULE = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})")
 RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 SELECTOR = re.compile(r"([A-Za-z][A-Za-z0-9]*|\*)?((?:[.#][A-Za-z_-][\w-]*)*)$")
@@ -64,27 +70,48 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
+def declarations(css: str) -> list[tuple[str, str, bool]]:
+    """The display and visibility declarations of a block, in order: (property, value, important)."""
+    css = re.sub(r"/\*.*?\*/", "", css, flags=re.DOTALL) if "/*" in css else css
+    found = [(m[1].lower(), BLANKS.sub(" ", m[2].lower()), bool(m[3])) for m in DECLARATION.finditer(css)]
+    return [d for d in found if (d[1] in VISIBILITY if d[0] == "visibility" else d[1] == "none" or DISPLAY_SHOWS.fullmatch(d[1]))]
+
+
 class Rules:
-    """Simple selectors that hide: each a tag (or none) with classes and an id."""
+    """Display and visibility of simple selectors: each a tag (or none) with classes and ids."""
 
     def __init__(self) -> None:
-        self.items: list[tuple[str, frozenset[str], frozenset[str]]] = []
+        #: tag, classes, ids, specificity, declarations; in the order of the page
+        self.items: list[tuple[str, frozenset[str], frozenset[str], tuple[int, int, int], list[tuple[str, str, bool]]]] = []
 
     def add(self, css: str) -> None:
         css = AT_RULE.sub("", re.sub(r"/\*.*?\*/", "", css, flags=re.DOTALL))
         for selectors, body in RULE.findall(css):
-            if UNSEEN.search(body):
+            if found := declarations(body):
                 for s in selectors.split(","):
                     m = SELECTOR.match(s.strip())
                     if m and m[0]:
                         marks = re.findall(r"[.#][\w-]+", m[2])
-                        self.items.append(((m[1] or "").replace("*", "").lower(), frozenset(x[1:] for x in marks if x[0] == "."), frozenset(x[1:] for x in marks if x[0] == "#")))
-
-    def hide(self, node: Node) -> bool:
-        if not self.items:
-            return False
+                        tag = (m[1] or "").replace("*", "").lower()
+                        ids = [x for x in marks if x[0] == "#"]
+                        self.items.append((tag, frozenset(x[1:] for x in marks if x[0] == "."), frozenset(x[1:] for x in ids), (len(ids), len(marks) - len(ids), int(bool(tag))), found))
+
+    def style(self, node: Node) -> dict[str, str]:
+        """The values that win for the node: important ones first, then inline, then by specificity, then the last."""
+        style = node.attrs.get("style", "")
+        if not self.items and not style:
+            return {}
+        won: dict[str, tuple[tuple, str]] = {}
         classes, ids = set(node.attrs.get("class", "").split()), {node.attrs.get("id", "")}
-        return any((not tag or tag == node.tag) and c <= classes and i <= ids for tag, c, i in self.items)
+        found = [((0, *weight), d) for tag, c, i, weight, d in self.items if (not tag or tag == node.tag) and c <= classes and i <= ids]
+        if style:
+            found.append(((1, 0, 0, 0), declarations(style)))
+        for weight, ds in found:
+            for name, value, important in ds:
+                rank = (important, *weight)
+                if name not in won or rank >= won[name][0]:
+                    won[name] = rank, value
+        return {name: value for name, (_, value) in won.items()}
 
 
 class Builder:
@@ -274,7 +301,10 @@ def build(html: str) -> tuple[Node, Rules]:
             builder.pop()
             at = (html.find(">", stop) + 1 or n) if close else n
         else:
+            foreign = builder.count.get("svg") or builder.count.get("math") or tag in ("svg", "math")
             builder.start(tag, attrs)
+            if foreign and html[after - 2] == "/" and tag not in VOID and tag not in ENDS_P | INLINE | TABLE_PARTS:
+                builder.pop()
             if tag in ("pre", "listing") and html.startswith("\n", at):
                 at += 1
     return builder.root, builder.rules
@@ -408,18 +438,31 @@ class Table:
         return out
 
 
-def hidden(node: Node, rules: Rules) -> bool:
-    a = node.attrs
-    return node.tag in NEVER or "hidden" in a or bool(UNSEEN.search(a.get("style", ""))) or node.tag == "dialog" and "open" not in a or rules.hide(node)
+def removed(node: Node, style: dict[str, str], svg: bool) -> bool:
+    """Neither the node nor anything below it is shown. A display that is declared wins over the hidden attribute."""
+    if node.tag in NEVER or svg and node.tag in SVG_UNSEEN:
+        return True
+    display = style.get("display", "")
+    if display in ("", "revert", "revert-layer"):
+        return "hidden" in node.attrs or node.tag == "dialog" and "open" not in node.attrs
+    return display == "none"
+
+
+def in_svg(tag: str, svg: bool) -> bool:
+    """Whether text in an element is svg's, which is not drawn outside text elements. HTML elements end svg."""
+    return tag == "svg" or svg and tag not in ("text", "foreignobject") and (tag == "a" or tag not in ENDS_P | INLINE | TABLE_PARTS)
 
 
 def render(root: Node, rules: Rules) -> str:
-    """Walk the tree with a stack of (node, next child, parent), and write what is seen."""
+    """Walk the tree with a stack of (node, next child, visible, in svg), and write what is seen."""
     outs, tables = [Out()], []
     numbers: list[int | None] = []
     indents: list[str] = []
     pre = 0
-    stack: list[list] = [[root, 0]]
+    style = rules.style(root)
+    if removed(root, style, False):
+        return ""
+    stack: list[list] = [[root, 0, VISIBILITY.get(style.get("visibility", "inherit")) is not False, False]]
 
     def enter(node: Node, parent: Node | None) -> None:
         nonlocal pre
@@ -479,20 +522,26 @@ def render(root: Node, rules: Rules) -> str:
 
     enter(root, None)
     while stack:
-        node, k = stack[-1]
+        node, k, visible, svg = stack[-1]
         if k == len(node.children):
             stack.pop()
             leave(node)
+            if node.tag == "text" and stack and stack[-1][3]:
+                outs[-1].text(" ")
             continue
         stack[-1][1] += 1
         child = node.children[k]
         if node.tag == "details" and "open" not in node.attrs and (isinstance(child, str) or child.tag != "summary"):
             continue
         if isinstance(child, str):
+            if svg or not visible:
+                continue
             if tables and node.tag in ("table", "tr", "thead", "tbody", "tfoot", "colgroup") and not child.strip(SPACE):
                 continue
             outs[-1].kept(child) if pre else outs[-1].text(child)
-        elif hidden(child, rules):
+            continue
+        style = rules.style(child)
+        if removed(child, style, svg) or child.tag in ("annotation", "annotation-xml") and node.tag == "semantics":
             continue
         elif child.tag == "br":
             outs[-1].br()
@@ -500,7 +549,8 @@ def render(root: Node, rules: Rules) -> str:
             continue
         else:
             enter(child, node)
-            stack.append([child, 0])
+            shown = VISIBILITY.get(style.get("visibility", "inherit"))
+            stack.append([child, 0, visible if shown is None else shown, in_svg(child.tag, svg)])
     lines = outs[0].done()
     return "\n".join(lines).replace("\xa0", " ").strip("\n")
 

@@ -238,6 +238,26 @@ def test_rendering(page):
     assert html.extract_text(page) == CASES[page]
 
 
+SHOWN = {
+    "<style>.tab{display:none} .tab.active{display:block}</style><div class=tab>no</div><div class='tab active'>a<b>b</b></div>": "ab",
+    "<style>.x{display:none}</style><p class=x style='display:block'>yes<p class=x>no": "yes",
+    "<style>#i{display:block} .x{display:none} .y{display:none} .y{display:inline}</style><p id=i class=x>one<p class=y>two": "one\n\ntwo",
+    "<style>.x{display:none!important}</style><p class=x style='display:block'>no<p>yes": "yes",
+    "<div style='visibility:hidden'>no<p>no<b style='visibility: visible'>yes</b>no</div>": "yes",
+    "<style>.x{display:none;display:nonsense}</style><p class=x>no</p>yes": "yes",
+    "<style>[hidden]{} div{display:flex}</style><div hidden>yes</div><p hidden>no": "yes",
+    "<math><mi>x</mi><mo>=</mo><mn>2</mn></math>": "x=2",
+    "a <svg><title>no</title><defs/>no<path d=x /><g><text>one</text><text>two</text></g></svg>b": "a one two b",
+    "<svg><foreignObject><p>yes</p></foreignObject></svg>": "yes",
+    "<map><a href=x>link</a><area></map><object data=x><param name=y>fallback</object>": "linkfallback",
+}
+
+
+@pytest.mark.parametrize("page", SHOWN)
+def test_what_shows_is_kept(page):
+    assert html.extract_text(page) == SHOWN[page]
+
+
 def test_html_is_linear_in_depth_and_length():
     deep = "<div>" * 50_000 + "deep" + "<table><tr><td>" * 3000 + "x"
     assert "deep" in html.extract_text(deep)
