@@ -3,7 +3,8 @@
 A term of three words or more has words that are whole inside it (all but its first and last). Up to three of these make a
 key; a document can hold the term only if its own words hold the key at some place. Documents' word runs are joined with the
 terms' keys (Spark broadcasts the keys if their measured size allows), and literal search confirms. Shorter terms have no
-key; there may be at most SHORT of them (checked), which are tried on every document.
+such key. Up to SHORT of them are tried on every document; beyond that their key is their first GRAM characters (all, if there
+are fewer), joined with the documents' character runs of these lengths.
 """
 
 from __future__ import annotations
@@ -13,12 +14,25 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import occurrence_starts, occurrences
 
 SHORT = 1000
+GRAM = 6
 
 
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def _short_pairs(docs: DataFrame, short: DataFrame) -> DataFrame:
+    """doc_id, item_id, term, text for every document that holds a term, by an equi-join on characters."""
+    terms = short.withColumn("key", F.substring("term", 1, GRAM))
+    lengths = sorted(r[0] for r in terms.select(F.length("key")).distinct().collect())  # GRAM values at most
+    # runs are cut from an array: substring counts characters from the start each time
+    chars = docs.filter("text is not null").select("doc_id", F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)).alias("c"))
+    runs = lambda n: F.when(F.size("c") >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("c") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("c", i, n), "")))).otherwise(F.array().cast("array<string>"))
+    keys = chars.select("doc_id", F.explode(F.flatten(F.array(*(runs(n) for n in lengths)))).alias("key"))
+    pairs = keys.join(terms, "key").select("doc_id", "item_id", "term").distinct()
+    return pairs.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("term"))).select("doc_id", "item_id", "term", "text")
+
+
 def hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, item_id, n_hits, starts for every document (doc_id, text) that holds a term (item_id, text)."""
     given = terms.filter("text is not null and text <> ''").select("item_id", F.col("text").alias("term"))
@@ -32,8 +46,9 @@ def hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
     found = pairs.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("term")))
     short = keyed.filter("size(inner) = 0").select("item_id", "term").limit(SHORT + 1).collect()
     if len(short) > SHORT:
-        raise ValueError(f"more than {SHORT} terms of one or two words")
-    if short:
+        more = _short_pairs(docs, keyed.filter("size(inner) = 0").select("item_id", "term"))
+        found = found.select("doc_id", "item_id", "term", "text").unionByName(more)
+    elif short:
         each = F.array(*(F.struct(F.lit(r.item_id).alias("item_id"), F.lit(r.term).alias("term")) for r in short))
         more = docs.filter("text is not null").select("doc_id", "text", F.explode(F.filter(each, lambda t: F.contains(F.col("text"), t["term"]))).alias("t"))
         found = found.select("doc_id", "item_id", "term", "text").unionByName(more.select("doc_id", F.col("t.item_id").alias("item_id"), F.col("t.term").alias("term"), "text"))

@@ -191,3 +191,12 @@ def test_dictionary_hits_against_brute_force(spark):
                     at = t.find(term, at + len(term))
                 want[i, j] = (len(starts), starts)
     assert got == want
+
+
+def test_dictionary_has_no_cap_on_short_terms(spark):
+    docs = [(1, "aé😀b k7 and\n k12x k1999"), (2, "k12"), (3, None), (4, ""), (5, "long long term here too"), (6, "ab ab")]
+    terms = [(i, f"k{i}") for i in range(dictionary.SHORT + 1000)] + [(9001, "😀b"), (9002, "and\n k12x"), (9003, "é"), (9004, "long term here too"), (9005, "ab"), (9006, "nowhere near")]
+    want = {(d, i): t.count(w) for d, t in docs if t for i, w in terms if w in t}
+    got = dictionary.hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(terms, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.n_hits for r in got} == want and len(got) == len(want)
+    assert all(t[s:].startswith(w) for r in got for t, w in [(dict(docs)[r.doc_id], dict(terms)[r.item_id])] for s in r.starts)
