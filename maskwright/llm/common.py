@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
 
-#: Used only where the session names no shared folder (tests on one machine).
+#: Used only where the session names no shared folder and everything runs on this machine.
 LOCAL_SHARED = "/tmp/checkpoints"
 
 U64 = np.uint64
@@ -30,8 +31,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see (spark.checkpoint.dir)."""
-    return (spark.conf.get("spark.checkpoint.dir", "") or LOCAL_SHARED).rstrip("/")
+    """The folder that the driver and all executors see (spark.checkpoint.dir). Without that setting, a cluster has none."""
+    if named := spark.conf.get("spark.checkpoint.dir", ""):
+        return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return LOCAL_SHARED
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -44,7 +49,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what saved() wrote for these tables: nothing reads them any more."""
+    for df in tables:
+        if path := getattr(df, "_saved_path", None):
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,23 +120,33 @@ def random_odd(seed: int, n: int) -> np.ndarray:
 
 
 def lowest(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    """A bounded sample that does not depend on partitioning: the n rows with the smallest hash of keys."""
-    return df.orderBy(F.xxhash64(*keys), *keys).limit(n)
+    """A bounded sample that does not depend on partitioning: the n rows with the smallest hash of keys, saved.
+
+    Rows whose hash is beyond what n rows need (by a count of all) are dropped before the sort, so that about n rows move in
+    all, not n from each partition; executors write them, and the driver sees none."""
+    rows = df.withColumn("__h", F.xxhash64(F.lit("sample"), *keys))
+    total = df.count()
+    share = (n + 6 * n**0.5 + 6) / max(total, 1)
+    if share < 1:
+        rows = rows.filter(F.col("__h") < F.lit(int(-(2**63) + share * 2**64)))
+    return saved(rows.orderBy("__h", *keys).limit(n).drop("__h"), "sample")
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 8) -> np.ndarray:
-    """Newton steps for L2-regularised logistic regression on hard or soft labels; returns weights, bias last."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 8, weight: np.ndarray | None = None) -> np.ndarray:
+    """Newton steps for L2-regularised logistic regression on hard or soft labels; returns weights, bias last. weight: how
+    much each row counts (default 1)."""
     x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
     w = np.zeros(x.shape[1])
     reg = np.full(x.shape[1], l2)
     reg[-1] = 1e-3
+    each = np.ones(len(x)) if weight is None else weight
     for _ in range(steps):
         p = logistic(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(reg), x.T @ (p - y) + reg * w)
+        step = np.linalg.solve((x * (each * (p * (1 - p) + 1e-6))[:, None]).T @ x + np.diag(reg), x.T @ (each * (p - y)) + reg * w)
         w -= step
         if np.abs(step).max(initial=0) < 1e-6:
             break

@@ -10,29 +10,34 @@ of the squared distance |q|^2 + |c|^2 - 2 <q, c>; ranking by it within a query o
 bound is used on the inner product itself. Candidates whose bound is below the query's k-th score so far are dropped, level
 by level, and survivors get their exact integer score.
 
-Layout. Candidates and queries are packed into blocks (`candidate_rows` and `query_rows` vectors). Query blocks are sent to
-`groups` groups of candidate blocks - a fixed number, so the rows sent grow with the input and not with its square - and a
-task streams pairs of blocks, keeping k scores for each query of the block at hand. Each (query, group) returns k rows, of
-which the k best are chosen. All pairs of blocks are bounded below or scored: queries against all rows is what is asked.
+Layout. Candidates and queries are packed into blocks (`candidate_rows` and `query_rows` vectors), and blocks are dealt to the
+cells of a grid of query groups and candidate groups, whose size follows from the numbers of blocks: a cell holds at most
+about `HELD` query blocks, so that its memory is bounded, and there are at least as many cells as cores. A task holds its
+query blocks and streams its candidate blocks, with their statistics made once; each (query, cell) returns k rows, of which
+the k best are chosen. All pairs of blocks are bounded below or scored: queries against all rows is what is asked.
 
 Defined cases. Vectors that are null, empty, or hold null or non-finite components take no part, neither do rows without
 id. Vectors of another length than the query's are no candidates. Candidates with the query's id are left out. Equal scores:
-smaller ids first. Repeated rows: each is a candidate, and a repeated query with the same vector counts once. Components
-whose product sums could pass 2^53 are scored in 64-bit integers, that wrap as a long does. Empty table: empty.
+smaller ids first. Repeated rows: each is a candidate; a query repeated with the same vector counts once, and one id with
+several vectors is several queries, each with ranks of its own. Components whose product sums could pass 2^53 are scored in
+64-bit integers, that wrap as a long does. Any long is an id. Empty table: empty.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import map_arrow, prepare, saved, table
+from .common import prepare, saved, table
 
 #: Rounding of the bounds, which are sums of doubles: relative to the norms.
 SLACK = 1e-9
+#: Query blocks of a cell, and pairs of blocks that are one task's work.
+HELD, PAIRS = 16, 256
 
 
 def levels(dim: int) -> list[int]:
@@ -106,15 +111,14 @@ class Best:
 
 
 def packed(vectors: DataFrame, rows: int, name: str) -> DataFrame:
-    """dim, block (a random number), ids and values (little-endian 64-bit integers) of up to `rows` vectors each."""
+    """dim, block (a random name), ids and values (little-endian 64-bit integers) of up to `rows` vectors each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
 
         def out(dim: int) -> pa.RecordBatch:
             ids, values = held.pop(dim)
-            i = np.array(ids, np.int64)
-            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "block": pa.array([int(i[0]) * 1_000_003 + len(i)], pa.int64()), "ids": [i.tobytes()], "values": [np.array(values, np.int64).tobytes()]})
+            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "block": [uuid.uuid4().bytes], "ids": [np.array(ids, np.int64).tobytes()], "values": [np.array(values, np.int64).tobytes()]})
 
         for b in batches:
             for i, v in zip(b.column("id").to_pylist(), b.column("v").to_pylist(), strict=True):
@@ -126,40 +130,57 @@ def packed(vectors: DataFrame, rows: int, name: str) -> DataFrame:
         for dim in list(held):
             yield out(dim)
 
-    return saved(vectors.mapInArrow(run, "dim int, block long, ids binary, values binary"), name)
+    return saved(vectors.mapInArrow(run, "dim int, block binary, ids binary, values binary"), name)
 
 
-def search(queries: DataFrame, candidates: DataFrame, k: int = 5, query_rows: int = 512, candidate_rows: int = 4096, groups: int = 12) -> DataFrame:
+def grid(query_blocks: int, candidate_blocks: int, cores: int) -> tuple[int, int]:
+    """Numbers of query and candidate groups."""
+    cells = max(cores, -(-query_blocks * candidate_blocks // PAIRS))
+    query_groups = max(1, -(-query_blocks // HELD))
+    return query_groups, max(1, min(candidate_blocks, -(-cells // query_groups)))
+
+
+def search(queries: DataFrame, candidates: DataFrame, k: int = 5, query_rows: int = 512, candidate_rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score from (id long, v array<long>) tables of whole vectors."""
-    prepare(queries.sparkSession)
+    spark = queries.sparkSession
+    prepare(spark)
     q = packed(queries.dropDuplicates(["id", "v"]), query_rows, "topk-queries")
-    c = packed(candidates, candidate_rows, "topk-candidates").withColumn("grp", F.pmod(F.xxhash64("block", "ids"), F.lit(groups).cast("long")))
-    sent = q.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("grp"))
-    pairs = sent.join(c, ["dim", "grp"]).sortWithinPartitions("grp", "dim", "q_block", "q_ids", "block", "ids")
+    c = packed(candidates, candidate_rows, "topk-candidates")
+    q_groups, c_groups = grid(q.count(), c.count(), spark.sparkContext.defaultParallelism)
+    own = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sent = q.withColumns({"qg": own(q_groups), "kind": F.lit(0)}).withColumn("cg", every(c_groups))
+    met = c.withColumns({"cg": own(c_groups), "kind": F.lit(1)}).withColumn("qg", every(q_groups))
+    cell = ["dim", "qg", "cg"]
+    dealt = sent.unionByName(met).repartition(q_groups * c_groups, *cell).sortWithinPartitions(*cell, "kind", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, best = None, None
+        at, held = None, []
 
-        def out() -> pa.RecordBatch:
-            n = [len(s) for s in best.scores]
-            return pa.RecordBatch.from_pydict({"query_id": np.repeat(best.ids, n), "vec_id": np.concatenate(best.found), "score": np.concatenate(best.scores)})
+        def out() -> Iterator[pa.RecordBatch]:
+            for block, best in held:
+                n = [len(s) for s in best.scores]
+                if sum(n):
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([block] * sum(n), pa.binary()), "row": np.repeat(np.arange(len(n), dtype=np.int32), n), "query_id": np.repeat(best.ids, n), "vec_id": np.concatenate(best.found), "score": np.concatenate(best.scores)})
 
         for b in batches:
             for row in range(b.num_rows):
-                dim, grp = b.column("dim")[row].as_py(), b.column("grp")[row].as_py()
+                key = tuple(b.column(x)[row].as_py() for x in cell)
                 of = lambda name: np.frombuffer(b.column(name)[row].as_buffer(), np.int64)  # noqa: B023, E731
-                key = (grp, dim, b.column("q_block")[row].as_py(), b.column("q_ids")[row].as_buffer().to_pybytes())
                 if key != at:
-                    if best is not None:
-                        yield out()
-                    at, best = key, Best(of("q_ids").copy(), of("q_values").reshape(-1, dim).copy(), k)
-                vectors = of("values").reshape(-1, dim)
-                best.see(of("ids"), vectors, statistics(vectors))
-        if best is not None:
-            yield out()
-
-    found = pairs.select("grp", "dim", "q_block", "q_ids", "q_values", "ids", "values").mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                    yield from out()
+                    at, held = key, []
+                if b.column("kind")[row].as_py() == 0:
+                    held.append((b.column("block")[row].as_py(), Best(of("ids").copy(), of("values").reshape(-1, key[0]).copy(), k)))
+                elif held:
+                    vectors = of("values").reshape(-1, key[0])
+                    stats = statistics(vectors)
+                    for _, best in held:
+                        best.see(of("ids"), vectors, stats)
+        yield from out()
+
+    found = dealt.select(*cell, "kind", "block", "ids", "values").mapInArrow(run, "block binary, row int, query_id long, vec_id long, score long")
+    order = Window.partitionBy("block", "row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -180,11 +201,13 @@ OP7_SQL = """
 WITH good AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS (
+  SELECT DISTINCT vec_id, v FROM good WHERE vec_id % 50 = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM good q JOIN good c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+  SELECT q.vec_id AS query_id, q.v, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM q JOIN good c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, vec_id) AS rank FROM s
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """

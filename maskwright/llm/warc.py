@@ -7,8 +7,9 @@ folder may be any of those (file, hdfs, s3, gs). Identical payloads of at least
 with the smallest page_id is a response, the others are revisits that refer to it.
 
 Reading. An archive is streamed: the dictionary is taken from the skippable frame (itself compressed or not), then one frame
-is decoded for each record; version line, headers, Content-Length, the closing line breaks and both digests are checked, and
-an archive that fails raises ValueError with the path and the offset.
+is decoded for each record; version line, headers, Content-Length, the closing line breaks and the digests (by the algorithm
+that they name) are checked, and an archive that fails raises ValueError with the path and the offset. Records of all types
+are read; HTTP headers are looked for in responses and revisits alone. Archives that others wrote need no manifest.
 
 Defined cases. Null html: empty payload, a response. Null url: `urn:x-unknown`. Line breaks in a url are percent-encoded.
 Null page_id: `null` in the record's id, never the smallest of a group; if all of a group are null, all are responses. Rows
@@ -18,6 +19,7 @@ time. Empty table: no archive, empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import struct
@@ -30,7 +32,7 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import fresh_path, prepare, saved, strings, table
+from .common import fresh_path, lowest, prepare, saved, strings, table
 
 #: Fixed values of the formats.
 SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
@@ -50,8 +52,25 @@ def page_uri(page_id: int | None) -> str:
 
 
 def page_of(uri: str) -> int | None:
-    value = uri.removeprefix("<urn:x-page:").removesuffix(">")
-    return None if value == "null" else int(value)
+    """The page of a record's id; None for pages without id and for ids of other kinds."""
+    m = re.fullmatch(r"<urn:x-page:(-?[0-9]+)>", uri)
+    return int(m[1]) if m else None
+
+
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, and its path there."""
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", folder):
+        return fs.LocalFileSystem(), folder
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
+
+
+def check_digest(label: str, data: bytes, what: str) -> None:
+    """label is algorithm:value, in hex or base32; algorithms that are not known here are not checked."""
+    algorithm, _, value = label.partition(":")
+    if (name := algorithm.lower().replace("-", "")) in hashlib.algorithms_guaranteed and not name.startswith("shake"):
+        raw = hashlib.new(name, data).digest()
+        if value.lower() != raw.hex() and value.upper().rstrip("=") != base64.b32encode(raw).decode().rstrip("="):
+            raise ValueError(f"{what} digest")
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str) -> bytes:
@@ -80,7 +99,7 @@ def parse_record(data: bytes) -> Record:
         name, colon, value = line.decode().partition(":")
         if not colon or not name or name.strip() != name:
             raise ValueError(f"header line {line[:60]!r}")
-        if name.lower() in headers:
+        if name.lower() in headers and name.lower() != "warc-concurrent-to":  # the only one that may be repeated
             raise ValueError(f"header {name} twice")
         headers[name.lower()] = value.strip()
     if missing := [h for h in MANDATORY if h not in headers]:
@@ -91,27 +110,37 @@ def parse_record(data: bytes) -> Record:
     if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise ValueError(f"Content-Length {n}, but {len(rest) - 4} bytes")
     block = rest[:n]
-    if "warc-block-digest" in headers and headers["warc-block-digest"] != f"sha256:{hashlib.sha256(block).hexdigest()}":
-        raise ValueError("block digest")
+    if "warc-block-digest" in headers:
+        check_digest(headers["warc-block-digest"], block, "block")
     return Record(headers["warc-type"], headers, block)
 
 
 def http_payload(record: Record) -> tuple[bytes | None, int]:
-    """The payload (None in a revisit) and the full payload's length, checked against headers and digest."""
+    """The payload (None in a revisit) and the full payload's length, checked against headers and digest. A record without
+    HTTP in it is its own payload."""
+    if record.kind not in ("response", "revisit") or not record.headers.get("content-type", "").startswith("application/http"):
+        return record.block, len(record.block)
     head, gap, payload = record.block.partition(b"\r\n\r\n")
+    if not gap:
+        raise ValueError("no end of HTTP headers")
     m = re.search(rb"\r\ncontent-length: *([0-9]+)", head, re.IGNORECASE)
-    if not gap or not m:
-        raise ValueError("no HTTP headers with a length")
-    n = int(m[1])
     if record.kind == "revisit":
         if payload:
             raise ValueError("a revisit with a payload")
-        return None, n
-    if len(payload) != n:
-        raise ValueError(f"HTTP length {n}, but {len(payload)} bytes")
-    if record.headers.get("warc-payload-digest") != f"sha256:{hashlib.sha256(payload).hexdigest()}":
-        raise ValueError("payload digest")
-    return payload, n
+        return None, int(m[1]) if m else 0
+    if m and len(payload) != int(m[1]):
+        raise ValueError(f"HTTP length {int(m[1])}, but {len(payload)} bytes")
+    if "warc-payload-digest" in record.headers:
+        check_digest(record.headers["warc-payload-digest"], payload, "payload")
+    return payload, len(payload)
+
+
+def payload_digest(record: Record, payload: bytes | None) -> str | None:
+    """SHA-256 of the payload in hex: named by the record, or else made from what it holds."""
+    named = record.headers.get("warc-payload-digest", "")
+    if named.startswith("sha256:"):
+        return named.removeprefix("sha256:")
+    return None if payload is None else hashlib.sha256(payload).hexdigest()
 
 
 def dictionary_frame(dictionary: bytes) -> bytes:
@@ -181,25 +210,30 @@ def train_dictionary(samples: list[bytes], size: int) -> bytes:
 def classified(pages: DataFrame, least: int = 100) -> DataFrame:
     """page_id, url, payload, revisit, first_id (the response's page_id) for each page."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("digest", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)))
+    # smaller payloads have no key to meet on: they are spread, and find nothing
+    rows = rows.withColumn("key", F.coalesce("digest", F.pmod(F.xxhash64("page_id"), F.lit(65_536)).cast("string")))
     # only payloads that occur more than once; pre-aggregated before the shuffle
-    first = rows.filter("digest is not null").groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = rows.filter("digest is not null").groupBy(F.col("digest").alias("key")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.join(first, "digest", "left").select("page_id", "url", "payload", revisit.alias("revisit"), "first_id")
+    return rows.join(first, "key", "left").select("page_id", "url", "payload", revisit.alias("revisit"), "first_id")
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 100, rotate: int = 64 << 20, level: int = 6, dictionary_size: int = 64 << 10, sample_rows: int = 400, sample_bytes: int = 16 << 10, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write a record for each page into archives below folder; returns the manifest (path, records, bytes), saved.
 
-    The dictionary is trained on at most sample_rows payloads (those with the smallest hash), each cut to sample_bytes."""
+    The dictionary, which only compresses, is trained on at most sample_rows payloads (those with the smallest hash), of each
+    a stretch of sample_bytes code points at a place that the hash chooses."""
     spark = pages.sparkSession
     prepare(spark)
-    sample = pages.filter("length(html) > 0").orderBy(F.xxhash64("page_id", "html"), "page_id").limit(sample_rows).select("page_id", "url", F.substring("html", 1, sample_bytes).alias("html")).collect()
+    place = F.pmod(F.xxhash64("page_id", "url"), F.greatest(F.length("html") - sample_bytes, F.lit(0)) + 1)
+    stretch = pages.filter("length(html) > 0").select("page_id", "url", F.substring(F.col("html"), place.cast("int") + 1, F.lit(sample_bytes)).alias("html"))
+    sample = lowest(stretch, sample_rows, "page_id", "url", "html").collect()
     dictionary = spark.sparkContext.broadcast(train_dictionary([record_bytes(r.page_id, r.url, r.html.encode(), None, False, date) for r in sample], dictionary_size))  # at most dictionary_size bytes
-    first, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    first, base = opened(folder)
     first.create_dir(base, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store, top = opened(folder)
         made = dictionary.value
         compressor = zstandard.ZstdCompressor(level=level, dict_data=loaded_dictionary(made) if made else None, write_content_size=True, write_checksum=True)
         out, path, records, size, raw = None, "", 0, 0, 0
@@ -208,7 +242,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, rotate: int
             for page_id, url, payload, revisit, first_id in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "revisit", "first_id")), strict=True):
                 if out is None:
                     path, records, raw = f"{top}/pages-{uuid.uuid4().hex}.warc.zst", 0, 0
-                    out = store.open_output_stream(path)
+                    out = store.open_output_stream(path, compression=None)  # pyarrow would compress by the name
                     head = dictionary_frame(made) if made else b""
                     out.write(head)
                     size = len(head)
@@ -230,33 +264,35 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, rotate: int
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
-    """Each record of the archives that manifest (path, records) names: page_id, url, record_type, payload (null in a
-    revisit), payload_bytes and payload_digest of the full payload, refers_to."""
+    """Each record of the archives that manifest (path, and records if their number is to be checked) names: page_id and
+    record_id, url, record_type, payload (null in a revisit), payload_bytes and payload_digest (SHA-256) of the full payload,
+    refers_to."""
     prepare(manifest.sparkSession)
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
+    schema = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
+    counted = "records" in manifest.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store, _ = opened(folder)
         rows: list[tuple] = []
         held = 0
         for b in batches:
-            for path, records in zip(strings(b.column("path")), b.column("records").to_pylist(), strict=True):
+            for path, records in zip(strings(b.column("path")), b.column("records").to_pylist() if counted else [None] * b.num_rows, strict=True):
                 seen = 0
-                with store.open_input_stream(path) as stream:
+                with store.open_input_stream(path, compression=None) as stream:
                     for r in read_archive(stream, path):
                         payload, n = http_payload(r)
-                        refers = page_of(r.headers["warc-refers-to"]) if "warc-refers-to" in r.headers else None
-                        rows.append((page_of(r.headers["warc-record-id"]), r.headers.get("warc-target-uri"), r.kind, payload, n, r.headers["warc-payload-digest"].removeprefix("sha256:"), refers))
+                        name, refers = r.headers["warc-record-id"], r.headers.get("warc-refers-to")
+                        rows.append((page_of(name), name, r.headers.get("warc-target-uri"), r.kind, payload, n, payload_digest(r, payload), refers and page_of(refers)))
                         seen, held = seen + 1, held + len(payload or b"")
                         if len(rows) >= 1024 or held >= 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                             rows, held = [], 0
-                if seen != records:
+                if records is not None and seen != records:
                     raise ValueError(f"{path}: {seen} records, not {records}")
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return manifest.mapInArrow(run, "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
+    return manifest.mapInArrow(run, "page_id long, record_id string, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
 
 
 def archive(pages: DataFrame, spark: SparkSession) -> DataFrame:

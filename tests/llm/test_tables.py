@@ -1,10 +1,12 @@
 """Mixing, WARC, top-k and HTML."""
 
+import base64
 import hashlib
 import io
 import random
 import struct
 
+import duckdb
 import numpy as np
 import pytest
 import zstandard
@@ -115,6 +117,11 @@ def test_archives_round_trip(spark):
     folder = fresh_path(spark, "warc")
     manifest = warc.write_archives(df, folder, rotate=5_000)
     assert manifest.count() > 3
+    for r in manifest.collect():  # the files themselves: a skippable frame, then the frames
+        with open(r.path, "rb") as f:
+            data = f.read()
+        assert len(data) == r.bytes and data[:4] == struct.pack("<I", warc.SKIPPABLE)
+        assert sum(1 for _ in warc.read_archive(io.BytesIO(data))) == r.records
     got = warc.read_archives(manifest, folder)
     key = lambda r: tuple(map(str, r))
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got.collect()), key=key) == sorted(brute_pages(pages), key=key)
@@ -156,6 +163,26 @@ def test_damage_is_found(damage):
         list(warc.read_archive(io.BytesIO(data)))
 
 
+def test_archives_of_others(spark, tmp_path):
+    """Records of all types, SHA-1 digests in base32, ids of other kinds, no manifest, a folder named file:/..."""
+    b32 = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n<p>hi"
+
+    def record(kind, content_type, block, **more):
+        head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{kind}>", "WARC-Date": "2024-01-01T00:00:00Z", "Content-Type": content_type, "Content-Length": str(len(block)), "WARC-Block-Digest": "sha1:" + b32(block)} | more
+        return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    made = [record("warcinfo", "application/warc-fields", b"software: x\r\n"), record("request", "application/http; msgtype=request", b"GET / HTTP/1.1\r\n\r\n"), record("response", "application/http; msgtype=response", http, **{"WARC-Payload-Digest": "sha1:" + b32(b"<p>hi")}), record("metadata", "text/plain", b"a: b")]
+    (tmp_path / "a.warc.zst").write_bytes(archive_of(made))
+    for folder in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
+        df = spark.createDataFrame([(f"{tmp_path}/a.warc.zst",)], "path string")
+        got = {r.record_type: r for r in warc.read_archives(df, folder).collect()}
+        assert list(got) == ["warcinfo", "request", "response", "metadata"] and all(r.page_id is None for r in got.values())
+        assert bytes(got["response"].payload) == b"<p>hi" and got["response"].payload_digest == hashlib.sha256(b"<p>hi").hexdigest()
+    with pytest.raises(ValueError):
+        list(map(warc.http_payload, warc.read_archive(io.BytesIO(archive_of([record("response", "application/http", http, **{"WARC-Payload-Digest": "sha1:" + b32(b"no")})])))))
+
+
 # --- top-k -------------------------------------------------------------------------------------------------------------------
 
 
@@ -175,10 +202,30 @@ def test_exact_topk(spark):
     vectors = topk.whole(df)
     rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     for size in (7, 4096):
-        got = topk.search(vectors.filter("id % 50 = 0"), vectors, query_rows=4, candidate_rows=size, groups=3)
+        got = topk.search(vectors.filter("id % 50 = 0"), vectors, query_rows=4, candidate_rows=size)
         assert sorted(map(tuple, got.collect())) == sorted(brute_topk(rows))
 
 
+def test_large_and_repeated_ids(spark):
+    big = 50 * (2**62 // 50)
+    rows = [(big, [1.0, 2.0]), (big, [1.0, 2.0]), (50, [1.0, 0.0]), (50, [0.0, -1.0]), (2, [3.0, 1.0]), (2, [3.0, 1.0]), (-7, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    v = topk.whole(df)
+    got = sorted(map(tuple, topk.search(v.filter("id % 50 = 0"), v, query_rows=2, candidate_rows=2).collect()))
+    assert got == sorted(brute_topk(rows)) and len(got) == 5 + 5 + 5  # two queries of id 50, one of the large id
+    c = duckdb.connect()
+    c.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    c.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert sorted(c.execute(topk.OP7_SQL).fetchall()) == got
+
+
+def test_grid_follows_the_blocks():
+    for q, c, cores in ((1, 1, 8), (3, 40, 8), (200, 5000, 8), (40_000, 250_000, 1000)):
+        a, b = topk.grid(q, c, cores)
+        assert -(-q // a) <= topk.HELD and b <= c and (a * b >= cores or b == c)
+        assert q * c / (a * b) <= topk.PAIRS or b == c
+
+
 def test_fewer_than_k_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (50, [3.0])], "vec_id long, embedding array<float>")
     v = topk.whole(df)
