@@ -10,7 +10,7 @@ The fingerprint is a min-hash signature (64 slots of 16 bits, in hex) of the nam
 of the topmost name; likeness is the share of equal slots, which estimates the Jaccard similarity of the phrase sets.
 
 Defined cases. Null text: as empty. Empty text: fingerprint of no phrases (`""`), like another empty one (1), unlike all
-else (0). Null doc_id: after all others in descending order. Equal doc_ids: by text, descending by hash and then text. A
+else (0). Null doc_id: after all others in descending order. Equal doc_ids: by text, descending by hash. A
 single row: it is its own next document. Empty tables give an empty result; other columns are ignored.
 """
 
@@ -164,8 +164,10 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    by = [F.col("doc_id").desc_nulls_last()]
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(*by).sortWithinPartitions(*by, F.xxhash64("text").desc(), F.col("text").desc())
+    # equal ids (or none) are cut by text, and repeated rows by their place in the input, so that no id is one task
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("nth"))
+    by = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc()]
+    dealt = rows.repartitionByRange(*by, "nth").sortWithinPartitions(*by, "nth").select("doc_id", "text")
     fields = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     columns = [*RESULT, "part", "edge", "text"]
 

@@ -10,7 +10,8 @@ short. With this each source meets its target to the word (its last block is cut
 size, each block is drawn at most twice, and no document is taken beyond twice its size.
 
 What the driver holds: a row for each source (name, size, quota), and nothing that grows with documents or blocks. Running
-totals are made in two steps (within buckets, then over buckets), so a hot source is spread over many tasks.
+totals are made in three steps (within buckets, over the buckets of a shelf, over shelves), so a hot source is spread over
+many tasks.
 
 Defined cases. Null text or no words: size 0, taken 0, not in the mixed texts. Null source: a source of its own, the last.
 Null doc_id, repeated rows and equal doc_ids: each row is placed and taken by itself. Empty table: empty. Other columns are
@@ -31,8 +32,8 @@ from .common import U64, map_arrow, mix64, prepare, saved, table
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeating, and the mix's size in percent of all words.
 WEIGHTS, PERCENT, MOST = (5, 2, 1), 150, 2
-#: Rows of one bucket of a running total.
-BUCKET = 1024
+#: Rows of one bucket of a running total, and buckets of one shelf.
+BUCKET, SHELF = 256, 4096
 
 
 class Source(NamedTuple):
@@ -124,11 +125,13 @@ def plan(sizes: dict[str | None, int], length: int, seed: int) -> list[Source]:
 
 
 def running(df: DataFrame, group: list[str], bucket: str, order: list, value: str, name: str) -> DataFrame:
-    """df with `name`: the sum of `value` over the rows before, within group. Rows are ordered by bucket, then order; a
-    bucket is one task's work, and the totals of the buckets are summed over in turn."""
-    total = df.groupBy(*group, bucket).agg(F.sum(value).alias("__sum"))
-    before = F.sum("__sum").over(Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
-    base = total.select(*group, bucket, F.coalesce(before, F.lit(0)).alias("__base"))
+    """df with `name`: the sum of `value` over the rows before, within group. Rows are ordered by bucket, then order. A
+    bucket is one task's work, so are the totals of a shelf of buckets, and the totals of all shelves of a group."""
+    back = lambda *by: Window.partitionBy(*group, *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    total = df.groupBy(*group, bucket).agg(F.sum(value).alias("__sum")).withColumn("__shelf", F.floor(F.col(bucket) / SHELF))
+    shelves = total.groupBy(*group, "__shelf").agg(F.sum("__sum").alias("__all")).withColumn("__below", F.coalesce(F.sum("__all").over(back("__shelf")), F.lit(0))).drop("__all")
+    total = total.withColumn("__before", F.coalesce(F.sum("__sum").over(back("__shelf", bucket)), F.lit(0)))
+    base = total.join(shelves, [*group, "__shelf"]).select(*group, bucket, (F.col("__before") + F.col("__below")).alias("__base"))
     inside = F.sum(value).over(Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     return df.withColumn(name, F.coalesce(inside, F.lit(0))).join(base, [*group, bucket]).withColumn(name, F.col(name) + F.col("__base")).drop("__base")
 
@@ -184,6 +187,9 @@ def slot_table(spark: SparkSession, sources: list[Source], length: int, slots: i
     over_from, under_from = np.cumsum(over) - over, np.cumsum(under) - under
     shards = running(counts.withColumn("__bucket", F.floor(F.col("shard") / BUCKET)), ["__source"], "__bucket", ["shard"], "n", "first")
     lists = shards.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("__source", "first", "n"))).alias("draws"))
+    # a shard is a short row that becomes `slots` rows: their number, not the bytes read, says how many tasks there should be
+    made = -(-int(quota.sum()) // slots)
+    lists = lists.repartition(max(1, min(made, max(spark.sparkContext.defaultParallelism, made // 16))), "shard")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: dict[str, list] = {k: [] for k in ("shard", "slot", "__source", "turn", "block", "words")}

@@ -86,6 +86,33 @@ def test_slots_take_each_block_once_a_turn(spark):
         assert sum(r.words for r in rows if r["__source"] == s.index) == int(s.target + 0.5)
 
 
+def test_taken_by_brute_force(spark):
+    """Every word of every source, laid out where placed() says, counted slot by slot."""
+    rng = random.Random(9)
+    docs = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 80, 700])), rng.choice(["a"] * 6 + ["b", "c", None])) for i in range(250)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows, _, sources = mixing.mix(df, length=32, slots=16)
+    owner = {s.index: [None] * s.size for s in sources}
+    for r in rows.collect():
+        for k in range(r["__start"], r["__start"] + r["__size"]):
+            assert owner[r["__source"]][k] is None
+            owner[r["__source"]][k] = r.doc_id
+    want = dict.fromkeys(range(250), 0)
+    for r in mixing.slot_table(spark, sources, 32, 16, 17).collect():
+        for i in owner[r["__source"]][r.block * 32 : r.block * 32 + r.words]:
+            want[i] += 1
+    assert {r.doc_id: r.taken for r in mixing.taken(df, length=32, slots=16).collect()} == want
+
+
+@pytest.mark.parametrize("sizes", [(256, 4096), (3, 2)])
+def test_running_totals_by_shelves(spark, monkeypatch, sizes):
+    monkeypatch.setattr(mixing, "SHELF", sizes[1])
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), i // sizes[0], i, rng.randint(0, 9)) for i in range(100)]
+    got = mixing.running(spark.createDataFrame(rows, "g string, b int, o int, v int"), ["g"], "b", ["o"], "v", "upto").collect()
+    assert sorted((r.g, r.o, r.upto) for r in got) == sorted((g, o, sum(x[3] for x in rows if x[0] == g and x[2] < o)) for g, _, o, _ in rows)
+
+
 def test_mixing_edges(spark):
     assert mixed(spark, []) == []
     assert [(r.size, r.taken) for r in mixed(spark, [(1, None, None, 1)])] == [(0, 0)]
