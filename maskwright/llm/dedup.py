@@ -14,7 +14,11 @@ its component, and pairs are confirmed on the full sets. A heavier group is spli
   1. every chunk is searched as above, with `PIVOTS` nodes of the group added to each, which joins what is dense;
   2. nodes outside the group's largest component are sent to all its chunks, where they meet every candidate of
      another component. Two nodes that were never compared are then both in the largest component.
-So no linked pair that shares a band is lost, and no group meets all its pairs in one task.
+So no linked pair that shares a band is lost, and no group meets all its pairs in one task. A task knows the components of
+its nodes when it is done: it gives each node's label, and only split groups need a search for components over all labels.
+
+Rows are told apart by doc_id and a 64-bit hash of the text, so that rows without ids, or with equal ones, meet only their own
+texts.
 
 Defined cases. Null or empty text: empty set, linked with nothing, kept. Null doc_id: may link, is the smallest of a
 component only if all its ids are null. Repeated rows (same doc_id and text): both get the same result; the pipeline stage
@@ -29,9 +33,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import U64, grouped, map_arrow, mix64, pieces, prepare, random_odd, saved, table, utf8
+from .common import U64, discard, grouped, map_arrow, mix64, pieces, prepare, random_odd, saved, table, utf8
 from .graph import components
 
 FOLD = np.arange(256, dtype=np.uint8)
@@ -44,6 +48,10 @@ PIVOTS = 8
 CHUNK = 2_000_000
 
 
+def text_hash() -> Column:
+    return F.xxhash64("text").alias("th")
+
+
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The 64-bit hash of each word and the number of words in each row. A word's hash is a mix of the sum of a mixed
     value for each byte and its place in the word."""
@@ -115,7 +123,7 @@ def digest(s: np.ndarray) -> bytes | None:
 
 
 def sketch(docs: DataFrame, width: int, permutations: int, rows: int) -> DataFrame:
-    """doc_id, node (name of the set), n_shingles, bands."""
+    """doc_id, th (hash of the text), node (name of the set), n_shingles, bands."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, off = utf8(batch.column("text"))
@@ -128,10 +136,10 @@ def sketch(docs: DataFrame, width: int, permutations: int, rows: int) -> DataFra
                 nodes.append(digest(s))
                 sizes.append(len(s))
                 keys.append(next(made) if len(s) else None)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "n_shingles", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "node", "n_shingles", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, node binary, n_shingles long, bands array<long>")
+    return map_arrow(docs.select("doc_id", text_hash(), "text"), run, f"doc_id {kind}, th long, node binary, n_shingles long, bands array<long>")
 
 
 class Search:
@@ -191,7 +199,8 @@ class Search:
 
 
 def within(percent: int):
-    """For grouped(): links among all nodes of a group."""
+    """For grouped(): each node's label, the smallest node of its component within the group (nodes that are their own label
+    are left out)."""
 
     def run(key: tuple, rows: list[dict]) -> Iterator[dict]:
         search = Search(percent)
@@ -200,9 +209,12 @@ def within(percent: int):
             if x in search.up:  # a pivot that is at home here
                 continue
             search.add(x, np.frombuffer(r["shingles"], U64))
-            for y in search.meet(x, r["bands"]):
-                yield {"a": x, "b": y}
+            for _ in search.meet(x, r["bands"]):
+                pass
             search.index(x, r["bands"])
+        for x in search.up:
+            if (label := search.root(x)) != x:
+                yield {"a": x, "b": label}
 
     return run
 
@@ -227,42 +239,54 @@ def across(percent: int):
     return run
 
 
-def links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, chunk: int) -> DataFrame:
-    """Confirmed links (a, b) that join the nodes of each component; nodes: node, doc_id (one that has it), n_shingles,
-    bands."""
+def labels(docs: DataFrame, nodes: DataFrame, width: int, percent: int, chunk: int) -> DataFrame:
+    """node, label: the smallest node of the component, for nodes that are not their own label. nodes: node, doc_id and th (of
+    one row that has it), n_shingles, bands."""
     # on 64-bit names: a clash would only make a candidate group larger
-    named = nodes.select("node", "doc_id", "n_shingles", "bands", F.xxhash64("node").alias("id"))
+    named = nodes.select("node", "doc_id", "th", "n_shingles", "bands", F.xxhash64("node").alias("id"))
     keys = named.select("id", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("other")).filter("hub <> other").select("key", "hub")
     candidate = keys.join(hubs, "key").filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    members = saved(named.join(components(candidate), "id").withColumnRenamed("component", "grp"), "dedup-members")
+    group = components(candidate)
+    members = saved(named.join(group, "id").withColumnRenamed("component", "grp"), "dedup-members")
 
     weight = members.groupBy("grp").agg((F.floor(F.sum("n_shingles") / F.lit(chunk)) + 1).cast("int").alias("chunks"))
     placed = members.join(weight, "grp").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), "chunks").cast("int"))
 
-    columns = ["doc_id", "text"]
-    wanted = placed.select(F.col("doc_id").alias("want"), "node", "bands", "grp", "chunks", "chunk")
-    texts = docs.select(*columns).join(wanted, docs["doc_id"].eqNullSafe(F.col("want"))).select("text", "node", "bands", "grp", "chunks", "chunk")
-
-    def full(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, off = utf8(batch.column("text"))
-        made: list = []
-        for lo, hi in pieces(off, 1 << 20):
-            made += shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], width)
-        same = [digest(s) == n for s, n in zip(made, batch.column("node").to_pylist(), strict=True)]  # else another text with that doc_id
-        out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "bands", "grp", "chunks", "chunk")), pa.array([s.tobytes() for s in made], pa.binary())], names=["node", "bands", "grp", "chunks", "chunk", "shingles"])
-        return out.filter(pa.array(same))
-
-    sets = saved(map_arrow(texts, full, "node binary, bands array<long>, grp long, chunks int, chunk int, shingles binary"), "dedup-sets")
+    columns = ["node", "bands", "grp", "chunks", "chunk"]
+    wanted = placed.select(F.col("doc_id").alias("want"), F.col("th").alias("want_th"), *columns)
+    texts = docs.select("doc_id", "text", text_hash())
+    texts = texts.join(wanted, (texts["th"] == F.col("want_th")) & texts["doc_id"].eqNullSafe(F.col("want"))).select("text", *columns)
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            names = batch.column("node").to_pylist()
+            fresh = [n != m for n, m in zip(names, [before, *names], strict=False)]  # repeated rows come one after the other
+            before = names[-1] if names else before
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            data, off = utf8(batch.column("text"))
+            made: list = []
+            for lo, hi in pieces(off, 1 << 20):
+                made += shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], width)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array([s.tobytes() for s in made], pa.binary())], names=[*columns, "shingles"])
+
+    sets = saved(texts.mapInArrow(full, "node binary, bands array<long>, grp long, chunks int, chunk int, shingles binary"), "dedup-sets")
+    discard(members)
+    ab = "a binary, b binary"
+    found = saved(grouped(sets.filter("chunks = 1"), ["grp"], ["node"], within(percent), ab), "dedup-labels")
     large = sets.filter("chunks > 1")
     if large.isEmpty():
-        return saved(grouped(sets, ["grp"], ["node"], within(percent), "a binary, b binary"), "dedup-links")
+        discard(sets)
+        return found.toDF("node", "label")
 
     slot = F.pmod(F.xxhash64("node", F.lit("slot")), F.lit(PIVOTS))
     pivots = large.groupBy("grp", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("node", F.lit("pivot")).alias("h"), "node")).alias("m")).select("grp", F.col("m.node").alias("node")).distinct()
     lists = [c for c in sets.columns if c != "chunk"]
     sent = large.join(pivots, ["grp", "node"]).dropDuplicates(["node"]).select(*lists, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    first = saved(grouped(sets.unionByName(sent), ["grp", "chunk"], ["node"], within(percent), "a binary, b binary"), "dedup-links")
+    first = saved(grouped(large.unionByName(sent), ["grp", "chunk"], ["node"], within(percent), ab), "dedup-links")
 
     label = components(first).withColumnsRenamed({"id": "node", "component": "label"})
     known = large.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -270,26 +294,34 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, chunk: in
     giant = count.groupBy("grp").agg(F.max(F.struct("n", "label")).alias("m")).select("grp", F.col("m.label").alias("giant"))
     known = saved(known.join(giant, "grp").withColumn("straggler", (F.col("label") != F.col("giant")).cast("int")), "dedup-known")
     blocks = known.filter("straggler = 1").groupBy("grp").agg((F.floor(F.sum(F.length("shingles")) / F.lit(8 * chunk)) + 1).cast("int").alias("blocks"))
-    known = known.join(blocks, "grp")  # groups without stragglers are done
+    joined = known.join(blocks, "grp")  # groups without stragglers are done
     block = F.pmod(F.xxhash64("node", F.lit("block")), "blocks").cast("int")
-    home = known.withColumn("straggler", F.lit(0)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sent = known.filter("straggler = 1").withColumn("block", block).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    home = joined.withColumn("straggler", F.lit(0)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = joined.filter("straggler = 1").withColumn("block", block).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     order = ["straggler", "node"]
-    second = grouped(home.unionByName(sent).select("grp", "chunk", "block", "straggler", "node", "label", "bands", "shingles"), ["grp", "chunk", "block"], order, across(percent), "a binary, b binary")
-    return saved(first.unionByName(second), "dedup-links")
+    second = grouped(home.unionByName(sent).select("grp", "chunk", "block", "straggler", "node", "label", "bands", "shingles"), ["grp", "chunk", "block"], order, across(percent), ab)
+    second = saved(second, "dedup-links")
+    discard(sets, known)
+    label = components(first.unionByName(second)).filter("id <> component")
+    return found.unionByName(label.select(F.col("id").alias("a"), F.col("component").alias("b"))).toDF("node", "label")
 
 
 def resolve(docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = 64, rows: int = 4, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
-    """Two tables: (doc_id, node, n_shingles), a row for each document; (node, component_id, doc_id), a row for each
-    distinct non-empty set, with the smallest doc_id of its component and its own smallest doc_id."""
+    """Two tables: (doc_id, th, node, n_shingles), a row for each document; (node, label, component_id, doc_id, th), a row for
+    each distinct non-empty set, with the smallest doc_id of its component and its own smallest doc_id, of whose rows th names
+    one."""
     prepare(docs.sparkSession)
     sketched = saved(sketch(docs, width, permutations, rows), "dedup-sketch")
-    nodes = sketched.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    nodes = saved(nodes, "dedup-nodes")
-    label = components(links(docs, nodes, width, percent, chunk)).withColumnsRenamed({"id": "node", "component": "label"})
-    labelled = nodes.select("node", "doc_id").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th")))
+    one = F.coalesce(named, F.struct(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.min("th").alias("th")))
+    nodes = sketched.filter("node is not null").groupBy("node").agg(one.alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    nodes = saved(nodes.select("node", "one.doc_id", "one.th", "n_shingles", "bands"), "dedup-nodes")
+    label = labels(docs, nodes, width, percent, chunk)
+    labelled = nodes.select("node", "doc_id", "th").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return sketched.select("doc_id", "node", "n_shingles"), saved(labelled.join(smallest, "label").select("node", "component_id", "doc_id", "label"), "dedup-components")
+    out = saved(labelled.join(smallest, "label").select("node", "label", "component_id", "doc_id", "th"), "dedup-components")
+    discard(nodes)
+    return sketched.select("doc_id", "th", "node", "n_shingles"), out
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, **more: int) -> DataFrame:
@@ -311,23 +343,15 @@ def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     listed, nodes = resolve(docs)
     columns = docs.columns
     names = {c: f"k{i}" for i, c in enumerate(columns)} | {"text": "text"}  # so that no column's name clashes
-
-    def name(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, off = utf8(batch.column("text"))
-        made: list = []
-        for lo, hi in pieces(off, 1 << 20):
-            made += [digest(s) for s in shingle_sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], 5)]
-        return batch.append_column("node", pa.array(made, pa.binary()))
-
-    schema = ", ".join([f"{names[f.name]} {f.dataType.simpleString()}" for f in docs.schema] + ["node binary"])
-    rows = map_arrow(docs.toDF(*names.values()), name, schema)
+    doc_id = names["doc_id"]
+    rows = docs.toDF(*names.values()).withColumn("th", text_hash())
     # of a component's nodes with its smallest id, the one with the smallest name
-    kept = nodes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min(F.struct("node", "doc_id")).alias("m")).select(F.col("m.node").alias("node"), F.col("m.doc_id").alias("keep_id"))
-    same = (F.col("node") == F.col("keep_node")) & F.col(names["doc_id"]).eqNullSafe(F.col("keep_id"))
-    found = rows.filter("node is not null").join(kept.withColumnRenamed("node", "keep_node"), same).drop("keep_node", "keep_id")
-    if not listed.filter("node is not null").groupBy("doc_id", "node").count().filter("count > 1").isEmpty():
+    kept = nodes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min(F.struct("node", "doc_id", "th")).alias("m")).select(F.col("m.doc_id").alias("keep_id"), F.col("m.th").alias("keep_th"))
+    words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    found = rows.filter(words).join(kept, (F.col("th") == F.col("keep_th")) & F.col(doc_id).eqNullSafe(F.col("keep_id")), "left_semi")
+    if not listed.filter("node is not null").groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
         # repeated rows of a kept document: the first by its other columns
-        order = [F.xxhash64("text"), *(F.col(names[c]) for c in columns if c != "text")]
-        nth = F.row_number().over(Window.partitionBy("node", names["doc_id"]).orderBy(*order))
+        order = [F.col(names[c]) for c in columns if c not in ("text", "doc_id")] or [F.lit(0)]
+        nth = F.row_number().over(Window.partitionBy("th", doc_id).orderBy(*order))
         found = found.withColumn("nth", nth).filter("nth = 1").drop("nth")
-    return found.unionByName(rows.filter("node is null")).select(*names.values()).toDF(*columns)
+    return found.unionByName(rows.filter(~words)).select(*names.values()).toDF(*columns)

@@ -1,10 +1,14 @@
-"""Connected components of a link table, by hooking and pointer jumping, in the shared folder."""
+"""Connected components of a link table, by hooking and pointer jumping, in the shared folder.
+
+Defined cases. Links with a null end, and links from an id to itself, say nothing. Repeated links and both directions: as one.
+No links: an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import saved
+from .common import discard, saved
 
 
 def components(links: DataFrame, rounds: int = 64) -> DataFrame:
@@ -15,7 +19,8 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
     folder each round. Joins on labels are plain equi-joins (no hint), so that adaptive execution can split hot keys; the
     minimum over neighbours is pre-aggregated.
     """
-    both = saved(links.filter("a <> b").select("a", "b").union(links.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-links")
+    real = links.filter("a <> b").select("a", "b")
+    both = saved(real.union(real.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-links")
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component"))
     labels = saved(labels, "cc-labels")
     for _ in range(rounds):
@@ -26,8 +31,9 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
         # what my old label's members see is mine too: the smallest label met by anyone under the same old label
         roots = hooked.groupBy("old").agg(F.min("new").alias("best"))
         stepped = hooked.join(roots, "old").select("id", "old", F.least("new", "best").alias("new")).join(jump, "new", "left")
-        labels = saved(stepped.select("id", "old", F.least("new", F.coalesce("further", "new")).alias("component")), "cc-labels")
+        before, labels = labels, saved(stepped.select("id", "old", F.least("new", F.coalesce("further", "new")).alias("component")), "cc-labels")
+        discard(before)
         if labels.filter("old <> component").isEmpty():
+            discard(both)
             return labels.select("id", "component")
-        labels = labels.select("id", "component")
     raise RuntimeError(f"no fixed point after {rounds} rounds")

@@ -12,7 +12,7 @@ by level, and survivors get their exact integer score.
 
 Layout. Candidates and queries are packed into blocks (`candidate_rows` and `query_rows` vectors), and blocks are dealt to the
 cells of a grid of query groups and candidate groups, whose size follows from the numbers of blocks: a cell holds at most
-about `HELD` query blocks, so that its memory is bounded, and there are at least as many cells as cores. A task holds its
+about `HELD` query blocks, so that its memory is bounded, and there are some cells for each core. A task holds its
 query blocks and streams its candidate blocks, with their statistics made once; each (query, cell) returns k rows, of which
 the k best are chosen. All pairs of blocks are bounded below or scored: queries against all rows is what is asked.
 
@@ -37,7 +37,7 @@ from .common import prepare, saved, table
 #: Rounding of the bounds, which are sums of doubles: relative to the norms.
 SLACK = 1e-9
 #: Query blocks of a cell, and pairs of blocks that are one task's work.
-HELD, PAIRS = 16, 256
+HELD, PAIRS = 16, 1024
 
 
 def levels(dim: int) -> list[int]:
@@ -135,12 +135,12 @@ def packed(vectors: DataFrame, rows: int, name: str) -> DataFrame:
 
 def grid(query_blocks: int, candidate_blocks: int, cores: int) -> tuple[int, int]:
     """Numbers of query and candidate groups."""
-    cells = max(cores, -(-query_blocks * candidate_blocks // PAIRS))
+    cells = max(4 * cores, -(-query_blocks * candidate_blocks // PAIRS))
     query_groups = max(1, -(-query_blocks // HELD))
     return query_groups, max(1, min(candidate_blocks, -(-cells // query_groups)))
 
 
-def search(queries: DataFrame, candidates: DataFrame, k: int = 5, query_rows: int = 512, candidate_rows: int = 4096) -> DataFrame:
+def search(queries: DataFrame, candidates: DataFrame, k: int = 5, query_rows: int = 512, candidate_rows: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score from (id long, v array<long>) tables of whole vectors."""
     spark = queries.sparkSession
     prepare(spark)

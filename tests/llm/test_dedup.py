@@ -71,6 +71,28 @@ def test_repeats_nulls_and_other_columns(spark):
     assert kept == sorted([(1, "a b c d e", 5), (None, "x y z w v", 7), (2, None, 8), (2, None, 8)], key=str)
 
 
+def test_many_rows_without_ids_meet_only_their_own_texts(spark):
+    """Near copies without ids, with one id, and a text that a third of all rows repeat."""
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*words, f"x{i}"]) for i in range(300)] + ["one text that is here again and again"] * 150
+    for doc_id in (None, 7):
+        df = spark.createDataFrame([(doc_id, t) for t in texts], "doc_id long, text string").repartition(3)
+        got = dedup.near_duplicates(df)
+        assert got.count() == 450 and {r.component_id for r in got.collect()} == {doc_id}
+        assert dedup.drop_near_copies(spark, df, "").count() == 2
+
+
+def test_superseded_tables_are_deleted(spark):
+    import os
+
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(shared))
+    df = spark.createDataFrame(corpus(), "doc_id long, text string")
+    dedup.near_duplicates(df, width=4, chunk=150).count()
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(shared)) - before}
+    assert left <= {"dedup-sketch", "dedup-components", "dedup-labels", "dedup-links", "cc-labels"} and "dedup-sets" not in left
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert dedup.near_duplicates(df).count() == 0 and dedup.drop_near_copies(spark, df, "").count() == 0
