@@ -7,8 +7,12 @@
 3. Aggregation. Equal votes are counted over all documents, so that there are at most kinds * 3^labelers rows.
    Expectation-maximisation over these counts estimates each labeler's reliability and each vote pattern's probability
    (Dawid and Skene's model).
-4. Classifier. A logistic model over votes and shape features is fitted to those probabilities, on at most `max_rows`
-   candidates (those with the smallest hash); it decides on every further candidate. Base spans always stay.
+4. Classifier. A logistic model over votes and shape features is fitted to those probabilities. Equal candidates are counted
+   together first; of the distinct ones, at most `max_rows` take part, an equal share for each kind (those with the smallest
+   hash), each weighing by the logarithm of its copies. It decides on every further candidate. Base spans always stay.
+
+Texts are searched once: scan() gives each document's candidates with votes and shapes, and both the training and the
+decisions read that table.
 
 Offsets are code points, ends exclusive. Within a kind, spans are leftmost and don't overlap; kinds may overlap.
 
@@ -21,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable
 from typing import NamedTuple
@@ -29,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fit_logistic, logistic, map_arrow, prepare, saved, strings, table
+from .common import fit_logistic, logistic, lowest, map_arrow, prepare, saved, strings, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "iban", "ssn", "person")
@@ -50,8 +55,6 @@ LOOSE = {
     "secret": re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,128}(?![A-Za-z0-9_])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    # group 1 is the span: a name needs a title or an introduction before it
-    "person": re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Sr|Sra|[Mm]y name is|[Ss]igned|[Cc]ontact|[Rr]egards|[Dd]ear)[.:,]?\s((?:[A-Z][a-zà-ÿ]{1,15}\x20){0,2}[A-Z][a-zà-ÿ]{1,15})(?![A-Za-zà-ÿ])"),
 }
 
 #: Words that stand before or after a kind, and lists of known members.
@@ -63,12 +66,20 @@ CUES = {
     "secret": "token secret key apikey api_key password passwd auth bearer credential access".split(),
     "iban": "iban account bank transfer konto cuenta compte".split(),
     "ssn": "ssn social security insurance".split(),
-    "person": "mr mrs ms dr prof herr frau monsieur madame mme sr sra is signed contact regards dear".split(),
+    "person": "name called signed sincerely regards dear contact by author customer patient sir".split(),
 }
 HARMLESS = "sha sha1 sha256 md5 commit checksum hash version build part isbn order invoice id".split()
-MAIL_DOMAINS = "com org net edu gov io de fr es it uk info eu ch at".split()
+MAIL_DOMAINS = frozenset("com org net edu gov mil int info biz name pro aero coop museum app dev io ai cloud online site tech store shop blog news me tv cc ac eu uk ie fr de at ch nl be lu it es pt pl cz sk hu ro bg gr tr se no dk fi is ee lv lt ru ua us ca mx br ar cl co pe ve au nz in pk bd lk cn hk tw jp kr sg my th vn id ph za ng ke eg ma tn il sa ae qa ir iq".split())
 IBAN_LENGTHS = {"DE": 22, "FR": 27, "ES": 24, "IT": 27, "GB": 22, "NL": 18, "BE": 16, "CH": 21, "AT": 20, "PT": 25, "IE": 22, "LU": 20, "PL": 28, "SE": 24, "DK": 18, "FI": 18, "NO": 15}
-FIRST_NAMES = "anna maria john james robert michael david peter paul thomas mary linda susan laura julia jean pierre marie sophie claire hans klaus anja karl jose juan carlos carmen lucia ana luis marco giulia francesca emma louis alice".split()
+FIRST_NAMES = frozenset("aaron adam adrian agnes ahmed alain alan albert alessandro alex alexander alfred ali alice amanda amelie amy ana andrea andreas andrew angela anja anna anne anton antonio arthur barbara beatrice ben benjamin bernard brian brigitte bruno camille carla carlos carmen carol caroline catherine charles charlotte chiara chris christian christina christine claire clara claude claudia daniel david deborah diego dieter dominique donald dorothy edward elena elisabeth elizabeth emil emily emma enrico eric erik eva fatima felix fernando florian francesca francesco francisco francois frank fritz gabriel george gerard gerhard giovanni giulia grace gustav hannah hans heinrich helen helena henri henry ines ingrid isabel jack jacques james jan jane jason javier jean jennifer jessica joan johann john jonas jorge jose joseph juan judith julia julie julien karen karl kate katharina kevin klaus laura lena leo leonie lisa louis louise luca lucas lucia luis luisa lukas manuel marco margaret maria marie mario mark markus marta martin mary matteo matthew max maya mia michael michel miguel mohammed monica nadia nathalie nicolas nina nora olga oliver olivia omar otto pablo patricia patrick paul paula pedro peter philip pierre rachel rafael raul rebecca renate richard robert rosa ruth samuel sandra sara sarah sebastian silvia simon sofia sophie stefan stefano stephanie stephen steven susan susanne sylvie teresa thierry thomas tim tom ursula valentina vera veronica victor victoria vincent walter werner william wolfgang yusuf yves".split())
+
+NAME = r"[A-Z][a-zà-ÿ]{1,15}"
+#: A title or an introduction, then the name (group 1); and several capitalised words, of which the first is a known name.
+INTRODUCED = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Sr|Sra|[Mm]y name is|[Ss]igned|[Cc]ontact|[Rr]egards|[Dd]ear)[.:,]?\s((?:" + NAME + r"\x20){0,2}" + NAME + r")(?![A-Za-zà-ÿ])")
+CAPITALISED = re.compile(r"(?<![A-Za-zà-ÿ])" + NAME + r"(?:\x20" + NAME + r"){1,2}(?![A-Za-zà-ÿ])")
+DIGIT = re.compile(r"[0-9]")
+#: Kinds whose candidates hold a digit.
+NUMBERED = ("card", "phone", "iban", "ssn")
 
 
 class Span(NamedTuple):
@@ -106,6 +117,8 @@ def emails(text: str) -> list[Span]:
 
 def base_spans(text: str) -> list[Span]:
     out = emails(text)
+    if not DIGIT.search(text):
+        return out
     for m in IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
             out.append(Span("ip", *m.span()))
@@ -120,11 +133,26 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def people(text: str) -> list[Span]:
+    """Names behind a title or an introduction, and those that begin with a known first name; leftmost, then longest."""
+    found = [m.span(1) for m in INTRODUCED.finditer(text)]
+    found += [m.span() for m in CAPITALISED.finditer(text) if m[0].partition(" ")[0].lower() in FIRST_NAMES]
+    out: list[Span] = []
+    for start, end in sorted(found, key=lambda s: (s[0], -s[1])):
+        if not out or start >= out[-1].end:
+            out.append(Span("person", start, end))
+    return out
+
+
 def further_candidates(text: str, base: list[Span]) -> list[Span]:
     """Loose matches that are not inside a base span; cards must pass Luhn's test here too."""
-    found = [Span(kind, *m.span(p.groups)) for kind, p in LOOSE.items() for m in p.finditer(text)]
-    if base:
-        found = [s for s in found if not any(b.start <= s.start and s.end <= b.end for b in base)]
+    digits = DIGIT.search(text)
+    found = [Span(kind, *m.span()) for kind, p in LOOSE.items() if digits or kind not in NUMBERED for m in p.finditer(text)] + people(text)
+    if base and found:
+        # base spans of one kind do not overlap: of each kind, only the last that starts no later can hold a candidate
+        lists = {k: sorted((b.start, b.end) for b in base if b.kind == k) for k in BASE}
+        holds = lambda s, l: (i := bisect_right(l, (s.start, math.inf))) and l[i - 1][1] >= s.end  # noqa: E731, E741
+        found = [s for s in found if not any(holds(s, l) for l in lists.values())]  # noqa: E741
     return [s for s in found if s.kind != "card" or luhn(text[s.start : s.end].replace(" ", "").replace("-", ""))]
 
 
@@ -171,20 +199,26 @@ def votes(text: str, span: Span) -> tuple[int, ...]:
         known = sum(w.lower() in FIRST_NAMES for w in value.split())
         form = 1 if 2 <= len(value.split()) <= 3 else 0
         gazetteer = 1 if known else -1
+        checksum = 1 if re.search(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Sr|Sra)[.:,]?\s$", text[max(0, span.start - 12) : span.start]) else 0  # a title
     cue = 1 if any(w.strip("-") in CUES[kind] for w in before) else -1 if any(w in HARMLESS for w in before) or kind == "secret" else 0
     tail = 1 if not after or after in " \n\t\"',;)" else -1 if after.isalnum() or after in "/\\_=" or glued in ("/", "=", "_") else 0
     return form, checksum, gazetteer, cue, tail
 
 
-def features(text: str, span: Span, v: tuple[int, ...]) -> list[float]:
-    """For the classifier: the kind, each labeler's two votes, and the shape of the span."""
+SHAPE = 6
+
+
+def shape(text: str, span: Span) -> list[float]:
+    """What the span and its edges look like."""
     value = text[span.start : span.end]
     n = len(value)
-    shape = [math.log1p(n) / 5, sum(c.isdigit() for c in value) / n, sum(c.isupper() for c in value) / n, entropy(value) / 6, float(text[max(0, span.start - 1) : span.start] in ("\"", "'")), float("=" in text[max(0, span.start - 4) : span.start])]
-    return [float(span.kind == k) for k in KINDS] + [float(x == s) for x in v for s in (1, -1)] + shape
+    return [math.log1p(n) / 5, sum(c.isdigit() for c in value) / n, sum(c.isupper() for c in value) / n, entropy(value) / 6, float(text[max(0, span.start - 1) : span.start] in ("\"", "'")), float("=" in text[max(0, span.start - 4) : span.start])]
 
 
-N_FEATURES = len(KINDS) + 2 * len(LABELERS) + 6
+def design(kinds: list[str], votes: list[list[int]], shapes: list[list[float]]) -> np.ndarray:
+    """For the classifier, a row for each candidate: the kind, each labeler's two votes, and the shape."""
+    v = np.array(votes, np.int8).reshape(-1, len(LABELERS), 1)
+    return np.hstack([np.array(kinds, object)[:, None] == np.array(KINDS, object), (v == np.array([1, -1])).reshape(len(kinds), -1), np.array(shapes, float).reshape(-1, SHAPE)]).astype(float)
 
 
 def aggregate(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 50) -> tuple[dict[tuple[str, tuple[int, ...]], float], dict[str, np.ndarray]]:
@@ -222,76 +256,101 @@ class Model(NamedTuple):
     weights: np.ndarray | None
     threshold: float = 0.5
 
-    def accepts(self, text: str, span: Span) -> bool:
-        if self.weights is None:
-            return False
-        x = np.array(features(text, span, votes(text, span)))
-        return bool(logistic(x @ self.weights[:-1] + self.weights[-1]) >= self.threshold)
+    def accepts(self, kinds: list[str], votes: list[list[int]], shapes: list[list[float]]) -> np.ndarray:
+        if self.weights is None or not kinds:
+            return np.zeros(len(kinds), bool)
+        return logistic(design(kinds, votes, shapes) @ self.weights[:-1] + self.weights[-1]) >= self.threshold
 
 
-def train(docs: DataFrame, max_rows: int = 20_000) -> Model:
-    """Fit the classifier. The candidates of all documents are written to the shared folder once; only counts of vote
-    patterns and at most max_rows candidates reach the driver."""
+SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("votes", pa.list_(pa.int8())), ("shape", pa.list_(pa.float32()))])
+
+
+def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, as k0, k1, ..., and spans: all candidates of the text, by start, kind as listed and end."""
     prepare(docs.sparkSession)
 
-    def candidates(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kinds, vs, fs = [], [], []
-        for t in strings(batch.column("text")):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for t in strings(batch.column("t")):
             base = base_spans(t)
-            for s in base + further_candidates(t, base):
-                kinds.append(s.kind)
-                vs.append(v := votes(t, s))
-                fs.append(features(t, s, v))
-        return pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.string()), "votes": pa.array(vs, pa.list_(pa.int8())), "x": pa.array(fs, pa.list_(pa.float32()))})
-
-    found = saved(map_arrow(docs.select("text"), candidates, "kind string, votes array<tinyint>, x array<float>"), "pii-candidates")
-    counts = {(r.kind, tuple(r.votes)): r.n for r in found.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+            marked = [(s, True) for s in base] + [(s, False) for s in further_candidates(t, base)]
+            marked.sort(key=lambda x: (x[0].start, KINDS.index(x[0].kind), x[0].end))
+            rows.append([{"kind": s.kind, "start": s.start, "end": s.end, "base": b, "votes": votes(t, s), "shape": shape(t, s)} for s, b in marked])
+        return pa.RecordBatch.from_arrays([*(batch.column(f"k{i}") for i in range(len(keep))), pa.array(rows, pa.list_(SPAN))], names=[*(f"k{i}" for i in range(len(keep))), "spans"])
+
+    schema = ", ".join([*(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "spans array<struct<kind:string,start:int,end:int,base:boolean,votes:array<tinyint>,shape:array<float>>>"])
+    return map_arrow(docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("text").alias("t")), run, schema)
+
+
+def fit(scanned: DataFrame, max_rows: int = 20_000) -> Model:
+    """Fit the classifier to the candidates of a scanned (and saved) table. Only counts of vote patterns and at most max_rows
+    distinct candidates reach the driver."""
+    each = scanned.select(F.explode("spans").alias("s")).select("s.kind", "s.votes", "s.shape")
+    distinct = saved(each.groupBy("kind", "votes", "shape").agg(F.count("*").alias("n")), "pii-distinct")
+    found = distinct.groupBy("kind", "votes").agg(F.sum("n").alias("n"), F.count("*").alias("different")).collect()
+    if not found:
         return Model(None)
+    counts = {(r.kind, tuple(r.votes)): r.n for r in found}
     probability, _ = aggregate(counts)
-    # equal candidates weigh as often as they occur in the sample; the hash covers everything, so the sample is stable
-    rows = found.orderBy(F.xxhash64("kind", "votes", "x"), "kind", "votes", "x").limit(max_rows).collect()
-    x = np.array([r.x for r in rows], float)
+    different: Counter = Counter()
+    for r in found:
+        different[r.kind] += r.different
+    share = max_rows / len(different)  # of each kind
+    h = F.xxhash64(F.lit("kind"), "votes", "shape")
+    low = [(F.col("kind") == k) & (h < F.lit(int(min(2**63 - 1, -(2**63) + share / n * 2**64)))) for k, n in different.items()]
+    chosen = low[0]
+    for x in low[1:]:
+        chosen = chosen | x
+    rows = lowest(distinct.filter(chosen), max_rows, "kind", "votes", "shape").collect()
+    x = design([r.kind for r in rows], [r.votes for r in rows], [r.shape for r in rows])
     y = np.array([probability[r.kind, tuple(r.votes)] for r in rows])
+    weight = 1 + np.log(np.array([r.n for r in rows], float))
     # vote patterns that the sample may lack, once each, so that every kind and labeler is covered
-    more = [(k, v) for k, v in counts if k in LOOSE]
-    if more:
-        shape = {k: x[x[:, KINDS.index(k)] == 1, -6:].mean(axis=0) if (x[:, KINDS.index(k)] == 1).any() else np.full(6, 0.5) for k, _ in more}
-        extra = [[float(k == kk) for kk in KINDS] + [float(s == u) for s in v for u in (1, -1)] + list(shape[k]) for k, v in more]
-        x, y = np.vstack([x, extra]), np.append(y, [probability[m] for m in more])
-    return Model(fit_logistic(x, y, 0.1))
+    more = list(counts)
+    own = {k: x[x[:, KINDS.index(k)] == 1, -SHAPE:] for k in different}
+    extra = design([k for k, _ in more], [v for _, v in more], [own[k].mean(axis=0) if len(own[k]) else np.full(SHAPE, 0.5) for k, _ in more])
+    x, y, weight = np.vstack([x, extra]), np.append(y, [probability[m] for m in more]), np.append(weight, np.ones(len(more)))
+    return Model(fit_logistic(x, y, 0.1, weight=weight))
 
 
-def spans_of(text: str, model: Model) -> tuple[list[Span], list[Span]]:
-    """Base spans and all spans, by start, then kind as listed, then end."""
-    order = lambda s: (s.start, KINDS.index(s.kind), s.end)
-    base = sorted(base_spans(text), key=order)
-    more = [s for s in further_candidates(text, base) if model.accepts(text, s)]
-    return base, sorted(base + more, key=order)
+def train(docs: DataFrame, max_rows: int = 20_000) -> Model:
+    """Fit the classifier to the candidates of all documents, which are written to the shared folder."""
+    return fit(saved(scan(docs, ()), "pii-candidates"), max_rows)
 
 
-def written(spans: list[Span]) -> str:
-    return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in spans)
+def decided(rows: list[list[dict]], model: Model) -> list[list[dict]]:
+    """Of each document's candidates the base spans and those that the model accepts."""
+    doubt = [s for spans in rows for s in spans if not s["base"]]
+    good = iter(model.accepts([s["kind"] for s in doubt], [s["votes"] for s in doubt], [s["shape"] for s in doubt]))
+    return [[s for s in spans if s["base"] or next(good)] for spans in rows]
 
 
-def find(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans of the kind), base_sha256, spans, n_further."""
-    prepare(docs.sparkSession)
+def written(spans: list[dict]) -> str:
+    return ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans)
+
+
+def found_in(scanned: DataFrame, model: Model) -> DataFrame:
+    """doc_id (k0), n_email, n_ip, n_card, n_phone (base spans of the kind), base_sha256, spans, n_further."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: dict[str, list] = {f"n_{k}": [] for k in BASE} | {"base_sha256": [], "spans": [], "n_further": []}
-        for t in strings(batch.column("text")):
-            base, both = spans_of(t, model)
-            n = Counter(s.kind for s in base)
+        for spans in decided(batch.column("spans").to_pylist(), model):
+            base = [s for s in spans if s["base"]]
+            n = Counter(s["kind"] for s in base)
             for k in BASE:
                 out[f"n_{k}"].append(n[k])
             out["base_sha256"].append(hashlib.sha256(written(base).encode()).hexdigest())
-            out["spans"].append(written(both))
-            out["n_further"].append(len(both) - len(base))
-        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {k: pa.array(v, pa.string() if k in ("base_sha256", "spans") else pa.int64()) for k, v in out.items()})
+            out["spans"].append(written(spans))
+            out["n_further"].append(len(spans) - len(base))
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column("k0")} | {k: pa.array(v, pa.string() if k in ("base_sha256", "spans") else pa.int64()) for k, v in out.items()})
+
+    kind = scanned.schema["k0"].dataType.simpleString()
+    return map_arrow(scanned.select("k0", "spans"), run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_further long")
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_further long")
+
+def find(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans of the kind), base_sha256, spans, n_further."""
+    return found_in(scan(docs), model)
 
 
 def masked(text: str, spans: list[Span], label: Callable[[str], str] = lambda kind: f"[{kind.upper()}]") -> str:
@@ -304,26 +363,32 @@ def masked(text: str, spans: list[Span], label: Callable[[str], str] = lambda ki
     return "".join([*out, text[at:]])
 
 
-def mask(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with every span in text masked; n_chars, if there, follows the new text. Null texts stay null."""
-    prepare(docs.sparkSession)
+def masked_in(scanned: DataFrame, columns: list[str], model: Model) -> DataFrame:
+    """The scanned columns (k0, ... for `columns`) with every span in text masked; n_chars, if there, follows the new text."""
+    at = columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [None if t is None else masked(t, spans_of(t, model)[1]) for t in batch.column("t").to_pylist()]
-        return batch.set_column(batch.schema.get_field_index("t"), pa.field("t", pa.string()), pa.array(texts, pa.string()))
+        rows = decided(batch.column("spans").to_pylist(), model)
+        texts = [None if t is None else masked(t, [Span(s["kind"], s["start"], s["end"]) for s in spans]) for t, spans in zip(batch.column(f"k{at}").to_pylist(), rows, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else batch.column(f"k{i}") for i in range(len(columns))], names=[f"k{i}" for i in range(len(columns))])
+
+    kept = [f for f in scanned.schema if f.name != "spans"]
+    out = map_arrow(scanned, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)).toDF(*columns)
+    return out.withColumn("n_chars", F.length("text").cast(kept[columns.index("n_chars")].dataType)) if "n_chars" in columns else out
 
-    names = ["t" if c == "text" else f"k{i}" for i, c in enumerate(docs.columns)]
-    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
-    out = map_arrow(docs.toDF(*names), run, schema).toDF(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+def mask(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with every span in text masked; n_chars, if there, follows the new text. Null texts stay null."""
+    return masked_in(scan(docs, tuple(docs.columns)), docs.columns, model)
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document."""
-    docs = table(spark, sf_dir, "documents")
-    return find(docs, train(docs))
+    scanned = saved(scan(table(spark, sf_dir, "documents")), "pii-candidates")
+    return found_in(scanned, fit(scanned))
 
 
 def mask_pii(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all documents, personal data masked."""
-    return mask(docs, train(docs))
+    scanned = saved(scan(docs, tuple(docs.columns)), "pii-candidates")
+    return masked_in(scanned, docs.columns, fit(scanned))

@@ -189,6 +189,45 @@ def test_weak_supervision_adds_secrets(spark):
         assert ("secret" in {s[0] for s in spans}) == (i % 3 == 0)
 
 
+def iban(rng):
+    body = "".join(rng.choice("0123456789") for _ in range(18))
+    rest = int(body + "131400") % 97  # DE00
+    return f"DE{98 - rest:02d}{body}"
+
+
+def test_ibans_and_ssns(spark):
+    rng = random.Random(6)
+    good, bad = [iban(rng) for _ in range(40)], [iban(rng) for _ in range(40)]
+    bad = [b[:2] + f"{(int(b[2:4]) + 40) % 97:02d}" + b[4:] for b in bad]
+    texts = [f"konto {x} bitte" for x in good] + [f"part {x}/x" for x in bad] + [f"her ssn {rng.randint(100, 600)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)} was" for _ in range(40)] + [f"order 000-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}/x" for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(df, pii.train(df)).collect()}
+    assert all("iban:6:28" in got[i] for i in range(40)) and not any("iban" in got[i] for i in range(40, 80))
+    assert all("ssn:8:19" in got[i] for i in range(80, 120)) and not any("ssn" in got[i] for i in range(120, 160))
+
+
+def test_people(spark):
+    rng = random.Random(7)
+    first, last = ["Anna", "Peter", "Maria", "Hans"], ["Lorem", "Ipsumer", "Dolorin"]
+    texts = [f"so Dr. {rng.choice(first)} {rng.choice(last)} said" for _ in range(40)] + [f"dear {rng.choice(first)} {rng.choice(last)}, hello" for _ in range(40)] + [f"contact Quux/{i} for more" for i in range(60)] + ["regards Zzyzx_9 there"] * 20 + ["The Lorem Dolor is a place"] * 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(df, pii.train(df)).collect()}
+    assert all("person" in got[i] for i in range(80)) and not any("person" in got[i] for i in range(80, 180))
+    votes = {pii.votes(t, s) for t in texts for s in pii.further_candidates(t, [])}
+    assert all(len({v[k] for v in votes}) > 1 for k in range(len(pii.LABELERS)))  # no labeler always says the same
+
+
+def test_the_sample_keeps_proportions_when_rows_repeat(spark):
+    docs, df = personal(spark)
+    many = df
+    for _ in range(3):
+        many = many.unionByName(many)
+    rows = spark.createDataFrame([(i, t) for i, t in docs] + [(900 + i, docs[0][1]) for i in range(500)], "doc_id long, text string")
+    models = [pii.train(x, max_rows=60) for x in (df, many, rows)]
+    found = [{r.doc_id: r.spans for r in pii.find(df, m).distinct().collect()} for m in models]
+    assert found[0] == found[1] == found[2]
+
+
 def test_phone_beside_other_digits(spark):
     texts = [f"call +1 (826) 555-{4000 + i} now" for i in range(30)] + ["+1 (826) 555-4081 190.137.223.204 ok", "+49 30 555 4082 1234567890 ok", "+1 (826) 555-40812 190.137.223.204"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
