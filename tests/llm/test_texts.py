@@ -70,6 +70,40 @@ def test_later_models_see_out_of_fold_predictions():
     assert len(second) == 42 and second[40] < trusting[40]  # the chain does not trust it as far
 
 
+def test_withheld_words_are_no_feature():
+    """No word of a category's list, nor anything made from it, reaches that category's columns."""
+    lean = {w: ((5.0, 5.0),) * 3 for w in ("idiot", "idio-", "scum", "plain")}
+    some = toxicity.features_of("an idiot and scum")
+    assert "idio-" not in some and "idio-" in toxicity.features_of("idiotic")
+    with_seed = toxicity.design(some, {w: lean[w] for w in some & lean.keys()})
+    without = toxicity.design(some - {"idiot"} | {"x"}, {w: lean[w] for w in some & lean.keys() - {"idiot"}})
+    assert (with_seed[0] == without[0]).all() and not (with_seed[1] == without[1]).all() and not (with_seed[2] == without[2]).all()
+
+
+def test_chain_by_brute_force():
+    """Every model and every out-of-fold prediction, fitted one by one; and a chain that tells more than single models do."""
+    rng = np.random.default_rng(3)
+    n = 300
+    hidden = rng.random(n) < 0.4
+    x = np.zeros((n, 3, toxicity.WIDTH))
+    x[:, 0, 0] = hidden + 0.3 * rng.normal(size=n)  # the first category alone sees the cause
+    x[:, 1:, 1] = rng.normal(size=(n, 2))
+    y = np.stack([hidden, hidden, hidden], axis=1).astype(float)
+    chain = toxicity.fit_chain(x, [(c, y[:, k]) for k, c in enumerate(toxicity.CATEGORIES)], folds=5, l2=0.1)
+    earlier = np.zeros((n, 0))
+    for k in range(3):
+        both = np.hstack([x[:, k], earlier])
+        assert np.allclose(chain[k][1], toxicity.fit_logistic(both, y[:, k], 0.1))
+        unseen = np.zeros(n)
+        for i in range(5):
+            rows = np.arange(n) % 5 == i
+            w = toxicity.fit_logistic(both[~rows], y[~rows, k], 0.1)
+            unseen[rows] = 1 / (1 + np.exp(-np.clip(both[rows] @ w[:-1] + w[-1], -30, 30)))
+        earlier = np.hstack([earlier, unseen[:, None]])
+    gain = toxicity.chain_gain(x, y)
+    assert gain["contempt"][0] < 0.5 * gain["contempt"][1] and gain["toxic"][0] < 0.5 * gain["toxic"][1]
+
+
 def test_without_usable_labels_seed_words_decide(spark):
     docs, _ = toxic_corpus(spark, 20)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
