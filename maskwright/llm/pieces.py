@@ -1,25 +1,33 @@
 """SentencePiece encoding and decoding with a weighted finite-state transducer.
 
-Compiled from a model file (its protobuf is read here; nothing is trained):
-  N  the normaliser: puts the blank symbol before a non-empty text and in place of each space;
-  P  the pieces: a prefix tree whose ends emit a piece's id, closed under concatenation;
-  B  byte fallback: a character that is no piece emits its UTF-8 bytes' ids;
-  C  the merge acceptor over ids: an arc for piece q after piece p weighs 0 if encoding their joined text gives just p, q,
-     and infinity otherwise.
-An input is composed with N, P, B and C, and the tropical shortest path (weights are added along a path, the least wins) is
-found going forward over its characters.
+Compiled from a model file (its protobuf is read here; nothing is trained), as arc tables with weights:
+  N  the normaliser: characters to normalised characters. The model's own rewriting rules are arcs of a byte automaton
+     (the longest match wins); the blank symbol stands for each space, and before the text if the model says so;
+  P  the pieces: a prefix tree. Arcs read a character, and an arc into a place where a piece ends may go back to the root,
+     emitting the piece's id, for the piece's weight: minus its score in a unigram model, 0 in a merge model;
+  B  byte fallback: an arc for a character that is no piece, emitting its UTF-8 bytes' ids, for the weight of an unknown;
+  C  in a merge model, the acceptor over ids: an arc for piece q after piece p weighs 0 if encoding their joined text gives just
+     p, q, and infinity otherwise. A unigram model has no C.
+An input is composed with N, and what comes out with (P or B)* and C. The composition is never built: its states are (place in
+the input, node of P, last piece), made as they are reached. The tropical shortest path (weights are added along a path, the
+least wins, the first of equals) is found by relaxing the arcs forward over the places, in single precision as the
+reference format has it, for many parts of texts at a time: a step of relaxation is one array operation for all of them.
+Sums begin anew in each part, so that unigram scores which agree to seven digits may be ranked otherwise than over a whole text.
 
 Why the shortest path is what byte-pair merging gives: merges go by piece rank, ties from the left. Merges inside one piece
 do not touch another, so the first merge across the border of two neighbouring pieces happens in the whole text if and
 only if it happens in the text of these two. Hence a sequence of pieces is the encoding if and only if all neighbours are
-compatible; every prefix of a text has exactly one such sequence, so the lattice has one finite state for each position.
+compatible; every prefix of a text has exactly one such sequence, so one last piece for each place is all that C needs.
+
 No piece holds the blank symbol after another character, and none holds a character that is no piece by itself (both are
-checked when compiling); so the path falls apart at spaces, at byte-fallback characters, and between two characters that
-no piece holds next to each other. Equal parts are composed once and remembered in a bounded memory.
+checked when compiling); so every path passes between a character and a following blank, and, in long parts, around
+characters that are no pieces and between two characters that no piece holds next to each other. What is between two such
+places is a part. Equal parts are composed once and remembered in a bounded memory.
 
 Defined cases. Null text: as empty, no ids. Empty text: no ids, decodes to empty. A blank symbol in the text itself is a
 space, as in the reference format. Very long texts and parts: linear time. Repeated rows: each. Empty tables: empty.
-Other columns are ignored.
+Other columns are ignored. Models of words or characters, with user-defined or unused pieces, or without byte fallback, are
+refused with ValueError.
 """
 
 from __future__ import annotations
@@ -27,7 +35,8 @@ from __future__ import annotations
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +48,12 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Parts and pairs that a worker remembers, and the longest such part.
-REMEMBERED, LONGEST, PAIRS = 150_000, 48, 1_000_000
+UNIGRAM, MERGES = 1, 2
+#: Parts that a worker remembers (twice as many at most), the longest that are relaxed together, cells of such a group, and
+#: places (a power of two) for the weights of pairs.
+REMEMBERED, LONGEST, CELLS, PAIRS = 150_000, 48, 1 << 18, 1 << 20
+#: How far the score of an unknown lies below the lowest one: a fixed value of the format.
+PENALTY = 10.0
 
 
 def fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -77,6 +90,60 @@ def fields(data: bytes) -> Iterator[tuple[int, object]]:
             raise ValueError(f"wire type {kind}")
 
 
+class Normaliser:
+    """N. rules: the model's compiled rewriting rules, an automaton over bytes as a double array, then the outputs."""
+
+    def __init__(self, rules: bytes, prefix: bool, trim: bool) -> None:
+        self.prefix, self.trim = prefix, trim
+        size = struct.unpack("<I", rules[:4])[0] if rules else 0
+        self.units = np.frombuffer(rules[4 : 4 + size], np.uint32).tolist()
+        self.outputs = rules[4 + size :]
+        self.rewritten: dict[str, bool] = {}
+
+    def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
+        """End and output of the longest path from `at` that ends in a final state."""
+        units, found = self.units, None
+        node = (units[0] >> 10) << ((units[0] & 512) >> 6)
+        for k in range(at, len(data)):
+            node ^= data[k]
+            unit = units[node] if node < len(units) else 0
+            if unit & 0x800000FF != data[k]:
+                break
+            node ^= (unit >> 10) << ((unit & 512) >> 6)
+            if unit & 256:
+                begin = units[node] & 0x7FFFFFFF
+                found = k + 1, self.outputs[begin : self.outputs.index(b"\0", begin)]
+        return found
+
+    def rewrite(self, text: str) -> str:
+        data, out, at = text.encode("utf-8", "surrogatepass"), [], 0
+        while at < len(data):
+            found = self.longest(data, at)
+            if found is None:
+                first = data[at]
+                end = at + (1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4)
+                out.append(data[at:end])
+                at = end
+            else:
+                at, piece = found
+                out.append(piece)
+        return b"".join(out).decode("utf-8", "surrogatepass")
+
+    def __call__(self, text: str) -> str:
+        """The normalised text, with blank symbols."""
+        if self.units:
+            text = self.rewrite(text)
+        if self.trim:
+            text = re.sub(" +", " ", text).lstrip(" ")
+        out = (BLANK if self.prefix else "") + text.replace(" ", BLANK) if text else ""
+        return out.rstrip(BLANK) if self.trim else out
+
+    @property
+    def plain(self) -> bool:
+        """Only blanks are rewritten, one by one."""
+        return not self.units and not self.trim
+
+
 class Transducer:
     """The compiled machine. Build it from the bytes of a model file."""
 
@@ -84,7 +151,8 @@ class Transducer:
         self.pieces: list[str] = []
         kinds: list[int] = []
         scores: list[float] = []
-        self.prefix, self.escape, normaliser, trimmed, model_type = True, True, b"", True, 1
+        spec: dict = {}
+        kind = UNIGRAM
         for number, value in fields(model):
             if number == 1:
                 piece = {1: b"", 2: 0.0, 3: NORMAL} | dict(fields(value))
@@ -92,42 +160,70 @@ class Transducer:
                 scores.append(piece[2])
                 kinds.append(piece[3])
             elif number == 2:
-                model_type = dict(fields(value)).get(3, 1)
+                trainer = dict(fields(value))
+                kind = trainer.get(3, UNIGRAM)
+                if trainer.get(24):
+                    raise ValueError("blanks at the ends of pieces are not compiled")
             elif number == 3:
                 spec = dict(fields(value))
-                normaliser, self.prefix, trimmed, self.escape = spec.get(2, b""), bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1))
-        if model_type != 2 or normaliser or trimmed or not self.escape:
-            raise ValueError("only merge models with an identity normaliser that keeps white space are compiled")
+        if kind not in (UNIGRAM, MERGES) or not spec.get(5, 1):
+            raise ValueError("only unigram and merge models that escape white space are compiled")
         if any(k in (USER_DEFINED, UNUSED) for k in kinds):
             raise ValueError("user-defined and unused pieces are not compiled")
         self.byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k == BYTE}
         if len(self.byte) != 256:
             raise ValueError("the model has no byte fallback")
-        self.id = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k == NORMAL}
-        order = sorted(self.id.values(), key=lambda i: -scores[i])
+        self.normalise = Normaliser(spec.get(2, b""), bool(spec.get(3, 1)), bool(spec.get(4, 1)))
+        self.merging = kind == MERGES
+        ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k == NORMAL}
+        order = sorted(ids.values(), key=lambda i: -scores[i])
         self.rank = {self.pieces[i]: r for r, i in enumerate(order)}
-        single = {p for p in self.id if len(p) == 1}
-        for p in self.id:
-            if BLANK in p.lstrip(BLANK) or not single.issuperset(p):
+        self.single = {p for p in ids if len(p) == 1}
+        for p in ids:
+            if BLANK in p.lstrip(BLANK) or not self.single.issuperset(p):
                 raise ValueError(f"piece {p!r} does not let the path fall apart")
-        self.single = single
-        self.inner = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
-        self.tree: list = [{}, -1]  # children by character, and the id that ends here
-        for p, i in self.id.items():
-            node = self.tree
-            for c in p:
-                node = node[0].setdefault(c, [{}, -1])
-            node[1] = i
+        self.inner = {p[i : i + 2] for p in ids for i in range(len(p) - 1)}
+        self.weight = np.zeros(len(self.pieces), np.float32) if self.merging else -np.array(scores, np.float32)
+        self.unknown = np.float32(0 if self.merging else PENALTY - min(scores[i] for i in ids.values()))
+        self.compile(ids)
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.replace(BLANK, " ").encode() for p, k in zip(self.pieces, kinds, strict=True)]
         for i, k in enumerate(kinds):
             if k == UNKNOWN:
                 self.raw[i] = " ⁇ ".encode()
-        self.allowed: dict[int, bool] = {}
+        self.pair, self.fits = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
         # two generations, so that forgetting what is rare keeps what is frequent
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.older_words: dict[str, tuple[int, ...]] = {}
+
+    def compile(self, ids: dict[str, int]) -> None:
+        """P: letter numbers the characters from 1 on; arcs maps node * letters + letter to a node, root 0; ends gives the piece
+        that ends at a node, or -1."""
+        letters = sorted({c for p in ids for c in p})
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.letters = len(letters) + 1
+        self.arcs: dict[int, int] = {}
+        ends = [-1]
+        for p, i in ids.items():
+            node = 0
+            for c in p:
+                key = node * self.letters + int(self.letter[ord(c)])
+                node = self.arcs.setdefault(key, len(ends))
+                if node == len(ends):
+                    ends.append(-1)
+            ends[node] = i
+        self.ends = np.array(ends, np.int32)
+        self.keys = np.array(sorted(self.arcs), np.int64)
+        self.nexts = np.array([self.arcs[k] for k in self.keys.tolist()], np.int32)
+        self.first = np.full(self.letters, -1, np.int32)
+        at = self.keys < self.letters
+        self.first[self.keys[at]] = self.nexts[at]
+
+    def step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """P's arcs: the next nodes, -1 for none."""
+        key = node.astype(np.int64) * self.letters + letter
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.nexts[at], -1)
 
     def merged(self, text: str) -> list[str]:
         """Merging by rank, for the few characters of two pieces."""
@@ -141,109 +237,196 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def accepts(self, p: int, q: int) -> bool:
-        """C: may q follow p? p = -1: may q be first?"""
-        pair = p * len(self.pieces) + q
-        found = self.allowed.get(pair)
-        if found is None:
-            if len(self.allowed) >= PAIRS:
-                self.allowed.clear()
-            want = [self.pieces[q]] if p < 0 else [self.pieces[p], self.pieces[q]]
-            found = self.allowed[pair] = self.merged("".join(want)) == want
-        return found
+    def compatible(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """C's finite arcs: may q follow p? p = -1: may q be first? Answers are kept, each pair in a place of its own."""
+        pair = (p.astype(np.int64) + 1) * len(self.pieces) + q
+        place = (pair * 0x9E3779B1 >> 7) & (len(self.pair) - 1)
+        out = self.fits[place]
+        lost = np.flatnonzero(self.pair[place] != pair)
+        if len(lost):
+            new, back = np.unique(pair[lost], return_inverse=True)
+            fits = np.empty(len(new), bool)
+            for k, x in enumerate(new.tolist()):
+                a, b = divmod(x, len(self.pieces))
+                want = [self.pieces[b]] if a == 0 else [self.pieces[a - 1], self.pieces[b]]
+                fits[k] = self.merged("".join(want)) == want
+            out[lost] = fits[back]
+            self.pair[place[lost]], self.fits[place[lost]] = pair[lost], out[lost]
+        return out
 
-    def shortest(self, part: str) -> list[int]:
-        """The tropical shortest path over a part without byte-fallback characters. Finite weights are all 0, so the first
-        path that gets to the end is the shortest: the search goes depth first, longest pieces first, and enters a place
-        once, as no place has two finite paths."""
-        n, many = len(part), len(self.pieces)
-        allowed, accepts, tree = self.allowed, self.accepts, self.tree
-        path, left, seen = [], [], set()  # pieces so far, arcs not tried yet before each, places entered
-        j, p = 0, -1
-        while j < n:
-            node, k, arcs = tree, j, []
+    def relax(self, parts: list[str]) -> list[tuple[int, ...]]:
+        """Shortest paths of parts of at most LONGEST characters, all together."""
+        size = np.array([len(p) for p in parts])
+        width = int(size.max())
+        codes = self.letter[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        inside = np.arange(width)[:, None] < size
+        letters = np.zeros((width, len(parts)), np.int32)
+        letters.T[inside.T] = codes
+        dist = np.full((width + 1, len(parts)), np.inf, np.float32)
+        last = np.full((width + 1, len(parts)), -1, np.int32)  # -1: none, or bytes
+        back = np.zeros((width + 1, len(parts)), np.int32)
+        dist[0] = 0
+        for j in range(width):
+            rows = np.flatnonzero(inside[j] & np.isfinite(dist[j]))
+            live, node, k = rows, self.first[letters[j, rows]], j
+            some = np.zeros(len(parts), bool)  # a piece of this one character
+            while True:
+                ok = node >= 0
+                live, node, k = live[ok], node[ok], k + 1
+                if not len(live):
+                    break
+                piece = self.ends[node]
+                hit = piece >= 0
+                r, q = live[hit], piece[hit]
+                if k == j + 1:
+                    some[r] = True
+                if len(r):
+                    total = dist[j, r] + self.weight[q]
+                    better = np.flatnonzero(total < dist[k, r])
+                    if self.merging:
+                        better = better[self.compatible(last[j, r[better]], q[better])]
+                    r, q = r[better], q[better]
+                    dist[k, r], last[k, r], back[k, r] = total[better], q, j
+                if k >= width:
+                    break
+                node = self.step(node, letters[k, live])
+            r = rows[~some[rows]]  # B
+            total = dist[j, r] + self.unknown
+            r, total = r[total < dist[j + 1, r]], total[total < dist[j + 1, r]]
+            dist[j + 1, r], last[j + 1, r], back[j + 1, r] = total, -1, j
+        return self.paths(parts, size, last, back)
+
+    def paths(self, parts: list[str], size: np.ndarray, last: np.ndarray, back: np.ndarray) -> list[tuple[int, ...]]:
+        """The ids along the shortest paths, gone back from the ends all together."""
+        rows, at, steps = np.arange(len(parts)), size.copy(), []
+        while len(rows):
+            steps.append((rows, last[at, rows], at))
+            at = back[at, rows]
+            rows, at = rows[at > 0], at[at > 0]
+        row = np.concatenate([s[0] for s in steps])[::-1]
+        order = np.argsort(row, kind="stable")
+        row, q = row[order], np.concatenate([s[1] for s in steps])[::-1][order]
+        ends = np.searchsorted(row, np.arange(len(parts)), side="right").tolist()
+        flat, begin, out = q.tolist(), 0, []
+        for end in ends:
+            out.append(tuple(flat[begin:end]))
+            begin = end
+        if (q < 0).any():
+            place = np.concatenate([s[2] for s in steps])[::-1][order].tolist()
+            for r in np.unique(row[q < 0]).tolist():
+                here = slice(ends[r - 1] if r else 0, ends[r])
+                out[r] = tuple(chain.from_iterable((x,) if x >= 0 else self.spelled(parts[r][a - 1]) for x, a in zip(flat[here], place[here], strict=True)))
+        return out
+
+    def spelled(self, c: str) -> list[int]:
+        """B's output for a character."""
+        return [self.byte[b] for b in c.encode("utf-8", "surrogatepass")]
+
+    def relax_long(self, part: str) -> tuple[int, ...]:
+        """The same relaxation for one part of any length, arc by arc."""
+        n, letters, arcs, inf = len(part), self.letters, self.arcs, float("inf")
+        codes = self.letter[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)].tolist()
+        ends, weight, unknown = self.ends, self.weight, self.unknown
+        dist, last, back = [inf] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        dist[0] = np.float32(0)
+        known: dict[tuple[int, int], bool] = {}
+        for j in range(n):
+            if dist[j] == inf:
+                continue
+            node, k, some, p = 0, j, False, last[j]
             while k < n:
-                node = node[0].get(part[k])
-                if node is None:
+                node = arcs.get(node * letters + codes[k], -1)
+                if node < 0:
                     break
                 k += 1
-                if node[1] >= 0:
-                    arcs.append((k, node[1]))
-            while True:
-                if not arcs:  # infinitely far from here: back
-                    path.pop()
-                    p, arcs = (path[-1] if path else -1), left.pop()
-                    continue
-                k, q = arcs.pop()
-                if k in seen:
+                q = int(ends[node])
+                if q < 0:
                     continue
-                pair = p * many + q
-                weight = allowed.get(pair)
-                if weight or weight is None and accepts(p, q):
-                    seen.add(k)
-                    path.append(q)
-                    left.append(arcs)
-                    j, p = k, q
-                    break
-        return path
-
-    def part(self, text: str) -> tuple[int, ...]:
-        """Ids of normalised text that begins at a border of the path."""
-        out: list[int] = []
-        at, single, inner = 0, self.single, self.inner
-        for k, c in enumerate(text):
-            if c not in single:
-                if at < k:
-                    out += self.remembered(text[at:k])
-                out += [self.byte[b] for b in c.encode("utf-8", "surrogatepass")]
-                at = k + 1
-            elif k > at and text[k - 1 : k + 1] not in inner:
-                out += self.remembered(text[at:k])
+                some = some or k == j + 1
+                total = dist[j] + weight[q]
+                if total < dist[k]:
+                    if self.merging:
+                        if (p, q) not in known:
+                            known[p, q] = bool(self.compatible(np.array([p]), np.array([q]))[0])
+                        if not known[p, q]:
+                            continue
+                    dist[k], last[k], back[k] = total, q, j
+            if not some and dist[j] + unknown < dist[j + 1]:
+                dist[j + 1], last[j + 1], back[j + 1] = dist[j] + unknown, -1, j
+        out: list[list[int]] = []
+        while n:
+            out.append([last[n]] if last[n] >= 0 else self.spelled(part[n - 1]))
+            n = back[n]
+        return tuple(chain.from_iterable(out[::-1]))
+
+    def cut(self, part: str) -> list[str]:
+        """A long part at the places that every path passes."""
+        out, at, single, inner = [], 0, self.single, self.inner
+        for k in range(1, len(part)):
+            if part[k - 1 : k + 1] not in inner or part[k] not in single:
+                out.append(part[at:k])
                 at = k
-        if at == 0:
-            return tuple(self.shortest(text))
-        if at < len(text):
-            out += self.remembered(text[at:])
-        return tuple(out)
-
-    def remembered(self, text: str) -> tuple[int, ...]:
-        ids = self.known.get(text)
-        if ids is None:
-            ids = self.older.get(text) or self.part(text)
-            if len(text) <= LONGEST:
-                if len(self.known) >= REMEMBERED:
-                    self.older, self.known = self.known, {}
-                self.known[text] = ids
-        return ids
-
-    def word(self, text: str) -> tuple[int, ...]:
-        """Ids of a blank and text, remembered under text."""
-        ids = self.older_words.get(text) or self.part(BLANK + text)
-        if len(text) <= LONGEST:
-            if len(self.words) >= REMEMBERED:
-                self.older_words, self.words = self.words, {}
-            self.words[text] = ids
-        return ids
+        return [*out, part[at:]]
+
+    def learn(self, parts: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of parts that are not remembered; those up to LONGEST are remembered from now on."""
+        short, long, extra = [], {}, {}
+        for p in parts:
+            if len(p) <= LONGEST:
+                ids = self.older.get(p)
+                if ids is None:
+                    short.append(p)
+                else:
+                    self.known[p] = ids
+            else:
+                long[p] = self.cut(p)
+        between = {x for xs in long.values() for x in xs}
+        short = [*short, *(x for x in between if len(x) <= LONGEST and x not in self.known)]
+        short = sorted(set(short), key=len)
+        at = 0
+        while at < len(short):
+            end = at + 1
+            while end < len(short) and (end - at) * (len(short[end]) + 1) < CELLS:
+                end += 1
+            group = short[at:end]
+            self.known.update(zip(group, self.relax(group), strict=True))
+            at = end
+        whole = {x: self.relax_long(x) for x in between if len(x) > LONGEST}
+        for p, xs in long.items():
+            extra[p] = tuple(chain.from_iterable(whole[x] if x in whole else self.known[x] for x in xs))
+        return extra
+
+    def parts_of(self, text: str) -> list[str]:
+        """The normalised text, cut before blanks."""
+        n = self.normalise
+        if n.plain and n.prefix and text and "  " not in text and BLANK not in text and text[0] != " " and text[-1] != " ":
+            return f"{BLANK}{text}".replace(" ", f" {BLANK}").split(" ")
+        return re.findall(f"{BLANK}*[^{BLANK}]+|{BLANK}+", n(text))
+
+    def encode_all(self, texts: list[str]) -> list[array]:
+        cut = [self.parts_of(t) for t in texts]
+        if len(self.known) >= REMEMBERED:
+            self.older, self.known = self.known, {}
+        extra = self.learn(set(chain.from_iterable(cut)).difference(self.known))
+        if extra:
+            get = lambda p: extra[p] if p in extra else self.known[p]
+            return [array("i", chain.from_iterable(map(get, parts))) for parts in cut]
+        return [array("i", chain.from_iterable(map(self.known.__getitem__, parts))) for parts in cut]
 
     def encode(self, text: str) -> array:
-        out = array("i")
-        if not text:
-            return out
-        extend = out.extend
-        if self.prefix and "  " not in text and BLANK not in text and text[0] != " " and text[-1] != " ":
-            words, word = self.words, self.word
-            for w in text.split(" "):
-                extend(words.get(w) or word(w))
-            return out
-        text = (BLANK if self.prefix else "") + text.replace(" ", BLANK)
-        for m in re.finditer(f"{BLANK}*[^{BLANK}]+|{BLANK}+", text):
-            extend(self.remembered(m[0]))
-        return out
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that are not UTF-8 become replacement characters."""
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text[:1] == " " else text
+        return text[1:] if self.normalise.prefix and text[:1] == " " else text
+
+    def shown(self, text: str) -> str:
+        """What the ids of a text decode to: the text itself, but for blank symbols and the model's rewriting."""
+        if self.normalise.plain:
+            return text.replace(BLANK, " ")
+        out = self.normalise(text).replace(BLANK, " ")
+        return out[1:] if self.normalise.prefix and out[:1] == " " else out
 
 
 _compiled: dict[int, Transducer] = {}
@@ -258,7 +441,8 @@ def compiled(model: bytes) -> Transducer:
 
 
 def encode(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
-    """doc_id, n_chars, n_tokens, token_ids, round_trip: whether the ids decode to the text (blank symbols as spaces). The
+    """doc_id, n_chars, n_tokens, token_ids, round_trip: whether the ids decode to the text (as
+    normalised; blank symbols are spaces). The
     model file is read by the driver and broadcast; it does not grow with the data."""
     spark = docs.sparkSession
     prepare(spark)
@@ -269,10 +453,9 @@ def encode(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
         machine = compiled(model.value)
         texts = strings(batch.column("text"))
         ids, same = [], []
-        for t in texts:
-            got = machine.encode(t)
+        for t, got in zip(texts, machine.encode_all(texts), strict=True):
             ids.append(np.frombuffer(got, np.int32) if len(got) else np.zeros(0, np.int32))
-            same.append(machine.decode(got) == t.replace(BLANK, " "))
+            same.append(machine.decode(got) == machine.shown(t))
         sizes = np.array([len(i) for i in ids], np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(sizes), lists, pa.array(same)], names=["doc_id", "n_chars", "n_tokens", "token_ids", "round_trip"])

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 from collections import Counter
 
 import numpy as np
@@ -336,11 +337,84 @@ def test_encoding_equals_the_library(machine):
         assert machine.decode([i for i in ids if i > 2]) == library.decode([i for i in ids if i > 2])
 
 
+def varint(n):
+    out = b""
+    while n > 127:
+        out += bytes([n & 127 | 128])
+        n >>= 7
+    return out + bytes([n])
+
+
+def rebuilt(kind, normaliser=None):
+    """The model's own pieces as a model of another kind or with another normaliser. Unigram scores fall with the logarithm of
+    the place, so that there are hardly ties."""
+    out, place = b"", 0
+    for number, value in pieces.fields(open(pieces.MODEL, "rb").read()):
+        if number == 1:
+            place += 1
+            if kind == pieces.UNIGRAM:
+                value += bytes([2 << 3 | 5]) + struct.pack("<f", -5 - 1.7 * np.log(place))
+        if number == 2:
+            value += bytes([3 << 3, kind])  # the last value of a field counts
+        if number == 3 and normaliser is not None:
+            value = normaliser
+        out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+WORDS = ["internationalization", "unbelievably", "straße", "l'été", "don't", "---", "1234567", "foo_bar(baz)", "日本語", "😀", "x" * 70, "ﬁnal", "Ａ１"]
+
+
+@pytest.mark.parametrize("kind", [pieces.UNIGRAM, pieces.MERGES])
+@pytest.mark.parametrize("rule", [None, "nmt_nfkc", "nfkc_cf"])
+def test_other_models_equal_the_library(kind, rule):
+    import sentencepiece
+
+    spec = None if rule is None else sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_normalizer_spec()
+    model = rebuilt(kind, spec)
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    machine = pieces.Transducer(model)
+    rng = random.Random(5)
+    alphabet = "ab \n\t▁éß😀日本語the of ing  ÀЖ　.,*&ﬁＡ½é"
+    texts = ["", " ", "  ", "a", "Hello  world ", "ab" * 300, "日本語" * 100, "x" * 500, " ﬁ  Ａ "]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(600)]
+    texts += [rng.choice([" ", "  "]).join(rng.choice(WORDS) for _ in range(8)) for _ in range(200)]
+    weight = lambda ids: sum(float(machine.weight[i]) for i in ids)
+    for t, ids in zip(texts, machine.encode_all(texts), strict=True):
+        want = library.encode(t)
+        if list(ids) != want:  # "a aa" or "aa a": equal sums but for rounding, which starts anew in each part here
+            assert kind == pieces.UNIGRAM and len(ids) == len(want) and abs(weight(ids) - weight(want)) < 1e-3, t
+        assert machine.decode(ids) == machine.shown(t)
+
+
+def test_shortest_path_by_brute_force():
+    """All ways to spell short texts with pieces, by total weight."""
+    machine = pieces.Transducer(rebuilt(pieces.UNIGRAM))
+    ids = {p: i for i, p in enumerate(machine.pieces) if p in machine.rank}
+
+    def least(t):
+        if not t:
+            return 0.0
+        return min(float(machine.weight[ids[t[:k]]]) + least(t[k:]) for k in range(1, len(t) + 1) if t[:k] in ids)
+
+    rng = random.Random(6)
+    for t in ["".join(rng.choice("theingsaor") for _ in range(rng.randint(1, 9))) for _ in range(60)]:
+        for got in (machine.relax([t])[0], machine.relax_long(t)):
+            assert abs(sum(float(machine.weight[i]) for i in got) - least(t)) < 1e-3 and "".join(machine.pieces[i] for i in got) == t
+
+
+def test_refused_models():
+    for kind in (3, 4):  # words, characters
+        with pytest.raises(ValueError):
+            pieces.Transducer(rebuilt(kind))
+
+
 def test_forgetting_changes_nothing(machine, monkeypatch):
     monkeypatch.setattr(pieces, "REMEMBERED", 5)
-    monkeypatch.setattr(pieces, "PAIRS", 5)
+    monkeypatch.setattr(pieces, "PAIRS", 8)
+    monkeypatch.setattr(pieces, "CELLS", 40)
     fresh = pieces.Transducer(open(pieces.MODEL, "rb").read())
-    for t in ("the quick brown fox jumps over the lazy dog " * 3, "x" * 500):
+    for t in ("the quick brown fox jumps over the lazy dog " * 3, "x" * 500, "one two three", "the quick four", "é日 " * 9):
         assert fresh.encode(t) == machine.encode(t)
 
 
