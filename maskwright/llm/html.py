@@ -4,15 +4,17 @@
 2. A tree builder that supplies implied tags: paragraphs end where a block begins, list items, options and table parts end
    where the next begins, cells get their row, the head ends where content begins; unmatched end tags are ignored.
 3. Visibility: elements without rendering (head, script, template, ...), the hidden attribute, display and visibility in
-   style attributes and in the page's own simple style rules (tag, .class, #id and their compounds), in cascade order, and
-   the content of closed details beyond their summary. Visibility is inherited, so that a part of a hidden element may
-   show. Of svg, text elements and foreign objects show. Rules with combinators, pseudo-classes or attributes and those
-   within at-rules are not read.
+   style attributes and in the page's own style rules (compounds of tag, .class and #id, with descendant and child
+   combinators, also within `@media screen` and `all`), in cascade order, and the content of closed details beyond their
+   summary. Visibility is inherited, so that a part of a hidden element may show. Of svg, text elements and foreign objects
+   show. Rules with sibling combinators, pseudo-classes or attributes and those within other at-rules are not read.
 4. Layout: white space collapses outside pre; blocks begin on new lines, those with margins after a blank one; list items
-   get bullets or numbers and hanging indents; table cells are aligned in columns (padded to `PAD` at most), with row
-   and column spans.
+   get bullets or numbers and hanging indents; table cells are aligned in columns, with row and column spans. Columns are as
+   wide as their widest cell, unless the blanks would be several times the table's text (one very long cell among thousands
+   of rows): then the widest columns are cut down to what keeps the output in proportion.
 
-Everything is iterative and linear in the page, so neither depth nor length of a page is limited.
+Everything is iterative and linear in the page: open elements are found by their last places, rules by their id, class or tag,
+and descendant rules by counts of what the open elements have matched. Neither depth nor length of a page is limited.
 
 Defined cases. Null html: as empty. Empty page: empty text. Null page_id: kept. Repeated rows: each. Empty table: empty.
 Other columns are ignored.
@@ -21,7 +23,9 @@ Other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,7 +53,9 @@ WALLS = frozenset(("table", "td", "th", "caption", "html", "template", "object",
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var".split())
 #: Line breaks around a block: 2 leaves a blank line.
 MARGIN = dict.fromkeys("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl blockquote pre table figure hr".split(), 2) | dict.fromkeys("html body div section article header footer nav aside main form address figcaption option optgroup legend fieldset summary details center dialog hgroup li dt dd search select textarea".split(), 1)
-PAD = 60
+
+#: Blanks that align a table, for each character of its text, at most (some thousands are free).
+PADDING = 8
 
 SPACE = " \t\n\r\f"
 QUICK_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)[ \t\n\r\f]*>")
@@ -57,9 +63,10 @@ TAG_NAME = re.compile(r"<(/?)([A-Za-z][^ \t\n\r\f/>]*)")
 BEFORE_ATTRIBUTE = re.compile(r"[ \t\n\r\f/]*")
 ATTRIBUTE = re.compile(r"(=?[^ \t\n\r\f/>=]*)(?:[ \t\n\r\f]*=[ \t\n\r\f]*(?:\"([^\"]*)\"|'([^']*)'|(?![\"'])([^ \t\n\r\f>]*)))?")
 DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+(?:\s+[a-z-]+)*)\s*(!\s*important)?\s*(?=;|$)", re.IGNORECASE)
+MEDIA = re.compile(r"@media\s+(?:only\s+)?(?:all|screen)\s*\{((?:[^{}]*\{[^{}]*\})*)[^{}]*\}", re.IGNORECASE)
 AT_RULE = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})")
 RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-SELECTOR = re.compile(r"([A-Za-z][A-Za-z0-9]*|\*)?((?:[.#][A-Za-z_-][\w-]*)*)$")
+SELECTOR = re.compile(r"([A-Za-z][A-Za-z0-9]*|\*)?((?:[.#][A-Za-z_-][\w-]*)*)")
 BLANKS = re.compile(f"[{SPACE}]+")
 
 
@@ -77,41 +84,121 @@ def declarations(css: str) -> list[tuple[str, str, bool]]:
     return [d for d in found if (d[1] in VISIBILITY if d[0] == "visibility" else d[1] == "none" or DISPLAY_SHOWS.fullmatch(d[1]))]
 
 
+class Compound(NamedTuple):
+    """A tag (or none) with classes and ids."""
+
+    tag: str
+    classes: frozenset[str]
+    ids: frozenset[str]
+
+    @property
+    def weight(self) -> tuple[int, int, int]:
+        return len(self.ids), len(self.classes), int(bool(self.tag))
+
+    @property
+    def bucket(self) -> str:
+        """Every node that matches has this mark."""
+        return "#" + min(self.ids) if self.ids else "." + min(self.classes) if self.classes else self.tag or "*"
+
+    def fits(self, tag: str, classes: set[str], name: str) -> bool:
+        return (not self.tag or self.tag == tag) and self.classes <= classes and all(i == name for i in self.ids)
+
+
+def compound(text: str) -> Compound | None:
+    m = SELECTOR.fullmatch(text)
+    if not m or not m[0]:
+        return None
+    marks = re.findall(r"[.#][\w-]+", m[2])
+    return Compound((m[1] or "").replace("*", "").lower(), frozenset(x[1:] for x in marks if x[0] == "."), frozenset(x[1:] for x in marks if x[0] == "#"))
+
+
 class Rules:
-    """Display and visibility of simple selectors: each a tag (or none) with classes and ids."""
+    """Display and visibility by the page's rules. A rule of one compound is filed under a mark of it, with all rules of that
+    compound as one. A rule with combinators is a chain of steps, each filed likewise: a step is taken by a node that fits it
+    if the step before was taken by the parent (child) or by any open ancestor (descendant)."""
 
     def __init__(self) -> None:
-        #: tag, classes, ids, specificity, declarations; in the order of the page
-        self.items: list[tuple[str, frozenset[str], frozenset[str], tuple[int, int, int], list[tuple[str, str, bool]]]] = []
+        #: mark: compound: property: (rank, value)
+        self.simple: dict[str, dict[Compound, dict[str, tuple[tuple, str]]]] = {}
+        #: mark: (compound, step before or -1, only the parent's, this step, what a last step declares)
+        self.chains: dict[str, list[tuple[Compound, int, bool, int, dict[str, tuple[tuple, str]] | None]]] = {}
+        self.steps = self.order = 0
+        self.names: set[str] = set()
+        self.known: dict[tuple, dict[str, tuple[tuple, str]]] = {}
+        #: how many open elements have taken a step
+        self.active: Counter = Counter()
 
     def add(self, css: str) -> None:
-        css = AT_RULE.sub("", re.sub(r"/\*.*?\*/", "", css, flags=re.DOTALL))
+        css = re.sub(r"/\*.*?\*/", "", css, flags=re.DOTALL)
+        css = AT_RULE.sub("", MEDIA.sub(r"\1", css))
         for selectors, body in RULE.findall(css):
             if found := declarations(body):
                 for s in selectors.split(","):
-                    m = SELECTOR.match(s.strip())
-                    if m and m[0]:
-                        marks = re.findall(r"[.#][\w-]+", m[2])
-                        tag = (m[1] or "").replace("*", "").lower()
-                        ids = [x for x in marks if x[0] == "#"]
-                        self.items.append((tag, frozenset(x[1:] for x in marks if x[0] == "."), frozenset(x[1:] for x in ids), (len(ids), len(marks) - len(ids), int(bool(tag))), found))
-
-    def style(self, node: Node) -> dict[str, str]:
-        """The values that win for the node: important ones first, then inline, then by specificity, then the last."""
-        style = node.attrs.get("style", "")
-        if not self.items and not style:
-            return {}
-        won: dict[str, tuple[tuple, str]] = {}
-        classes, ids = set(node.attrs.get("class", "").split()), {node.attrs.get("id", "")}
-        found = [((0, *weight), d) for tag, c, i, weight, d in self.items if (not tag or tag == node.tag) and c <= classes and i <= ids]
-        if style:
-            found.append(((1, 0, 0, 0), declarations(style)))
-        for weight, ds in found:
-            for name, value, important in ds:
-                rank = (important, *weight)
-                if name not in won or rank >= won[name][0]:
-                    won[name] = rank, value
-        return {name: value for name, (_, value) in won.items()}
+                    self.select(re.sub(r"\s*([>+~])\s*", r" \1 ", s).split(), found)
+        self.known.clear()
+
+    def select(self, tokens: list[str], found: list[tuple[str, str, bool]]) -> None:
+        compounds = [compound(t) for t in tokens if t != ">"]
+        if not compounds or None in compounds or ">" in (tokens[0], tokens[-1]) or any(a == b == ">" for a, b in zip(tokens, tokens[1:], strict=False)):
+            return
+        self.order += 1
+        weight = tuple(sum(c.weight[k] for c in compounds) for k in range(3))
+        self.names.update(*(c.ids for c in compounds))
+        says: dict[str, tuple[tuple, str]] = {}
+        for name, value, important in found:
+            put(says, name, (important, 0, *weight, self.order), value)
+        if len(compounds) == 1:
+            own = self.simple.setdefault(compounds[0].bucket, {}).setdefault(compounds[0], {})
+            for name, (rank, value) in says.items():
+                put(own, name, rank, value)
+            return
+        before, child = -1, False
+        for k, c in enumerate(c for c in tokens):
+            if c == ">":
+                child = True
+                continue
+            c = compound(c)
+            last = k == len(tokens) - 1
+            self.chains.setdefault(c.bucket, []).append((c, before, child, self.steps, says if last else None))
+            before, child, self.steps = self.steps, False, self.steps + 1
+
+    def style(self, node: Node, above: tuple[int, ...] = ()) -> tuple[dict[str, str], tuple[int, ...]]:
+        """The values that win for the node: important ones first, then inline, then by specificity, then the last; and the steps
+        that the node takes. above: the parent's."""
+        inline = node.attrs.get("style", "")
+        if not self.order and not inline:
+            return {}, ()
+        words, name = node.attrs.get("class", ""), node.attrs.get("id", "")
+        key = (node.tag, words, name if name in self.names else "")
+        classes = set(words.split())
+        marks = ["#" + name, *("." + c for c in classes), node.tag, "*"]
+        if (won := self.known.get(key)) is None:
+            won = {}
+            for mark in marks:
+                for c, says in self.simple.get(mark, {}).items():
+                    if c.fits(node.tag, classes, name):
+                        for what, (rank, value) in says.items():
+                            put(won, what, rank, value)
+            self.known[key] = won
+        taken: list[int] = []
+        if self.chains or inline:
+            won = dict(won)
+            for mark in marks if self.chains else ():
+                for c, before, child, step, says in self.chains.get(mark, ()):
+                    if (before < 0 or (before in above if child else self.active[before])) and c.fits(node.tag, classes, name):
+                        if says is None:
+                            taken.append(step)
+                        else:
+                            for what, (rank, value) in says.items():
+                                put(won, what, rank, value)
+            for what, value, important in declarations(inline):
+                put(won, what, (important, 1, 0, 0, 0, 0), value)
+        return {what: value for what, (_, value) in won.items()}, tuple(taken)
+
+
+def put(won: dict[str, tuple[tuple, str]], name: str, rank: tuple, value: str) -> None:
+    if name not in won or rank >= won[name][0]:
+        won[name] = rank, value
 
 
 class Builder:
@@ -119,51 +206,62 @@ class Builder:
 
     def __init__(self) -> None:
         self.root = Node("html", {})
-        self.open, self.count = [self.root], {"html": 1}
+        #: open elements; for each tag, and "" for all blocks, the places of those that are open
+        self.open: list[Node] = []
+        self.places: dict[str, list[int]] = {"": []}
         self.rules = Rules()
+        self.put(self.root)
+
+    def put(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        if node.tag in MARGIN:
+            self.places[""].append(len(self.open))
+        self.open.append(node)
 
     def push(self, tag: str, attrs: dict[str, str]) -> None:
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
-        self.open.append(node)
-        self.count[tag] = self.count.get(tag, 0) + 1
+        self.put(node)
 
     def pop(self) -> None:
-        self.count[self.open.pop().tag] -= 1
+        tag = self.open.pop().tag
+        self.places[tag].pop()
+        if tag in MARGIN:
+            self.places[""].pop()
 
     def pop_to(self, at: int) -> None:
         """Close everything from stack place `at` on."""
         while len(self.open) > max(at, 1):
             self.pop()
 
-    def find(self, tags, walls=WALLS) -> int:
-        """The topmost open element among tags above any wall, or -1."""
-        if not any(self.count.get(t) for t in tags):
+    def top(self, tags) -> int:
+        """The place of the topmost open element among tags ("": any block), or -1."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def find(self, tags, walls=WALLS, blocks: bool = False) -> int:
+        """The topmost open element among tags above any wall (or other block), or -1; never the root."""
+        at = self.top(tags)
+        if at <= 0 or self.top(walls) > at or blocks and self.top(("",)) > at:
             return -1
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].tag in tags:
-                return at
-            if self.open[at].tag in walls:
-                return -1
-        return -1
+        return at
 
     def end_if_open(self, tags, walls=WALLS) -> None:
         if (at := self.find(tags, walls)) > 0:
             self.pop_to(at)
 
     def leave_head(self) -> None:
-        if self.count.get("head"):
+        if self.places.get("head"):
             self.end_if_open(("head",), ())
 
     def start(self, tag: str, attrs: dict[str, str]) -> None:
         if tag not in IN_HEAD:
             self.leave_head()
         if tag in ("html", "body", "head"):
-            if self.count.get(tag) or tag == "head" and self.count.get("body"):
-                for k, v in attrs.items():
-                    next(n for n in self.open if n.tag == tag).attrs.setdefault(k, v) if self.count.get(tag) else None
+            if self.places.get(tag) or tag == "head" and self.places.get("body"):
+                for k, v in attrs.items() if self.places.get(tag) else ():
+                    self.open[self.places[tag][0]].attrs.setdefault(k, v)
                 return
-        if tag in ENDS_P and self.count.get("p"):
+        if tag in ENDS_P and self.places.get("p"):
             self.end_if_open(("p",), WALLS | {"button"})
         if tag == "li":
             self.end_if_open(("li",), WALLS | LISTS)
@@ -176,7 +274,8 @@ class Builder:
         elif tag == "optgroup":
             self.end_if_open(("optgroup", "option"), WALLS | {"select"})
         elif tag in ("a", "button"):
-            self.end_if_open((tag,), WALLS | MARGIN.keys())
+            if (at := self.find((tag,), blocks=True)) > 0:
+                self.pop_to(at)
         elif tag in TABLE_PARTS - {"table"}:
             self.table_part(tag)
         if tag in VOID:
@@ -207,7 +306,7 @@ class Builder:
             self.start("br", {})
         elif tag in HEADINGS:
             self.end_if_open(HEADINGS)
-        elif not self.count.get(tag):
+        elif not self.places.get(tag):
             if tag == "p":
                 self.start("p", {})
                 self.pop()
@@ -217,13 +316,13 @@ class Builder:
             self.end_if_open((tag,), () if tag == "table" else ("table",))
         elif tag in INLINE:
             at = self.find((tag,))
-            if at > 0 and not any(n.tag in MARGIN for n in self.open[at + 1 :]):
+            if at > 0 and self.top(("",)) <= at:
                 self.pop_to(at)
         else:
             self.end_if_open((tag,), WALLS | ({"ul", "ol"} if tag == "li" else set()))
 
     def text(self, s: str) -> None:
-        if self.count.get("head") and s.strip(SPACE) and self.open[-1].tag not in ("title", "noscript"):
+        if self.places.get("head") and s.strip(SPACE) and self.open[-1].tag not in ("title", "noscript"):
             self.leave_head()
         self.open[-1].children.append(s)
 
@@ -301,7 +400,7 @@ def build(html: str) -> tuple[Node, Rules]:
             builder.pop()
             at = (html.find(">", stop) + 1 or n) if close else n
         else:
-            foreign = builder.count.get("svg") or builder.count.get("math") or tag in ("svg", "math")
+            foreign = builder.places.get("svg") or builder.places.get("math") or tag in ("svg", "math")
             builder.start(tag, attrs)
             if foreign and html[after - 2] == "/" and tag not in VOID and tag not in ENDS_P | INLINE | TABLE_PARTS:
                 builder.pop()
@@ -413,12 +512,18 @@ class Table:
         for row in self.rows:
             for at, span, lines in row:
                 if span == 1:
-                    widths[at] = min(PAD, max([widths.get(at, 0), *map(len, lines)]))
+                    widths[at] = max([widths.get(at, 0), *map(len, lines)])
         for row in self.rows:
             for at, span, lines in row:
                 if span > 1:
                     have = sum(widths.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1)
-                    widths[at + span - 1] = min(PAD, widths.get(at + span - 1, 0) + max(0, max(map(len, lines), default=0) - have))
+                    widths[at + span - 1] = widths.get(at + span - 1, 0) + max(0, max(map(len, lines), default=0) - have)
+        heights = sum(max((len(lines) for _, _, lines in row), default=0) for row in self.rows)
+        most = 4096 + PADDING * sum(len(line) for row in self.rows for _, _, lines in row for line in lines)
+        cap = max(widths.values(), default=0)
+        while cap > 8 and heights * sum(min(w, cap) for w in widths.values()) > most:
+            cap //= 2
+        widths = {c: min(w, cap) for c, w in widths.items()}
         used = sorted(c for c, w in widths.items() if w)
         starts, x = {}, 0
         for c in used:
@@ -454,15 +559,16 @@ def in_svg(tag: str, svg: bool) -> bool:
 
 
 def render(root: Node, rules: Rules) -> str:
-    """Walk the tree with a stack of (node, next child, visible, in svg), and write what is seen."""
+    """Walk the tree with a stack of (node, next child, visible, in svg, steps taken), and write what is seen."""
     outs, tables = [Out()], []
     numbers: list[int | None] = []
     indents: list[str] = []
     pre = 0
-    style = rules.style(root)
+    style, steps = rules.style(root)
     if removed(root, style, False):
         return ""
-    stack: list[list] = [[root, 0, VISIBILITY.get(style.get("visibility", "inherit")) is not False, False]]
+    rules.active.update(steps)
+    stack: list[list] = [[root, 0, VISIBILITY.get(style.get("visibility", "inherit")) is not False, False, steps]]
 
     def enter(node: Node, parent: Node | None) -> None:
         nonlocal pre
@@ -522,9 +628,10 @@ def render(root: Node, rules: Rules) -> str:
 
     enter(root, None)
     while stack:
-        node, k, visible, svg = stack[-1]
+        node, k, visible, svg, above = stack[-1]
         if k == len(node.children):
             stack.pop()
+            rules.active.subtract(above)
             leave(node)
             if node.tag == "text" and stack and stack[-1][3]:
                 outs[-1].text(" ")
@@ -540,7 +647,7 @@ def render(root: Node, rules: Rules) -> str:
                 continue
             outs[-1].kept(child) if pre else outs[-1].text(child)
             continue
-        style = rules.style(child)
+        style, steps = rules.style(child, above)
         if removed(child, style, svg) or child.tag in ("annotation", "annotation-xml") and node.tag == "semantics":
             continue
         elif child.tag == "br":
@@ -550,7 +657,8 @@ def render(root: Node, rules: Rules) -> str:
         else:
             enter(child, node)
             shown = VISIBILITY.get(style.get("visibility", "inherit"))
-            stack.append([child, 0, visible if shown is None else shown, in_svg(child.tag, svg)])
+            rules.active.update(steps)
+            stack.append([child, 0, visible if shown is None else shown, in_svg(child.tag, svg), steps])
     lines = outs[0].done()
     return "\n".join(lines).replace("\xa0", " ").strip("\n")
 

@@ -4,7 +4,9 @@ import base64
 import hashlib
 import io
 import random
+import re
 import struct
+import time
 
 import duckdb
 import numpy as np
@@ -327,11 +329,106 @@ SHOWN = {
 }
 
 
+SHOWN |= {
+    "<style>div p{display:none}</style><div><b><p>no</b></div><p>yes": "yes",
+    "<style>div > p{display:none}</style><div><p>no</p><b><p>yes</b></div>": "yes",
+    "<style>.a .b > .c{display:none} .c{visibility:visible}</style><div class=a><i class=b><i class=c>no</i></i><i class=c>yes</i></div>": "yes",
+    "<style>#x .y{display:none} div .y{display:block}</style><div id=x><span class=y>no</span></div><div><span class=y>yes</span></div>": "yes",
+    "<style>@media screen{.m{display:none}} @media print{.n{display:none}}</style><p class=m>no<p class=n>yes": "yes",
+    "<style>a+b{display:none} a:hover{display:none}</style><a>x</a><b>y</b>": "xy",
+    "<map><p>hello map</p></map>": "hello map",
+}
+
+
 @pytest.mark.parametrize("page", SHOWN)
 def test_what_shows_is_kept(page):
     assert html.extract_text(page) == SHOWN[page]
 
 
+def test_visibility_by_brute_force():
+    """Random trees and rules; what shows by looking through all rules and all ancestors for each element."""
+    rng = random.Random(12)
+
+    def fits(compound, node):
+        tag, classes, ids = re.match(r"([a-z]*)", compound)[1], set(re.findall(r"[.]([a-z])", compound)), set(re.findall(r"#([a-z])", compound))
+        return (not tag or tag == node["tag"]) and classes <= set(node["class"]) and ids <= {node["id"]}
+
+    def matches(tokens, node):
+        if not fits(tokens[-1], node):
+            return False
+        if len(tokens) == 1:
+            return True
+        rest, child = (tokens[:-2], True) if tokens[-2] == ">" else (tokens[:-1], False)
+        up = node["up"]
+        while up is not None:
+            if matches(rest, up):
+                return True
+            up = None if child else up["up"]
+        return False
+
+    def weight(tokens):
+        plain = [t for t in tokens if t != ">"]
+        return sum(t.count("#") for t in plain), sum(t.count(".") for t in plain), sum(t[0].isalpha() for t in plain)
+
+    compound = lambda: rng.choice(["div", "span", "b", ""]) + rng.choice(["", ".x", ".y", "#i", ".x.y"]) or ".z"
+    for n in range(300):
+        rules = []
+        for _ in range(rng.randint(1, 8)):
+            tokens = [compound()]
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                tokens = [compound(), *rng.choice([[], [">"]]), *tokens]
+            rules.append((tokens, *rng.choice([("display", "none"), ("display", "none"), ("display", "inline"), ("visibility", "hidden"), ("visibility", "visible")]), rng.random() < 0.1))
+        want, words = [], 0
+
+        def make(up, depth, shown):
+            nonlocal words
+            out = ""
+            for _ in range(rng.randint(1, 3)):
+                node = {"tag": rng.choice(["div", "span", "b"]), "class": rng.sample("xyz", rng.randint(0, 2)), "id": rng.choice(["", "", "i"]), "up": up}
+                inline = rng.choice(["", "", "", "display:none", "display:block", "visibility:visible"])
+                found = [((important, 0, *weight(tokens), k), name, value) for k, (tokens, name, value, important) in enumerate(rules) if matches(tokens, node)]
+                if inline:
+                    found.append(((False, 1, 0, 0, 0, 0), *inline.split(":")))
+                style = {name: value for _, name, value in sorted(found)}
+                gone = shown is None or style.get("display") == "none"
+                now = None if gone else {"visible": True, "hidden": False}.get(style.get("visibility"), shown)
+                words += 1
+                if now:
+                    want.append(f"w{words}")
+                out += f"<{node['tag']} class='{' '.join(node['class'])}' id='{node['id']}' style='{inline}'> w{words} " + (make(node, depth + 1, now) if depth < 4 else "") + f"</{node['tag']}> "
+            return out
+
+        html_tag = {"tag": "html", "class": [], "id": "", "up": None}
+        body = make(html_tag, 0, True)
+        css = " ".join(f"{' '.join(t)}{{{a}:{b}{'!important' if i else ''}}}" for t, a, b, i in rules)
+        assert html.extract_text(f"<style>{css}</style>{body}").split() == want, (css, body)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<em>" + "<div>" * 60_000 + "</em>" * 60_000,
+        "<style>" + "".join(f".c{i}{{display:none}}" for i in range(60_000)) + "</style>" + "".join(f"<p class=c{i + 1}>x" for i in range(60_000)),
+        "<style>" + "p{display:none}" * 60_000 + "</style>" + "<p>x" * 60_000,
+        "<style>" + "".join(f".a .b{i}{{display:none}}" for i in range(30_000)) + "</style><i class=a>" + "".join(f"<p class=b{i}>x" for i in range(60_000)),
+        "<div>" * 30_000 + "<body x=y>" * 60_000 + "<a><b>" * 30_000 + "</a>" * 60_000,
+        "<table>" + "<tr><td>a<td>b" * 30_000 + "<tr><td>" + "x" * 300_000 + "</table>",
+        "<p><button>" * 30_000 + "</p>" * 60_000 + "<li><ul>" * 20_000 + "</li>" * 20_000,
+    ],
+    ids="inline classes same chains body table walls".split(),
+)
+def test_hostile_pages_take_linear_time(page):
+    began = time.perf_counter()
+    out = html.extract_text(page)
+    assert time.perf_counter() - began < 10 and len(out) < 20 * len(page) + 10_000
+
+
+def test_wide_cells_are_aligned():
+    long = "word " * 40 + "end"
+    out = html.extract_text(f"<table><tr><td>{long}<td>b<tr><td>c<td>d</table>").split("\n")
+    assert out[0].index("b", len(long)) == out[1].index("d") == len(long) + 2
+
+
 def test_html_is_linear_in_depth_and_length():
     deep = "<div>" * 50_000 + "deep" + "<table><tr><td>" * 3000 + "x"
     assert "deep" in html.extract_text(deep)
