@@ -54,6 +54,8 @@ INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd lab
 #: Line breaks around a block: 2 leaves a blank line.
 MARGIN = dict.fromkeys("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl blockquote pre table figure hr".split(), 2) | dict.fromkeys("html body div section article header footer nav aside main form address figcaption option optgroup legend fieldset summary details center dialog hgroup li dt dd search select textarea".split(), 1)
 
+#: Tables within tables that are laid out as such (deeper ones as blocks), and columns of indentation, which then stays.
+NESTED, INDENT = 12, 48
 #: Blanks that align a table, for each character of its text, at most (some thousands are free).
 PADDING = 8
 
@@ -574,12 +576,15 @@ def render(root: Node, rules: Rules) -> str:
         nonlocal pre
         tag, out = node.tag, outs[-1]
         if tag in ("td", "th", "caption") and tables:
-            outs.append(Out())
+            if tables[-1]:
+                outs.append(Out())
+            else:
+                out.due(1)
         elif tag == "tr" and tables:
-            tables[-1].row()
+            tables[-1].row() if tables[-1] else out.due(1)
         elif tag == "table":
             out.due(MARGIN["table"])
-            tables.append(Table())
+            tables.append(Table() if len(tables) < NESTED else None)
         elif tag in MARGIN:
             nested = tag in LISTS and numbers
             out.due(1 if nested else MARGIN[tag])
@@ -594,16 +599,21 @@ def render(root: Node, rules: Rules) -> str:
                 mark = "- "
             indents.append(out.indent)
             out.marker = out.indent + mark
-            out.indent += " " * len(mark)
+            if len(out.indent) < INDENT:
+                out.indent += " " * len(mark)
         elif tag in ("dd", "blockquote"):
             indents.append(out.indent)
-            out.indent += "  "
+            if len(out.indent) < INDENT:
+                out.indent += "  "
         elif tag in ("pre", "textarea", "listing", "xmp"):
             pre += 1
 
     def leave(node: Node) -> None:
         nonlocal pre
         tag = node.tag
+        if tag in ("td", "th", "caption") and tables and not tables[-1]:
+            outs[-1].due(1)
+            return
         if tag in ("td", "th", "caption") and tables:
             lines = outs.pop().done()
             while lines and not lines[-1]:
@@ -616,7 +626,8 @@ def render(root: Node, rules: Rules) -> str:
         out = outs[-1]
         if tag == "table":
             out.due(1)
-            out.block(tables.pop().laid_out())
+            if done := tables.pop():
+                out.block(done.laid_out())
         if tag in LISTS:
             numbers.pop()
         elif tag in ("li", "dd", "blockquote"):
