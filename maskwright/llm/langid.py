@@ -5,11 +5,14 @@ each hashed to one of `buckets` embedding rows. The mean embedding goes through
 are trained together by stochastic gradient descent in numpy. As everything after the lookup is linear, prediction uses
 one table of class logits for each bucket, so that a whole text is summed in one pass, whatever its length.
 
-Confidence is calibrated by a temperature that minimises the log loss on a part of the training rows kept out of the
-descent; `rejected` marks scores below the lowest score that keeps the stated precision on that part.
+Confidence is calibrated on a part of the training documents that is kept out of the descent, over their whole texts, as in
+prediction: a temperature of at least 1 minimises their log loss, and `rejected` marks scores below a floor, the higher of two: the lowest
+score that keeps the stated precision there, and the score that all but `1 - precision` of them reach, so that texts unlike
+all that was learnt are told even where no mistake was seen.
 
-Bounds: at most `max_rows` training documents (those with the smallest hash of doc_id and text), `windows` stretches of
-`width` bytes of each, spread over the whole text. Prediction reads whole texts.
+Bounds: at most `max_rows` training documents (those with the smallest hash of doc_id). Their whole texts are cut into windows
+of `width` bytes, any of which may be learnt from; at most `max_windows` are (those with the smallest hash). Prediction reads
+whole texts.
 
 Defined cases. A row may be learnt from only if doc_id, text and lang are not null and crc32(doc_id as text) mod 4 is not
 2; a null doc_id is not held out and not learnt from. Null texts and texts without a letter: `und`, score 0, rejected. No
@@ -27,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import map_arrow, pieces, prepare, strings, table, utf8
+from .common import lowest, map_arrow, pieces, prepare, saved, strings, table, utf8
 
 ORDERS = (1, 2, 3, 4)
 LETTER = re.compile(r"[^\W\d_]")
@@ -123,54 +126,66 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, max_rows: int = 6_000, windows: int = 3, width: int = 240, buckets: int = 1 << 14, dim: int = 16, epochs: int = 4, least_steps: int = 400, rate: float = 1.0, precision: float = 0.99, seed: int = 7) -> Model | None:
+def calibrated(z: np.ndarray, y: np.ndarray, precision: float) -> tuple[float, float]:
+    """Temperature and floor from logits and classes of texts that were not learnt from."""
+    loss = {t: -np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in np.geomspace(1, 10, 41)}
+    temperature = float(min(loss, key=loss.get))
+    p = softmax(z / temperature)
+    score, right = p.max(axis=1), p.argmax(axis=1) == y
+    order = np.argsort(-score, kind="stable")
+    good = np.flatnonzero(np.cumsum(right[order]) >= precision * np.arange(1, len(order) + 1))
+    exact = score[order][good[-1]] if len(good) else 1.0
+    return temperature, float(max(exact, np.sort(score)[int((1 - precision) * len(score))]))
+
+
+def train(docs: DataFrame, max_rows: int = 6_000, max_windows: int = 18_000, width: int = 240, buckets: int = 1 << 14, dim: int = 16, epochs: int = 4, least_steps: int = 400, rate: float = 1.0, precision: float = 0.99, seed: int = 7) -> Model | None:
     """Fit on rows that are not held out; None if there are none."""
     prepare(docs.sparkSession)
     known = docs.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, ids, parts, marks = [], [], [], []
-        hashes = batch.column("h").to_pylist()
-        for h, i, lang, text in zip(hashes, batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), strings(batch.column("text")), strict=True):
-            if not has_letter(text):
-                continue
-            raw = text.encode()
-            for k in range(windows if len(raw) > width else 1):
-                at = (len(raw) - width) * k // max(1, windows - 1) if len(raw) > width else 0
-                langs.append(lang)
-                ids.append(i)
-                marks.append(h)
-                parts.append(raw[max(at, 0) : max(at, 0) + width])
-        return pa.RecordBatch.from_pydict({"h": pa.array(marks, pa.int64()), "doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "part": pa.array(parts, pa.binary())})
-
-    # TakeOrdered keeps max_rows ids on each side; the texts of the chosen rows alone are cut
-    ids = F.broadcast(known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    chosen = known.join(ids, "doc_id").withColumn("h", F.xxhash64("doc_id", "text"))
-    rows = map_arrow(chosen.select("h", "doc_id", "lang", "text"), cut, "h long, doc_id long, lang string, part binary").orderBy("h", "doc_id", "lang", "part").limit(max_rows * windows).collect()
-    if not rows:
+        langs, parts, marks, places = [], [], [], []
+        for h, lang, text in zip(batch.column("h").to_pylist(), batch.column("lang").to_pylist(), strings(batch.column("text")), strict=True):
+            if has_letter(text):
+                raw = text.encode()
+                for at in range(0, len(raw), width):
+                    langs.append(lang)
+                    marks.append(h)
+                    places.append(at)
+                    parts.append(raw[at : at + width])
+        return pa.RecordBatch.from_pydict({"h": pa.array(marks, pa.int64()), "at": pa.array(places, pa.int64()), "lang": pa.array(langs, pa.string()), "part": pa.array(parts, pa.binary())})
+
+    ids = F.broadcast(lowest(known.select("doc_id").distinct(), max_rows, "doc_id"))  # at most max_rows ids
+    chosen = saved(known.join(ids, "doc_id").withColumn("h", F.xxhash64("doc_id", "text")), "lang-chosen")
+    fifth = F.pmod("h", F.lit(5)) == 0
+    langs = tuple(sorted(r.lang for r in chosen.filter(F.col("text").rlike(r"\p{L}")).select("lang").distinct().collect()))
+    if not langs:
         return None
-    langs = tuple(sorted({r.lang for r in rows}))
     if len(langs) == 1:
         return Model(langs, np.zeros((buckets, 1), np.float32), np.zeros(1), 1.0, 0.0)
+    windows = saved(map_arrow(chosen.select("h", "lang", "text"), cut, "h long, at long, lang string, part binary"), "lang-windows")
+    apart = windows.filter(~fifth).select("lang").distinct().count() == len(langs) and not windows.filter(fifth).isEmpty()
+    rows = lowest(windows.filter(~fifth) if apart else windows, max_windows, "h", "at", "lang", "part").collect()
     y = np.array([langs.index(r.lang) for r in rows])
     grams = [np.concatenate(hashed(np.frombuffer(bytes(r.part), np.uint8), buckets)) for r in rows]
-    check = np.array([r.h % 5 == 0 for r in rows])
-    if check.all() or not check.any() or len(set(y[~check])) < len(langs):
-        check = np.zeros(len(rows), bool)
-    fit = np.flatnonzero(~check)
-    epochs = max(epochs, least_steps * 32 // len(fit))  # small training sets take more turns
-    e, w, b = descend([grams[i] for i in fit], y[fit], len(langs), buckets, dim, epochs, rate, seed)
-    logits = (e @ w).astype(np.float32)
-    left = np.flatnonzero(check) if check.any() else fit
-    z = np.array([logits[grams[i]].mean(axis=0) for i in left]) + b
-    loss = {t: -np.log(softmax(z / t)[np.arange(len(left)), y[left]] + 1e-12).mean() for t in np.geomspace(0.1, 10, 41)}
-    temperature = min(loss, key=loss.get)
-    p = softmax(z / temperature)
-    score, right = p.max(axis=1), p.argmax(axis=1) == y[left]
-    order = np.argsort(-score)
-    good = np.flatnonzero(np.cumsum(right[order]) >= precision * np.arange(1, len(order) + 1))
-    floor = float(score[order][good[-1]]) if len(good) and good[-1] + 1 < len(order) else 1 / len(langs)
-    return Model(langs, logits, b.astype(np.float64), float(temperature), floor)
+    epochs = max(epochs, least_steps * 32 // len(rows))  # small training sets take more turns
+    e, w, b = descend(grams, y, len(langs), buckets, dim, epochs, rate, seed)
+    model = Model(langs, (e @ w).astype(np.float32), b.astype(np.float64), 1.0, 0.0)
+
+    def logits(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([z.tolist() for z in text_logits(batch.column("text"), model)], pa.list_(pa.float64()))], names=["lang", "z"])
+
+    kept = chosen.filter(fifth) if apart else chosen
+    left = lowest(map_arrow(kept.filter(F.col("text").rlike(r"\p{L}")).select("lang", "text"), logits, "lang string, z array<double>"), max_rows, "lang", "z").collect()
+    temperature, floor = calibrated(np.array([r.z for r in left]), np.array([langs.index(r.lang) for r in left]), precision)
+    return model._replace(temperature=temperature, floor=floor)
+
+
+def text_logits(texts: pa.Array, model: Model) -> np.ndarray:
+    """Class logits of whole texts."""
+    data, off = utf8(texts)
+    out = [row_logits(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], model) for lo, hi in pieces(off, 1 << 20)]
+    return np.vstack([np.zeros((0, len(model.langs))), *out]) + model.bias
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -182,12 +197,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         spoken = np.array([has_letter(t) for t in strings(texts)])
         langs, score = np.array(["und"] * len(texts), object), np.zeros(len(texts))
         if model is not None:
-            data, off = utf8(texts)
-            for lo, hi in pieces(off, 1 << 20):
-                z = row_logits(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], model) + model.bias
-                p = softmax(z / model.temperature)
-                langs[lo:hi] = np.array(model.langs, object)[p.argmax(axis=1)]
-                score[lo:hi] = p.max(axis=1)
+            p = softmax(text_logits(texts, model) / model.temperature)
+            langs, score = np.array(model.langs, object)[p.argmax(axis=1)], p.max(axis=1)
             langs[~spoken], score[~spoken] = "und", 0
         sure = score >= model.floor if model is not None else np.zeros(len(texts), bool)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.fill_null(batch.column("held_out"), False), pa.array(list(langs), pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(~(sure & spoken))], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])

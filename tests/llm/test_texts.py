@@ -450,6 +450,41 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang_pred == truth[i] for i, r in got.items() if r.held_out) >= 0.97 * sum(r.held_out for r in got.values())
 
 
+def test_predictions_by_brute_force(spark):
+    """Every n-gram of the whole text looked up one by one; strange texts are rejected, learnt ones are not."""
+    docs, _ = spoken(spark)
+    model = langid.train(docs)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("thingwerschüéà ,1") for _ in range(rng.choice([1, 3, 40, 3000]))) for _ in range(40)] + ["λόγος καὶ ἀριθμός " * 20, "слово и дело " * 20]
+    rows = [(i, t, i, "x") for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, score long, lang_pred string"), model).collect()}
+    for i, t in enumerate(texts):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        z = np.mean([model.logits[g] for h in langid.hashed(raw, len(model.logits)) for g in h], axis=0) + model.bias
+        p = np.exp(z / model.temperature - max(z / model.temperature))
+        p /= p.sum()
+        if langid.has_letter(t):
+            assert abs(got[i].score - p.max()) < 1e-4 and p[model.langs.index(got[i].lang_pred)] > p.max() - 1e-4
+            assert got[i].rejected == (got[i].score < model.floor)
+    assert got[40].rejected and got[41].rejected and 1 / len(model.langs) < model.floor < 1
+    known = [r.rejected for r in langid.identify(docs, model).collect()]
+    assert sum(known) <= 0.05 * len(known)
+
+
+def test_windows_cover_whole_texts_and_ids_of_any_kind(spark):
+    """The only words that tell the languages apart stand at the end of long texts."""
+    rng = random.Random(9)
+    rows = [(f"d{i}", " ".join(rng.choice(["lorem", "ipsum"]) for _ in range(400)) + (" kette kette" if i % 2 else " chaine chaine") * 20, "de" if i % 2 else "fr") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    got = langid.identify(df, langid.train(df, max_windows=3000)).collect()
+    assert sum(r.lang_pred == rows[int(r.doc_id[1:])][2] for r in got) >= 190
+
+
+def test_ties_go_to_the_smaller_code(spark):
+    model = langid.Model(("de", "en"), np.zeros((1 << 10, 2), np.float32), np.zeros(2), 1.0, 0.0)
+    assert [(r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame([(1, "any text")], "doc_id long, text string"), model).collect()] == [("de", 0.5)]
+
+
 def test_labels_of_held_out_rows_are_not_read(spark):
     docs, _ = spoken(spark, 120)
     wrong = docs.withColumn("lang", F.when(langid.held_out(), F.lit("xx")).otherwise(F.col("lang")))
