@@ -225,17 +225,28 @@ class Transducer:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.nexts[at], -1)
 
-    def merged(self, text: str) -> list[str]:
-        """Merging by rank, for the few characters of two pieces."""
-        parts, rank, none = list(text), self.rank, len(self.rank)
-        while len(parts) > 1:
-            ranks = [rank.get(a + b, none) for a, b in zip(parts, parts[1:])]  # noqa: B905
+    def stays(self, text: str, border: int) -> bool:
+        """Does merging text by rank end in just what is before and behind the border (0: in one piece)?"""
+        parts, get, none = list(text), self.rank.get, len(self.rank)
+        ranks = [get(a + b, none) for a, b in zip(parts, parts[1:])]  # noqa: B905
+        left = border  # parts before the border
+        while ranks:
             best = min(ranks)
             if best == none:
                 break
             at = ranks.index(best)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            if at < left:
+                if at == left - 1:
+                    return False  # a merge across the border
+                left -= 1
+            word = parts[at] + parts[at + 1]
+            parts[at : at + 2] = [word]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get(parts[at - 1] + word, none)
+            if at < len(ranks):
+                ranks[at] = get(word + parts[at + 1], none)
+        return len(parts) == 2 and left == 1 if border else len(parts) == 1
 
     def compatible(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """C's finite arcs: may q follow p? p = -1: may q be first? Answers are kept, each pair in a place of its own."""
@@ -248,8 +259,8 @@ class Transducer:
             fits = np.empty(len(new), bool)
             for k, x in enumerate(new.tolist()):
                 a, b = divmod(x, len(self.pieces))
-                want = [self.pieces[b]] if a == 0 else [self.pieces[a - 1], self.pieces[b]]
-                fits[k] = self.merged("".join(want)) == want
+                before = self.pieces[a - 1] if a else ""
+                fits[k] = self.stays(before + self.pieces[b], len(before))
             out[lost] = fits[back]
             self.pair[place[lost]], self.fits[place[lost]] = pair[lost], out[lost]
         return out
