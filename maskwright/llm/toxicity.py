@@ -60,6 +60,9 @@ WIDTH = len(SEED_WORDS) + SUMMARY
 #: Lengths of word beginnings that count as features too: many languages build insults from a stem.
 STEMS = (4, 5, 6, 7)
 
+#: Words that a worker remembers for each language.
+REMEMBERED = 300_000
+
 #: Parts of the labelled documents: the leaning of a document's features is counted over the other parts while fitting.
 PARTS = 5
 
@@ -79,23 +82,27 @@ class Chain:
         return [name for name, _ in self.models]
 
     @cached_property
-    def by_lang(self) -> dict[str, tuple[frozenset[str], dict[str, tuple[tuple[float, float], ...]]]]:
-        """The features that lean towards some category, with the language's own leanings before those of all together."""
+    def by_lang(self) -> dict[str, tuple[dict[str, tuple[tuple[float, float], ...]], dict[str, tuple[str, ...]]]]:
+        """The features that lean towards some category, with the language's own leanings before those of all together; and a
+        memory of words."""
         pooled = self.leaning.get("", {})
-        out = {}
-        for lang, own in self.leaning.items():
-            both = {w: v for w, v in (pooled | own).items() if any(x[0] > 0 for x in v)}
-            out[lang] = frozenset(both), both
-        return out
+        return {lang: ({w: v for w, v in (pooled | own).items() if any(x[0] > 0 for x in v)}, {}) for lang, own in self.leaning.items()}
 
     def design(self, texts: list[str], langs: list[str]) -> np.ndarray:
         """(text, category, column)."""
         out = np.zeros((len(texts), len(CATEGORIES), WIDTH))
-        none = self.by_lang.get("", (frozenset(), {}))
+        none = self.by_lang.get("", ({}, {}))
         for i, (t, lang) in enumerate(zip(texts, langs, strict=True)):
-            names, leaning = self.by_lang.get(lang, none)
-            features = features_of(t)
-            out[i] = design(features, {w: leaning[w] for w in features & names})
+            leaning, known = self.by_lang.get(lang, none)
+            words, found = words_of(t), set()
+            if len(known) > REMEMBERED:
+                known.clear()
+            for w in words:
+                if (some := known.get(w)) is None:
+                    some = known[w] = tuple(x for x in features_of_word(w) if x in leaning)
+                if some:
+                    found.update(some)
+            out[i] = design(words, {w: leaning[w] for w in found})
         return out
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -107,20 +114,27 @@ class Chain:
         return out
 
 
+def words_of(text: str) -> set[str]:
+    return set(WORD.findall(text.lower()))
+
+
+def features_of_word(w: str) -> list[str]:
+    """The word, and beginnings of it, marked by a hyphen; seed words have no beginnings, so that nothing made from them is left
+    where they are withheld."""
+    return [w] if w in ALL_SEEDS else [w, *(f"{w[:k]}-" for k in STEMS if len(w) > k)]
+
+
 def features_of(text: str) -> set[str]:
-    """The distinct words, and beginnings of longer words, marked by a hyphen; seed words have no beginnings, so that nothing
-    made from them is left where they are withheld."""
-    words = set(WORD.findall(text.lower()))
-    return words | {f"{w[:k]}-" for w in words - ALL_SEEDS for k in STEMS if len(w) > k}
+    return {x for w in words_of(text) for x in features_of_word(w)}
 
 
-def design(features: set[str], leaning: dict[str, tuple[tuple[float, float], ...]]) -> np.ndarray:
+def design(words: set[str], leaning: dict[str, tuple[tuple[float, float], ...]]) -> np.ndarray:
     """A row for each category. Presence of the seed words; then, of the log-odds and of those times the share, the highest and
     the mean of the five highest; the highest of the latter up to 1, as one clear word is enough; the sum of the log-odds for
-    each feature; and the length, which lets a model allow for what chance gives in a long text. What is withheld counts for
+    each word; and the length, which lets a model allow for what chance gives in a long text. What is withheld counts for
     nothing."""
     out = np.zeros((len(CATEGORIES), WIDTH))
-    seeds = ALL_SEEDS & features
+    seeds = ALL_SEEDS & words
     for k, hidden in enumerate(WITHHELD):
         for w in seeds - hidden:
             out[k, SEED_WORDS.index(w)] = 1
@@ -129,7 +143,7 @@ def design(features: set[str], leaning: dict[str, tuple[tuple[float, float], ...
         for j in range(2):
             top = heapq.nlargest(5, (x[j] for x in found))
             summary += [max(top, default=0.0), sum(top) / 5]
-        out[k, -SUMMARY:] = [*summary, min(summary[2], 1.0), 10 * sum(x[0] for x in found) / max(len(features), 1), math.log1p(len(features)) / 4]
+        out[k, -SUMMARY:] = [*summary, min(summary[2], 1.0), 4 * sum(x[0] for x in found) / max(len(words), 1), math.log1p(len(words)) / 4]
     return out
 
 
