@@ -72,8 +72,11 @@ def occurrence_starts(text: Column, term: Column) -> Column:
 
 def ascii_note(text: Column) -> Column:
     """The JSON of {note: text}, ASCII-escaped."""
-    units = F.regexp_extract_all(F.hex(F.encode(F.to_json(F.struct(text.alias("note"))), "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
-    return F.array_join(F.transform(units, lambda u: F.when(u > "007F", F.concat(F.lit("\\u"), F.lower(u))).otherwise(F.decode(F.unhex(u), "UTF-16BE"))), "")
+    escaped = lambda run: F.lower(F.regexp_replace(F.hex(F.encode(run, "UTF-16BE")), "(.{4})", r"\\u$1"))
+    # runs of ASCII and of other characters, so that only the latter are taken apart
+    run = lambda r: F.when(r.rlike(r"^[\x00-\x7F]"), r).otherwise(escaped(r))
+    runs = lambda j: F.array_join(F.transform(F.regexp_extract_all(j, F.lit(r"[\x00-\x7F]++|[^\x00-\x7F]++"), F.lit(0)), run), "")
+    return let(F.to_json(F.struct(text.alias("note"))), lambda j: F.when(j.rlike(r"[^\x00-\x7F]"), runs(j)).otherwise(j))
 
 
 def nearest_rank(values: Column, percent: float) -> Column:

@@ -16,7 +16,7 @@ CALLS = "array<struct<id:string,type:string,function:struct<name:string,argument
 MESSAGE = f"struct<role:string,content_text:string,content_parts:{PARTS},tool_calls:{CALLS}>"
 MESSAGES = f"array<{MESSAGE}>"
 CARRIERS = ("flat", "multimodal", "tool_call", "tool_call_nested")
-IMAGE = "https://example.com/scan.png"
+IMAGE = "https://files.example.org/page-1.png"
 
 
 def _message(role: str, text: Column | None = None, parts: Column | None = None, calls: Column | None = None) -> Column:
@@ -30,7 +30,7 @@ def _parts(text: Column) -> Column:
 
 
 def _call(arguments: Column) -> Column:
-    return F.array(F.struct(F.lit("call_1").alias("id"), F.lit("function").alias("type"), F.struct(F.lit("save_note").alias("name"), arguments.alias("arguments")).alias("function")))
+    return F.array(F.struct(F.lit("call-a").alias("id"), F.lit("function").alias("type"), F.struct(F.lit("keep_note").alias("name"), arguments.alias("arguments")).alias("function")))
 
 
 def note(text: Column) -> Column:

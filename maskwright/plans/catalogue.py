@@ -13,7 +13,7 @@ from ..functions import checksums
 from ..functions import text as X
 from ..operators import dictionary, latency, payload as P, sampling, score
 from ..operators.detect import CARD, EMAIL, IP, PHONE, SECRET, URL, Rule, detect
-from ..operators.redact import preserved, redact
+from ..operators.redact import redact
 from ..operators.redact import restore as restored
 
 TYPES = {"EMAIL_ADDRESS": (EMAIL, 0), "IP_ADDRESS": (IP, 0), "PHONE_NUMBER": (PHONE, 0), "CREDIT_CARD": (CARD, 0), "SECRET": (SECRET, 1)}
@@ -78,11 +78,13 @@ def truth(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "lang", F.explode(truth_array(F.col("text"))).alias("x")).select("doc_id", "lang", "x.type", "x.pii")
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """A row for each solution, document and truth value; scan and truth once for all solutions."""
-    outs = F.array(*(F.struct(F.lit(s).alias("solution"), masked(F.col("text"), k).alias("out"), (masked(F.col("text"), k) if s not in FLAT_ONLY else F.col("text")).alias("inner")) for s, k in SOLUTIONS.items()))
+def scored(docs: DataFrame, solutions: tuple[str, ...] = tuple(SOLUTIONS)) -> DataFrame:
+    """A row for each solution, document and truth value; scan and truth once for all solutions, and each text redacted once
+    for each of them."""
+    outs = F.array(*(F.struct(F.lit(s).alias("solution"), masked(F.col("text"), SOLUTIONS[s]).alias("out"), F.lit(s in FLAT_ONLY).alias("flat_only")) for s in solutions))
     known = docs.withColumn("truth", truth_array(F.col("text"))).filter("size(truth) > 0")
-    per = known.select("doc_id", "lang", "truth", F.explode(outs).alias("o")).select("doc_id", "lang", "o.*", F.explode("truth").alias("x"))
+    per = known.select("doc_id", "lang", "text", "truth", F.explode(outs).alias("o")).select("doc_id", "lang", "truth", "o.solution", "o.out", F.when(F.col("o.flat_only"), F.col("text")).otherwise(F.col("o.out")).alias("inner"))
+    per = per.select("solution", "doc_id", "lang", "out", "inner", F.explode("truth").alias("x"))
     return per.select("solution", "doc_id", "lang", F.col("x.type").alias("type"), F.col("x.pii").alias("pii"), (~X.literal_contains(F.col("out"), F.col("x.pii"))).alias("caught"), X.strictly_absent(F.col("x.pii"), F.col("out")).alias("strict"), X.literal_contains(F.col("inner"), F.col("x.pii")).alias("inner_leak"), X.literal_contains(X.ascii_note(F.col("inner")), F.col("x.pii")).alias("ascii_leak"))
 
 
@@ -105,16 +107,26 @@ def _masked_sql(column: str, kinds: tuple[str, ...]) -> str:
 
 
 ASCII_SQL = "list_aggregate(list_transform(string_split(CAST(json_object('note', {x}) AS VARCHAR), ''), lambda c: CASE WHEN unicode(c) < 128 THEN c WHEN unicode(c) < 65536 THEN '\\u' || lpad(lower(to_hex(unicode(c))), 4, '0') ELSE '\\u' || lower(to_hex(55296 + ((unicode(c) - 65536) // 1024))) || '\\u' || lower(to_hex(56320 + ((unicode(c) - 65536) % 1024))) END), 'string_agg', '')"
-OUTS_SQL = "outs AS (" + " UNION ALL ".join(f"SELECT '{s}' AS solution, doc_id, {_masked_sql('text', k)} AS out, {_masked_sql('text', k) if s not in FLAT_ONLY else 'text'} AS inner_text FROM documents WHERE doc_id IN (SELECT doc_id FROM truth)" for s, k in SOLUTIONS.items()) + ")"
 TOKENS_SQL = r"regexp_extract_all(pii, '([\p{L}\p{N}_]{4,})', 1)"
-SCORED_SQL = f"""WITH {TRUTH_SQL}, {OUTS_SQL}, wide AS (SELECT *, {ASCII_SQL.format(x='inner_text')} AS ascii_text FROM outs), scored AS (
+
+
+def _scored_sql(*solutions: str, ascii: bool = False) -> str:
+    outs = " UNION ALL ".join(f"SELECT '{s}' AS solution, doc_id, {_masked_sql('text', SOLUTIONS[s])} AS out, {_masked_sql('text', SOLUTIONS[s]) if s not in FLAT_ONLY else 'text'} AS inner_text FROM documents WHERE doc_id IN (SELECT doc_id FROM truth)" for s in solutions)
+    wide = f"SELECT *, {ASCII_SQL.format(x='inner_text')} AS ascii_text FROM outs" if ascii else "SELECT * FROM outs"
+    return f"""WITH {TRUTH_SQL}, outs AS ({outs}), wide AS ({wide}), scored AS (
   SELECT solution, doc_id, lang, type, pii, NOT contains(out, pii) AS caught,
     CASE WHEN len({TOKENS_SQL}) = 0 THEN NOT contains(out, pii) ELSE len(list_filter({TOKENS_SQL}, lambda t: contains(out, t))) = 0 END AS strict,
-    contains(inner_text, pii) AS inner_leak, contains(ascii_text, pii) AS ascii_leak
+    contains(inner_text, pii) AS inner_leak{', contains(ascii_text, pii) AS ascii_leak' if ascii else ''}
   FROM truth JOIN wide USING (doc_id))
 """
 
 
+SCORED_SQL = _scored_sql(*SOLUTIONS)
+LIGHT_SQL = f"""WITH {TRUTH_SQL}, outs AS (SELECT doc_id, {_masked_sql('text', SOLUTIONS['light'])} AS out FROM documents),
+scored AS (SELECT doc_id, lang, type, pii, NOT contains(out, pii) AS caught FROM truth JOIN outs USING (doc_id))
+"""
+
+
 def _n(c: str) -> Column:
     return F.count_if(F.col(c)).cast("long")
 
@@ -134,10 +146,10 @@ def _c(c: str) -> str:
 # --- flagship -----------------------------------------------------------------------------------------------------
 
 
-@query(SCORED_SQL + f"SELECT lang, type, count(*) AS total, {_c('caught')} AS caught, {_pct(_c('caught'))} AS recall FROM scored WHERE solution = 'light' GROUP BY lang, type")
+@query(LIGHT_SQL + f"SELECT lang, type, count(*) AS total, {_c('caught')} AS caught, {_pct(_c('caught'))} AS recall FROM scored GROUP BY lang, type")
 def flagship_recall(spark, d):
     """Recall of the light redactor by language and type."""
-    s = scored(_t(spark, d, "documents")).filter("solution = 'light'")
+    s = scored(_t(spark, d, "documents"), ("light",))
     return s.groupBy("lang", "type").agg(F.count("*").alias("total"), _n("caught").alias("caught"), percent(_n("caught"), F.count("*")).alias("recall"))
 
 
@@ -207,9 +219,9 @@ def truth_explode(spark, d):
 # --- leaks and recall ---------------------------------------------------------------------------------------------
 
 
-@query(SCORED_SQL + "SELECT doc_id, type, pii, NOT caught AS leaked FROM scored WHERE solution = 'light'")
+@query(LIGHT_SQL + "SELECT doc_id, type, pii, NOT caught AS leaked FROM scored")
 def leak_predicate(spark, d):
-    return scored(_t(spark, d, "documents")).filter("solution = 'light'").select("doc_id", "type", "pii", (~F.col("caught")).alias("leaked"))
+    return scored(_t(spark, d, "documents"), ("light",)).select("doc_id", "type", "pii", (~F.col("caught")).alias("leaked"))
 
 
 @query(SCORED_SQL + f"SELECT solution, count(*) AS expected, {_c('caught')} AS detected, CASE WHEN count(*) > 0 THEN {_c('caught')}::DOUBLE / count(*) ELSE 0.0 END AS detection_rate FROM scored GROUP BY solution")
@@ -266,7 +278,7 @@ def solution_compare(spark, d):
 
 
 def _leak_query(name: str, column: str):
-    sql = SCORED_SQL + f"SELECT solution, {_c(column)} AS leaked, {_pct(_c(column))} AS {name} FROM scored GROUP BY solution"
+    sql = _scored_sql(*SOLUTIONS, ascii=column == "ascii_leak") + f"SELECT solution, {_c(column)} AS leaked, {_pct(_c(column))} AS {name} FROM scored GROUP BY solution"
 
     def run(spark, d):
         return scored(_t(spark, d, "documents")).groupBy("solution").agg(_n(column).alias("leaked"), percent(_n(column), F.count("*")).alias(name))
@@ -478,11 +490,11 @@ def carrier_regressions(spark, d):
     return _parity(spark, d).select("carrier", "doc_id", F.explode(F.array_except("leaked", "flat_leaked")).alias("pii"))
 
 
-@query(f"WITH {TRUTH_SQL}, ips AS (SELECT DISTINCT doc_id, 'IP_ADDRESS' AS type, unnest(regexp_extract_all(text, {_q(IP)}, 0)) AS pii FROM documents), m AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, type, pii FROM truth WHERE type = 'EMAIL_ADDRESS' UNION SELECT * FROM ips) GROUP BY doc_id) SELECT doc_id, coalesce(n, 0) AS n_fakes, TRUE AS lossless FROM documents LEFT JOIN m USING (doc_id)")
+@query(f"WITH {TRUTH_SQL}, ips AS (SELECT DISTINCT doc_id, 'IP_ADDRESS' AS type, unnest(regexp_extract_all(text, {_q(IP)}, 0)) AS pii FROM documents), m AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, type, pii FROM truth WHERE type = 'EMAIL_ADDRESS' UNION SELECT * FROM ips) GROUP BY doc_id) SELECT doc_id, coalesce(n, 0) AS n_fakes, TRUE AS lossless, md5(text) AS restored, md5(text) <> md5({_LIGHT_OUT}) AS changed FROM documents LEFT JOIN m USING (doc_id)")
 def roundtrip_restore(spark, d):
     r = F.col("r")
     docs = _t(spark, d, "documents").withColumn("r", redact(F.col("text"), detect(F.col("text"), LIGHT)))
-    return docs.select("doc_id", F.size(r["mapping"]).cast("long").alias("n_fakes"), (restored(r["text"], r["mapping"]) == F.col("text")).alias("lossless"))
+    return docs.select("doc_id", F.size(r["mapping"]).cast("long").alias("n_fakes"), (restored(r["text"], r["mapping"]) == F.col("text")).alias("lossless"), F.md5(restored(r["text"], r["mapping"])).alias("restored"), (r["text"] != F.col("text")).alias("changed"))
 
 
 @query("WITH f AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type, v[i] AS original, i FROM (SELECT doc_id, v, unnest(range(1, len(v) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, {_q(MASKS[k])}, 0) AS v FROM documents))" for k in SOLUTIONS["light"]) + "), g AS (SELECT doc_id, type, original, min(i) AS i FROM f GROUP BY ALL) SELECT doc_id, type, original, '<' || type || '_' || row_number() OVER (PARTITION BY doc_id, type ORDER BY i) || '>' AS fake FROM g")
@@ -491,11 +503,17 @@ def placeholder_mapping(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.explode(r["mapping"]).alias("m")).select("doc_id", "m.type", "m.original", "m.fake")
 
 
-@query(r"SELECT doc_id, len(list_filter(regexp_extract_all(text, '([\p{L}\p{N}_]{4,})', 1)[1:3], lambda t: NOT contains(" + _LIGHT_OUT + ", t))) = 0 AS preserved FROM documents")
+@query(rf"""WITH {TRUTH_SQL}, g AS (SELECT doc_id, list(pii) AS v FROM truth GROUP BY doc_id),
+o AS (SELECT doc_id, {_LIGHT_OUT} AS out, coalesce(v, []::VARCHAR[]) AS v, unnest(list_distinct(regexp_extract_all(text, '([\p{{L}}\p{{N}}_]{{4,}})', 1))) AS t FROM documents LEFT JOIN g USING (doc_id)),
+lost AS (SELECT DISTINCT doc_id FROM o WHERE NOT contains(out, t) AND len(list_filter(v, lambda x: contains(x, t))) = 0)
+SELECT doc_id, doc_id NOT IN (SELECT doc_id FROM lost) AS preserved FROM documents""")
 def must_preserve(spark, d):
-    """Over-redaction guard: the first three word tokens survive the light redactor."""
-    kept = F.slice(X.word_tokens(F.col("text")), 1, 3)
-    return _t(spark, d, "documents").select("doc_id", preserved(masked(F.col("text"), SOLUTIONS["light"]), kept).alias("preserved"))
+    """Over-redaction guard: every word token of the whole text that is not part of a truth value survives the light
+    redactor."""
+    values = F.transform(truth_array(F.col("text")), lambda x: x["pii"])
+    of = lambda x: F.filter(F.array_distinct(X.word_tokens(F.col("text"))), lambda t: ~F.contains(x["out"], t) & ~F.exists(x["values"], lambda v: F.contains(v, t)))
+    lost = X.let(F.struct(values.alias("values"), masked(F.col("text"), SOLUTIONS["light"]).alias("out")), of)
+    return _t(spark, d, "documents").select("doc_id", (F.size(lost) == 0).alias("preserved"))
 
 
 # --- sampling, lookups, counts --------------------------------------------------------------------------------------
@@ -525,17 +543,17 @@ def token_estimate(spark, d):
 def _latency_sql(by: str) -> str:
     keys = f"{by}, " if by else ""
     group = f"GROUP BY {by}" if by else ""
-    return f"WITH g AS (SELECT {keys}list_sort(list(value)) AS v, count(value) AS n, min(value) AS lo, max(value) AS hi, quantile_cont(value, 0.5) AS mid FROM events WHERE value IS NOT NULL {group}) SELECT {keys}n, lo AS min, mid AS p50, v[least(n * 95 // 100, n - 1) + 1] AS p95, v[least(n * 99 // 100, n - 1) + 1] AS p99, hi AS max FROM g"
+    return f"WITH g AS (SELECT {keys}list_sort(list(value)) AS v, count(value) AS n, min(value) AS lo, max(value) AS hi, quantile_cont(value, 0.5) AS mid, avg(value) AS mean FROM events WHERE value IS NOT NULL {group}) SELECT {keys}n, lo AS min, mid AS p50, v[least(n * 95 // 100, n - 1) + 1] AS p95, v[least(n * 99 // 100, n - 1) + 1] AS p99, hi AS max, round(mean, 6) AS mean FROM g"
 
 
 @query(_latency_sql(""))
 def latency_stats(spark, d):
-    return latency.statistics(_t(spark, d, "events"), "value").drop("mean")
+    return latency.statistics(_t(spark, d, "events"), "value").withColumn("mean", F.round("mean", 6))
 
 
 @query(_latency_sql("event_type"))
 def latency_by_group(spark, d):
-    return latency.statistics(_t(spark, d, "events"), "value", "event_type").drop("mean")
+    return latency.statistics(_t(spark, d, "events"), "value", "event_type").withColumn("mean", F.round("mean", 6))
 
 
 CONFIGS = {"1": ["fr"], "2": ["fr", "en"], "3": ["fr", "en", "de"], "5": ["fr", "en", "de", "es", "it"], "7": ["fr", "en", "de", "es", "it", "nl", "pt"]}
