@@ -154,9 +154,17 @@ def pandas_detector(name: str, fn: Callable[[list[str]], list[list[tuple[str, st
     return Opaque(name)
 
 
+#: What stands in for a missing language, by use.
+DEFAULT_LANGUAGES = {"engine": "fr", "result": "?", "clean": "en"}
+
+
+def default_language(lang: Column, use: str) -> Column:
+    return F.coalesce(lang, F.lit(DEFAULT_LANGUAGES[use]))
+
+
 def languages(lang: Column) -> Column:
     """The languages to try for a document: its own, then English."""
-    return F.array_distinct(F.array(F.coalesce(lang, F.lit("fr")), F.lit("en")))
+    return F.array_distinct(F.array(default_language(lang, "engine"), F.lit("en")))
 
 
 def first_language(langs: Column, lang: Column) -> Column:

@@ -1,10 +1,11 @@
 """Dictionary of many terms against many documents, as an equi-join.
 
-A term of three words or more has words that are whole inside it (all but its first and last). Up to three of these make a
-key; a document can hold the term only if its own words hold the key at some place. Documents' word runs are joined with the
-terms' keys (Spark broadcasts the keys if their measured size allows), and literal search confirms. Shorter terms have no
-such key. Up to SHORT of them are tried on every document; beyond that their key is their first GRAM characters (all, if there
-are fewer), joined with the documents' character runs of these lengths.
+A term of three words or more has words that are whole inside it (all but its first and last). Of the runs of three of
+these (of all of them, if they are fewer), the one that the fewest terms share is its key; a document can hold the term only if its
+own words hold the key at some place. Documents' word runs, of the lengths that keys have, are joined with the terms' keys (Spark broadcasts
+the keys if their measured size allows), and literal search confirms. Shorter terms have no such key. Up to SHORT of them are
+tried on every document; beyond that their key is their first GRAM characters (all, if there are fewer), joined with the
+documents' character runs of these lengths.
 """
 
 from __future__ import annotations
@@ -21,6 +22,22 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def _runs(column: str, n: int) -> Column:
+    """A 64-bit name for each run of n elements; equal names are confirmed literally later."""
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(column) - n, F.lit(0))), lambda i: i <= F.size(column) - n)
+    return F.transform(starts, lambda i: F.xxhash64(*(F.get(column, i + k) for k in range(n))))
+
+
+def _keys(terms: DataFrame) -> DataFrame:
+    """item_id, term, key, n (words of the key) from item_id, term, inner: the run that the fewest terms share."""
+    run = lambda n: F.transform(_runs("inner", n), lambda r: F.struct(F.lit(n).alias("n"), r.alias("key")))
+    # shorter runs only where there is no longer one
+    each = terms.select("item_id", "term", F.explode(F.array_distinct(F.when(F.size("inner") >= 3, run(3)).when(F.size("inner") == 2, run(2)).otherwise(run(1)))).alias("r")).select("item_id", "term", "r.n", "r.key")
+    shared = each.groupBy("key").agg(F.count("*").alias("terms"))
+    best = each.join(shared, "key").groupBy("item_id", "term").agg(F.min(F.struct("terms", "key", "n")).alias("m"))
+    return best.select("item_id", "term", "m.key", "m.n")
+
+
 def _short_pairs(docs: DataFrame, short: DataFrame) -> DataFrame:
     """doc_id, item_id, term, text for every document that holds a term, by an equi-join on characters."""
     terms = short.withColumn("key", F.substring("term", 1, GRAM))
@@ -36,12 +53,13 @@ def _short_pairs(docs: DataFrame, short: DataFrame) -> DataFrame:
 def hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, item_id, n_hits, starts for every document (doc_id, text) that holds a term (item_id, text)."""
     given = terms.filter("text is not null and text <> ''").select("item_id", F.col("text").alias("term"))
-    keyed = given.withColumn("inner", F.slice(F.split("term", r"\s+"), 2, F.greatest(F.size(F.split("term", r"\s+")) - 2, F.lit(0))))
-    keyed = keyed.withColumn("inner", F.slice("inner", 1, 3))
-    long = keyed.filter("size(inner) > 0").select("item_id", "term", F.array_join("inner", " ").alias("key"))
-    words = docs.filter("text is not null").select("doc_id", "text", _words(F.col("text")).alias("w"))
-    runs = lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: (i >= 1) & (i <= F.size("w") - n + 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
-    keys = words.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*(F.when(F.size("w") >= n, runs(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)))))).alias("key"))
+    words_of = F.split("term", r"\s+")
+    keyed = given.withColumn("inner", F.slice(words_of, 2, F.greatest(F.size(words_of) - 2, F.lit(0))))
+    long = _keys(keyed.filter("size(inner) > 0"))
+    lengths = sorted(r[0] for r in long.select("n").distinct().collect())  # three values at most
+    words = docs.filter("text is not null").select("doc_id", _words(F.col("text")).alias("w"))
+    keys = words.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*(_runs("w", n) for n in lengths)).cast("array<array<bigint>>")))).alias("key"))
+    long = long.drop("n")
     pairs = keys.join(long, "key").select("doc_id", "item_id", "term").distinct()
     found = pairs.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("term")))
     short = keyed.filter("size(inner) = 0").select("item_id", "term").limit(SHORT + 1).collect()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import checksums
 from ..functions import text as X
 from ..operators import dictionary, latency, payload as P, sampling, score
-from ..operators.detect import CARD, EMAIL, IP, PHONE, SECRET, URL, Rule, detect
+from ..operators.detect import ALLOWLIST, CARD, EMAIL, IP, PHONE, REGISTRY, SECRET, URL, Rule, default_language, detect
 from ..operators.redact import redact
 from ..operators.redact import restore as restored
 
@@ -97,7 +97,11 @@ def _values_sql(kind: str) -> str:
     return f"list_filter({found}, lambda v: {LUHN_SQL.format(v='v')})" if kind == "CREDIT_CARD" else found
 
 
-TRUTH_SQL = "truth AS (" + " UNION ALL ".join(f"SELECT DISTINCT doc_id, lang, '{k}' AS type, unnest({_values_sql(k)}) AS pii FROM documents" for k in TYPES) + ")"
+def _truth_sql(columns: str, table: str) -> str:
+    return "truth AS (" + " UNION ALL ".join(f"SELECT DISTINCT {columns}, '{k}' AS type, unnest({_values_sql(k)}) AS pii FROM {table}" for k in TYPES) + ")"
+
+
+TRUTH_SQL = _truth_sql("doc_id, lang", "documents")
 
 
 def _masked_sql(column: str, kinds: tuple[str, ...]) -> str:
@@ -156,14 +160,15 @@ def flagship_recall(spark, d):
 # --- detection ----------------------------------------------------------------------------------------------------
 
 
-def _detections(spark, d, rule: Rule) -> DataFrame:
+def _detections(spark, d, rule: Rule, text: str = "text") -> DataFrame:
+    """text: an expression over documents, for kinds of values that the tables lack."""
     spans = detect(F.col("text"), [rule])
-    return _t(spark, d, "documents").select("doc_id", F.posexplode(spans).alias("ord", "s")).select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("s.text").alias("pii"), F.col("s.start").cast("long").alias("start"))
+    return _t(spark, d, "documents").select("doc_id", F.expr(text).alias("text")).select("doc_id", F.posexplode(spans).alias("ord", "s")).select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("s.text").alias("pii"), F.col("s.start").cast("long").alias("start"))
 
 
-def _detect_sql(pattern: str, group: int = 0, lead: int = 0, where: str = "TRUE") -> str:
+def _detect_sql(pattern: str, group: int = 0, lead: int = 0, where: str = "TRUE", text: str = "text") -> str:
     """Starts from the lengths of pieces and matches before; lead: length of what stands before the group."""
-    return f"""WITH m AS (SELECT doc_id, regexp_extract_all(text, {_q(pattern)}, 0) AS w, regexp_extract_all(text, {_q(pattern)}, {group}) AS v, string_split_regex(text, {_q(pattern.replace('(', '(?:', 1) if group else pattern)}) AS p FROM documents),
+    return f"""WITH m AS (SELECT doc_id, regexp_extract_all(text, {_q(pattern)}, 0) AS w, regexp_extract_all(text, {_q(pattern)}, {group}) AS v, string_split_regex(text, {_q(pattern.replace('(', '(?:', 1) if group else pattern)}) AS p FROM (SELECT doc_id, {text} AS text FROM documents)),
 k AS (SELECT doc_id, unnest(range(1, len(v) + 1)) AS k, w, v, p FROM m WHERE len(v) > 0),
 f AS (SELECT doc_id, k, v[k] AS pii, CAST(list_sum(list_transform(p[1:k], lambda x: len(x))) + coalesce(list_sum(list_transform(w[1:k-1], lambda x: len(x))), 0) + {lead} AS BIGINT) AS start FROM k)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS ord, pii, start FROM f WHERE {where}"""
@@ -194,6 +199,38 @@ def detect_card_luhn(spark, d):
     return _detections(spark, d, Rule("card", "CREDIT_CARD", CARD, valid=checksums.luhn))
 
 
+# Values of the kinds below are made from doc_id, good and bad ones, by expressions that both engines know.
+_DIGITS = "lpad(CAST(doc_id AS VARCHAR(20)), 18, '0')"
+_IBAN_CHECK = f"(98 - CAST(concat({_DIGITS}, '131400') AS DECIMAL(38, 0)) % 97 + doc_id % 3) % 98"
+IBAN_TEXT = f"concat(text, ' to DE', lpad(CAST(CAST({_IBAN_CHECK} AS INTEGER) AS VARCHAR(9)), 2, '0'), {_DIGITS}, ' now')"
+SSN_TEXT = "concat(text, ' ssn ', lpad(CAST(doc_id * 37 % 1000 AS VARCHAR(9)), 3, '0'), '-', lpad(CAST(doc_id % 50 AS VARCHAR(9)), 2, '0'), '-', lpad(CAST(doc_id % 10000 AS VARCHAR(9)), 4, '0'), '.')"
+_NHS = "lpad(CAST(doc_id * 7919 % 1000000000 AS VARCHAR(20)), 9, '0')"
+_NHS_SUM = " + ".join(f"CAST(substr({_NHS}, {i}, 1) AS INTEGER) * {11 - i}" for i in range(1, 10))
+NHS_TEXT = f"concat(text, ' nhs ', substr({_NHS}, 1, 3), ' ', substr({_NHS}, 4, 3), ' ', substr({_NHS}, 7, 3), CAST((11 - ({_NHS_SUM}) % 11 + doc_id % 2) % 11 % 10 AS VARCHAR(9)), '.')"
+DATE_TEXT = "concat(text, ' on 2024-0', CAST(doc_id % 9 + 1 AS VARCHAR(9)), '-1', CAST(doc_id % 10 AS VARCHAR(9)), ' or ', CAST(doc_id % 28 + 1 AS VARCHAR(9)), CASE WHEN doc_id % 2 = 0 THEN '/' ELSE '.' END, '7.1999')"
+_PLAIN = "replace(pii, ' ', '')"
+
+
+@query(_detect_sql(REGISTRY["iban"].pattern, text=IBAN_TEXT, where=f"length({_PLAIN}) >= 15 AND list_reduce(list_concat([0], list_transform(string_split(substr({_PLAIN}, 5) || substr({_PLAIN}, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN CAST(ascii(c) - 48 AS INTEGER) ELSE CAST(ascii(c) - 55 AS INTEGER) END)), lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1"))
+def detect_iban(spark, d):
+    return _detections(spark, d, REGISTRY["iban"], IBAN_TEXT)
+
+
+@query(_detect_sql(REGISTRY["ssn"].pattern, text=SSN_TEXT, where="substr(pii, 1, 3) NOT IN ('000', '666') AND pii[1] <> '9' AND substr(pii, 5, 2) <> '00' AND substr(pii, 8) <> '0000'"))
+def detect_ssn(spark, d):
+    return _detections(spark, d, REGISTRY["ssn"], SSN_TEXT)
+
+
+@query(_detect_sql(REGISTRY["nhs"].pattern, text=NHS_TEXT, where="(11 - list_sum(list_transform(range(1, 10), lambda i: CAST(substr(replace(pii, ' ', ''), CAST(i AS INTEGER), 1) AS INTEGER) * (11 - i))) % 11) % 11 = CAST(pii[-1] AS INTEGER)"))
+def detect_nhs(spark, d):
+    return _detections(spark, d, REGISTRY["nhs"], NHS_TEXT)
+
+
+@query(_detect_sql(REGISTRY["date"].pattern, text=DATE_TEXT))
+def detect_date(spark, d):
+    return _detections(spark, d, REGISTRY["date"], DATE_TEXT)
+
+
 @query(f"WITH u AS (SELECT page_id, regexp_extract_all(url || ' ' || html, {_q(URL)}, 0) AS v FROM pages) SELECT page_id, unnest(range(0, len(v))) AS ord, unnest(v) AS url FROM u WHERE len(v) > 0")
 def detect_url(spark, d):
     found = F.regexp_extract_all(F.concat("url", F.lit(" "), "html"), F.lit(URL), F.lit(0))
@@ -511,7 +548,9 @@ def must_preserve(spark, d):
     """Over-redaction guard: every word token of the whole text that is not part of a truth value survives the light
     redactor."""
     values = F.transform(truth_array(F.col("text")), lambda x: x["pii"])
-    of = lambda x: F.filter(F.array_distinct(X.word_tokens(F.col("text"))), lambda t: ~F.contains(x["out"], t) & ~F.exists(x["values"], lambda v: F.contains(v, t)))
+    # tokens of the output are there; only the others are looked for
+    missing = lambda x: F.array_except(X.word_tokens(F.col("text")), X.word_tokens(x["out"]))
+    of = lambda x: F.filter(missing(x), lambda t: ~F.contains(x["out"], t) & ~F.exists(x["values"], lambda v: F.contains(v, t)))
     lost = X.let(F.struct(values.alias("values"), masked(F.col("text"), SOLUTIONS["light"]).alias("out")), of)
     return _t(spark, d, "documents").select("doc_id", (F.size(lost) == 0).alias("preserved"))
 
@@ -594,3 +633,150 @@ def label_mapping(spark, d):
     mask = F.transform(truth_array(F.col("text")), lambda x: F.struct(F.element_at(label, x["type"]).alias("label"), x["pii"].alias("value")))
     spans = _t(spark, d, "documents").select(F.explode(sampling.gold_spans(mask)).alias("s"))
     return spans.groupBy(F.col("s.type").alias("type")).agg(F.count("*").alias("spans"))
+
+
+_LABELS_SQL = ", ".join(f"('{k}', '{v}')" for k, v in sampling.LABEL_TYPES.items())
+OTHER_LABELS = ("NONESUCH", "AGE", "email", "")
+
+
+@query(f"WITH t(label, type) AS (VALUES {_LABELS_SQL}), n(label) AS (SELECT label FROM t UNION ALL VALUES {', '.join(f'({_q(x)})' for x in OTHER_LABELS)}), d AS (SELECT count(*) AS docs, CAST(sum(length(text) % 7) AS BIGINT) AS weight FROM documents) SELECT label, type, docs, weight FROM n LEFT JOIN t USING (label), d")
+def label_types(spark, d):
+    """The type of every source label, of the whole table, and of labels that it lacks (null)."""
+    names = F.array(*map(F.lit, (*sampling.LABEL_TYPES, *OTHER_LABELS)))
+    total = _t(spark, d, "documents").agg(F.count("*").alias("docs"), F.sum(F.length("text") % 7).cast("long").alias("weight"))
+    return total.select(F.explode(names).alias("label"), "docs", "weight").select("label", sampling.mapped_type(F.col("label")).alias("type"), "docs", "weight")
+
+
+@query("WITH q AS (SELECT doc_id, lang FROM documents WHERE length(text) BETWEEN 150 AND 1200 AND len(regexp_extract_all(text, '[^\\s]*[0-9][^\\s]*', 0)) >= 4), w AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS rn, count(*) OVER (PARTITION BY lang) AS n FROM q) SELECT doc_id, lang FROM w WHERE rn % greatest(1, n // 30) = 0 AND rn // greatest(1, n // 30) < 30")
+def quality_sample(spark, d):
+    """Evenly spaced documents of the right length that hold four spans at least (here: words with digits)."""
+    spans = F.regexp_extract_all("text", F.lit(r"[^\s]*[0-9][^\s]*"), F.lit(0))
+    docs = _t(spark, d, "documents").filter(sampling.in_quality(F.col("text"), spans)).select("doc_id", "lang")
+    return sampling.even_sample(docs, 30, "lang", F.col("doc_id"))
+
+
+# --- policies on real payloads ------------------------------------------------------------------------------------------
+
+WIDE = (*LIGHT, Rule("url", "URL", URL, guard="://"), Rule("guess", "FINANCIAL", "[0-9]{5}", score=0.3))
+
+
+@query(f"SELECT policy, type, count(*) AS n FROM (SELECT unnest(['all', 'allowlist']) AS policy, 'EMAIL_ADDRESS' AS type, text FROM (SELECT unnest(regexp_extract_all(text, {_q(EMAIL)}, 0)) AS text FROM documents) UNION ALL SELECT unnest(['all', 'allowlist']), 'IP_ADDRESS', text FROM (SELECT unnest(regexp_extract_all(text, {_q(IP)}, 0)) AS text FROM documents) UNION ALL SELECT 'all', 'URL', unnest(regexp_extract_all(text, {_q(URL)}, 0)) FROM documents) GROUP BY ALL")
+def detect_allowed(spark, d):
+    """Spans by type with and without the allowlist; a detector of low score is never heard."""
+    named = lambda policy: lambda s: F.struct(F.lit(policy).alias("policy"), s["type"].alias("type"))
+    spans = F.concat(*(F.transform(detect(F.col("text"), WIDE, allow=allow), named(policy)) for policy, allow in (("all", None), ("allowlist", ALLOWLIST))))
+    return _t(spark, d, "documents").select(F.explode(spans).alias("s")).groupBy("s.policy", "s.type").agg(F.count("*").alias("n"))
+
+
+POLICIES = {"allowlisted": (WIDE, ALLOWLIST, True), "flat_only": (LIGHT, None, False), "structured": (LIGHT, None, True)}
+
+
+@query(f"""WITH {TRUTH_SQL}, o AS (SELECT doc_id, text, {_LIGHT_OUT} AS out FROM documents), p AS (
+  SELECT policy, pii, contains(CASE policy WHEN 'flat_only' THEN text ELSE out END, pii) AS leak, NOT contains(out, pii) AS caught FROM truth JOIN o USING (doc_id), (SELECT unnest({sorted(POLICIES)!r}) AS policy))
+SELECT policy, count(*) AS labels, {_c('leak')} AS tool_leaks, {_c('leak')} AS mm_leaks, {_c('caught')} AS caught, {_c('caught AND NOT leak')} AS protected, {_pct(_c('caught AND NOT leak'), _c('caught'))} AS tool_protection FROM p GROUP BY policy""")
+def carrier_policies(spark, d):
+    """The redactor itself, by policy, on payloads with a text part and a tool call: leaks in either, and how much of what is
+    caught in flat text is protected in the call."""
+    docs = _t(spark, d, "documents").withColumn("truth", F.transform(truth_array(F.col("text")), lambda x: x["pii"])).filter("size(truth) > 0")
+
+    def of(name: str) -> Column:
+        rules, allow, structured = POLICIES[name]
+        held = lambda x: F.struct(F.array_join(P.leaves(P.first_arguments(x["messages"])), "\n").alias("args"), P.first_multimodal(x["messages"]).alias("mm"))
+        return X.let(P.redact_payload(P.combined(F.col("text")), rules, structured, allow), held)
+
+    flat = X.let(P.redact_payload(P.wrap(F.col("text"), "flat"), LIGHT), lambda x: P.flatten(x["messages"]))
+    done = docs.select("truth", flat.alias("flat"), *(of(n).alias(n) for n in POLICIES))
+    rows = done.select("truth", "flat", F.explode(F.array(*(F.struct(F.lit(n).alias("policy"), F.col(f"{n}.args").alias("args"), F.col(f"{n}.mm").alias("mm")) for n in POLICIES))).alias("p")).select("p.*", "flat", F.explode("truth").alias("pii"))
+    each = rows.select("policy", X.literal_contains(F.col("args"), F.col("pii")).alias("tool"), X.literal_contains(F.col("mm"), F.col("pii")).alias("mm"), (~X.literal_contains(F.col("flat"), F.col("pii"))).alias("caught"))
+    safe = F.count_if(F.col("caught") & ~F.col("tool")).cast("long")
+    return each.groupBy("policy").agg(F.count("*").alias("labels"), _n("tool").alias("tool_leaks"), _n("mm").alias("mm_leaks"), _n("caught").alias("caught"), safe.alias("protected"), percent(safe, _n("caught")).alias("tool_protection"))
+
+
+@query(f"WITH {TRUTH_SQL}, o AS (SELECT doc_id, {_LIGHT_OUT} AS out FROM documents), p AS (SELECT carrier, doc_id, pii, carrier <> 'flat' OR contains(out, pii) AS leaked, contains(out, pii) AS flat_leaked FROM truth JOIN o USING (doc_id), (SELECT unnest(['flat', 'multimodal', 'tool_call', 'tool_call_nested']) AS carrier)) SELECT carrier, doc_id, pii FROM p WHERE leaked AND NOT flat_leaked")
+def flat_only_regressions(spark, d):
+    """What a redactor that knows flat text alone catches there and leaks in other carriers."""
+    docs = _t(spark, d, "documents").withColumn("truth", F.transform(truth_array(F.col("text")), lambda x: x["pii"])).filter("size(truth) > 0")
+    left = lambda c: X.let(P.flatten(P.redact_payload(P.wrap(F.col("text"), c), LIGHT, structured=False)["messages"]), lambda out: F.filter("truth", lambda v: X.literal_contains(out, v)))
+    done = docs.select("doc_id", *(left(c).alias(c) for c in P.CARRIERS))
+    rows = F.array(*(F.struct(F.lit(c).alias("carrier"), F.array_except(c, "flat").alias("lost")) for c in P.CARRIERS))
+    return done.select("doc_id", F.explode(rows).alias("x")).select("x.carrier", "doc_id", F.explode("x.lost").alias("pii"))
+
+
+_NOTE = "CAST(json_object('note', text) AS VARCHAR)"
+_NESTED = "CAST(json_object('user', json_object('profile', json_object('bio', text)), 'tags', json_array(text)) AS VARCHAR)"
+
+
+@query(f"WITH {TRUTH_SQL}, o AS (SELECT doc_id, {_NOTE} AS a, {_NESTED} AS b, text <> {_LIGHT_OUT} AS changed FROM documents WHERE doc_id IN (SELECT doc_id FROM truth)) SELECT doc_id, 'tool_call' AS carrier, changed, md5(a) AS restored, TRUE AS ok FROM o UNION ALL SELECT doc_id, 'tool_call_nested', changed, md5(b), TRUE FROM o")
+def carrier_roundtrips(spark, d):
+    """Arguments of tool calls, redacted and restored: a digest of what comes back, and whether every value that was replaced is
+    there again. Carriers without tool calls have nothing to check."""
+    docs = _t(spark, d, "documents").withColumn("truth", F.transform(truth_array(F.col("text")), lambda x: x["pii"])).filter("size(truth) > 0")
+
+    def of(c: str) -> Column:
+        wrapped = P.wrap(F.col("text"), c)
+
+        def back(r: Column) -> Column:
+            gone = F.filter("truth", lambda v: ~X.literal_contains(P.flatten(r["messages"]), v))
+            restored_calls = P.first_arguments(P.restore_tool_calls(r["messages"], r["mapping"]))
+            return F.struct(F.lit(c).alias("carrier"), (P.first_arguments(r["messages"]) != P.first_arguments(wrapped)).alias("changed"), F.md5(restored_calls).alias("restored"), P.round_trip(r["messages"], r["mapping"], gone).alias("ok"))
+
+        return X.let(P.redact_payload(wrapped, LIGHT), back)
+
+    rows = docs.select("doc_id", F.explode(F.array(*(of(c) for c in P.CARRIERS))).alias("x")).select("doc_id", "x.*")
+    return rows.filter(F.startswith("carrier", F.lit("tool_call")) & F.col("ok").isNotNull())
+
+
+_ROLE = "CASE WHEN doc_id % 2 = 0 THEN 'assistant' ELSE 'user' END"
+
+
+@query(f"""WITH {TRUTH_SQL}, o AS (SELECT doc_id, {_ROLE} AS role, {_LIGHT_OUT} AS out FROM documents), p AS (
+  SELECT doc_id, role, count(*) AS total, {_c("contains(CASE WHEN role = 'assistant' THEN CAST(json_object('note', out) AS VARCHAR) ELSE out END, pii)")} AS leaked FROM truth JOIN o USING (doc_id) GROUP BY ALL)
+SELECT role, count(*) AS payloads, CAST(sum(total) AS BIGINT) AS total, CAST(sum(total - leaked) AS BIGINT) AS anonymized, CAST(sum(leaked) AS BIGINT) AS leaked, sum(total - leaked) * 100.0::DOUBLE / sum(total) AS rate, {_c("role = 'assistant'")} AS rt_checked, {_c("role = 'assistant'")} AS rt_restored FROM p GROUP BY role""")
+def native_summary(spark, d):
+    """Chat payloads as they come (here: documents, of which those with even ids are an assistant's tool call): values anonymized
+    and leaked, calls checked and restored."""
+    m = F.when(F.col("role") == "assistant", P.wrap(F.col("text"), "tool_call")).otherwise(P.wrap(F.col("text"), "flat"))
+
+    def of(r: Column) -> Column:
+        leaks = X.let(P.flatten(r["messages"]), lambda out: F.filter("truth", lambda v: X.literal_contains(out, v)))
+        return X.let(leaks, lambda x: F.struct(x.alias("leaked"), P.round_trip(r["messages"], r["mapping"], F.array_except("truth", x)).alias("rt")))
+
+    said = _t(spark, d, "documents").withColumn("role", F.expr(_ROLE)).withColumn("truth", F.transform(truth_array(F.col("text")), lambda x: x["pii"])).filter("size(truth) > 0")
+    done = said.select("role", "truth", X.let(P.redact_payload(m, LIGHT), of).alias("x"))
+    total, leaked = F.sum(F.size("truth")).cast("long"), F.sum(F.size("x.leaked")).cast("long")
+    return done.groupBy("role").agg(F.count("*").alias("payloads"), total.alias("total"), (total - leaked).alias("anonymized"), leaked.alias("leaked"), percent(total - leaked, total).alias("rate"), F.count("x.rt").alias("rt_checked"), F.count_if("x.rt").alias("rt_restored"))
+
+
+@query("SELECT doc_id, md5(text || ' ') AS digest FROM documents")
+def multimodal_text(spark, d):
+    """Parts of the first message that has any, joined by blanks; the picture counts as empty."""
+    return _t(spark, d, "documents").select("doc_id", F.md5(P.first_multimodal(P.combined(F.col("text")))).alias("digest"))
+
+
+@query("SELECT doc_id, coalesce(l, 'fr') AS engine, coalesce(l, '?') AS result, coalesce(l, 'en') AS clean FROM (SELECT doc_id, nullif(lang, 'de') AS l FROM documents)")
+def lang_defaults(spark, d):
+    """What stands in for a missing language: for choosing detectors, in results, and for clean documents (German counts as
+    missing here)."""
+    lang = F.nullif("lang", F.lit("de"))
+    return _t(spark, d, "documents").select("doc_id", *(default_language(lang, use).alias(use) for use in ("engine", "result", "clean")))
+
+
+@query(f"WITH {TRUTH_SQL}, c AS (SELECT pii, type, 0 AS ord, doc_id AS place FROM truth UNION ALL SELECT unnest(regexp_extract_all(text, {_q(EMAIL)}, 0)), 'CONTACT', 1, doc_id FROM documents WHERE lang = 'en') SELECT pii, type, ord FROM (SELECT *, row_number() OVER (PARTITION BY pii ORDER BY ord DESC, place DESC, type DESC) AS rn FROM c) WHERE rn = 1")
+def dictionary_merge(spark, d):
+    """Terms of several corpora as one dictionary (here: all values, then contacts in English documents); the last one wins."""
+    first = truth(_t(spark, d, "documents")).select("pii", "type", F.lit(0).alias("ord"), F.col("doc_id").alias("place"))
+    second = _t(spark, d, "documents").filter("lang = 'en'").select(F.explode(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0))).alias("pii"), F.lit("CONTACT").alias("type"), F.lit(1).alias("ord"), F.col("doc_id").alias("place"))
+    return sampling.last_wins(first.unionByName(second), ["pii"], "ord", "place", "type").select("pii", "type", "ord")
+
+
+@query(r"SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '([\p{L}\p{N}_]{4,})', 1))) = list_sort(list_distinct(regexp_extract_all(lower(text), '([\p{L}\p{N}_]{4,})', 1))) AS equal FROM documents")
+def set_equality(spark, d):
+    """Are the word tokens of a text and of its lower-case form the same set?"""
+    same = lambda t: F.array_sort(F.array_distinct(X.word_tokens(t)))
+    return _t(spark, d, "documents").select("doc_id", (same(F.col("text")) == same(F.lower("text"))).alias("equal"))
+
+
+@query(SCORED_SQL + ", s AS (SELECT solution, lang, " + _pct(_c("caught")) + " AS r FROM scored GROUP BY ALL) SELECT solution, lang, round_even(r, 1) AS shown FROM s")
+def shown_recall(spark, d):
+    """Recall as it is displayed: one decimal, halves to even."""
+    return _recall(spark, d, "lang").select("solution", "lang", X.shown(F.col("recall")).alias("shown"))
