@@ -69,12 +69,13 @@ PARTS = 5
 
 @dataclass(frozen=True)
 class Chain:
-    """leaning: for each language ('' for all together) and each of its features, for each category, the log-odds towards it,
-    and those times the share of the category's documents that hold the feature.
+    """places: for each language ('' for all together) the row of each feature in values; values: (row, category, 2) the log-odds
+    towards the category, and those times the share of the category's documents that hold the feature.
     models: one (name, weights) for each category in order; the weights cover the columns of design(), then the earlier
     categories, then the bias."""
 
-    leaning: dict[str, dict[str, tuple[tuple[float, float], ...]]]
+    places: dict[str, dict[str, int]]
+    values: dict[str, np.ndarray]
     models: tuple[tuple[str, np.ndarray], ...]
 
     @property
@@ -82,27 +83,30 @@ class Chain:
         return [name for name, _ in self.models]
 
     @cached_property
-    def by_lang(self) -> dict[str, tuple[dict[str, tuple[tuple[float, float], ...]], dict[str, tuple[str, ...]]]]:
-        """The features that lean towards some category, with the language's own leanings before those of all together; and a
-        memory of words."""
-        pooled = self.leaning.get("", {})
-        return {lang: ({w: v for w, v in (pooled | own).items() if any(x[0] > 0 for x in v)}, {}) for lang, own in self.leaning.items()}
+    def memory(self) -> dict[str, dict[str, tuple[tuple[str, str, int], ...]]]:
+        """For each language, words and where their features are: (feature, language or '', row)."""
+        return {lang: {} for lang in self.places}
+
+    def leaning(self, words: set[str], lang: str) -> dict[str, list]:
+        """The values of the features of some words, by the language, or else by all languages together."""
+        lang = lang if lang in self.places else ""
+        known, own, pooled = self.memory.get(lang, {}), self.places.get(lang, {}), self.places.get("", {})
+        if len(known) > REMEMBERED:
+            known.clear()
+        found: dict[str, tuple[str, int]] = {}
+        for w in words:
+            if (some := known.get(w)) is None:
+                some = known[w] = tuple((x, lang, own[x]) if x in own else (x, "", pooled[x]) for x in features_of_word(w) if x in own or x in pooled)
+            for x, source, row in some:
+                found[x] = source, row
+        return {x: self.values[source][row].tolist() for x, (source, row) in found.items()}
 
     def design(self, texts: list[str], langs: list[str]) -> np.ndarray:
         """(text, category, column)."""
         out = np.zeros((len(texts), len(CATEGORIES), WIDTH))
-        none = self.by_lang.get("", ({}, {}))
         for i, (t, lang) in enumerate(zip(texts, langs, strict=True)):
-            leaning, known = self.by_lang.get(lang, none)
-            words, found = words_of(t), set()
-            if len(known) > REMEMBERED:
-                known.clear()
-            for w in words:
-                if (some := known.get(w)) is None:
-                    some = known[w] = tuple(x for x in features_of_word(w) if x in leaning)
-                if some:
-                    found.update(some)
-            out[i] = design(words, {w: leaning[w] for w in found})
+            words = words_of(t)
+            out[i] = design(words, self.leaning(words, lang))
         return out
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -176,9 +180,18 @@ def log_odds(a, b, p, q):
     return np.log((a + 0.5) / (p + 1)) - np.log((b + 0.5) / (q + 1))
 
 
-def count_features(labelled: DataFrame, least_docs: int, least_odds: float) -> dict[str, tuple[np.ndarray, dict[str, np.ndarray]]]:
-    """For each language, and '' for all together: labelled rows, and rows with each feature that leans towards some category,
-    as arrays (part, all rows and those of each category)."""
+@dataclass(frozen=True)
+class Counts:
+    """Of one language: labelled rows (part, kind), the row of each feature, and rows with the feature (feature, part, kind). Kind
+    0 is all rows, the others the categories."""
+
+    rows: np.ndarray
+    places: dict[str, int]
+    held: np.ndarray
+
+
+def count_features(labelled: DataFrame, least_docs: int, least_odds: float) -> dict[str, Counts]:
+    """For each language, and '' for all together, its features that lean towards some category."""
     kinds = 1 + len(CATEGORIES)
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -192,56 +205,69 @@ def count_features(labelled: DataFrame, least_docs: int, least_odds: float) -> d
         return pa.RecordBatch.from_pydict({"lang": [k[0] for k in n], "word": [k[1] for k in n], "cell": pa.array([k[2] for k in n], pa.int32()), "n": pa.array(n.values(), pa.int64())})
 
     names = [f"c{c}" for c in range(kinds * PARTS)]
-    cells = [F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(name) for c, name in enumerate(names)]
+    cells = [F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).cast("int").alias(name) for c, name in enumerate(names)]
     own = saved(map_arrow(labelled.select("text", "lang", "part", "y"), count, "lang string, word string, cell int, n long").groupBy("lang", "word").agg(*cells), "toxic-words")
-    pooled = own.groupBy("word").agg(*(F.sum(c).alias(c) for c in names)).select(F.lit("").alias("lang"), "word", *names)
+    pooled = own.groupBy("word").agg(*(F.sum(c).cast("int").alias(c) for c in names)).select(F.lit("").alias("lang"), "word", *names)
     both = own.filter("lang <> ''").unionByName(pooled)
     total = [sum((F.col(names[p * kinds + k]) for p in range(PARTS)), F.lit(0)) for k in range(kinds)]
     both = both.withColumns({f"t{k}": t for k, t in enumerate(total)})
-    array_of = lambda r: np.array(r[2 : 2 + kinds * PARTS], float).reshape(PARTS, kinds)
-    out = {r.lang: (array_of(r), {}) for r in both.filter("word = ''").collect() if 0 < r[f"t{kinds - 1}"] < r.t0}
-    for lang, (rows, found) in out.items():
+    # columns, not rows: there may be some hundred thousand features
+    array_of = lambda t: np.stack([t.column(c).to_numpy() for c in names], axis=1).reshape(-1, PARTS, kinds).astype(np.int32)
+    heads = both.filter("word = ''").toArrow()
+    out = {}
+    for lang, rows in zip(heads.column("lang").to_pylist(), array_of(heads), strict=True):
         n = rows.sum(axis=0)
-        odds = lambda k: F.log((F.col(f"t{k}") + 0.5) / F.lit(n[k] + 1)) - F.log((F.col("t0") - F.col(f"t{k}") + 0.5) / F.lit(n[0] - n[k] + 1))  # noqa: B023, E731
-        leans = F.greatest(*(F.when(F.lit(0 < n[k] < n[0]), odds(k)).otherwise(F.lit(-1.0)) for k in range(1, kinds))) >= least_odds
-        leaning = both.filter((F.col("lang") == lang) & (F.col("word") != "") & (F.col("t0") >= least_docs) & leans)
-        found.update((r.word, array_of(r)) for r in leaning.collect())
+        if not 0 < n[-1] < n[0]:
+            continue
+        odds = lambda k: F.log((F.col(f"t{k}") + 0.5) / F.lit(float(n[k] + 1))) - F.log((F.col("t0") - F.col(f"t{k}") + 0.5) / F.lit(float(n[0] - n[k] + 1)))  # noqa: B023, E731
+        leans = F.greatest(*(F.when(F.lit(bool(0 < n[k] < n[0])), odds(k)).otherwise(F.lit(-1.0)) for k in range(1, kinds))) >= least_odds
+        found = both.filter((F.col("lang") == lang) & (F.col("word") != "") & (F.col("t0") >= least_docs) & leans).select("word", *names).toArrow()
+        out[lang] = Counts(rows, {w: i for i, w in enumerate(found.column("word").to_pylist())}, array_of(found))
     return out
 
 
-def leanings(counts: dict[str, tuple[np.ndarray, dict[str, np.ndarray]]], least_odds: float = 1.0, without: int | None = None) -> dict[str, dict[str, tuple[tuple[float, float], ...]]]:
-    """For each category log-odds, and those times the share, by language and feature, over all parts or all but one; nothing
-    for a category towards which all parts together do not lean. The share is taken of five documents more, so that it says
-    little where few are toxic. Seed words lean by 3 where the labels do not say."""
-    out: dict[str, dict] = {"": {}}
-    for lang, (rows, found) in counts.items():
+def places_of(counts: dict[str, Counts]) -> dict[str, dict[str, int]]:
+    """The rows of leanings(): those of the counts, then the seed words that all languages together lack."""
+    out = {lang: c.places for lang, c in counts.items()}
+    pooled = dict(out.get("", {}))
+    for w in SEED_WORDS:
+        pooled.setdefault(w, len(pooled))
+    return out | {"": pooled}
+
+
+def leanings(counts: dict[str, Counts], least_odds: float = 1.0, without: int | None = None) -> dict[str, np.ndarray]:
+    """For each category log-odds, and those times the share, by language and row (row, category, 2), over all parts or all but
+    one; nothing for a category towards which all parts together do not lean. The share is taken of five documents more, so
+    that it says little where few are toxic. Seed words lean by 3 where the labels do not say."""
+    out = {}
+    for lang, c in counts.items():
         keep = [k for k in range(PARTS) if k != without]
-        total, whole = rows[keep].sum(axis=0), rows.sum(axis=0)
-        n = np.array([c[keep].sum(axis=0) for c in found.values()]).reshape(-1, 1 + len(CATEGORIES))
-        every = np.array([c.sum(axis=0) for c in found.values()]).reshape(-1, 1 + len(CATEGORIES))
-        columns = []
+        n, total = c.held[:, keep].sum(axis=1).astype(float), c.rows[keep].sum(axis=0).astype(float)
+        every, whole = c.held.sum(axis=1).astype(float), c.rows.sum(axis=0).astype(float)
+        out[lang] = np.zeros((len(n), len(CATEGORIES), 2), np.float32)
         for k in range(1, 1 + len(CATEGORIES)):
             odds = log_odds(n[:, k], n[:, 0] - n[:, k], total[k], total[0] - total[k])
-            odds = np.where(log_odds(every[:, k], every[:, 0] - every[:, k], whole[k], whole[0] - whole[k]) >= least_odds, odds, 0.0)
-            columns.append(list(zip(odds.tolist(), (odds * n[:, k] / (total[k] + 5)).tolist(), strict=True)))
-        out[lang] = dict(zip(found, zip(*columns, strict=True), strict=True))
-    for w in SEED_WORDS:
-        out[""].setdefault(w, (*[(0.0, 0.0)] * len(SEEDS), (3.0, 0.0)))
-    return out
+            odds[log_odds(every[:, k], every[:, 0] - every[:, k], whole[k], whole[0] - whole[k]) < least_odds] = 0
+            out[lang][:, k - 1] = np.stack([odds, odds * n[:, k] / (total[k] + 5)], axis=1)
+    pooled = out.get("", np.zeros((0, len(CATEGORIES), 2), np.float32))
+    seeds = np.zeros((len(places_of(counts)[""]) - len(pooled), len(CATEGORIES), 2), np.float32)
+    seeds[:, -1, 0] = 3
+    return out | {"": np.concatenate([pooled, seeds])}
 
 
 def with_lang(docs: DataFrame) -> DataFrame:
     return docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(""))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, max_rows: int, least_docs: int, least_odds: float) -> tuple[np.ndarray, np.ndarray, dict]:
+def labelled_rows(docs: DataFrame, labels: DataFrame, max_rows: int, least_docs: int, least_odds: float) -> tuple[np.ndarray, np.ndarray, dict[str, Counts]]:
     """The design (row, category, column) and labels (row, category) of the labelled documents, and the counts of features."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
     chosen = F.broadcast(lowest(known, max_rows, "doc_id"))  # at most max_rows rows of 12 bytes
     part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(PARTS)).cast("int")
     labelled = saved(with_lang(docs).select("doc_id", "text", "lang").join(chosen, "doc_id").withColumn("part", part), "toxic-labelled")
     counts = count_features(labelled, least_docs, least_odds)
-    chains = [Chain(leanings(counts, least_odds, k), ()) for k in range(PARTS)]
+    places = places_of(counts)
+    chains = [Chain(places, leanings(counts, least_odds, k), ()) for k in range(PARTS)]
 
     def present(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, y = [], []
@@ -252,8 +278,9 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, max_rows: int, least_docs:
 
     made = saved(map_arrow(labelled, present, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y array<int>, x array<double>"), "toxic-rows")
     # repeated documents may make more rows than labels: the smallest max_rows are taken
-    rows = lowest(made, max_rows, "doc_id", "x").collect()
-    return np.array([r.x for r in rows], float).reshape(-1, len(CATEGORIES), WIDTH), np.array([r.y for r in rows], float).reshape(-1, len(CATEGORIES)), counts
+    rows = lowest(made, max_rows, "doc_id", "x").toArrow()
+    x, y = (rows.column(c).combine_chunks().flatten().to_numpy() if rows.num_rows else np.zeros(0) for c in ("x", "y"))
+    return x.reshape(-1, len(CATEGORIES), WIDTH), y.reshape(-1, len(CATEGORIES)).astype(float), counts
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, least_docs: int = 3, least_odds: float = 1.0, l2: float = 0.1) -> Chain:
@@ -265,7 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, least_docs
         one[:, :, len(SEED_WORDS) :] = 0
         x = np.concatenate([np.repeat(one, 10, axis=0), np.zeros((10 * len(SEED_WORDS), *one.shape[1:]))])
         y = np.array([[*seeded({w}), 1.0] for w in SEED_WORDS for _ in range(10)] + [[0.0] * len(CATEGORIES)] * (10 * len(SEED_WORDS)))
-    return Chain(leanings(counts, least_odds), fit_chain(x, [(c, y[:, k]) for k, c in enumerate(CATEGORIES)], l2=l2))
+    return Chain(places_of(counts), leanings(counts, least_odds), fit_chain(x, [(c, y[:, k]) for k, c in enumerate(CATEGORIES)], l2=l2))
 
 
 def chain_gain(x: np.ndarray, y: np.ndarray, l2: float = 0.1, folds: int = 4) -> dict[str, tuple[float, float]]:
@@ -274,7 +301,7 @@ def chain_gain(x: np.ndarray, y: np.ndarray, l2: float = 0.1, folds: int = 4) ->
     loss = {c: np.zeros((2, len(x))) for c in CATEGORIES}
     for f in range(folds):
         inside, out = fold != f, fold == f
-        chain = Chain({}, fit_chain(x[inside], [(c, y[inside, k]) for k, c in enumerate(CATEGORIES)], l2=l2))
+        chain = Chain({}, {}, fit_chain(x[inside], [(c, y[inside, k]) for k, c in enumerate(CATEGORIES)], l2=l2))
         p = chain.predict(x[out])
         for k, c in enumerate(CATEGORIES):
             w = fit_logistic(x[inside, k], y[inside, k], l2)
