@@ -267,12 +267,13 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, max_rows: int, least_docs:
     labelled = saved(with_lang(docs).select("doc_id", "text", "lang").join(chosen, "doc_id").withColumn("part", part), "toxic-labelled")
     counts = count_features(labelled, least_docs, least_odds)
     places = places_of(counts)
-    chains = [Chain(places, leanings(counts, least_odds, k), ()) for k in range(PARTS)]
+    # words of max_rows documents at most; a broadcast, and the words it remembers, stay with a worker from task to task
+    chains = docs.sparkSession.sparkContext.broadcast([Chain(places, leanings(counts, least_odds, k), ()) for k in range(PARTS)])
 
     def present(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, y = [], []
         for t, lang, part, toxic in zip(strings(batch.column("text")), strings(batch.column("lang")), batch.column("part").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            x.append(chains[part].design([t], [lang])[0].ravel())
+            x.append(chains.value[part].design([t], [lang])[0].ravel())
             y.append([*seeded(features_of(t)), toxic])
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(y, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
@@ -315,8 +316,10 @@ def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",), th
     the last one's probability reaches threshold."""
     prepare(docs.sparkSession)
     names = [f"p_{n}" for n in chain.names]
+    sent = docs.sparkSession.sparkContext.broadcast(chain)  # as in labelled_rows()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        chain = sent.value
         p = chain.predict(chain.design(strings(batch.column("t")), strings(batch.column("l"))))
         kept = [batch.column(f"k{i}") for i in range(len(keep))]
         return pa.RecordBatch.from_arrays([*kept, *(pa.array(p[:, j]) for j in range(p.shape[1])), pa.array(p[:, -1] >= threshold)], names=[*(f"k{i}" for i in range(len(keep))), *names, "toxic"])
