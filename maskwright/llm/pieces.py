@@ -54,6 +54,8 @@ UNIGRAM, MERGES = 1, 2
 REMEMBERED, LONGEST, CELLS, PAIRS = 150_000, 48, 1 << 18, 1 << 20
 #: How far the score of an unknown lies below the lowest one: a fixed value of the format.
 PENALTY = 10.0
+#: A rank that no merge has.
+NEVER = (1 << 31) - 1
 
 
 def fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -190,6 +192,14 @@ class Transducer:
         for i, k in enumerate(kinds):
             if k == UNKNOWN:
                 self.raw[i] = " ⁇ ".encode()
+        if self.merging:
+            self.ids, longest = ids, max(map(len, ids))
+            self.traced = np.zeros(len(self.pieces), np.int8)
+            self.merges = np.full((len(self.pieces), longest), NEVER, np.int32)
+            self.left, self.right = np.zeros((len(self.pieces), longest), np.int32), np.zeros((len(self.pieces), longest), np.int32)
+            joins = {ids[p[:i]] * len(self.pieces) + ids[p[i:]]: self.rank[p] for p in ids for i in range(1, len(p)) if p[:i] in ids and p[i:] in ids}
+            self.joins = np.array(sorted(joins), np.int64)
+            self.joined = np.array([joins[k] for k in self.joins.tolist()], np.int32)
         self.pair, self.fits = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
         # two generations, so that forgetting what is rare keeps what is frequent
         self.known: dict[str, tuple[int, ...]] = {}
@@ -213,32 +223,51 @@ class Transducer:
                     ends.append(-1)
             ends[node] = i
         self.ends = np.array(ends, np.int32)
-        self.keys = np.array(sorted(self.arcs), np.int64)
-        self.nexts = np.array([self.arcs[k] for k in self.keys.tolist()], np.int32)
+        keys, nexts = np.array(list(self.arcs), np.int64), np.array(list(self.arcs.values()), np.int32)
         self.first = np.full(self.letters, -1, np.int32)
-        at = self.keys < self.letters
-        self.first[self.keys[at]] = self.nexts[at]
+        at = keys < self.letters
+        self.first[keys[at]] = nexts[at]
+        # a hash table with open addressing, filled for all keys at once: a key that finds its place taken tries the next one
+        size = 1 << (4 * len(keys)).bit_length()
+        self.keys, self.nexts = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
+        place = self.place(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[place] < 0)
+            free = free[np.unique(place[free], return_index=True)[1]]
+            self.keys[place[free]], self.nexts[place[free]] = keys[free], nexts[free]
+            left = self.keys[place] != keys
+            keys, nexts, place = keys[left], nexts[left], (place[left] + 1) & (size - 1)
+
+    def place(self, key: np.ndarray) -> np.ndarray:
+        return (key * 0x9E3779B97F4A7 >> 20) & (len(self.keys) - 1)
 
     def step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
         """P's arcs: the next nodes, -1 for none."""
         key = node.astype(np.int64) * self.letters + letter
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.nexts[at], -1)
+        at = self.place(key)
+        found = self.keys[at]
+        out = np.where(found == key, self.nexts[at], -1)
+        rows = np.flatnonzero((found != key) & (found >= 0))
+        while len(rows):
+            at[rows] = (at[rows] + 1) & (len(self.keys) - 1)
+            found = self.keys[at[rows]]
+            hit = found == key[rows]
+            out[rows[hit]] = self.nexts[at[rows[hit]]]
+            rows = rows[~hit & (found >= 0)]
+        return out
 
-    def stays(self, text: str, border: int) -> bool:
-        """Does merging text by rank end in just what is before and behind the border (0: in one piece)?"""
-        parts, get, none = list(text), self.rank.get, len(self.rank)
+    def trace(self, piece: int) -> None:
+        """How merging by rank builds a piece from its characters: the rank of each merge in turn, and the pieces at its left and
+        right edge before each and at the end. A piece that is not built is marked so."""
+        parts, get, none = list(self.pieces[piece]), self.rank.get, NEVER
         ranks = [get(a + b, none) for a, b in zip(parts, parts[1:])]  # noqa: B905
-        left = border  # parts before the border
-        while ranks:
-            best = min(ranks)
-            if best == none:
+        n = 0
+        while True:
+            self.left[piece, n], self.right[piece, n] = self.ids[parts[0]], self.ids[parts[-1]]
+            if not ranks or (best := min(ranks)) == none:
                 break
-            at = ranks.index(best)
-            if at < left:
-                if at == left - 1:
-                    return False  # a merge across the border
-                left -= 1
+            self.merges[piece, n] = best
+            at, n = ranks.index(best), n + 1
             word = parts[at] + parts[at + 1]
             parts[at : at + 2] = [word]
             del ranks[at]
@@ -246,7 +275,32 @@ class Transducer:
                 ranks[at - 1] = get(parts[at - 1] + word, none)
             if at < len(ranks):
                 ranks[at] = get(word + parts[at + 1], none)
-        return len(parts) == 2 and left == 1 if border else len(parts) == 1
+        self.traced[piece] = 1 if len(parts) == 1 else 2
+
+    def unmerged(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Does merging the joined text of p and q by rank leave p and q? Until a merge crosses the border, each side is built as
+        it is alone, and the lowest rank of either side is next. So both are followed step by step; a merge across comes
+        first if its rank is below the left side's next, and not above the right side's (equal ranks go from the left)."""
+        for piece in np.unique(np.concatenate([p, q])):
+            if not self.traced[piece]:
+                self.trace(piece)
+        out = (self.traced[p] == 1) & (self.traced[q] == 1)
+        rows = np.flatnonzero(out)
+        i, k = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+        while len(rows):
+            a, b = p[rows], q[rows]
+            before, behind = self.merges[a, i[rows]], self.merges[b, k[rows]]
+            key = self.right[a, i[rows]].astype(np.int64) * len(self.pieces) + self.left[b, k[rows]]
+            at = np.minimum(np.searchsorted(self.joins, key), len(self.joins) - 1)
+            across = np.where(self.joins[at] == key, self.joined[at], NEVER)
+            crossed = (across < before) & (across <= behind) & (across < NEVER)
+            out[rows[crossed]] = False
+            going = ~crossed & ((before < NEVER) | (behind < NEVER))
+            left = before <= behind
+            i[rows[going & left]] += 1
+            k[rows[going & ~left]] += 1
+            rows = rows[going]
+        return out
 
     def compatible(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """C's finite arcs: may q follow p? p = -1: may q be first? Answers are kept, each pair in a place of its own."""
@@ -256,15 +310,21 @@ class Transducer:
         lost = np.flatnonzero(self.pair[place] != pair)
         if len(lost):
             new, back = np.unique(pair[lost], return_inverse=True)
-            fits = np.empty(len(new), bool)
-            for k, x in enumerate(new.tolist()):
-                a, b = divmod(x, len(self.pieces))
-                before = self.pieces[a - 1] if a else ""
-                fits[k] = self.stays(before + self.pieces[b], len(before))
-            out[lost] = fits[back]
+            a, b = new // len(self.pieces) - 1, new % len(self.pieces)
+            out[lost] = self.first_or_next(a, b)[back]
             self.pair[place[lost]], self.fits[place[lost]] = pair[lost], out[lost]
         return out
 
+    def first_or_next(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), bool)
+        first = a < 0
+        for k in np.flatnonzero(first):
+            if not self.traced[b[k]]:
+                self.trace(b[k])
+        out[first] = self.traced[b[first]] == 1
+        out[~first] = self.unmerged(a[~first], b[~first])
+        return out
+
     def relax(self, parts: list[str]) -> list[tuple[int, ...]]:
         """Shortest paths of parts of at most LONGEST characters, all together."""
         size = np.array([len(p) for p in parts])
@@ -310,20 +370,22 @@ class Transducer:
     def paths(self, parts: list[str], size: np.ndarray, last: np.ndarray, back: np.ndarray) -> list[tuple[int, ...]]:
         """The ids along the shortest paths, gone back from the ends all together."""
         rows, at, steps = np.arange(len(parts)), size.copy(), []
+        count = np.zeros(len(parts), np.int64)
         while len(rows):
             steps.append((rows, last[at, rows], at))
+            count[rows] += 1
             at = back[at, rows]
-            rows, at = rows[at > 0], at[at > 0]
-        row = np.concatenate([s[0] for s in steps])[::-1]
-        order = np.argsort(row, kind="stable")
-        row, q = row[order], np.concatenate([s[1] for s in steps])[::-1][order]
-        ends = np.searchsorted(row, np.arange(len(parts)), side="right").tolist()
-        flat, begin, out = q.tolist(), 0, []
-        for end in ends:
-            out.append(tuple(flat[begin:end]))
-            begin = end
+            going = at > 0
+            rows, at = rows[going], at[going]
+        ends = np.cumsum(count)
+        q, place = np.empty(ends[-1], np.int32), np.empty(ends[-1], np.int32)
+        for k, (rows, piece, at) in enumerate(steps):  # the k-th from the end
+            q[ends[rows] - 1 - k], place[ends[rows] - 1 - k] = piece, at
+        row = np.repeat(np.arange(len(parts)), count)
+        ends, flat = ends.tolist(), q.tolist()
+        out = [tuple(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
         if (q < 0).any():
-            place = np.concatenate([s[2] for s in steps])[::-1][order].tolist()
+            place = place.tolist()
             for r in np.unique(row[q < 0]).tolist():
                 here = slice(ends[r - 1] if r else 0, ends[r])
                 out[r] = tuple(chain.from_iterable((x,) if x >= 0 else self.spelled(parts[r][a - 1]) for x, a in zip(flat[here], place[here], strict=True)))
@@ -382,18 +444,18 @@ class Transducer:
     def learn(self, parts: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """Ids of parts that are not remembered; those up to LONGEST are remembered from now on."""
         short, long, extra = [], {}, {}
-        for p in parts:
-            if len(p) <= LONGEST:
-                ids = self.older.get(p)
-                if ids is None:
-                    short.append(p)
-                else:
-                    self.known[p] = ids
-            else:
-                long[p] = self.cut(p)
+        parts = set(parts)
+        if self.older:
+            again = parts.intersection(self.older)
+            self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+            parts -= again
+        short = sorted(parts, key=len)
+        while short and len(short[-1]) > LONGEST:
+            p = short.pop()
+            long[p] = self.cut(p)
         between = {x for xs in long.values() for x in xs}
-        short = [*short, *(x for x in between if len(x) <= LONGEST and x not in self.known)]
-        short = sorted(set(short), key=len)
+        if between:
+            short = sorted(parts.difference(long).union(x for x in between if len(x) <= LONGEST and x not in self.known), key=len)
         at = 0
         while at < len(short):
             end = at + 1
