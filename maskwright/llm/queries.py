@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .dedup import op8_minhash
+from .dedup import OP8_SQL, op8_minhash
 from .fingerprint import op2_fingerprint
 from .html import op9_html
 from .langid import op10_langid
@@ -15,4 +15,4 @@ from .warc import OP6_SQL, op6_warc
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_fingerprint, op3_pii, op4_sentencepiece, op5_mixing, op6_warc, op7_topk, op8_minhash, op9_html, op10_langid)}
 
-ORACLE_SQL: dict[str, str] = {"op6_warc": OP6_SQL, "op7_topk": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_warc": OP6_SQL, "op7_topk": OP7_SQL, "op8_minhash": OP8_SQL}
