@@ -30,6 +30,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -83,32 +84,66 @@ class Chain:
         return [name for name, _ in self.models]
 
     @cached_property
-    def memory(self) -> dict[str, dict[str, tuple[tuple[str, str, int], ...]]]:
-        """For each language, words and where their features are: (feature, language or '', row)."""
-        return {lang: {} for lang in self.places}
-
-    def leaning(self, words: set[str], lang: str) -> dict[str, list]:
-        """The values of the features of some words, by the language, or else by all languages together."""
-        lang = lang if lang in self.places else ""
-        known, own, pooled = self.memory.get(lang, {}), self.places.get(lang, {}), self.places.get("", {})
-        if len(known) > REMEMBERED:
-            known.clear()
-        found: dict[str, tuple[str, int]] = {}
-        for w in words:
-            if (some := known.get(w)) is None:
-                some = known[w] = tuple((x, lang, own[x]) if x in own else (x, "", pooled[x]) for x in features_of_word(w) if x in own or x in pooled)
-            for x, source, row in some:
-                found[x] = source, row
-        return {x: self.values[source][row].tolist() for x, (source, row) in found.items()}
+    def tables(self) -> dict[str, tuple[np.ndarray, np.ndarray, dict[str, tuple[int, ...]]]]:
+        """For each language the values of its own features, then those of all together; which of them a category may not see;
+        and words with the rows of their features."""
+        out = {}
+        for lang in self.places:
+            values = self.values[lang] if lang == "" else np.concatenate([self.values[lang], self.values[""]])
+            hidden = np.zeros(values.shape[:2], bool)
+            for k, words in enumerate(WITHHELD):
+                hidden[[row for w in words for row in self.rows(w, lang)], k] = True
+            out[lang] = values, hidden, {}
+        return out
+
+    def rows(self, word: str, lang: str) -> tuple[int, ...]:
+        """Where a word's features are in the language's table: those of the language, or else those of all together."""
+        own, pooled = self.places[lang], self.places[""]
+        below = 0 if lang == "" else len(self.values[lang])
+        return tuple(own[x] if x in own else pooled[x] + below for x in features_of_word(word) if x in own or x in pooled)
 
     def design(self, texts: list[str], langs: list[str]) -> np.ndarray:
-        """(text, category, column)."""
+        """(text, category, column): design() of each text, for all texts of a language together."""
         out = np.zeros((len(texts), len(CATEGORIES), WIDTH))
-        for i, (t, lang) in enumerate(zip(texts, langs, strict=True)):
-            words = words_of(t)
-            out[i] = design(words, self.leaning(words, lang))
+        by_lang: dict[str, list[int]] = {}
+        for i, lang in enumerate(langs):
+            by_lang.setdefault(lang if lang in self.places else "", []).append(i)
+        for lang, rows in by_lang.items():
+            values, hidden, known = self.tables[lang] if self.places else (np.zeros((0, len(CATEGORIES), 2)), np.zeros((0, len(CATEGORIES)), bool), {})
+            if len(known) > REMEMBERED:
+                known.clear()
+            found: list[list[int]] = []
+            for i in rows:
+                words = words_of(texts[i])
+                if self.places:
+                    for w in words.difference(known):
+                        known[w] = self.rows(w, lang)
+                    found.append(list(set(chain.from_iterable(map(known.__getitem__, words)))))
+                else:
+                    found.append([])
+                out[i, :, -1] = len(words)
+                for w in ALL_SEEDS & words:
+                    out[i, :, SEED_WORDS.index(w)] = [w not in x for x in WITHHELD]
+            doc, at = np.repeat(np.array(rows), [len(f) for f in found]), np.fromiter(chain.from_iterable(found), np.int64)
+            for k in range(len(CATEGORIES)):
+                use = (values[at, k, 0] > 0) & ~hidden[at, k]
+                self.summary(out[:, k], doc[use], values[at[use], k])
+        out[:, :, -1] = np.log1p(out[:, :, -1]) / 4
         return out
 
+    @staticmethod
+    def summary(out: np.ndarray, doc: np.ndarray, values: np.ndarray) -> None:
+        """The SUMMARY columns of design() from the leanings (document, value) of one category; the last holds the number of
+        words."""
+        for j in range(2):
+            order = np.lexsort((-values[:, j], doc))
+            d, v = doc[order], values[order, j].astype(float)
+            nth = np.arange(len(d)) - np.searchsorted(d, d)
+            out[d[nth == 0], 2 * j - SUMMARY] = v[nth == 0]
+            out[:, 2 * j + 1 - SUMMARY] += np.bincount(d[nth < 5], v[nth < 5] / 5, minlength=len(out))
+        out[:, 4 - SUMMARY] = np.minimum(out[:, 2 - SUMMARY], 1)
+        out[:, 5 - SUMMARY] += 4 * np.bincount(doc, values[:, 0].astype(float), minlength=len(out)) / np.maximum(out[:, -1], 1)
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Probabilities of all categories, for rows of design()."""
         out = np.zeros((len(x), 0))
@@ -271,11 +306,13 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, max_rows: int, least_docs:
     chains = docs.sparkSession.sparkContext.broadcast([Chain(places, leanings(counts, least_odds, k), ()) for k in range(PARTS)])
 
     def present(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = [], []
-        for t, lang, part, toxic in zip(strings(batch.column("text")), strings(batch.column("lang")), batch.column("part").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            x.append(chains.value[part].design([t], [lang])[0].ravel())
-            y.append([*seeded(features_of(t)), toxic])
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(y, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+        texts, langs, part = strings(batch.column("text")), strings(batch.column("lang")), batch.column("part").to_numpy()
+        x = np.zeros((len(texts), len(CATEGORIES) * WIDTH))
+        for k in np.unique(part):
+            rows = np.flatnonzero(part == k)
+            x[rows] = chains.value[k].design([texts[i] for i in rows], [langs[i] for i in rows]).reshape(len(rows), -1)
+        y = [[*seeded(words_of(t)), toxic] for t, toxic in zip(texts, batch.column("y").to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(y, pa.list_(pa.int32())), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
     made = saved(map_arrow(labelled, present, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y array<int>, x array<double>"), "toxic-rows")
     # repeated documents may make more rows than labels: the smallest max_rows are taken
@@ -302,8 +339,8 @@ def chain_gain(x: np.ndarray, y: np.ndarray, l2: float = 0.1, folds: int = 4) ->
     loss = {c: np.zeros((2, len(x))) for c in CATEGORIES}
     for f in range(folds):
         inside, out = fold != f, fold == f
-        chain = Chain({}, {}, fit_chain(x[inside], [(c, y[inside, k]) for k, c in enumerate(CATEGORIES)], l2=l2))
-        p = chain.predict(x[out])
+        fitted = Chain({}, {}, fit_chain(x[inside], [(c, y[inside, k]) for k, c in enumerate(CATEGORIES)], l2=l2))
+        p = fitted.predict(x[out])
         for k, c in enumerate(CATEGORIES):
             w = fit_logistic(x[inside, k], y[inside, k], l2)
             for row, q in enumerate((p[:, k], logistic(x[out, k] @ w[:-1] + w[-1]))):
@@ -319,8 +356,7 @@ def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",), th
     sent = docs.sparkSession.sparkContext.broadcast(chain)  # as in labelled_rows()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        chain = sent.value
-        p = chain.predict(chain.design(strings(batch.column("t")), strings(batch.column("l"))))
+        p = sent.value.predict(sent.value.design(strings(batch.column("t")), strings(batch.column("l"))))
         kept = [batch.column(f"k{i}") for i in range(len(keep))]
         return pa.RecordBatch.from_arrays([*kept, *(pa.array(p[:, j]) for j in range(p.shape[1])), pa.array(p[:, -1] >= threshold)], names=[*(f"k{i}" for i in range(len(keep))), *names, "toxic"])
 

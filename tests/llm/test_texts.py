@@ -81,6 +81,22 @@ def test_withheld_words_are_no_feature():
     assert (with_seed[0] == without[0]).all() and not (with_seed[1] == without[1]).all() and not (with_seed[2] == without[2]).all()
 
 
+def test_designs_of_many_texts_by_brute_force():
+    rng = random.Random(2)
+    word = lambda: rng.choice(["idiot", "idiotic", "scum", "scummy", "tree", "treetop", "unknown", "zorgling", "zorgfest", "a"])
+    names = {lang: sorted({x for w in ("idiot", "idiotic", "scummy", "treetop", "zorgling", "scum")[k:] for x in toxicity.features_of_word(w)}) for k, lang in enumerate(("", "en", "de"))}
+    values = {lang: np.array([[[rng.choice([-1, 0, 0.5, 2, 3]), rng.random()] for _ in range(3)] for _ in n], np.float32) for lang, n in names.items()}
+    chain = toxicity.Chain({lang: {w: i for i, w in enumerate(n)} for lang, n in names.items()}, values, ())
+    texts = [" ".join(word() for _ in range(rng.choice([0, 1, 5, 60]))) for _ in range(80)]
+    langs = [rng.choice(["", "en", "de", "xx"]) for _ in texts]
+    got = chain.design(texts, langs)
+    for t, lang, x in zip(texts, langs, got, strict=True):
+        lang = lang if lang in names else ""
+        leaning = {f: values[own][names[own].index(f)].tolist() for f in toxicity.features_of(t) for own in [lang if f in names[lang] else ""] if f in names[own]}
+        assert np.allclose(x, toxicity.design(toxicity.words_of(t), leaning)), t
+    assert (chain.design(texts[::-1], langs[::-1])[::-1] == got).all()
+
+
 def test_chain_by_brute_force():
     """Every model and every out-of-fold prediction, fitted one by one; and a chain that tells more than single models do."""
     rng = np.random.default_rng(3)
