@@ -1,6 +1,6 @@
 """Running totals over ordered rows without one task for a whole group.
 
-Rows are cut into ranges of the ordering key (by approximate quantiles over all rows, a fixed number of them). Totals of the
+Rows are cut into ranges of the ordering key (by approximate quantiles over all rows). Totals of the
 ranges are summed over first, then rows within their range, so a hot group is shared by as many tasks as there are ranges.
 """
 
@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-RANGES = 64
+#: Ranges at least and at most; in between, some for each partition of the input.
+RANGES, MOST = 64, 512
 
 
 def range_of(df: DataFrame, key: str, ranges: int = RANGES) -> Column:
@@ -22,9 +23,10 @@ def range_of(df: DataFrame, key: str, ranges: int = RANGES) -> Column:
 
 def running_total(df: DataFrame, by: list[str], key: str, order: list[str], value: Column, name: str) -> DataFrame:
     """df with `name`, the sum of value over the rows of the group up to and with this one, and `name`_all, the group's."""
-    cut = df.withColumns({"__range": range_of(df, key), "__value": value})
+    ranges = min(MOST, max(RANGES, 2 * df.rdd.getNumPartitions()))
+    cut = df.withColumns({"__range": range_of(df, key, ranges), "__value": value})
     totals = cut.groupBy(*by, "__range").agg(F.sum("__value").alias("__sum"))
-    w = Window.partitionBy(*by).orderBy("__range")  # at most RANGES rows of each group
+    w = Window.partitionBy(*by).orderBy("__range")  # at most MOST rows of each group
     before = F.coalesce(F.sum("__sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     every = F.sum("__sum").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     base = totals.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__range").alias("__r"), before.alias("__before"), every.alias(f"{name}_all"))

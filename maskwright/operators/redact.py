@@ -27,24 +27,30 @@ def resolve(spans: Column) -> Column:
 
 
 def mapping(spans: Column) -> Column:
-    """Placeholders of a request: <TYPE_n>, n counting the distinct originals of a type by first occurrence; equal
-    originals of a type share one."""
+    """Placeholders of a request, by first occurrence: <TYPE_n>, n counting the distinct originals of a type; equal originals of
+    a type share one. Types are few, so each numbers its own originals in one pass."""
     empty = F.array().cast(MAPPING)
 
-    def step(acc: Column, s: Column) -> Column:
-        known = F.exists(acc, lambda m: (m["original"] == s["text"]) & (m["type"] == s["type"]))
-        n = F.size(F.filter(acc, lambda m: m["type"] == s["type"])) + 1
-        new = F.struct(s["text"].alias("original"), F.concat(F.lit("<"), s["type"], F.lit("_"), n.cast("string"), F.lit(">")).alias("fake"), s["type"].alias("type"))
-        return F.when(known, acc).otherwise(F.concat(acc, F.array(new)))
+    def numbered(first: Column) -> Column:
+        """first: struct<type, original, at> of distinct originals."""
+        kinds = F.array_distinct(F.transform(first, lambda m: m["type"]))
+        fake = lambda m, n: F.concat(F.lit("<"), m["type"], F.lit("_"), (n + 1).cast("string"), F.lit(">"))
+        of = lambda kind: F.transform(F.filter(first, lambda m: m["type"] == kind), lambda m, n: F.struct(m["at"].alias("at"), m["original"].alias("original"), fake(m, n).alias("fake"), m["type"].alias("type")))
+        each = F.array_sort(F.flatten(F.transform(kinds, of)))
+        return F.transform(each, lambda m: F.struct(m["original"].alias("original"), m["fake"].alias("fake"), m["type"].alias("type")))
 
-    return F.aggregate(spans, empty, step)
+    distinct = F.array_distinct(F.transform(spans, lambda s: F.struct(s["type"].alias("type"), s["text"].alias("original"))))
+    placed = F.transform(distinct, lambda m, i: F.struct(m["type"].alias("type"), m["original"].alias("original"), i.alias("at")))
+    return F.when(F.size(spans) > 0, let(placed, numbered)).otherwise(empty)
 
 
 def splice(text: Column, spans: Column, mapped: Column) -> Column:
-    """text with each span (resolved) replaced by its placeholder, from right to left so that offsets stay valid."""
+    """text with each span (resolved, in order) replaced by its placeholder: the pieces between them, and the placeholders."""
     fake = lambda s: F.get(F.filter(mapped, lambda m: (m["original"] == s["text"]) & (m["type"] == s["type"])), F.lit(0))["fake"]
-    step = lambda acc, s: F.concat(F.substring(acc, F.lit(1), s["start"]), fake(s), F.substring(acc, s["end"] + 1, F.length(acc)))
-    return F.aggregate(F.reverse(spans), text, step)
+    done = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+    piece = lambda s, i: F.concat(F.substring(text, done(i) + 1, s["start"] - done(i)), fake(s))
+    tail = F.substring(text, done(F.size(spans)) + 1, F.length(text))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(F.transform(spans, piece), ""), tail)).otherwise(text)
 
 
 def restore(text: Column, mapped: Column) -> Column:

@@ -58,13 +58,17 @@ def structured(spark: SparkSession, path: str) -> DataFrame:
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
     """id, lang, expected from an object with a list `labels`, or from a bare list."""
-    wrapped = spark.read.schema(schema.WRAPPED_LABELS).json(path, multiLine=True).filter("labels is not null").select(F.explode("labels").alias("x")).select("x.*")
-    bare = spark.read.schema(schema.LABELS).json(path, multiLine=True).filter("id is not null")
-    return wrapped.unionByName(bare)
+    # one schema for both: a bare entry has an id and no list
+    rows = spark.read.schema(f"{schema.WRAPPED_LABELS}, {schema.LABELS}").json(path, multiLine=True)
+    bare = F.struct(*(F.col(c.split()[0]) for c in schema.LABELS.split(", ")))
+    each = F.coalesce("labels", F.when(F.col("id").isNotNull(), F.array(bare)))
+    return rows.select(F.explode(each).alias("x")).select("x.*")
 
 
 def masked_sources(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     """JSON lines, a file (or folder) for each language; the language is the file's. Adds lang and file_ord."""
+    if not paths:
+        return spark.createDataFrame([], f"{schema.MASKED}, lang string, file_ord int")
     parts = [spark.read.schema(schema.MASKED).json(p).withColumns({"lang": F.lit(lang), "file_ord": F.lit(i)}) for i, (lang, p) in enumerate(paths.items())]
     out = parts[0]
     for p in parts[1:]:

@@ -158,6 +158,21 @@ def test_even_sample_and_lookups(spark):
     assert {(r.id, r.v) for r in sampling.first_wins(twice, ["id"], "ord").collect()} == {(1, "a"), (2, "c")}
 
 
+def test_label_table():
+    kinds = {}
+    for label, kind in sampling.LABEL_TYPES.items():
+        kinds.setdefault(kind, []).append(label)
+    assert len(sampling.LABEL_TYPES) == 38 and len(kinds) == 12 and "ORGANIZATION" not in kinds
+    assert kinds["CREDIT_CARD"] == ["CREDITCARDNUMBER", "CREDITCARDCVV"] and kinds["IP_ADDRESS"] == ["IP", "IPV4", "IPV6", "MAC"]
+
+
+def test_placeholders_follow_first_occurrence_in_mixed_types(spark):
+    text = "b@x 1.1.1.1 a@x b@x 2.2.2.2 1.1.1.1 " * 200
+    r = spark.createDataFrame([(text,)], "t string").withColumn("r", redact(F.col("t"), detect(F.col("t"), [Rule("e", "E", "[a-z]@[a-z]"), Rule("i", "I", "[0-9](?:[.][0-9]){3}")]))).select("r.*").first()
+    assert [(m.original, m.fake) for m in r.mapping] == [("b@x", "<E_1>"), ("1.1.1.1", "<I_1>"), ("a@x", "<E_2>"), ("2.2.2.2", "<I_2>")]
+    assert r.text == "<E_1> <I_1> <E_2> <E_1> <I_2> <I_1> " * 200
+
+
 def test_label_mapping(spark):
     df = spark.createDataFrame([([("FIRSTNAME", "Zoé"), ("AGE", "5"), ("EMAIL", ""), ("IPV4", None), ("URL", "u")],)], "m array<struct<label:string,value:string>>")
     assert [tuple(x) for x in df.select(sampling.gold_spans(F.col("m")).alias("g")).first().g] == [("Zoé", "PERSON"), ("u", "URL")]

@@ -60,6 +60,8 @@ def test_masked_sources(spark, tmp_path):
     df = readers.masked_sources(spark, {"de": str(tmp_path / "de.jsonl"), "fr": str(tmp_path / "fr.jsonl")})
     assert sorted((r.lang, r.id, r.file_ord) for r in df.collect()) == [("de", "0", 0), ("de", "1", 0), ("fr", "0", 1)]
     assert readers.read_table(spark, str(tmp_path / "de.jsonl"), ddl=schema.MASKED).count() == 2
+    none = readers.masked_sources(spark, {})
+    assert none.columns == df.columns and none.count() == 0
 
 
 def test_reports_and_sinks(spark, tmp_path):
@@ -98,6 +100,23 @@ def test_cli_selftest(spark, tmp_path, capsys):
     assert "0 failures" in capsys.readouterr().out
 
 
+def test_cli_presets_and_solutions(spark, tmp_path, capsys):
+    path = corpus(spark, tmp_path, samples=SAMPLES[1:])
+    assert cli.main(["--corpus", path, "--preset", "light"]) == 0
+    out = capsys.readouterr().out
+    assert "allowlisted: carriers" in out and "all-types" not in out and "flat-only" not in out
+
+
+def test_cli_selftest_needs_a_complete_baseline(spark, tmp_path, monkeypatch):
+    import pytest
+
+    path = corpus(spark, tmp_path)
+    whole = cli.Dictionary
+    monkeypatch.setattr(cli, "Dictionary", lambda terms: whole(terms[1:]))
+    with pytest.raises(AssertionError):
+        cli.main(["--corpus", path, "--selftest"])
+
+
 def test_stream_gives_the_batch_result(spark, tmp_path):
     data = [(f"2024-01-01 00:0{i % 7}:00", f"mail a{i}@b.test") for i in range(20)] + [("2024-01-01 00:01:00", None), ("2024-01-01 00:02:00", "none")]
     df = spark.createDataFrame(data, "ts string, text string").withColumn("ts", F.to_timestamp("ts"))
