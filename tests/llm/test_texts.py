@@ -434,6 +434,25 @@ def test_forgetting_changes_nothing(machine, monkeypatch):
         assert fresh.encode(t) == machine.encode(t)
 
 
+def test_columns_with_clashing_names(spark):
+    """Every operator's inner and outer names as columns of the input."""
+    extra = ["th", "k0", "t", "l", "x", "y", "node", "nth", "part", "edge", "spans", "found", "token_ids", "held_out", "toxic", "h", "lang_pred", "fingerprint", "chunk", "grp", "label"]
+    rows = [(i, f"some plain words {i} and more of them here", "en", *[str(i)] * len(extra)) for i in range(12)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "lang string", *(f"{c} string" for c in extra)]))
+    bare = df.select("doc_id", "text", "lang")
+    same = lambda f: sorted(map(tuple, f(df).collect()), key=str) == sorted(map(tuple, f(bare).collect()), key=str)
+    assert same(fingerprint.compare_edits) and same(fingerprint.fingerprints) and same(pieces.encode)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    chain, model, found = toxicity.train(bare, labels), langid.train(bare), pii.train(bare)
+    assert same(lambda d: toxicity.score(d, chain)) and same(lambda d: langid.identify(d, model)) and same(lambda d: pii.find(d, found))
+    assert same(lambda d: pii.mask(d, found).select("doc_id", "text", "lang")) and pii.mask(df, found).columns == df.columns
+    from maskwright.llm import dedup
+
+    assert same(dedup.near_duplicates)
+    kept = dedup.drop_near_copies(spark, df, "")
+    assert kept.columns == df.columns and kept.count() == dedup.drop_near_copies(spark, bare, "").count()
+
+
 def test_encoding_tables(spark):
     df = spark.createDataFrame([(1, "Hello world"), (1, "Hello world"), (None, None), (2, ""), (3, "é " * 50_000)], "doc_id long, text string")
     got = pieces.encode(df)
