@@ -228,13 +228,14 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, rotate: int
     place = F.pmod(F.xxhash64("page_id", "url"), F.greatest(F.length("html") - sample_bytes, F.lit(0)) + 1)
     stretch = pages.filter("length(html) > 0").select("page_id", "url", F.substring(F.col("html"), place.cast("int") + 1, F.lit(sample_bytes)).alias("html"))
     sample = lowest(stretch, sample_rows, "page_id", "url", "html").collect()
-    dictionary = spark.sparkContext.broadcast(train_dictionary([record_bytes(r.page_id, r.url, r.html.encode(), None, False, date) for r in sample], dictionary_size))  # at most dictionary_size bytes
+    made = train_dictionary([record_bytes(r.page_id, r.url, r.html.encode(), None, False, date) for r in sample], dictionary_size)
+    dictionary = spark.sparkContext.broadcast((made, dictionary_frame(made) if made else b""))  # at most dictionary_size bytes each
     first, base = opened(folder)
     first.create_dir(base, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = opened(folder)
-        made = dictionary.value
+        made, head = dictionary.value
         compressor = zstandard.ZstdCompressor(level=level, dict_data=loaded_dictionary(made) if made else None, write_content_size=True, write_checksum=True)
         out, path, records, size, raw = None, "", 0, 0, 0
         finished: list[dict] = []
@@ -243,7 +244,6 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, rotate: int
                 if out is None:
                     path, records, raw = f"{top}/pages-{uuid.uuid4().hex}.warc.zst", 0, 0
                     out = store.open_output_stream(path, compression=None)  # pyarrow would compress by the name
-                    head = dictionary_frame(made) if made else b""
                     out.write(head)
                     size = len(head)
                 record = record_bytes(page_id, url, payload.encode(), first_id, revisit, date)
