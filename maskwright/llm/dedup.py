@@ -10,7 +10,7 @@ of 4 there are 32 bands: a pair of similarity 0.8 shares none with probability (
 
 Confirmation. Nodes that are joined by candidate edges (each node to its band's smallest node, so linear in rows) form
 groups. A group of bounded weight is one task; there, a node meets, band by band, every earlier node that is not yet in
-its component, and pairs are confirmed on the full sets. A heavier group is split into chunks:
+its component, and pairs are confirmed on the full sets. A heavier or larger group is split into chunks:
   1. every chunk is searched as above, with `PIVOTS` nodes of the group added to each, which joins what is dense;
   2. nodes outside the group's largest component are sent to all its chunks, where they meet every candidate of
      another component. Two nodes that were never compared are then both in the largest component.
@@ -44,8 +44,8 @@ BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
 BYTE = mix64(np.arange(1, 257, dtype=U64))
 PIVOTS = 8
-#: Shingles of one task's group or chunk (8 bytes each).
-CHUNK = 2_000_000
+#: Shingles (8 bytes each) and nodes of one task's group or chunk.
+CHUNK, MEMBERS = 2_000_000, 1024
 
 
 def text_hash() -> Column:
@@ -239,7 +239,7 @@ def across(percent: int):
     return run
 
 
-def labels(docs: DataFrame, nodes: DataFrame, width: int, percent: int, chunk: int) -> DataFrame:
+def labels(docs: DataFrame, nodes: DataFrame, width: int, percent: int, chunk: int, most: int) -> DataFrame:
     """node, label: the smallest node of the component, for nodes that are not their own label. nodes: node, doc_id and th (of
     one row that has it), n_shingles, bands."""
     # on 64-bit names: a clash would only make a candidate group larger
@@ -250,7 +250,8 @@ def labels(docs: DataFrame, nodes: DataFrame, width: int, percent: int, chunk: i
     group = components(candidate)
     members = saved(named.join(group, "id").withColumnRenamed("component", "grp"), "dedup-members")
 
-    weight = members.groupBy("grp").agg((F.floor(F.sum("n_shingles") / F.lit(chunk)) + 1).cast("int").alias("chunks"))
+    share = lambda shingles: F.greatest(F.floor(shingles / F.lit(chunk)), F.floor(F.count("*") / F.lit(most))) + 1
+    weight = members.groupBy("grp").agg(share(F.sum("n_shingles")).cast("int").alias("chunks"))
     placed = members.join(weight, "grp").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), "chunks").cast("int"))
 
     columns = ["node", "bands", "grp", "chunks", "chunk"]
@@ -293,7 +294,7 @@ def labels(docs: DataFrame, nodes: DataFrame, width: int, percent: int, chunk: i
     count = known.groupBy("grp", "label").agg(F.count("*").alias("n"))
     giant = count.groupBy("grp").agg(F.max(F.struct("n", "label")).alias("m")).select("grp", F.col("m.label").alias("giant"))
     known = saved(known.join(giant, "grp").withColumn("straggler", (F.col("label") != F.col("giant")).cast("int")), "dedup-known")
-    blocks = known.filter("straggler = 1").groupBy("grp").agg((F.floor(F.sum(F.length("shingles")) / F.lit(8 * chunk)) + 1).cast("int").alias("blocks"))
+    blocks = known.filter("straggler = 1").groupBy("grp").agg(share(F.sum(F.length("shingles")) / 8).cast("int").alias("blocks"))
     joined = known.join(blocks, "grp")  # groups without stragglers are done
     block = F.pmod(F.xxhash64("node", F.lit("block")), "blocks").cast("int")
     home = joined.withColumn("straggler", F.lit(0)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -306,7 +307,7 @@ def labels(docs: DataFrame, nodes: DataFrame, width: int, percent: int, chunk: i
     return found.unionByName(label.select(F.col("id").alias("a"), F.col("component").alias("b"))).toDF("node", "label")
 
 
-def resolve(docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = 64, rows: int = 4, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+def resolve(docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = 64, rows: int = 4, chunk: int = CHUNK, most: int = MEMBERS) -> tuple[DataFrame, DataFrame]:
     """Two tables: (doc_id, th, node, n_shingles), a row for each document; (node, label, component_id, doc_id, th), a row for
     each distinct non-empty set, with the smallest doc_id of its component and its own smallest doc_id, of whose rows th names
     one."""
@@ -316,7 +317,7 @@ def resolve(docs: DataFrame, width: int = 5, percent: int = 80, permutations: in
     one = F.coalesce(named, F.struct(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.min("th").alias("th")))
     nodes = sketched.filter("node is not null").groupBy("node").agg(one.alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     nodes = saved(nodes.select("node", "one.doc_id", "one.th", "n_shingles", "bands"), "dedup-nodes")
-    label = labels(docs, nodes, width, percent, chunk)
+    label = labels(docs, nodes, width, percent, chunk, most)
     labelled = nodes.select("node", "doc_id", "th").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = saved(labelled.join(smallest, "label").select("node", "label", "component_id", "doc_id", "th"), "dedup-components")

@@ -54,11 +54,11 @@ def corpus(n=160, seed=3):
     return list(enumerate(texts, 10))
 
 
-@pytest.mark.parametrize("chunk", [dedup.CHUNK, 150])
-def test_components_match_brute_force(spark, chunk):
+@pytest.mark.parametrize(("chunk", "most"), [(dedup.CHUNK, dedup.MEMBERS), (150, dedup.MEMBERS), (dedup.CHUNK, 3)])
+def test_components_match_brute_force(spark, chunk, most):
     docs = corpus()
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in dedup.near_duplicates(df, width=4, chunk=chunk).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in dedup.near_duplicates(df, width=4, chunk=chunk, most=most).collect()}
     assert got == brute(docs, 4)
 
 
