@@ -1,4 +1,4 @@
-"""python -m maskwright.cli --corpus FILE [--solution NAME... | --preset NAME] [--out DIR] | --selftest: reports over a labelled
+"""python -m maskwright.cli --corpus FILE [--solution NAME... | --preset NAME] [--format markdown|text] [--out DIR] | --selftest: reports over a labelled
 corpus."""
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--corpus", nargs="+", required=True)
     parser.add_argument("--solution", nargs="+", choices=[s.name for s in reports.default_solutions()] + ["all"], default=["all"])
     parser.add_argument("--preset", choices=sorted(PRESETS), help="a named choice of solutions")
+    parser.add_argument("--format", choices=["markdown", "text"], default="markdown")
     parser.add_argument("--out")
     parser.add_argument("--selftest", action="store_true")
     args = parser.parse_args(argv)
@@ -49,8 +50,8 @@ def main(argv: list[str] | None = None) -> int:
     sections = reports.comparison_report(corpus, solutions)
     for s in solutions:
         sections |= {f"{s.name}: {k}": v for k, v in reports.precision_recall_report(corpus, s).items() if k != "items"} | {f"{s.name}: carriers": reports.carrier_report(corpus, s)}
-    text = sinks.markdown_report("Redaction report", sections, ["Rates are percent of labels; a label that is not in its text counts as caught."])
-    print(text)
+    report = sinks.markdown_report if args.format == "markdown" else sinks.text_report
+    print(report("Redaction report", sections, reports.caveats(sections)))
     if args.out:
         for name, df in sections.items():
             sinks.write_table(df, f"{args.out}/{name.replace(': ', '-')}", "json", "overwrite")

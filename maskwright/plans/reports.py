@@ -16,6 +16,25 @@ from ..operators.sampling import label_entries
 from ..operators.score import greedy_match, precision_recall, rate
 
 
+#: How the figures of a report are to be read, by column.
+CAVEATS = {
+    "recall": "recall: percent of labels whose text is gone from the output; a label that is not in its text counts as caught.",
+    "recall_strict": "recall_strict: every word of four letters or more of a label must be gone, not the label as a whole alone.",
+    "precision": "precision: detections that overlap no label are false, whether or not they are personal data.",
+    "tool_leak": "tool_leak, mm_leak: percent of all labels found in the decoded arguments, or in the parts of a message.",
+    "tool_protection": "tool_protection: percent of the labels caught in flat text that the arguments do not show either.",
+    "false_positives": "false_positives: distinct originals replaced in documents without labels, as a total, not for each document.",
+    "regressions": "regressions: caught in flat text and leaked in the carrier; always 0 for flat.",
+    "rt_failed": "rt_checked, rt_failed: payloads without tool calls have nothing to restore and do not count.",
+}
+
+
+def caveats(sections: dict[str, DataFrame]) -> list[str]:
+    """The notes for the columns that are there."""
+    columns = {c for df in sections.values() for c in df.columns}
+    return [note for column, note in CAVEATS.items() if column in columns]
+
+
 @dataclass(frozen=True)
 class Solution:
     """A named redactor: its detectors, the types it may report (None: all) and whether it looks into parts and tool calls."""

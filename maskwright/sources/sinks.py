@@ -28,12 +28,27 @@ def json_report(sections: dict[str, DataFrame], ascii_only: bool = False) -> str
     return json.dumps({name: small(df) for name, df in sections.items()}, indent=2, ensure_ascii=ascii_only, default=str)
 
 
-def markdown_table(df: DataFrame, digits: int = 1) -> str:
-    def shown(v: object) -> str:
-        return "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("|", "\\|")
+def shown(v: object, digits: int = 1) -> str:
+    return "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
+
 
+def markdown_table(df: DataFrame, digits: int = 1) -> str:
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(shown(v) for v in r.values()) + " |" for r in small(df)])
+    return "\n".join(lines + ["| " + " | ".join(shown(v, digits).replace("|", "\\|") for v in r.values()) + " |" for r in small(df)])
+
+
+def text_table(df: DataFrame, digits: int = 1) -> str:
+    """For a console: columns as wide as their widest value, numbers to the right."""
+    rows = [list(r.values()) for r in small(df)]
+    cells = [list(df.columns), *([shown(v, digits) for v in r] for r in rows)]
+    width = [max(len(r[c]) for r in cells) for c in range(len(df.columns))]
+    right = [all(v is None or isinstance(v, (int, float)) for v in column) for column in zip(*rows, strict=True)] if rows else [False] * len(width)
+    return "\n".join("  ".join(x.rjust(w) if r else x.ljust(w) for x, w, r in zip(row, width, right, strict=True)).rstrip() for row in cells)
+
+
+def text_report(title: str, sections: dict[str, DataFrame], notes: Sequence[str] = ()) -> str:
+    parts = [title, *(f"{name}\n\n{text_table(df)}" for name, df in sections.items()), *notes]
+    return "\n\n".join(parts) + "\n"
 
 
 def markdown_report(title: str, sections: dict[str, DataFrame], notes: Sequence[str] = ()) -> str:

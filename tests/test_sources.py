@@ -88,6 +88,14 @@ def test_reports_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 3
 
 
+def test_text_tables_and_caveats(spark):
+    df = spark.createDataFrame([("a", 5, 62.25, None), ("bcd", 12, 7.0, "x|y")], "name string, n int, recall double, other string")
+    assert sinks.text_table(df) == "name   n  recall  other\na      5    62.2\nbcd   12     7.0  x|y"
+    assert sinks.text_table(df.limit(0)) == "name  n  recall  other"
+    notes = reports.caveats({"x": df})
+    assert len(notes) == 1 and notes[0].startswith("recall:") and "recall:" in sinks.text_report("T", {"x": df}, notes)
+
+
 def test_report_rows_are_bounded(spark):
     import pytest
 
