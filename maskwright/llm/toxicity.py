@@ -62,7 +62,7 @@ WIDTH = len(SEED_WORDS) + SUMMARY
 STEMS = (4, 5, 6, 7)
 
 #: Words that a worker remembers for each language.
-REMEMBERED = 300_000
+REMEMBERED = 60_000
 
 #: Parts of the labelled documents: the leaning of a document's features is counted over the other parts while fitting.
 PARTS = 5
