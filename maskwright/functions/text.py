@@ -11,6 +11,53 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def doublings(n: Column) -> Column:
+    """0, 1, 2, ... while 2 to that power is below n, and 0 at least: the steps of a loop that doubles its reach."""
+    return F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)))).cast("int") - 1))
+
+
+def running(values: Column) -> Column:
+    """Sums up to and with each element of an array of numbers, in as many passes as the length doubles (a fold that appends would
+    copy what it has for every element)."""
+
+    def step(acc: Column, k: Column) -> Column:
+        return F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - F.pow(F.lit(2), k).cast("int")), F.lit(0)))
+
+    return F.when(F.size(values) < 2, values).otherwise(F.aggregate(doublings(F.size(values)), values, step))
+
+
+def looked_up(table: Column, x: Column, others: Column) -> Column:
+    """The value of key x in a sorted array<struct<key, value>>, by bisection (a map would look at every key); others: of unknown keys."""
+
+    def step(acc: Column, _: Column) -> Column:
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        below = F.get(table, mid)["key"] < x
+        return F.when(acc["lo"] >= acc["hi"], acc).otherwise(F.struct(F.when(below, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(below, acc["hi"]).otherwise(mid).alias("hi")))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(table).alias("hi"))
+    found = lambda acc: F.when(F.coalesce(F.get(table, acc["lo"])["key"] == x, F.lit(False)), F.get(table, acc["lo"])["value"]).otherwise(others)
+    return F.aggregate(doublings(F.size(table) + 2), start, step, found)
+
+
+#: Code points of a chunk.
+CHUNK = 512
+
+
+def chunks(text: Column) -> Column:
+    """text in pieces of CHUNK code points: the table by which cut() finds its place."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def cut(table: Column, start: Column, stop: Column) -> Column:
+    """Code points from start (from 0) up to stop of a text given as chunks(): substring would count from the start of the text
+    each time."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor(stop / CHUNK).cast("int")
+    part = lambda k: F.coalesce(F.get(table, k), F.lit(""))
+    inside = F.substring(part(first), (start % CHUNK + 1).cast("int"), (stop - start).cast("int"))
+    across = F.concat(F.substring(part(first), (start % CHUNK + 1).cast("int"), F.lit(CHUNK)), F.array_join(F.slice(table, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(part(last), F.lit(1), (stop % CHUNK).cast("int")))
+    return F.when(stop <= start, "").when(first == last, inside).otherwise(across)
+
+
 WORD_TOKENS = r"([\p{L}\p{N}_]{4,})"
 
 
@@ -63,11 +110,9 @@ def occurrences(text: Column, term: Column) -> Column:
 def occurrence_starts(text: Column, term: Column) -> Column:
     """Starts (from 0) of the same occurrences: running sums over the pieces between them."""
     quoted = F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    pieces = F.transform(F.split(text, quoted, -1), lambda p: F.length(p).cast("long"))
-    step = lambda acc, n: F.struct((acc["at"] + n + F.length(term)).alias("at"), F.concat(acc["out"], F.array(acc["at"] + n)).alias("out"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-    found = F.aggregate(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), start, step, lambda acc: acc["out"])
-    return F.when(term == "", F.array().cast("array<bigint>")).otherwise(found)
+    size = lambda p: F.length(p).cast("long") + F.length(term)
+    ends = lambda p: F.transform(running(F.transform(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), size)), lambda e: e - F.length(term))
+    return F.when(term == "", F.array().cast("array<bigint>")).otherwise(let(F.split(text, quoted, -1), ends))
 
 
 def ascii_note(text: Column) -> Column:

@@ -6,6 +6,7 @@ spans(text, lang) -> Column (the Detector protocol); a model without a Column fo
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Protocol
@@ -13,7 +14,8 @@ from typing import Protocol
 from pyspark.sql import Column, functions as F
 
 from ..functions import checksums
-from ..functions.text import let, occurrence_starts
+from ..functions.text import let, occurrence_starts, running
+from .automaton import kept
 
 SPAN = "struct<type:string,text:string,start:int,end:int,score:double,source:string>"
 SPANS = f"array<{SPAN}>"
@@ -56,20 +58,20 @@ class Rule:
 
     def spans(self, text: Column, lang: Column | None = None) -> Column:
         whole = F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
-        part = F.regexp_extract_all(text, F.lit(self.pattern), F.lit(self.group)) if self.group else whole
         gaps = F.transform(F.split(text, self.pattern, -1), lambda g: F.length(g))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
         def placed(m: Column) -> Column:
-            """Running start: the gaps and matches before; the part's place within its match is found by its text."""
-
-            def step(acc: Column, i: Column) -> Column:
-                w, v, at = F.get(m["whole"], i), F.get(m["part"], i), acc["at"] + F.get(m["gaps"], i)
-                return F.struct((at + F.length(w)).alias("at"), F.concat(acc["out"], F.array(span(self.type, v, at + F.instr(w, v) - 1, self.score, self.name))).alias("out"))
-
-            return F.aggregate(F.filter(F.sequence(F.lit(-1), F.size(m["whole"]) - 1), lambda i: i >= 0), start, step, lambda acc: acc["out"])
-
-        found = let(F.struct(whole.alias("whole"), part.alias("part"), gaps.alias("gaps")), placed)
+            """A match ends where the gaps and matches up to it end; the part's place within its match is found by its text."""
+            ends = running(F.transform(m["whole"], lambda w, i: F.get(m["gaps"], i) + F.length(w)))
+            if not self.group:
+                return F.zip_with(m["whole"], ends, lambda w, e: span(self.type, w, e - F.length(w), self.score, self.name))
+            both = F.zip_with(m["whole"], ends, lambda w, e: F.struct(w.alias("w"), (e - F.length(w)).alias("at")))
+            return F.zip_with(both, m["part"], lambda b, v: span(self.type, v, b["at"] + F.instr(b["w"], v) - 1, self.score, self.name))
+
+        fields = [whole.alias("whole"), gaps.alias("gaps")]
+        if self.group:
+            fields.append(F.regexp_extract_all(text, F.lit(self.pattern), F.lit(self.group)).alias("part"))
+        found = let(F.struct(*fields), placed)
         if self.valid is not None:
             found = F.filter(found, lambda s: self.valid(s["text"]))
         none = F.array().cast(SPANS)
@@ -81,9 +83,14 @@ class Rule:
         return F.when(tried, found).otherwise(none)
 
 
+#: Terms of a dictionary that are searched one by one.
+NATIVE_TERMS = 512
+
+
 @dataclass(frozen=True)
 class Dictionary:
-    """All non-overlapping literal hits of each (term, type); terms must not be empty."""
+    """All non-overlapping literal hits of each (term, type); terms must not be empty. Up to NATIVE_TERMS they are an array in
+    one expression, which may stand anywhere; more are found by an automaton in Arrow batches, which cannot stand inside a lambda (payloads)."""
 
     terms: tuple[tuple[str, str], ...]
     name: str = "dictionary"
@@ -94,12 +101,38 @@ class Dictionary:
             raise ValueError("an empty term has no occurrences")
 
     def spans(self, text: Column, lang: Column | None = None) -> Column:
-        hit = lambda term, kind: lambda start: span(kind, F.lit(term), start, self.score, self.name)
-        hits = [F.transform(occurrence_starts(text, F.lit(t)), hit(t, k)) for t, k in self.terms]
-        found = F.flatten(F.array(*hits)) if hits else F.array().cast(SPANS)
+        if len(self.terms) > NATIVE_TERMS:
+            return _automaton_spans(self)(text)
+        if not self.terms:
+            return F.array().cast(SPANS)
+        each = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(k).alias("type")) for t, k in self.terms))
+        place = lambda t: lambda start: F.struct(t["type"].alias("type"), t["term"].alias("text"), start.cast("int").alias("start"), (start + F.length(t["term"])).cast("int").alias("end"), F.lit(self.score).alias("score"), F.lit(self.name).alias("source"))
+        held = F.filter(each, lambda t: F.contains(text, t["term"]))
+        found = F.flatten(F.transform(held, lambda t: F.transform(occurrence_starts(text, t["term"]), place(t))))
         return F.when(text.isNotNull(), found).otherwise(F.array().cast(SPANS))
 
 
+def _automaton_spans(d: Dictionary) -> Callable[[Column], Column]:
+    """The same spans from one pass over the text."""
+    import pandas as pd
+
+    name = uuid.uuid4().hex
+
+    def run(texts):
+        own = kept(name, [t for t, _ in d.terms])
+        number, entries = {t: i for i, t in enumerate(own.terms)}, [[] for _ in own.terms]
+        for t, k in d.terms:
+            entries[number[t]].append((t, k))
+        out = []
+        for x in texts:
+            found = own.found(x)
+            out.append([{"type": k, "text": t, "start": s, "end": s + len(t), "score": d.score, "source": d.name} for i in sorted(found) for t, k in entries[i] for s in found[i]])
+        return pd.Series(out)
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, SPANS)
+
+
 _rules = (
     Rule("email", "EMAIL_ADDRESS", EMAIL, guard="@", score=0.99),
     Rule("ip", "IP_ADDRESS", IP, valid=checksums.octets, guard=".", score=0.9),

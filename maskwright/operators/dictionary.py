@@ -1,73 +1,106 @@
-"""Dictionary of many terms against many documents, as an equi-join.
-
-A term of three words or more has words that are whole inside it (all but its first and last). Of the runs of three of
-these (of all of them, if they are fewer), the one that the fewest terms share is its key; a document can hold the term only if its
-own words hold the key at some place. Documents' word runs, of the lengths that keys have, are joined with the terms' keys (Spark broadcasts
-the keys if their measured size allows), and literal search confirms. Shorter terms have no such key. Up to SHORT of them are
-tried on every document; beyond that their key is their first GRAM characters (all, if there are fewer), joined with the
-documents' character runs of these lengths.
+"""Dictionary of many terms against many documents: one pass over each text with an automaton of all terms.
+
+The automaton is made by each worker from the distinct terms. They are sent to all of them if they have MOST characters at most
+(measured); beyond that they are dealt to parts of about that size, and every document meets every part: a cell
+of part and document group gets its terms first and then streams its documents, so that one automaton is in memory at a time.
+Both ways give the same rows: one for each row of documents and row of terms that it holds, whatever repeats or has no id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from ..session import ship
+from .automaton import Terms, kept
+
+#: Characters of all terms of an automaton (about 50 bytes each, in every worker).
+MOST = 2_000_000
+
+
+def _rows(batch: pa.RecordBatch, which: list[int], terms: Terms, schema: pa.Schema) -> pa.RecordBatch | None:
+    """doc_id, term, starts of what the texts of some rows hold."""
+    texts = batch.column("text")
+    at, held, starts = [], [], []
+    for i in which:
+        for term, found in terms.found(texts[i].as_py()).items():
+            at.append(i)
+            held.append(terms.terms[term])
+            starts.append(found)
+    if not at:
+        return None
+    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array(held, pa.string()), pa.array(starts, pa.list_(pa.int64()))], schema=schema)
+
 
-from ..functions.text import occurrence_starts, occurrences
+def _pieces(batch: pa.RecordBatch, rows: int = 256) -> Iterator[list[int]]:
+    for lo in range(0, batch.num_rows, rows):
+        yield list(range(lo, min(batch.num_rows, lo + rows)))
 
-SHORT = 1000
-GRAM = 6
 
+def found(docs: DataFrame, terms: DataFrame, most: int = MOST) -> DataFrame:
+    """doc_id, term, starts for every document (doc_id, text) and distinct term (text) that it holds."""
+    spark = docs.sparkSession
+    ship(spark)
+    words = terms.filter("text is not null and text <> ''").select(F.col("text").alias("term")).distinct()
+    size = words.agg(F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("n")).first().n
+    parts = max(1, -(-size // most))
+    kind = docs.schema["doc_id"].dataType
+    ddl = f"doc_id {kind.simpleString()}, term string, starts array<long>"
+    texts = docs.filter("text is not null").select("doc_id", "text")
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    def schema_of(batch: pa.RecordBatch) -> pa.Schema:
+        return pa.schema([("doc_id", batch.column("doc_id").type), ("term", pa.string()), ("starts", pa.list_(pa.int64()))])
 
+    if parts == 1:
+        name, sent = uuid.uuid4().hex, spark.sparkContext.broadcast([r.term for r in words.collect()])  # MOST characters at most
 
-def _runs(column: str, n: int) -> Column:
-    """A 64-bit name for each run of n elements; equal names are confirmed literally later."""
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(column) - n, F.lit(0))), lambda i: i <= F.size(column) - n)
-    return F.transform(starts, lambda i: F.xxhash64(*(F.get(column, i + k) for k in range(n))))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own = kept(name, sent.value)
+                for which in _pieces(b):
+                    if (out := _rows(b, which, own, schema_of(b))) is not None:
+                        yield out
 
+        return texts.mapInArrow(run, ddl)
 
-def _keys(terms: DataFrame) -> DataFrame:
-    """item_id, term, key, n (words of the key) from item_id, term, inner: the run that the fewest terms share."""
-    run = lambda n: F.transform(_runs("inner", n), lambda r: F.struct(F.lit(n).alias("n"), r.alias("key")))
-    # shorter runs only where there is no longer one
-    each = terms.select("item_id", "term", F.explode(F.array_distinct(F.when(F.size("inner") >= 3, run(3)).when(F.size("inner") == 2, run(2)).otherwise(run(1)))).alias("r")).select("item_id", "term", "r.n", "r.key")
-    shared = each.groupBy("key").agg(F.count("*").alias("terms"))
-    best = each.join(shared, "key").groupBy("item_id", "term").agg(F.min(F.struct("terms", "key", "n")).alias("m"))
-    return best.select("item_id", "term", "m.key", "m.n")
+    groups = max(1, -(-4 * spark.sparkContext.defaultParallelism // parts))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda n, *keys: F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+    first = words.select(of(parts, "term").alias("part"), F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("doc_id"), F.col("term").alias("text")).withColumn("grp", every(groups))
+    # rows are dealt by their place, as an id may be on many of them
+    then = texts.withColumn("grp", of(groups, F.monotonically_increasing_id())).select(F.lit(1).alias("kind"), "doc_id", "text", "grp").withColumn("part", every(parts))
+    cells = first.select("part", "grp", "kind", "doc_id", "text").unionByName(then.select("part", "grp", "kind", "doc_id", "text"))
+    dealt = cells.repartition(parts * groups, "part", "grp").sortWithinPartitions("part", "grp", "kind")
 
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, held = None, None, []
+        for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in ("part", "grp", "kind")), strict=True))
+            which: list[int] = []
+            for i, (part, grp, kind) in enumerate(keys):
+                if (part, grp) != at:
+                    if which and (out := _rows(b, which, own, schema_of(b))) is not None:
+                        yield out
+                    at, own, held, which = (part, grp), None, [], []
+                if kind == 0:
+                    held.append(b.column("text")[i].as_py())
+                    continue
+                own = own or Terms(held)
+                which.append(i)
+                if len(which) >= 256:
+                    if (out := _rows(b, which, own, schema_of(b))) is not None:
+                        yield out
+                    which = []
+            if which and (out := _rows(b, which, own, schema_of(b))) is not None:
+                yield out
 
-def _short_pairs(docs: DataFrame, short: DataFrame) -> DataFrame:
-    """doc_id, item_id, term, text for every document that holds a term, by an equi-join on characters."""
-    terms = short.withColumn("key", F.substring("term", 1, GRAM))
-    lengths = sorted(r[0] for r in terms.select(F.length("key")).distinct().collect())  # GRAM values at most
-    # runs are cut from an array: substring counts characters from the start each time
-    chars = docs.filter("text is not null").select("doc_id", F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)).alias("c"))
-    runs = lambda n: F.when(F.size("c") >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("c") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("c", i, n), "")))).otherwise(F.array().cast("array<string>"))
-    keys = chars.select("doc_id", F.explode(F.flatten(F.array(*(runs(n) for n in lengths)))).alias("key"))
-    pairs = keys.join(terms, "key").select("doc_id", "item_id", "term").distinct()
-    return pairs.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("term"))).select("doc_id", "item_id", "term", "text")
+    return dealt.mapInArrow(meet, ddl)
 
 
-def hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def hits(docs: DataFrame, terms: DataFrame, most: int = MOST) -> DataFrame:
     """doc_id, item_id, n_hits, starts for every document (doc_id, text) that holds a term (item_id, text)."""
     given = terms.filter("text is not null and text <> ''").select("item_id", F.col("text").alias("term"))
-    words_of = F.split("term", r"\s+")
-    keyed = given.withColumn("inner", F.slice(words_of, 2, F.greatest(F.size(words_of) - 2, F.lit(0))))
-    long = _keys(keyed.filter("size(inner) > 0"))
-    lengths = sorted(r[0] for r in long.select("n").distinct().collect())  # three values at most
-    words = docs.filter("text is not null").select("doc_id", _words(F.col("text")).alias("w"))
-    keys = words.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*(_runs("w", n) for n in lengths)).cast("array<array<bigint>>")))).alias("key"))
-    long = long.drop("n")
-    pairs = keys.join(long, "key").select("doc_id", "item_id", "term").distinct()
-    found = pairs.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("term")))
-    short = keyed.filter("size(inner) = 0").select("item_id", "term").limit(SHORT + 1).collect()
-    if len(short) > SHORT:
-        more = _short_pairs(docs, keyed.filter("size(inner) = 0").select("item_id", "term"))
-        found = found.select("doc_id", "item_id", "term", "text").unionByName(more)
-    elif short:
-        each = F.array(*(F.struct(F.lit(r.item_id).alias("item_id"), F.lit(r.term).alias("term")) for r in short))
-        more = docs.filter("text is not null").select("doc_id", "text", F.explode(F.filter(each, lambda t: F.contains(F.col("text"), t["term"]))).alias("t"))
-        found = found.select("doc_id", "item_id", "term", "text").unionByName(more.select("doc_id", F.col("t.item_id").alias("item_id"), F.col("t.term").alias("term"), "text"))
-    return found.select("doc_id", "item_id", occurrences(F.col("text"), F.col("term")).cast("long").alias("n_hits"), occurrence_starts(F.col("text"), F.col("term")).alias("starts"))
+    return found(docs, terms, most).join(given, "term").select("doc_id", "item_id", F.size("starts").cast("long").alias("n_hits"), "starts")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.text import let
+from ..functions.text import CHUNK, chunks, cut, let, looked_up
 from .detect import SPANS
 
 MAPPING = "array<struct<original:string,fake:string,type:string>>"
@@ -12,7 +12,7 @@ MAPPING = "array<struct<original:string,fake:string,type:string>>"
 
 def resolve(spans: Column) -> Column:
     """Spans that do not overlap: by start, then the longest, then the best score; one is kept if it starts where the last
-    kept one has ended, or later."""
+    kept one has ended, or later. Only spans that do overlap are folded."""
     before = lambda a, b: (
         F.when(a["start"] != b["start"], a["start"] - b["start"])
         .when(a["end"] != b["end"], b["end"] - a["end"])
@@ -23,7 +23,14 @@ def resolve(spans: Column) -> Column:
     )
     step = lambda acc, s: F.when(s["start"] >= acc["last"], F.struct(s["end"].alias("last"), F.concat(acc["out"], F.array(s)).alias("out"))).otherwise(acc)
     start = F.struct(F.lit(0).alias("last"), F.array().cast(SPANS).alias("out"))
-    return F.aggregate(F.array_sort(spans, before), start, step, lambda acc: acc["out"])
+    apart = lambda s: F.forall(F.sequence(F.lit(1), F.size(s) - 1), lambda i: F.get(s, i)["start"] >= F.get(s, i - 1)["end"])
+    kept = lambda s: F.when(apart(s), s).otherwise(F.aggregate(s, start, step, lambda acc: acc["out"]))
+    return F.when(F.size(spans) < 2, spans).otherwise(let(F.array_sort(spans, before), kept))
+
+
+def _key(s: Column, original: str = "text") -> Column:
+    """Type and original as one string: arrays of strings are made distinct by hashing, arrays of structs by comparing all pairs."""
+    return F.concat(s["type"], F.lit("\0"), s[original])
 
 
 def mapping(spans: Column) -> Column:
@@ -39,23 +46,33 @@ def mapping(spans: Column) -> Column:
         each = F.array_sort(F.flatten(F.transform(kinds, of)))
         return F.transform(each, lambda m: F.struct(m["original"].alias("original"), m["fake"].alias("fake"), m["type"].alias("type")))
 
-    distinct = F.array_distinct(F.transform(spans, lambda s: F.struct(s["type"].alias("type"), s["text"].alias("original"))))
-    placed = F.transform(distinct, lambda m, i: F.struct(m["type"].alias("type"), m["original"].alias("original"), i.alias("at")))
+    part = lambda k, n: F.get(F.split(k, "\0", 2), F.lit(n))
+    split = lambda k, i: F.struct(part(k, 0).alias("type"), part(k, 1).alias("original"), i.alias("at"))
+    placed = F.transform(F.array_distinct(F.transform(spans, lambda s: _key(s))), split)
     return F.when(F.size(spans) > 0, let(placed, numbered)).otherwise(empty)
 
 
 def splice(text: Column, spans: Column, mapped: Column) -> Column:
     """text with each span (resolved, in order) replaced by its placeholder: the pieces between them, and the placeholders."""
-    fake = lambda s: F.get(F.filter(mapped, lambda m: (m["original"] == s["text"]) & (m["type"] == s["type"])), F.lit(0))["fake"]
-    done = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
-    piece = lambda s, i: F.concat(F.substring(text, done(i) + 1, s["start"] - done(i)), fake(s))
-    tail = F.substring(text, done(F.size(spans)) + 1, F.length(text))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(F.transform(spans, piece), ""), tail)).otherwise(text)
+    fakes = F.array_sort(F.transform(mapped, lambda m: F.struct(_key(m, "original").alias("key"), m["fake"].alias("value"))))
+    end = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+    last = end(F.size(spans))
+    rest = lambda c: F.concat(cut(c, last, (F.floor(last / CHUNK) + 1) * CHUNK), F.array_join(F.slice(c, (F.floor(last / CHUNK) + 2).cast("int"), F.size(c) + 1), ""))
+    piece = lambda t: lambda s, i: F.concat(cut(t["chunks"], end(i), s["start"]), looked_up(t["fakes"], _key(s), F.lit("")))
+    done = lambda t: F.concat(F.array_join(F.transform(spans, piece(t)), ""), rest(t["chunks"]))
+    return F.when(F.size(spans) > 0, let(F.struct(fakes.alias("fakes"), chunks(text).alias("chunks")), done)).otherwise(text)
+
+
+PLACEHOLDER = "(<[^<>]+_[0-9]+>)"
 
 
 def restore(text: Column, mapped: Column) -> Column:
-    """Placeholders back to originals; they are closed (<...>), so none is part of another."""
-    return F.aggregate(mapped, text, lambda acc, m: F.replace(acc, m["fake"], m["original"]))
+    """Placeholders back to originals, in one pass over the text; what the mapping lacks stays."""
+    fakes = F.array_sort(F.transform(mapped, lambda m: F.struct(m["fake"].alias("key"), m["original"].alias("value"))))
+    found = F.struct(fakes.alias("table"), F.split(text, PLACEHOLDER, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(1)).alias("fakes"))
+    after = lambda f, i: F.coalesce(looked_up(f["table"], F.get(f["fakes"], i), F.get(f["fakes"], i)), F.lit(""))
+    both = lambda f: F.array_join(F.transform(f["gaps"], lambda g, i: F.concat(g, after(f, i))), "")
+    return F.when(F.size(mapped) > 0, let(found, both)).otherwise(text)
 
 
 def redact(text: Column, spans: Column) -> Column:
