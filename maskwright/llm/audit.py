@@ -93,15 +93,17 @@ def refined(rows: DataFrame) -> DataFrame:
 
 def later_copies(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """doc_id, h of the documents in classes whose text a smaller id has too: full texts are compared."""
-    members = named(docs).select("doc_id", "h", "text").join(classes.distinct(), ["doc_id", "h"])
+    classes = classes.distinct()
+    # a merge join at every size: how many documents share a text has no bound
+    members = named(docs).select("doc_id", "h", "text").join(classes.hint("merge"), ["doc_id", "h"])
     spread = members.groupBy("class").agg(F.min("text").alias("least"), F.max("text").alias("most"), F.min("doc_id").alias("first"))
     spread = saved(spread.select("class", "first", (F.col("least") == F.col("most")).alias("one")), "audit-spread")
-    found = classes.join(spread.filter("one"), "class").filter("doc_id > first").select("doc_id", "h")
+    found = saved(classes, "audit-classes").join(spread.filter("one"), "class").filter("doc_id > first").select("doc_id", "h")
     if not spread.filter(~F.col("one")).isEmpty():  # hashes of different blocks that are equal
         mixed = members.join(spread.filter(~F.col("one")).select("class"), "class")
         apart = mixed.join(mixed.groupBy("text").agg(F.min("doc_id").alias("first")), "text")
-        found = found.unionByName(apart.filter("doc_id > first").select("doc_id", "h"))
-    return found.distinct()
+        found = found.unionByName(apart.filter("doc_id > first").select("doc_id", "h").distinct())
+    return found
 
 
 def masks(docs: DataFrame) -> DataFrame:
