@@ -37,6 +37,8 @@ from .common import map_arrow, prepare, saved, table
 BLOCK, HELD = 8192, 2_000_000
 #: Items that are added up together, and how many terms (of how many bytes) are sent to the tasks.
 BATCH, TERMS, BYTES = 256, 500_000, 16 << 20
+#: Blocks of a cell: what a task reads does not grow with the collection.
+STREAMED = 8
 #: Fixed values of the score.
 SCALE, COUNTED, PER_LENGTH, LEAST, SLOPE = 1_000_000_000, 1000, 8, 100 - 90, 90
 
@@ -237,7 +239,8 @@ def search(index: Index, items: DataFrame, k: int = 10) -> DataFrame:
     """item_id, rank, doc_id, score of the k best documents of each item (of asked())."""
     spark = items.sparkSession
     batches = -(-items.count() // BATCH)
-    groups = max(1, min(index.blocks.count(), -(-4 * spark.sparkContext.defaultParallelism // max(1, batches))))
+    blocks = index.blocks.count()
+    groups = max(1, min(blocks, max(-(-4 * spark.sparkContext.defaultParallelism // max(1, batches)), -(-blocks // STREAMED))))
     of = F.pmod(F.xxhash64("item"), F.lit(max(1, batches))).cast("int")
     group = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
