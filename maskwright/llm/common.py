@@ -68,13 +68,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply fn to each Arrow batch of df; fn returns a batch with the columns of schema, in order."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, after: Callable[[], object] | None = None) -> DataFrame:
+    """Apply fn to each Arrow batch of df; fn returns a batch with the columns of schema, in order. after is called at the end of
+    each task, whatever its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+        try:
+            for batch in batches:
+                if batch.num_rows and (out := fn(batch)) is not None:
+                    yield out
+        finally:
+            if after is not None:
+                after()
 
     return df.mapInArrow(run, schema)
 

@@ -28,7 +28,7 @@ import heapq
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 from itertools import chain
 
@@ -61,8 +61,8 @@ WIDTH = len(SEED_WORDS) + SUMMARY
 #: Lengths of word beginnings that count as features too: many languages build insults from a stem.
 STEMS = (4, 5, 6, 7)
 
-#: Words that a worker remembers for each language.
-REMEMBERED = 60_000
+#: Words that a task remembers for each language, about 250 bytes each.
+REMEMBERED = 40_000
 
 #: Parts of the labelled documents: the leaning of a document's features is counted over the other parts while fitting.
 PARTS = 5
@@ -73,27 +73,28 @@ class Chain:
     """places: for each language ('' for all together) the row of each feature in values; values: (row, category, 2) the log-odds
     towards the category, and those times the share of the category's documents that hold the feature.
     models: one (name, weights) for each category in order; the weights cover the columns of design(), then the earlier
-    categories, then the bias."""
+    categories, then the bias.
+    known: for each language words with the rows of their features; chains with the same places may share it."""
 
     places: dict[str, dict[str, int]]
     values: dict[str, np.ndarray]
     models: tuple[tuple[str, np.ndarray], ...]
+    known: dict[str, dict[str, tuple[int, ...]]] = field(default_factory=dict)
 
     @property
     def names(self) -> list[str]:
         return [name for name, _ in self.models]
 
     @cached_property
-    def tables(self) -> dict[str, tuple[np.ndarray, np.ndarray, dict[str, tuple[int, ...]]]]:
-        """For each language the values of its own features, then those of all together; which of them a category may not see;
-        and words with the rows of their features."""
+    def tables(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """For each language the values of its own features, then those of all together; and which of them a category may not see."""
         out = {}
         for lang in self.places:
             values = self.values[lang] if lang == "" else np.concatenate([self.values[lang], self.values[""]])
             hidden = np.zeros(values.shape[:2], bool)
             for k, words in enumerate(WITHHELD):
                 hidden[[row for w in words for row in self.rows(w, lang)], k] = True
-            out[lang] = values, hidden, {}
+            out[lang] = values, hidden
         return out
 
     def rows(self, word: str, lang: str) -> tuple[int, ...]:
@@ -109,7 +110,8 @@ class Chain:
         for i, lang in enumerate(langs):
             by_lang.setdefault(lang if lang in self.places else "", []).append(i)
         for lang, rows in by_lang.items():
-            values, hidden, known = self.tables[lang] if self.places else (np.zeros((0, len(CATEGORIES), 2)), np.zeros((0, len(CATEGORIES)), bool), {})
+            values, hidden = self.tables[lang] if self.places else (np.zeros((0, len(CATEGORIES), 2)), np.zeros((0, len(CATEGORIES)), bool))
+            known = self.known.setdefault(lang, {})
             if len(known) > REMEMBERED:
                 known.clear()
             found: list[list[int]] = []
@@ -131,6 +133,11 @@ class Chain:
         out[:, :, -1] = np.log1p(out[:, :, -1]) / 4
         return out
 
+    def forget(self) -> None:
+        """At the end of a task: the worker goes on with other work."""
+        self.known.clear()
+        self.__dict__.pop("tables", None)
+
     @staticmethod
     def summary(out: np.ndarray, doc: np.ndarray, values: np.ndarray) -> None:
         """The SUMMARY columns of design() from the leanings (document, value) of one category; the last holds the number of
@@ -302,8 +309,9 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, max_rows: int, least_docs:
     labelled = saved(with_lang(docs).select("doc_id", "text", "lang").join(chosen, "doc_id").withColumn("part", part), "toxic-labelled")
     counts = count_features(labelled, least_docs, least_odds)
     places = places_of(counts)
-    # words of max_rows documents at most; a broadcast, and the words it remembers, stay with a worker from task to task
-    chains = docs.sparkSession.sparkContext.broadcast([Chain(places, leanings(counts, least_odds, k), ()) for k in range(PARTS)])
+    # words of max_rows documents at most; the chains have the same places, so they remember words together
+    known: dict[str, dict[str, tuple[int, ...]]] = {}
+    chains = docs.sparkSession.sparkContext.broadcast([Chain(places, leanings(counts, least_odds, k), (), known) for k in range(PARTS)])
 
     def present(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, langs, part = strings(batch.column("text")), strings(batch.column("lang")), batch.column("part").to_numpy()
@@ -314,7 +322,9 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, max_rows: int, least_docs:
         y = [[*seeded(words_of(t)), toxic] for t, toxic in zip(texts, batch.column("y").to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(y, pa.list_(pa.int32())), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    made = saved(map_arrow(labelled, present, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y array<int>, x array<double>"), "toxic-rows")
+    forget = lambda: [c.forget() for c in chains.value]
+    made = saved(map_arrow(labelled, present, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y array<int>, x array<double>", forget), "toxic-rows")
+    chains.destroy()
     # repeated documents may make more rows than labels: the smallest max_rows are taken
     rows = lowest(made, max_rows, "doc_id", "x").toArrow()
     x, y = (rows.column(c).combine_chunks().flatten().to_numpy() if rows.num_rows else np.zeros(0) for c in ("x", "y"))
@@ -361,7 +371,7 @@ def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",), th
         return pa.RecordBatch.from_arrays([*kept, *(pa.array(p[:, j]) for j in range(p.shape[1])), pa.array(p[:, -1] >= threshold)], names=[*(f"k{i}" for i in range(len(keep))), *names, "toxic"])
 
     schema = ", ".join([f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)] + [f"{n} double" for n in names] + ["toxic boolean"])
-    return map_arrow(with_lang(docs).select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("text").alias("t"), F.col("lang").alias("l")), run, schema).toDF(*keep, *names, "toxic")
+    return map_arrow(with_lang(docs).select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("text").alias("t"), F.col("lang").alias("l")), run, schema, lambda: sent.value.forget()).toDF(*keep, *names, "toxic")
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
