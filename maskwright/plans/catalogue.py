@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import checksums
 from ..functions import text as X
-from ..operators import dictionary, latency, payload as P, sampling, score
+from ..operators import conversation, dictionary, latency, payload as P, sampling, score
 from ..operators.detect import ALLOWLIST, CARD, EMAIL, IP, PHONE, REGISTRY, SECRET, URL, Rule, default_language, detect
 from ..operators.redact import redact
 from ..operators.redact import restore as restored
+from ..session import shared_path
+from ..sources import readers
 
 TYPES = {"EMAIL_ADDRESS": (EMAIL, 0), "IP_ADDRESS": (IP, 0), "PHONE_NUMBER": (PHONE, 0), "CREDIT_CARD": (CARD, 0), "SECRET": (SECRET, 1)}
 #: What a redactor replaces for each type.
@@ -780,3 +782,40 @@ def set_equality(spark, d):
 def shown_recall(spark, d):
     """Recall as it is displayed: one decimal, halves to even."""
     return _recall(spark, d, "lang").select("solution", "lang", X.shown(F.col("recall")).alias("shown"))
+
+
+# --- files and conversations ----------------------------------------------------------------------------------------------
+
+
+@query("WITH f AS (SELECT CAST(doc_id % 97 AS VARCHAR) AS id, CASE WHEN length(text) % 2 = 0 THEN 0 ELSE 1 END AS file_ord, doc_id, md5(text) AS digest FROM documents) SELECT id, CASE WHEN file_ord = 0 THEN 'even' ELSE 'odd' END AS lang, digest FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY file_ord DESC, doc_id DESC) AS rn FROM f) WHERE rn = 1")
+def file_last_wins(spark, d):
+    """Documents as JSON lines in two places, one read after the other: of each id (here: doc_id modulo 97) the line that is read
+    last wins, whatever splits the files are read in."""
+    folder, paths = shared_path(spark, "masked"), {}
+    rows = _t(spark, d, "documents").select("doc_id", (F.col("doc_id") % 97).cast("string").alias("id"), F.col("text").alias("source_text"), F.array().cast("array<struct<label:string,value:string>>").alias("privacy_mask"))
+    for name, rest in (("even", 0), ("odd", 1)):
+        paths[name] = f"{folder}/{name}"
+        part = rows.filter(F.length("source_text") % 2 == rest)
+        part.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("id", "source_text", "privacy_mask").write.json(paths[name])
+    return readers.last_lines(readers.masked_sources(spark, paths)).select("id", "lang", F.md5("source_text").alias("digest"))
+
+
+#: What stands for a name in conversations: a capital letter and six small ones at least.
+NAME = "[A-ZÀ-Ý][a-zà-ÿ]{6,}"
+CHAT = (Rule("name", "PERSON", NAME), Rule("ip", "IP_ADDRESS", IP, guard="."))
+_CHAT_SQL = "f AS (" + " UNION ALL ".join(f"SELECT conv_id, turn, '{t}' AS type, v[i] AS original, i FROM (SELECT conv_id, turn, v, unnest(range(1, len(v) + 1)) AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, {_q(p)}, 0) AS v FROM conversations))" for t, p in (("PERSON", NAME), ("IP_ADDRESS", IP))) + "), g AS (SELECT conv_id, type, original, min(ROW(turn, i)) AS pos FROM f GROUP BY ALL), m AS (SELECT conv_id, type, original, '<' || type || '_' || row_number() OVER (PARTITION BY conv_id, type ORDER BY pos, original) || '>' AS fake FROM g)"
+
+
+@query(f"WITH {_CHAT_SQL} SELECT * FROM m")
+def conversation_mapping(spark, d):
+    """Placeholders of every conversation, numbered by first occurrence over its turns."""
+    return conversation.mapping_of(conversation.with_spans(_t(spark, d, "conversations"), CHAT))
+
+
+@query(f"""WITH {_CHAT_SQL}, n AS (SELECT conv_id, turn, f.type, f.original, fake, length(f.original) AS n FROM f JOIN m USING (conv_id, type, original)),
+c AS (SELECT conv_id, turn, count(*) AS placeholders, CAST(sum(length(fake) - n) AS BIGINT) AS longer FROM n GROUP BY conv_id, turn)
+SELECT conv_id, turn, coalesce(placeholders, 0) AS placeholders, CAST(length(text) + coalesce(longer, 0) AS BIGINT) AS n_chars, md5(text) AS restored FROM conversations LEFT JOIN c USING (conv_id, turn)""")
+def conversation_redaction(spark, d):
+    """Turns redacted with their conversation's mapping: placeholders in each, the length, and a digest of what restoring gives."""
+    done = conversation.redact_conversations(_t(spark, d, "conversations").select("conv_id", "turn", "text"), CHAT)
+    return done.select("conv_id", "turn", F.regexp_count("text", F.lit("<[A-Z_]+_[0-9]+>")).cast("long").alias("placeholders"), F.length("text").cast("long").alias("n_chars"), F.md5(restored(F.col("text"), F.col("mapping"))).alias("restored"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.payload import MESSAGES
+from ..operators.sampling import last_wins
 from . import schema
 
 
@@ -65,17 +66,47 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode(each).alias("x")).select("x.*")
 
 
+def placed_lines(spark: SparkSession, path: str, order: int = 0) -> DataFrame:
+    """value (a line) and place, a struct that orders lines as they stand: order (the file's in a list), file, block (where the
+    split begins in the file) and row (rows of a split are read one after the other). Large files are read in many splits."""
+    place = F.struct(F.lit(order).alias("order"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select("value", place.alias("place"))
+
+
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """placed_lines() with line, the number from 0 in its file: rows of a split are counted by themselves, splits summed over."""
+    split = ["place.order", "place.file", "place.block"]
+    keyed = lines.select("*", *(F.col(c).alias(f"__{c.split('.')[1]}") for c in split))
+    keys = ["__order", "__file", "__block"]
+    counts = keyed.groupBy(*keys).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__order", "__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    base = counts.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy("place.row"))  # a split at most
+    return keyed.withColumn("__inside", inside).join(base, keys).withColumn("line", F.col("__base") + F.col("__inside") - 1).drop(*keys, "__base", "__inside")
+
+
 def masked_sources(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
-    """JSON lines, a file (or folder) for each language; the language is the file's. Adds lang and file_ord."""
+    """JSON lines, a file (or folder) for each language; the language is the file's. Adds lang, file_ord and place (the order of the
+    lines, see placed_lines), so that the last line of an id can win."""
+    place = "struct<order:int,file:string,block:bigint,row:bigint>"
     if not paths:
-        return spark.createDataFrame([], f"{schema.MASKED}, lang string, file_ord int")
-    parts = [spark.read.schema(schema.MASKED).json(p).withColumns({"lang": F.lit(lang), "file_ord": F.lit(i)}) for i, (lang, p) in enumerate(paths.items())]
+        return spark.createDataFrame([], f"{schema.MASKED}, lang string, file_ord int, place {place}")
+    parts = []
+    for i, (lang, path) in enumerate(paths.items()):
+        lines = placed_lines(spark, path, i).filter(F.trim("value") != "")
+        read = lines.select(F.from_json("value", schema.MASKED).alias("x"), "place").select("x.*", F.lit(lang).alias("lang"), F.lit(i).alias("file_ord"), F.col("place").cast(place).alias("place"))
+        parts.append(read)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def last_lines(masked: DataFrame) -> DataFrame:
+    """Of each id the line that is read last, over all files."""
+    return last_wins(masked, ["id"], "place")
+
+
 def label_corpus(label: DataFrame, texts: DataFrame) -> DataFrame:
     """Labels with their texts by id; labels without a text are dropped. The language is the label's."""
     return label.join(texts.select("id", "text"), "id")

@@ -1,12 +1,14 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from maskwright import cli
+from maskwright.operators import conversation
 from maskwright.operators.detect import REGISTRY, Rule
 from maskwright.plans import reports
 from maskwright.sources import readers, schema, sinks
-from maskwright.streaming.redaction import redact_stream, windowed_counts
+from maskwright.streaming.redaction import redact_conversation_stream, redact_stream, windowed_counts
 
 SAMPLES = [
     {"id": "t1", "lang": "fr", "source": "own", "text": "Je suis Zoé Élan, zoe@ex.test, 192.0.2.7.", "expected": {"Zoé Élan": "PERSON", "zoe@ex.test": "EMAIL_ADDRESS", "192.0.2.7": "IP_ADDRESS"}, "must_preserve": ["suis"]},
@@ -140,3 +142,70 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((str(r.window_start), r.type, r.n) for r in spark.table("counts").collect()) == [("2024-01-01 00:00:00", "EMAIL_ADDRESS", 15), ("2024-01-01 00:05:00", "EMAIL_ADDRESS", 5)]
+
+
+def test_lines_keep_their_place_over_splits(spark, tmp_path):
+    """Files in several splits: the last line of an id wins, as in a Python dict."""
+    rng = random.Random(2)
+    paths, want, lines = {}, {}, {}
+    for k, lang in enumerate(("de", "fr")):
+        rows = [{"id": str(rng.randint(0, 90)), "source_text": f"{lang} {i} é" + "x" * rng.randint(0, 90), "privacy_mask": [{"label": "EMAIL", "value": "a@b.c"}]} for i in range(700)]
+        paths[lang] = str(tmp_path / f"{lang}.jsonl")
+        lines[lang] = [x for r in rows for x in ([json.dumps(r, ensure_ascii=False), ""] if rng.random() < 0.1 else [json.dumps(r, ensure_ascii=False)])]
+        (tmp_path / f"{lang}.jsonl").write_text("\n".join(lines[lang]) + "\n")
+        want |= {r["id"]: (lang, r["source_text"]) for r in rows}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        read = readers.masked_sources(spark, paths)
+        assert read.rdd.getNumPartitions() > 10
+        assert read.select("place.file", "place.block").distinct().count() > 10
+        assert {r.id: (r.lang, r.source_text) for r in readers.last_lines(read).collect()} == want
+        numbered = readers.numbered_lines(readers.placed_lines(spark, paths["de"])).collect()
+        assert [r.value for r in sorted(numbered, key=lambda r: r.line)] == lines["de"] and sorted(r.line for r in numbered) == list(range(len(lines["de"])))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def chat(n=40):
+    rng = random.Random(9)
+    value = lambda: rng.choice(["a@b.test", "c@d.test", "1.2.3.4", "e@f.test", "5.6.7.8", "plain", "words"])
+    return [(c, t, None if rng.random() < 0.05 else " ".join(value() for _ in range(rng.randint(0, 8)))) for c in [*range(n), *[7] * 5] for t in range(rng.randint(1, 5))]
+
+
+def test_one_mapping_for_a_conversation(spark):
+    rules = [Rule("email", "EMAIL_ADDRESS", r"[a-z]+@[a-z]+[.]test"), Rule("ip", "IP_ADDRESS", r"[0-9]+(?:[.][0-9]+){3}")]
+    turns = [(c, t, x) for c, t, x in chat()] + [(None, 0, "a@b.test"), (99, 3, "z@z.test 1.2.3.4 z@z.test"), (99, 1, "1.2.3.4 a@b.test")]
+    df = spark.createDataFrame([(*t, "k") for t in turns], "conv_id long, turn long, text string, original string")
+    done = conversation.redact_conversations(df, rules)
+    rows = done.collect()
+    assert len(rows) == len(turns) and done.columns == ["conv_id", "turn", "text", "original", "mapping"]
+    assert sorted((r.turn, r.text) for r in rows if r.conv_id == 99) == [(1, "<IP_ADDRESS_1> <EMAIL_ADDRESS_1>"), (3, "<EMAIL_ADDRESS_2> <IP_ADDRESS_1> <EMAIL_ADDRESS_2>")]
+    back = conversation.restore_conversations(done).select("conv_id", "turn", "text").collect()
+    assert sorted(map(str, map(tuple, back))) == sorted(map(str, turns))
+    fakes = {}
+    for r in rows:
+        for m in r.mapping:
+            assert fakes.setdefault((r.conv_id, m.fake), m.original) == m.original
+    mapped = conversation.mapping_of(conversation.with_spans(df, rules))
+    answers = spark.createDataFrame([(99, "send <EMAIL_ADDRESS_2> and <EMAIL_ADDRESS_9>"), (99, None), (5000, "<EMAIL_ADDRESS_1>"), (99, "<IP_ADDRESS_1>")], "conv_id long, text string")
+    assert sorted(map(str, map(tuple, conversation.restored_with(answers, mapped).collect()))) == sorted(map(str, [(99, "send z@z.test and <EMAIL_ADDRESS_9>"), (99, None), (5000, "<EMAIL_ADDRESS_1>"), (99, "1.2.3.4")]))
+    assert conversation.redact_conversations(df.limit(0), rules).count() == 0
+
+
+def test_conversation_streams_give_the_batch_result(spark, tmp_path):
+    rules = [Rule("email", "EMAIL_ADDRESS", r"[a-z]+@[a-z]+[.]test"), Rule("ip", "IP_ADDRESS", r"[0-9]+(?:[.][0-9]+){3}")]
+    turns = sorted({(c, t): (c, t, x) for c, t, x in chat(12)}.values(), key=lambda t: (t[1], t[0]))
+    df = spark.createDataFrame(turns, "conv_id long, turn long, text string")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for k in range(3):  # batches of turns, in order
+            df.filter((F.col("turn") >= 2 * k) & (F.col("turn") < 2 * k + 2)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = redact_conversation_stream(stream, rules).writeStream.format("memory").queryName("talks").outputMode("append").start()
+        q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    key = lambda rows: sorted((r.conv_id, r.turn, str(r.text), [tuple(m) for m in r.mapping]) for r in rows)
+    assert key(spark.table("talks").collect()) == key(conversation.redact_conversations(df, rules).collect())
