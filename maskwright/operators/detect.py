@@ -144,6 +144,17 @@ _rules = (
     Rule("date", "DATE_TIME", r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4}", score=0.6),
     Rule("url", "URL", URL, guard="://", score=0.9),
     Rule("secret", "SECRET", SECRET, group=1, guard='token = "', score=0.95),
+    # types as the table of source labels has them
+    Rule("key", "SECRET", r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}", valid=checksums.secret, score=0.7),
+    Rule("bitcoin", "FINANCIAL", r"\b[13LM][1-9A-HJ-NP-Za-km-z]{25,34}\b", valid=checksums.base58check, score=0.97),
+    Rule("segwit", "FINANCIAL", r"\b(?:bc1|BC1)[02-9A-Za-z]{11,71}\b", valid=checksums.bech32, score=0.97),
+    Rule("ether", "FINANCIAL", r"\b0x[0-9A-Fa-f]{40}\b", guard="0x", score=0.9),  # by form: the hash of the mixed case is not checked
+    Rule("bic", "FINANCIAL", r"(?:BIC|SWIFT)[ :]+([A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?)\b", group=1, score=0.8),
+    Rule("routing", "FINANCIAL", r"(?:ABA|[Rr]outing)[A-Za-z ]{0,20}[ :]+([0-9]{9})\b", group=1, valid=checksums.routing, score=0.9),
+    Rule("vehicle", "US_SSN", r"\b[A-HJ-NPR-Z0-9]{17}\b", valid=checksums.vehicle, score=0.9),
+    Rule("imei", "PHONE_NUMBER", r"IMEI[ :]+([0-9]{2}-?[0-9]{6}-?[0-9]{6}-?[0-9])\b", group=1, valid=checksums.luhn, guard="IMEI", score=0.97),
+    Rule("mac", "IP_ADDRESS", r"\b[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}\b|\b[0-9A-Fa-f]{2}(?:-[0-9A-Fa-f]{2}){5}\b", score=0.9),
+    Rule("ipv6", "IP_ADDRESS", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])", valid=checksums.ipv6, guard=":", score=0.9),
     # names and places: a cue before capitalised words
     Rule("person", "PERSON", r"(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora|Signor|Signora)[.]? ((?:\p{Lu}[\p{L}'-]+ ?){1,3}[\p{L}])", group=1, score=0.6),
     Rule("location", "LOCATION", r"(?:lives in|based in|wohnt in|habite à|vive en|abita a) (\p{Lu}[\p{L}-]+)", group=1, score=0.5),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import checksums
 from ..functions import text as X
-from ..operators import conversation, dictionary, latency, payload as P, sampling, score
+from ..operators import conversation, dictionary, latency, matching, payload as P, sampling, score
 from ..operators.detect import ALLOWLIST, CARD, EMAIL, IP, PHONE, REGISTRY, SECRET, URL, Rule, default_language, detect
 from ..operators.redact import redact
 from ..operators.redact import restore as restored
@@ -784,6 +784,34 @@ def shown_recall(spark, d):
     return _recall(spark, d, "lang").select("solution", "lang", X.shown(F.col("recall")).alias("shown"))
 
 
+# --- secrets and order-free matching ------------------------------------------------------------------------------------
+
+KEY = "[A-Za-z0-9+/=_-]{20,}"
+_ENTROPY = "list_sum(list_transform(list_distinct(string_split({v}, '')), lambda c: -(length({v}) - length(replace({v}, c, ''))) / length({v})::DOUBLE * log2((length({v}) - length(replace({v}, c, ''))) / length({v})::DOUBLE)))"
+
+
+@query(f"""WITH k AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, {_q(KEY)}, 0))) AS v FROM documents),
+f AS (SELECT doc_id, v FROM k WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(regexp_extract_all(v, '[A-Za-z][0-9]|[0-9][A-Za-z]')) * 16 >= length(v) AND {_ENTROPY.format(v='v')} >= 3.0),
+t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, {_q(SECRET)}, 1)) AS v FROM documents),
+c AS (SELECT count(*) FILTER (f.v IS NOT NULL AND t.v IS NOT NULL) AS tp, count(*) FILTER (t.v IS NULL) AS fp, count(*) FILTER (f.v IS NULL) AS fn FROM f FULL JOIN t ON f.doc_id = t.doc_id AND f.v = t.v)
+SELECT tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0 END AS recall FROM c""")
+def secret_quality(spark, d):
+    """Keys found by what they look like (character changes, entropy) against the secrets that stand in quotes after a name."""
+    found = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(KEY), F.lit(0)), checksums.secret))
+    known = F.array_distinct(F.regexp_extract_all("text", F.lit(SECRET), F.lit(1)))
+    each = _t(spark, d, "documents").select(found.alias("f"), known.alias("t")).filter("size(f) > 0 or size(t) > 0")
+    n = lambda c: F.size(c)
+    counts = each.select(n(F.array_intersect("f", "t")).alias("tp"), n(F.array_except("f", "t")).alias("fp"), n(F.array_except("t", "f")).alias("fn"))
+    return score.precision_recall(counts).drop("f1")
+
+
+@query(None)
+def best_match(spark, d):
+    """As greedy_match, with the most true positives that any order of the detections could give."""
+    found = matching.with_best_match(_matched(spark, d), name="b")
+    return found.select("doc_id", F.col("b.tp").alias("tp"), F.col("tp").alias("greedy_tp"), *(F.array_join(F.array_sort(F.col(f"b.{c}")), "|").alias(c) for c in ("matched", "fp", "fn")))
+
+
 # --- files and conversations ----------------------------------------------------------------------------------------------
 
 

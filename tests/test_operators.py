@@ -312,3 +312,171 @@ def test_redaction_is_linear_in_spans(spark):
 def test_placeholders_that_are_not_in_the_mapping_stay(spark):
     df = spark.createDataFrame([("<X_1> <b <Y_2> <X_9> <X_1>", [("one", "<X_1>", "X"), ("<X_1>", "<Y_2>", "Y")])], "t string, m array<struct<original:string,fake:string,type:string>>")
     assert df.select(restore(F.col("t"), F.col("m")).alias("r")).first().r == "one <b <X_1> <X_9> one"
+
+
+# --- identifiers and secrets --------------------------------------------------------------------------------------
+
+
+def told(spark, fn, values):
+    return [r.ok for r in spark.createDataFrame([(v,) for v in values], "v string").select(F.coalesce(fn(F.col("v")), F.lit(False)).alias("ok")).collect()]
+
+
+def spoilt(value, rng):
+    k = rng.randrange(4, len(value))
+    return value[:k] + rng.choice([c for c in "23456789" if c != value[k]]) + value[k + 1 :]
+
+
+def test_checksums_of_published_examples(spark):
+    from maskwright.functions import checksums
+
+    good = {
+        checksums.base58check: ["1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa", "3J98t1WpEZ73CNmQviecrnyiWrnqRhWNLy", "1111111111111111111114oLvT2"],
+        checksums.bech32: ["bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4", "BC1QW508D6QEJXTDG4Y5R3ZARVARY0C5XW7KV8F3T4", "bc1p0xlxvlhemja6c4dqv22uapctqupfhlxm9h8z3k2e72q4k9hcz7vqzk5jj0"],
+        checksums.vehicle: ["1M8GDM9AXKP042788", "11111111111111111"],
+        checksums.routing: ["021000021", "011401533"],
+        checksums.ipv6: ["2001:db8:85a3::8a2e:370:7334", "::1", "fe80::", "1:2:3:4:5:6:7:8", "::"[:2] + "ffff:0"],
+    }
+    bad = {
+        checksums.base58check: ["", "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNb", "A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa", "11A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa", "0" * 30],
+        checksums.bech32: ["", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t5", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8F3t4", "tb1qw508d6qejxtdg4y5r3zarvary0c5xw7kxpjzsx"],
+        checksums.vehicle: ["1M8GDM9A1KP042788", "1M8GDM9AXKP04278", "IM8GDM9AXKP042788"],
+        checksums.routing: ["021000022", "000000000", "02100002"],
+        checksums.ipv6: ["12:30:45", "1:2:3:4:5:6:7:8:9", "1::2::3", ":1:2:3:4:5:6:7:8", "1:2", ":::", "1:2:3:4:5:6:7:8:"],
+    }
+    for fn, values in good.items():
+        assert told(spark, fn, values) == [True] * len(values), fn
+    for fn, values in bad.items():
+        assert told(spark, fn, values) == [False] * len(values), fn
+    rng = random.Random(1)
+    for fn in (checksums.base58check, checksums.bech32, checksums.routing):
+        values = [spoilt(good[fn][0], rng) for _ in range(30)]
+        assert not any(told(spark, fn, values))
+
+
+def test_identifiers_are_found(spark):
+    text = "pay 1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa or bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4, 0x52908400098527886E0F7030069857D2E4169EE7; BIC: DEUTDEFF500, routing number: 021000021, car 1M8GDM9AXKP042788, IMEI 490154203237518, 00:1b:44:11:3a:b7, host 2001:db8::1 at 12:30:45, key Zx81aQ0pLm4Tr77Bvc2KdW9e and Donaudampfschifffahrtsgesellschaft"
+    names = [REGISTRY[n] for n in "key bitcoin segwit ether bic routing vehicle imei mac ipv6".split()]
+    got = spark.createDataFrame([(text,)], "t string").select(resolve(detect(F.col("t"), names)).alias("s")).first().s
+    assert [(s.source, s.text) for s in got] == [
+        ("bitcoin", "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa"), ("segwit", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4"), ("ether", "0x52908400098527886E0F7030069857D2E4169EE7"), ("bic", "DEUTDEFF500"), ("routing", "021000021"),
+        ("vehicle", "1M8GDM9AXKP042788"), ("imei", "490154203237518"), ("mac", "00:1b:44:11:3a:b7"), ("ipv6", "2001:db8::1"), ("key", "Zx81aQ0pLm4Tr77Bvc2KdW9e"),
+    ]
+    assert all(text[s.start : s.end] == s.text for s in got)
+
+
+def test_secrets_by_information(spark):
+    import math
+
+    from maskwright.functions import checksums
+
+    rng = random.Random(2)
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(300)] + ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32)) for _ in range(300)]
+    words = ["Donaudampfschifffahrtsgesellschaft", "----------------------------", "aaaaaaaaaaaaaaaaaaaaaaaa1", "2024-2025-2026-2027-2028", "internationalisation_of_things", "0000000000000000000000000001", "item_1_item_2_item_3_items", ""]
+    assert sum(told(spark, checksums.secret, keys)) >= 0.95 * len(keys)
+    assert not any(told(spark, checksums.secret, words))
+    got = [r.e for r in spark.createDataFrame([(k,) for k in keys + words], "v string").select(checksums.entropy(F.col("v")).alias("e")).collect()]
+    want = [-sum(k.count(c) / len(k) * math.log2(k.count(c) / len(k)) for c in set(k)) for k in keys + words]
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, want, strict=True))
+
+
+# --- order-free matching ------------------------------------------------------------------------------------------
+
+
+def test_best_match_against_brute_force(spark):
+    from itertools import permutations
+
+    from maskwright.operators.matching import with_best_match
+
+    rng = random.Random(11)
+    word = lambda: rng.choice(["ab", "q", " B", "x q", "q ab", "É x", "x", "ab é", "", "É", "é"])
+    rows = [(i, [word() for _ in range(rng.randint(0, 5))], list(dict.fromkeys(w for w in (word() for _ in range(rng.randint(0, 5))) if w))) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, d array<string>, e array<string>")
+    got = {r.i: r for r in with_best_match(df.withColumn("g", score.greedy_match(F.col("d"), F.col("e"))), "d", "e", "b").collect()}
+    near = lambda a, b: a.strip().lower() in b.strip().lower() or b.strip().lower() in a.strip().lower()
+    gained = 0
+    for i, d, e in rows:
+        d = [x for x in d if x.strip()]
+        few, many = (d, e) if len(d) <= len(e) else (e, d)
+        most = max((sum(near(a, b) for a, b in zip(few, p)) for p in permutations(many, len(few))), default=0)
+        r = got[i].b
+        assert r.tp == most == len(r.matched) and r.tp >= got[i].g.tp
+        assert len(r.fp) == len(d) - most and sorted(r.matched + r.fn) == sorted(e)
+        gained += r.tp > got[i].g.tp
+    assert gained
+
+
+def test_long_augmenting_paths():
+    from maskwright.operators.matching import largest
+
+    n = 3000
+    edges = [[i, i + 1] for i in range(n)] + [[0]]
+    assert sorted(largest(edges, n + 1)) == list(range(n + 1))
+
+
+# --- solutions with a life cycle ----------------------------------------------------------------------------------
+
+
+class Counting:
+    name = "counting"
+
+    def __init__(self, folder, wrong=False):
+        self.folder, self.wrong = folder, wrong
+
+    def note(self, what):
+        import os
+        import uuid
+
+        open(f"{self.folder}/{what}-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+    def setup(self):
+        self.note("setup")
+        return {"digit": "<D_1>"}
+
+    def run(self, model, texts, langs):
+        if self.wrong:
+            return []
+        return [("".join(model["digit"] if c == "7" else c for c in t), [("7", "<D_1>", "D")] if "7" in t else []) for t in texts]
+
+    def teardown(self, model):
+        assert model["digit"]
+        self.note("teardown")
+
+
+@pytest.mark.parametrize("keep", ["worker", "task"])
+def test_models_are_set_up_once(spark, tmp_path, keep):
+    import os
+    from collections import Counter
+
+    from maskwright.operators.solution import anonymize
+
+    df = spark.createDataFrame([(i, f"x{i}" if i % 9 else None, None) for i in range(400)], "i int, text string, lang string").repartition(8)
+    done = anonymize(df, Counting(str(tmp_path)), keep)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        for _ in range(2):
+            rows = {r.i: r for r in done.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(rows[i].text == (f"x{i}".replace("7", "<D_1>") if i % 9 else None) for i in range(400))
+    assert all(restore_text(rows[i]) == f"x{i}" for i in range(400) if i % 9)
+    made = Counter(f.split("-")[0] for f in os.listdir(tmp_path))
+    per = Counter(f.split("-")[1] for f in os.listdir(tmp_path) if f.startswith("setup"))
+    if keep == "worker":
+        assert max(per.values()) == 1 and made["teardown"] == 0
+    else:
+        assert made["setup"] == made["teardown"] == 16
+
+
+def restore_text(r):
+    for m in r.mapping:
+        r = type("R", (), {"text": r.text.replace(m.fake, m.original)})
+    return r.text
+
+
+def test_solutions_must_answer_for_every_text(spark, tmp_path):
+    from maskwright.operators.solution import anonymize, results
+
+    with pytest.raises(Exception, match="0 results for 1 texts"):
+        anonymize(spark.createDataFrame([("a", "en")], "text string, lang string"), Counting(str(tmp_path), wrong=True)).collect()
+    with pytest.raises(ValueError):
+        results(Counting(str(tmp_path)), "forever")
