@@ -416,30 +416,29 @@ def test_long_augmenting_paths():
 # --- solutions with a life cycle ----------------------------------------------------------------------------------
 
 
-class Counting:
-    name = "counting"
+def counting(folder, wrong=False):
+    """A local class, as workers cannot import this module."""
+    import os
+    import uuid
 
-    def __init__(self, folder, wrong=False):
-        self.folder, self.wrong = folder, wrong
+    class Counting:
+        name = "counting"
 
-    def note(self, what):
-        import os
-        import uuid
+        def note(self, what):
+            open(f"{folder}/{what}-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
 
-        open(f"{self.folder}/{what}-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        def setup(self):
+            self.note("setup")
+            return {"digit": "<D_1>"}
 
-    def setup(self):
-        self.note("setup")
-        return {"digit": "<D_1>"}
+        def run(self, model, texts, langs):
+            return [] if wrong else [(t.replace("7", model["digit"]), [("7", "<D_1>", "D")] if "7" in t else []) for t in texts]
 
-    def run(self, model, texts, langs):
-        if self.wrong:
-            return []
-        return [("".join(model["digit"] if c == "7" else c for c in t), [("7", "<D_1>", "D")] if "7" in t else []) for t in texts]
+        def teardown(self, model):
+            assert model["digit"]
+            self.note("teardown")
 
-    def teardown(self, model):
-        assert model["digit"]
-        self.note("teardown")
+    return Counting()
 
 
 @pytest.mark.parametrize("keep", ["worker", "task"])
@@ -450,7 +449,7 @@ def test_models_are_set_up_once(spark, tmp_path, keep):
     from maskwright.operators.solution import anonymize
 
     df = spark.createDataFrame([(i, f"x{i}" if i % 9 else None, None) for i in range(400)], "i int, text string, lang string").repartition(8)
-    done = anonymize(df, Counting(str(tmp_path)), keep)
+    done = anonymize(df, counting(str(tmp_path)), keep)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
     try:
         for _ in range(2):
@@ -477,6 +476,6 @@ def test_solutions_must_answer_for_every_text(spark, tmp_path):
     from maskwright.operators.solution import anonymize, results
 
     with pytest.raises(Exception, match="0 results for 1 texts"):
-        anonymize(spark.createDataFrame([("a", "en")], "text string, lang string"), Counting(str(tmp_path), wrong=True)).collect()
+        anonymize(spark.createDataFrame([("a", "en")], "text string, lang string"), counting(str(tmp_path), wrong=True)).collect()
     with pytest.raises(ValueError):
-        results(Counting(str(tmp_path)), "forever")
+        results(counting(str(tmp_path)), "forever")
