@@ -56,6 +56,11 @@ def wrap(text: Column, carrier: str) -> Column:
     raise ValueError(f"unknown carrier {carrier!r}; there are {', '.join(CARRIERS)}")
 
 
+def called(arguments: Column) -> Column:
+    """messages of one tool call with the given arguments."""
+    return F.array(_message("assistant", calls=_call(arguments)))
+
+
 def combined(text: Column) -> Column:
     """Two messages: multimodal, then a tool call whose arguments are ASCII-escaped."""
     return F.array(_message("user", parts=_parts(text)), _message("assistant", calls=_call(ascii_note(text))))

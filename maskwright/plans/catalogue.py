@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import checksums
 from ..functions import text as X
-from ..operators import conversation, dictionary, latency, matching, payload as P, sampling, score
+from ..operators import arguments, conversation, dictionary, latency, matching, payload as P, sampling, score
 from ..operators.detect import ALLOWLIST, CARD, EMAIL, IP, PHONE, REGISTRY, SECRET, URL, Rule, default_language, detect
 from ..operators.redact import redact
 from ..operators.redact import restore as restored
@@ -56,10 +56,19 @@ def _q(s: str) -> str:
 # --- shared columns and SQL ---------------------------------------------------------------------------------------
 
 
+#: Literals without which a pattern need not be tried.
+GUARDS = {EMAIL: "@", PHONE: "+", SECRET: 'token = "', HOST: ".example.com", IP: "."}
+
+
+def extracted(text: Column, pattern: str, group: int = 0) -> Column:
+    """All matches, in order, with repeats."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    return F.when(F.contains(text, F.lit(GUARDS[pattern])), found).otherwise(F.array().cast("array<string>")) if pattern in GUARDS else found
+
+
 def values(kind: str, text: Column) -> Column:
     """What the type's pattern finds, in order, with repeats."""
-    pattern, group = TYPES[kind]
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    found = extracted(text, *TYPES[kind])
     return F.filter(found, checksums.luhn) if kind == "CREDIT_CARD" else found
 
 
@@ -90,6 +99,23 @@ def scored(docs: DataFrame, solutions: tuple[str, ...] = tuple(SOLUTIONS)) -> Da
     return per.select("solution", "doc_id", "lang", F.col("x.type").alias("type"), F.col("x.pii").alias("pii"), (~X.literal_contains(F.col("out"), F.col("x.pii"))).alias("caught"), X.strictly_absent(F.col("x.pii"), F.col("out")).alias("strict"), X.literal_contains(F.col("inner"), F.col("x.pii")).alias("inner_leak"), X.literal_contains(X.ascii_note(F.col("inner")), F.col("x.pii")).alias("ascii_leak"))
 
 
+#: The masks as rules, for payloads.
+MASK_RULES = tuple(Rule(t.lower(), t, p) for t, p in MASKS.items())
+
+
+def scored_payloads(docs: DataFrame) -> DataFrame:
+    """scored(), with tool_leak and mm_leak from payloads that were redacted: each document as a text part and a tool call, searched
+    once, redacted by each solution with what it knows. Solutions that know flat text alone leave payloads as they are."""
+    known = docs.withColumn("truth", truth_array(F.col("text"))).filter("size(truth) > 0")
+    payloads = known.select("doc_id", "lang", "text", "truth", P.combined(F.col("text")).alias("messages"))
+    each = F.array(*(F.struct(F.lit(s).alias("solution"), F.array(*map(F.lit, () if s in FLAT_ONLY else SOLUTIONS[s])).cast("array<string>").alias("types"), masked(F.col("text"), SOLUTIONS[s]).alias("out")) for s in SOLUTIONS))
+    per = arguments.with_spans(payloads, MASK_RULES).select("doc_id", "lang", "truth", "messages", "__found", F.explode(each).alias("s")).select("doc_id", "lang", "truth", "messages", "__found", "s.*")
+    done = arguments.redacted(per, allow="types")
+    read = done.select("solution", "doc_id", "lang", "out", F.get_json_object(P.first_arguments(F.col("messages")), "$.note").alias("args"), P.first_multimodal(F.col("messages")).alias("mm"), F.explode("truth").alias("x"))
+    pii = F.col("x.pii")
+    return read.select("solution", "doc_id", "lang", F.col("x.type").alias("type"), pii.alias("pii"), (~X.literal_contains(F.col("out"), pii)).alias("caught"), X.strictly_absent(pii, F.col("out")).alias("strict"), X.literal_contains(F.col("args"), pii).alias("tool_leak"), X.literal_contains(F.col("mm"), pii).alias("mm_leak"))
+
+
 LUHN_SQL = "(list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN 2 * CAST(substr({v}, CAST(i AS INTEGER), 1) AS INTEGER) - 9 * CAST(CAST(substr({v}, CAST(i AS INTEGER), 1) AS INTEGER) > 4 AS INTEGER) ELSE CAST(substr({v}, CAST(i AS INTEGER), 1) AS INTEGER) END)) % 10 = 0)"
 
 
@@ -312,15 +338,16 @@ def recall_pivot(spark, d):
 
 @query(SCORED_SQL + f"SELECT solution, count(*) AS total, {_c('caught')} AS caught, {_c('strict')} AS strict_caught, {_pct(_c('caught'))} AS recall, {_pct(_c('strict'))} AS recall_strict, {_pct(_c('inner_leak'))} AS tool_leak, {_pct(_c('inner_leak'))} AS mm_leak, {_pct(_c('caught AND NOT inner_leak'), _c('caught'))} AS tool_protection FROM scored GROUP BY solution")
 def solution_compare(spark, d):
-    safe = F.count_if(F.col("caught") & ~F.col("inner_leak"))
-    return scored(_t(spark, d, "documents")).groupBy("solution").agg(F.count("*").alias("total"), _n("caught").alias("caught"), _n("strict").alias("strict_caught"), percent(_n("caught"), F.count("*")).alias("recall"), percent(_n("strict"), F.count("*")).alias("recall_strict"), percent(_n("inner_leak"), F.count("*")).alias("tool_leak"), percent(_n("inner_leak"), F.count("*")).alias("mm_leak"), percent(safe, _n("caught")).alias("tool_protection"))
+    safe = F.count_if(F.col("caught") & ~F.col("tool_leak"))
+    return scored_payloads(_t(spark, d, "documents")).groupBy("solution").agg(F.count("*").alias("total"), _n("caught").alias("caught"), _n("strict").alias("strict_caught"), percent(_n("caught"), F.count("*")).alias("recall"), percent(_n("strict"), F.count("*")).alias("recall_strict"), percent(_n("tool_leak"), F.count("*")).alias("tool_leak"), percent(_n("mm_leak"), F.count("*")).alias("mm_leak"), percent(safe, _n("caught")).alias("tool_protection"))
 
 
 def _leak_query(name: str, column: str):
     sql = _scored_sql(*SOLUTIONS, ascii=column == "ascii_leak") + f"SELECT solution, {_c(column)} AS leaked, {_pct(_c(column))} AS {name} FROM scored GROUP BY solution"
 
     def run(spark, d):
-        return scored(_t(spark, d, "documents")).groupBy("solution").agg(_n(column).alias("leaked"), percent(_n(column), F.count("*")).alias(name))
+        rows = scored(_t(spark, d, "documents")) if column == "ascii_leak" else scored_payloads(_t(spark, d, "documents")).withColumn(column, F.col(name))
+        return rows.groupBy("solution").agg(_n(column).alias("leaked"), percent(_n(column), F.count("*")).alias(name))
 
     run.__name__ = name
     query(sql)(run)
@@ -333,8 +360,8 @@ _leak_query("mm_leak", "inner_leak")
 
 @query(SCORED_SQL + f"SELECT solution, {_c('caught')} AS caught, {_c('caught AND NOT inner_leak')} AS protected, {_pct(_c('caught AND NOT inner_leak'), _c('caught'))} AS tool_protection FROM scored GROUP BY solution")
 def tool_protection(spark, d):
-    safe = F.count_if(F.col("caught") & ~F.col("inner_leak")).cast("long")
-    return scored(_t(spark, d, "documents")).groupBy("solution").agg(_n("caught").alias("caught"), safe.alias("protected"), percent(safe, _n("caught")).alias("tool_protection"))
+    safe = F.count_if(F.col("caught") & ~F.col("tool_leak")).cast("long")
+    return scored_payloads(_t(spark, d, "documents")).groupBy("solution").agg(_n("caught").alias("caught"), safe.alias("protected"), percent(safe, _n("caught")).alias("tool_protection"))
 
 
 # --- false positives on clean documents ---------------------------------------------------------------------------
@@ -369,7 +396,7 @@ def fp_distinct_originals(spark, d):
 
 def _matched(spark, d) -> DataFrame:
     """Expected values against what a wider detector finds (hosts too), both sorted; documents with either."""
-    detected = F.array_sort(F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in (EMAIL, HOST, IP, CARD))))))
+    detected = F.array_sort(F.array_distinct(F.flatten(F.array(*(extracted(F.col("text"), p) for p in (EMAIL, HOST, IP, CARD))))))
     docs = _t(spark, d, "documents").select("doc_id", "lang", F.array_sort(F.array_distinct(F.transform(truth_array(F.col("text")), lambda x: x["pii"]))).alias("expected"), detected.alias("detected"))
     docs = docs.filter("size(expected) > 0 or size(detected) > 0")
     return docs.withColumn("m", score.greedy_match(F.col("detected"), F.col("expected"))).select("doc_id", "lang", "expected", "detected", "m.*")
@@ -812,6 +839,28 @@ def best_match(spark, d):
     return found.select("doc_id", F.col("b.tp").alias("tp"), F.col("tp").alias("greedy_tp"), *(F.array_join(F.array_sort(F.col(f"b.{c}")), "|").alias(c) for c in ("matched", "fp", "fn")))
 
 
+# --- arguments by tree ------------------------------------------------------------------------------------------------
+
+
+def _trees(text: Column) -> dict[str, Column]:
+    """Arguments that hold a text in other ways than as a plain string value."""
+    return {"document": F.to_json(F.struct(F.to_json(F.struct(F.array(text).alias("notes"))).alias("body"))), "key": F.to_json(F.create_map(text, F.lit(1))), "list": F.to_json(F.array(F.to_json(F.array(text)), F.lit("x")))}
+
+
+@query(f"""WITH {TRUTH_SQL}, o AS (SELECT doc_id, {_LIGHT_OUT} AS out FROM documents), p AS (SELECT carrier, doc_id, pii, contains(out, pii) AS leaked FROM truth JOIN o USING (doc_id), (SELECT unnest(['document', 'key', 'list']) AS carrier))
+SELECT carrier, count(*) AS labels, {_c('leaked')} AS leaked, count(DISTINCT doc_id) AS calls, count(DISTINCT doc_id) AS restored FROM p GROUP BY carrier""")
+def tree_parity(spark, d):
+    """What the light redactor leaves in arguments that hold a text in a document within a string, as an object key, or in a list
+    within a string; and how many calls come back as they were."""
+    docs = _t(spark, d, "documents").withColumn("truth", F.transform(truth_array(F.col("text")), lambda x: x["pii"])).filter("size(truth) > 0")
+    each = F.array(*(F.struct(F.lit(k).alias("carrier"), a.alias("given")) for k, a in _trees(F.col("text")).items()))
+    calls = docs.select("doc_id", "truth", F.explode(each).alias("c")).select("doc_id", "truth", "c.*").withColumn("messages", P.called(F.col("given")))
+    done = arguments.redact_payloads(calls, LIGHT).withColumn("seen", P.first_arguments(F.col("messages")))
+    back = arguments.restore_payloads(done).select("carrier", "doc_id", "truth", "given", "seen", P.first_arguments(F.col("messages")).alias("back"))
+    leaks = F.size(F.filter("truth", lambda v: F.contains("seen", v)))
+    return back.groupBy("carrier").agg(F.sum(F.size("truth")).cast("long").alias("labels"), F.sum(leaks).cast("long").alias("leaked"), F.count("*").alias("calls"), F.count_if(F.col("back") == F.col("given")).cast("long").alias("restored"))
+
+
 # --- files and conversations ----------------------------------------------------------------------------------------------
 
 
