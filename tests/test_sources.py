@@ -7,7 +7,7 @@ from maskwright import cli
 from maskwright.operators import conversation
 from maskwright.operators.detect import REGISTRY, Rule
 from maskwright.plans import reports
-from maskwright.sources import readers, schema, sinks
+from maskwright.sources import json_arrays, readers, schema, sinks
 from maskwright.streaming.redaction import redact_conversation_stream, redact_stream, windowed_counts
 
 SAMPLES = [
@@ -209,3 +209,32 @@ def test_conversation_streams_give_the_batch_result(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     key = lambda rows: sorted((r.conv_id, r.turn, str(r.text), [tuple(m) for m in r.mapping]) for r in rows)
     assert key(spark.table("talks").collect()) == key(conversation.redact_conversations(df, rules).collect())
+
+
+def test_json_lists_in_many_splits(spark, tmp_path):
+    """A list in many splits gives the rows of a single task's read, whatever is in its strings."""
+    rng = random.Random(7)
+    bits = ["}", "{", '"', "\\", "]", "[", "é", "\n", ", ", "text ", '{"a": [1]}', '"]}', "😀"]
+    row = lambda i: {"id": str(i), "lang": rng.choice(["de", None]), "text": "".join(rng.choice(bits) for _ in range(rng.randint(0, 60 if i % 97 else 9000))), "expected": {"k}": "V", "x\"{": "W"} if i % 3 else {}, "must_preserve": ["}{", "]"] * rng.randint(0, 2)}
+    rows = [row(i) for i in range(900)]
+    for name, kept, indent in (("a", rows, None), ("b", rows[:300], 1), ("c", [], None), ("d", [*rows[:5], 7, None, "x{", [1, {"id": "inner"}], rows[5]], 2)):
+        (tmp_path / f"{name}.json").write_text(json.dumps(kept, ensure_ascii=rng.random() < 0.5, indent=indent))
+    key = lambda df: sorted(str((r.id, r.lang, r.text, r.expected, r.must_preserve)) for r in df.collect())
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for size in ("3000", "100k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "10")
+        try:
+            for name in "abc":
+                path = str(tmp_path / f"{name}.json")
+                assert key(json_arrays.read_array(spark, path)) == key(readers.json_array(spark, path)), (name, size)
+            if size == "3000":
+                assert json_arrays._stretches(spark, str(tmp_path / "a.json")).rdd.getNumPartitions() > 30
+            assert sorted(r.id for r in json_arrays.read_array(spark, str(tmp_path / "d.json")).collect()) == sorted(r["id"] for r in rows[:6])
+            both = json_arrays.read_array(spark, [str(tmp_path / "a.json"), str(tmp_path / "b.json")])
+            assert both.count() == 1200
+        finally:
+            for c, v in before.items():
+                spark.conf.set(c, v)
+    plan = json_arrays.read_array(spark, str(tmp_path / "a.json")).select("id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "must_preserve" not in plan
