@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import checksums
 from ..functions import text as X
-from ..operators import arguments, conversation, dictionary, latency, matching, payload as P, sampling, score
+from ..operators import arguments, conversation, dictionary, latency, matching, payload as P, sampling, score, tagger
 from ..operators.detect import ALLOWLIST, CARD, EMAIL, IP, PHONE, REGISTRY, SECRET, URL, Rule, default_language, detect
-from ..operators.redact import redact
+from ..operators.redact import redact, resolve
 from ..operators.redact import restore as restored
 from ..session import shared_path
 from ..sources import readers
@@ -832,6 +832,30 @@ def secret_quality(spark, d):
     return score.precision_recall(counts).drop("f1")
 
 
+#: What the tagger is to learn from the tables: where the patterns find something.
+GOLD = (Rule("email", "EMAIL_ADDRESS", EMAIL, guard="@"), Rule("ip", "IP_ADDRESS", IP, guard="."), Rule("phone", "PHONE_NUMBER", PHONE, guard="+"), Rule("card", "CREDIT_CARD", CARD, valid=checksums.luhn))
+
+
+@query(None)
+def tagger_quality(spark, d):
+    """A tagger that learns from documents whose id's checksum is not 2 modulo 4, on the others: exact spans by type."""
+    docs = _t(spark, d, "documents").select("text", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held"), resolve(detect(F.col("text"), GOLD)).alias("gold"))
+    model = tagger.train(docs.filter(~F.col("held")).select("text", F.col("gold").alias("spans")))
+    found = docs.filter("held").select("gold", detect(F.col("text"), [tagger.Tagger(model)]).alias("spans"))
+    return score.precision_recall(tagger.span_scores(found), "type")
+
+
+_CUES = r"(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora|Signor|Signora)"
+CUE_TEXT = "concat(text, ' Dear Dr. ', upper(substr(md5(text), 1, 1)), lower(translate(substr(md5(text), 2, 6), '0123456789', 'ghijklmnop')), ' and Frau Älster lives in Köln. ')"
+
+
+@query(f"SELECT doc_id, 'PERSON' AS type, unnest(regexp_extract_all(text, '{_CUES}[.]? ((?:\\p{{Lu}}[\\p{{L}}''-]+ ?){{1,3}}[\\p{{L}}])', 1)) AS pii FROM (SELECT doc_id, {CUE_TEXT} AS text FROM documents) UNION ALL SELECT doc_id, 'LOCATION', unnest(regexp_extract_all(text, '(?:lives in|based in|wohnt in|habite à|vive en|abita a) (\\p{{Lu}}[\\p{{L}}-]+)', 1)) FROM (SELECT doc_id, {CUE_TEXT} AS text FROM documents)")
+def detect_cues(spark, d):
+    """Names and places after a cue: in documents, to each of which a name made from its digest and a fixed place are added."""
+    spans = detect(F.col("text"), [REGISTRY["person"], REGISTRY["location"]])
+    return _t(spark, d, "documents").select("doc_id", F.expr(CUE_TEXT).alias("text")).select("doc_id", F.explode(spans).alias("s")).select("doc_id", F.col("s.type").alias("type"), F.col("s.text").alias("pii"))
+
+
 @query(None)
 def best_match(spark, d):
     """As greedy_match, with the most true positives that any order of the detections could give."""
