@@ -16,11 +16,15 @@ about `HELD` query blocks, so that its memory is bounded, and there are some cel
 query blocks and streams its candidate blocks, with their statistics made once; each (query, cell) returns k rows, of which
 the k best are chosen. All pairs of blocks are bounded below or scored: queries against all rows is what is asked.
 
+What the bounds save depends on the vectors. Where they lie in clusters, coarse levels drop most pairs. Where all directions
+are alike (a Gaussian cloud), only segments of two tell pairs apart, and computing them costs about what the scores do; `Best.examined`
+counts the pairs that were scored.
+
 Defined cases. Vectors that are null, empty, or hold null or non-finite components take no part, neither do rows without
 id. Vectors of another length than the query's are no candidates. Candidates with the query's id are left out. Equal scores:
 smaller ids first. Repeated rows: each is a candidate; a query repeated with the same vector counts once, and one id with
-several vectors is several queries, each with ranks of its own. Components whose product sums could pass 2^53 are scored in
-64-bit integers, that wrap as a long does. Any long is an id. Empty table: empty.
+several vectors is several queries, each with ranks of its own. Scores are 64-bit integers, which wrap as a long does; bounds
+are doubles, so where sums pass 2^53 candidates may be lost. Any long is an id. Empty table: empty.
 """
 
 from __future__ import annotations
@@ -41,20 +45,22 @@ HELD, PAIRS = 16, 1024
 
 
 def levels(dim: int) -> list[int]:
-    """Numbers of segments, coarse to fine, while they divide dim and hold two components at least."""
+    """Numbers of segments, coarse to fine, for a dimension that is divisible by four: 1, 4, 16, ... while they divide it, and at
+    last segments of two."""
     out, n = [], 1
-    while n * 2 <= dim:
-        if dim % n == 0:
-            out.append(n)
+    while n * 4 <= dim and dim % n == 0:
+        out.append(n)
         n *= 4
-    return out or [1]
+    return [*out, dim // 2] if dim > 2 else [1]
 
 
 def statistics(v: np.ndarray) -> list[np.ndarray]:
-    """For each level, rows whose inner products are the bounds: sqrt(n) * means, then norms of the deviations."""
+    """For each level, rows whose inner products are the bounds: sqrt(n) * means, then norms of the deviations. Zeros are added up to a
+    dimension divisible by four; they change no inner product."""
     out = []
+    v = np.pad(v.astype(np.float64), ((0, 0), (0, -v.shape[1] % 4)))
     for n in levels(v.shape[1]):
-        cut = v.reshape(len(v), n, -1).astype(np.float64)
+        cut = v.reshape(len(v), n, -1)
         mean = cut.mean(axis=2)
         rest = np.sqrt(np.maximum(((cut - mean[:, :, None]) ** 2).sum(axis=2), 0))
         out.append(np.hstack([mean * np.sqrt(cut.shape[2]), rest]))

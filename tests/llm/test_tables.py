@@ -278,6 +278,29 @@ def test_bounds_hold_and_cut_work():
         assert list(zip((-best.scores[r]).tolist(), best.found[r].tolist(), strict=True)) == want
 
 
+@pytest.mark.parametrize("dim", [1, 2, 3, 5, 6, 7, 12, 30, 64])
+def test_bounds_hold_in_any_dimension(dim):
+    v = np.random.default_rng(dim).integers(-500, 500, (60, dim))
+    bounds = [a @ b.T for a, b in zip(topk.statistics(v[:20]), topk.statistics(v), strict=True)]
+    assert all((x >= v[:20] @ v.T - 1e-3).all() for x in bounds)
+    assert len(bounds) == len(topk.levels(dim + -dim % 4)) and (len(bounds) < 2 or bounds[-1].sum() <= bounds[0].sum())
+
+
+def test_bounds_cut_work_on_the_table(spark):
+    """The embeddings point in all directions alike: the segments of two still drop a good part of the pairs."""
+    rows = topk.whole(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).orderBy("id").collect()
+    ids, v = np.array([r.id for r in rows]), np.array([r.v for r in rows], np.int64)
+    asked = ids % 50 == 0
+    best = topk.Best(ids[asked], v[asked], 5)
+    for lo in range(0, len(v), 256):
+        best.see(ids[lo : lo + 256], v[lo : lo + 256], topk.statistics(v[lo : lo + 256]))
+    assert best.examined < 0.65 * asked.sum() * len(v)
+    for r, q in enumerate(np.flatnonzero(asked)):
+        want = sorted((-int(v[q] @ v[i]), ids[i]) for i in range(len(v)) if i != q)[:5]
+        assert list(zip((-best.scores[r]).tolist(), best.found[r].tolist(), strict=True)) == want
+    print("examined", best.examined / (asked.sum() * len(v)))
+
+
 # --- HTML -------------------------------------------------------------------------------------------------------------------------
 
 CASES = {
