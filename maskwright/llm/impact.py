@@ -253,7 +253,8 @@ def search(index: Index, items: DataFrame, k: int = 10) -> DataFrame:
     then = index.blocks.withColumn("grp", group).withColumn("batch", every(batches)).withColumns(none("string", "term") | none("binary", "words", "planes") | none("long", "item", "item_id") | none("array<string>", "terms"))
     last = index.slices.join(wanted, "term").withColumn("grp", group).withColumns(none("binary", "ids") | none("long", "item", "item_id") | none("array<string>", "terms"))
     cells = first.select(columns).unionByName(then.select(columns)).unionByName(last.select(columns))
-    dealt = cells.repartition(max(1, batches) * groups, "batch", "grp").sortWithinPartitions("batch", "grp", "block", "term", "item")
+    # more partitions than cells, so that few cells share one by chance
+    dealt = cells.repartition(4 * max(1, batches) * groups, "batch", "grp").sortWithinPartitions("batch", "grp", "block", "term", "item")
     schema = pa.schema([("item", pa.int64()), ("item_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.int64()), ("place", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

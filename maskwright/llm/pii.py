@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable
@@ -32,6 +33,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .common import fit_logistic, logistic, lowest, map_arrow, prepare, saved, strings, table
@@ -52,7 +54,8 @@ LOOSE = {
     "card": re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])"),
     # likewise: country code, area code, 3-4 grouping; the base pattern runs on into numbers behind it
     "phone": re.compile(r"(?<![0-9+])\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])"),
-    "secret": re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,128}(?![A-Za-z0-9_])"),
+    # signed web tokens, or one word, of any length
+    "secret": re.compile(r"(?<![A-Za-z0-9_])(?:eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*[A-Za-z0-9_]|[A-Za-z0-9_]{20,}(?![A-Za-z0-9_]))"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 }
@@ -73,10 +76,21 @@ MAIL_DOMAINS = frozenset("com org net edu gov mil int info biz name pro aero coo
 IBAN_LENGTHS = {"DE": 22, "FR": 27, "ES": 24, "IT": 27, "GB": 22, "NL": 18, "BE": 16, "CH": 21, "AT": 20, "PT": 25, "IE": 22, "LU": 20, "PL": 28, "SE": 24, "DK": 18, "FI": 18, "NO": 15}
 FIRST_NAMES = frozenset("aaron adam adrian agnes ahmed alain alan albert alessandro alex alexander alfred ali alice amanda amelie amy ana andrea andreas andrew angela anja anna anne anton antonio arthur barbara beatrice ben benjamin bernard brian brigitte bruno camille carla carlos carmen carol caroline catherine charles charlotte chiara chris christian christina christine claire clara claude claudia daniel david deborah diego dieter dominique donald dorothy edward elena elisabeth elizabeth emil emily emma enrico eric erik eva fatima felix fernando florian francesca francesco francisco francois frank fritz gabriel george gerard gerhard giovanni giulia grace gustav hannah hans heinrich helen helena henri henry ines ingrid isabel jack jacques james jan jane jason javier jean jennifer jessica joan johann john jonas jorge jose joseph juan judith julia julie julien karen karl kate katharina kevin klaus laura lena leo leonie lisa louis louise luca lucas lucia luis luisa lukas manuel marco margaret maria marie mario mark markus marta martin mary matteo matthew max maya mia michael michel miguel mohammed monica nadia nathalie nicolas nina nora olga oliver olivia omar otto pablo patricia patrick paul paula pedro peter philip pierre rachel rafael raul rebecca renate richard robert rosa ruth samuel sandra sara sarah sebastian silvia simon sofia sophie stefan stefano stephanie stephen steven susan susanne sylvie teresa thierry thomas tim tom ursula valentina vera veronica victor victoria vincent walter werner william wolfgang yusuf yves".split())
 
-NAME = r"[A-Z][a-zà-ÿ]{1,15}"
+#: A capital letter of any script and small ones, parts of it joined by hyphens or apostrophes.
+NAME = r"(?:\p{Lu}['’])?\p{Lu}[\p{Ll}\p{M}]++(?:[-'’]\p{Lu}[\p{Ll}\p{M}]++)*+"
 #: A title or an introduction, then the name (group 1); and several capitalised words, of which the first is a known name.
-INTRODUCED = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Sr|Sra|[Mm]y name is|[Ss]igned|[Cc]ontact|[Rr]egards|[Dd]ear)[.:,]?\s((?:" + NAME + r"\x20){0,2}" + NAME + r")(?![A-Za-zà-ÿ])")
-CAPITALISED = re.compile(r"(?<![A-Za-zà-ÿ])" + NAME + r"(?:\x20" + NAME + r"){1,2}(?![A-Za-zà-ÿ])")
+INTRODUCED = regex.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Sr|Sra|[Mm]y name is|[Ss]igned|[Cc]ontact|[Rr]egards|[Dd]ear)[.:,]?\s((?:" + NAME + r"\x20){0,2}" + NAME + r")(?!\p{L})")
+CAPITALISED = regex.compile(r"(?<!\p{L})" + NAME + r"(?:\x20" + NAME + r"){1,2}(?!\p{L})")
+#: Letters that are no others with marks on them.
+_PLAIN = str.maketrans("łøđıþ", "lodit")
+
+
+def known_name(word: str) -> bool:
+    """Is it a first name of the list, marks on its letters aside?"""
+    low = word.lower()
+    return low in FIRST_NAMES or (not low.isascii() and "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c)).translate(_PLAIN) in FIRST_NAMES)
+
+
 DIGIT = re.compile(r"[0-9]")
 #: Kinds whose candidates hold a digit.
 NUMBERED = ("card", "phone", "iban", "ssn")
@@ -136,7 +150,7 @@ def base_spans(text: str) -> list[Span]:
 def people(text: str) -> list[Span]:
     """Names behind a title or an introduction, and those that begin with a known first name; leftmost, then longest."""
     found = [m.span(1) for m in INTRODUCED.finditer(text)]
-    found += [m.span() for m in CAPITALISED.finditer(text) if m[0].partition(" ")[0].lower() in FIRST_NAMES]
+    found += [m.span() for m in CAPITALISED.finditer(text) if known_name(m[0].partition(" ")[0])]
     out: list[Span] = []
     for start, end in sorted(found, key=lambda s: (s[0], -s[1])):
         if not out or start >= out[-1].end:
@@ -185,9 +199,9 @@ def votes(text: str, span: Span) -> tuple[int, ...]:
         gazetteer = -1 if digits[0] == "0" else 1
     elif kind == "secret":
         mixed = len(digits) >= 3 and any(c.isalpha() for c in value)
-        form = 1 if mixed and len(value) in (20, 24, 32, 36, 40, 48, 64) else -1 if not mixed else 0
+        form = 1 if mixed and (len(value) in (20, 24, 32, 36, 40, 48) or len(value) >= 64) else -1 if not mixed else 0
         checksum = 1 if mixed and entropy(value) >= 3.2 else -1
-        gazetteer = 1 if re.fullmatch(r"[0-9a-f]{32,64}|(AKIA|ghp_|sk_|xox)[A-Za-z0-9_]+", value) else -1 if value.isalpha() or value.isdigit() else 0
+        gazetteer = 1 if re.fullmatch(r"[0-9a-f]{32,64}|(AKIA|ghp_|sk_|xox)[A-Za-z0-9_]+|eyJ[^.]+\.[^.]+\..+", value) else -1 if value.isalpha() or value.isdigit() else 0
     elif kind == "iban":
         plain = value.replace(" ", "")
         form = 1 if IBAN_LENGTHS.get(plain[:2]) == len(plain) else -1
@@ -196,7 +210,7 @@ def votes(text: str, span: Span) -> tuple[int, ...]:
     elif kind == "ssn":
         form = -1 if value[:3] in ("000", "666") or value[0] == "9" or value[4:6] == "00" or value[7:] == "0000" else 1
     elif kind == "person":
-        known = sum(w.lower() in FIRST_NAMES for w in value.split())
+        known = sum(map(known_name, value.split()))
         form = 1 if 2 <= len(value.split()) <= 3 else 0
         gazetteer = 1 if known else -1
         checksum = 1 if re.search(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Sr|Sra)[.:,]?\s$", text[max(0, span.start - 12) : span.start]) else 0  # a title

@@ -320,6 +320,20 @@ def test_aggregation_tells_reliable_labelers():
     assert t[0, 2, 1] > 0.85 and abs(t[2, 2, 1] - 0.5) < 0.15
 
 
+def test_candidates_of_any_length_and_script():
+    """Brute force over what is put into a text: every secret and name is a candidate, whole."""
+    rng = random.Random(12)
+    secrets = ["a1B2" * 40, "ab12" * 5, "Z9" * 5000, "eyJhbGciOi0.eyJzdWIiOiIx_x.SflKxw-RJSM_eKKF2"]
+    names = ["Łukasz Nowak", "Élodie Ñúñez", "Ольга Иванова", "Anna O’Brien-Šmíd", "Örjan Ålund", "Maximilian-Alexander Schwarzenbergerinnen"]
+    for _ in range(50):
+        secret, name = rng.choice(secrets), rng.choice(names)
+        text = f"é {rng.choice(['key=', 'token ', ''])}{secret}{rng.choice([' ', ', ', chr(10)])}{rng.choice(['Mr', 'Frau', 'Dear'])} {name}, and so on"
+        got = {(s.kind, text[s.start : s.end]) for s in pii.further_candidates(text, pii.base_spans(text))}
+        assert ("secret", secret) in got and ("person", name) in got, (text, got)
+    assert pii.known_name("Élena") and pii.known_name("LUKAS") and not pii.known_name("Table")
+    assert ("person", "Andréa Šmíd") in {(s.kind, t[s.start : s.end]) for t in ["we met Andréa Šmíd there"] for s in pii.further_candidates(t, [])}
+
+
 def test_pii_edges(spark):
     df = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "a@b.cd")], "doc_id long, text string")
     got = sorted(((r.doc_id or 0), r.n_email, r.spans) for r in pii.find(df, pii.train(df)).collect())
