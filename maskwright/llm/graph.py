@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import discard, saved
 
 
-def components(links: DataFrame, rounds: int = 64) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links(a, b) -> (id, component): the smallest id reachable, for each id that occurs in links.
 
     Each round, every id takes the smallest label among its own and its neighbours', then the label of its label; the
@@ -23,7 +23,7 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
     both = saved(real.union(real.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-links")
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component"))
     labels = saved(labels, "cc-labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnsRenamed({"id": "b", "component": "l"}), "b").groupBy("a").agg(F.min("l").alias("l")).withColumnRenamed("a", "id")
         hooked = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "l").alias("new"))
         # labels are ids with a label of their own: jump
@@ -36,4 +36,3 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
         if labels.filter("old <> component").isEmpty():
             discard(both)
             return labels.select("id", "component")
-    raise RuntimeError(f"no fixed point after {rounds} rounds")

@@ -11,7 +11,7 @@ size, each block is drawn at most twice, and no document is taken beyond twice i
 
 What the driver holds: a row for each source (name, size, quota), and nothing that grows with documents or blocks. Running
 totals are made in three steps (within buckets, over the buckets of a shelf, over shelves), so a hot source is spread over
-many tasks.
+many tasks. Rows that are alike get buckets of their own.
 
 Defined cases. Null text or no words: size 0, taken 0, not in the mixed texts. Null source: a source of its own, the last.
 Null doc_id, repeated rows and equal doc_ids: each row is placed and taken by itself. Empty table: empty. Other columns are
@@ -140,19 +140,38 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def numbered_repeats(sized: DataFrame) -> DataFrame:
+    """sized (with __row, __part) and __nth, the number of a row among those that share doc_id and __h: such rows are alike, so it does not
+    matter which is which, but each has a bucket of its own. Numbers are made within partitions, and partitions are summed
+    over, so a row that makes up a third of the table is no single task's work."""
+    key = ["doc_id", "__h"]
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["__h"] == b["__h"])
+    per = saved(sized.groupBy(*key, "__part").agg(F.count("*").alias("__n")), "mix-repeats")
+    often = per.groupBy(*key).agg(F.sum("__n").alias("__all")).filter("__all > 1").drop("__all")
+    if often.isEmpty():
+        return sized.withColumn("__nth", F.lit(0).cast("long"))
+    before = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    base = per.join(often, same(per, often), "left_semi").withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    light = sized.select(*key, "__part", "__row")
+    inside = F.row_number().over(Window.partitionBy(*key, "__part").orderBy("__row"))
+    numbers = light.join(base, same(light, base) & (light["__part"] == base["__part"])).select(light["doc_id"], light["__h"], light["__part"], light["__row"], "__base").withColumn("__nth", F.col("__base") + inside - 1).select("__row", "__nth")
+    return sized.join(numbers, "__row", "left").withColumn("__nth", F.coalesce("__nth", F.lit(0)).cast("long"))
+
+
 def placed(docs: DataFrame, length: int, seed: int, texts: bool) -> tuple[DataFrame, list[Source]]:
     """docs with __size, __source (index) and __start (its first word within the source), saved, without text if that is
     not wanted; and the plan."""
     spark = docs.sparkSession
     sized = docs.withColumns({"__size": n_words(F.col("text")), "__h": F.xxhash64("doc_id", "text")})
-    sized = saved(sized if texts else sized.drop("text"), "mix-sizes")
+    sized = sized.withColumns({"__row": F.monotonically_increasing_id(), "__part": F.spark_partition_id()})
+    sized = numbered_repeats(saved(sized if texts else sized.drop("text"), "mix-sizes")).drop("__row", "__part")
     sums = sized.groupBy("source").agg(F.sum("__size").alias("size"), F.count("*").alias("n")).collect()  # a row for each source
     sources = plan({r.source: r.size for r in sums}, length, seed)
     buckets = max([1, *(-(-r.n // BUCKET) for r in sums)])
     index = spark.createDataFrame([(s.index, s.name) for s in sources], "__source int, __name string")
-    rows = sized.join(F.broadcast(index), F.col("source").eqNullSafe(F.col("__name"))).drop("__name").withColumn("__bucket", F.pmod("__h", F.lit(buckets)))
-    placed = running(rows, ["__source"], "__bucket", ["doc_id", "__h"], "__size", "__start")
-    return saved(placed.drop("__bucket", "__h"), "mix-placed"), sources
+    rows = sized.join(F.broadcast(index), F.col("source").eqNullSafe(F.col("__name"))).drop("__name").withColumn("__bucket", F.pmod(F.when(F.col("__nth") == 0, F.col("__h")).otherwise(F.xxhash64("__h", "__nth")), F.lit(buckets)))
+    placed = running(rows, ["__source"], "__bucket", ["doc_id", "__h", "__nth"], "__size", "__start")
+    return saved(placed.drop("__bucket", "__h", "__nth"), "mix-placed"), sources
 
 
 def shard_counts(spark: SparkSession, sources: list[Source], slots: int, seed: int) -> DataFrame:

@@ -19,6 +19,19 @@ from maskwright.llm.common import fresh_path
 # --- mixing -----------------------------------------------------------------------------------------------------------
 
 
+def test_rows_that_are_alike_are_spread(spark):
+    """20,000 equal rows fall into many buckets; the numbers do not depend on how the table is cut."""
+    docs = spark.createDataFrame([(1, "a b c", "s")] * 5000 + [(None, "x", None)] * 700 + [(i, "d e", "s") for i in range(2, 300)], "doc_id long, text string, source string")
+    sized = docs.select("doc_id", mixing.F.xxhash64("doc_id", "text").alias("__h"))
+    for n in (1, 7):
+        cut = sized.coalesce(n).withColumns({"__row": mixing.F.monotonically_increasing_id(), "__part": mixing.F.spark_partition_id()})
+        got = mixing.numbered_repeats(cut).collect()
+        assert sorted(r["__nth"] for r in got if r.doc_id == 1) == list(range(5000)) and sorted(r["__nth"] for r in got if r.doc_id is None) == list(range(700))
+        assert {r["__nth"] for r in got if r.doc_id not in (1, None)} == {0}
+    got = mixing.taken(docs).collect()
+    assert len(got) == 5998 and sum(r.taken for r in got) > 0 and all(r.taken <= 2 * r.size for r in got)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000])
 def test_permutations_are_bijections(n):
     p = mixing.permutation(3, 1, n, 17)
