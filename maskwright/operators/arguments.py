@@ -88,11 +88,13 @@ def back(arguments: str, originals: dict[str, str], depth: int = DEPTH) -> str:
     return _TOKEN.sub(token, arguments)
 
 
-def _texts(messages: list[dict] | None) -> list[str]:
+def _texts(messages: list[dict] | None, structured: bool = True) -> list[str]:
     out: list[str] = []
     for m in messages or []:
         if m["content_text"] is not None:
             out.append(m["content_text"])
+        if not structured:
+            continue
         out += [p["text"] for p in m["content_parts"] or [] if p["text"] is not None]
         for c in m["tool_calls"] or []:
             if c["function"] and c["function"]["arguments"] is not None:
@@ -100,11 +102,14 @@ def _texts(messages: list[dict] | None) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def _changed(messages: list[dict] | None, text: Callable[[str], str], arguments: Callable[[str], str]) -> list[dict] | None:
+def _changed(messages: list[dict] | None, text: Callable[[str], str], arguments: Callable[[str], str], structured: bool = True) -> list[dict] | None:
     if messages is None:
         return None
     out = []
     for m in messages:
+        if not structured:
+            out.append(m | {"content_text": None if m["content_text"] is None else text(m["content_text"])})
+            continue
         parts = m["content_parts"] and [p | {"text": None if p["text"] is None else text(p["text"])} for p in m["content_parts"]]
         calls = m["tool_calls"] and [c | {"function": c["function"] and c["function"] | {"arguments": None if c["function"]["arguments"] is None else arguments(c["function"]["arguments"])}} for c in m["tool_calls"]]
         out.append(m | {"content_text": None if m["content_text"] is None else text(m["content_text"]), "content_parts": parts, "tool_calls": calls})
@@ -122,17 +127,18 @@ def _mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schem
     return df.mapInArrow(run, schema)
 
 
-def with_spans(payloads: DataFrame, detectors: Sequence[Detector], messages: str = "messages") -> DataFrame:
-    """payloads with __found: array<struct<text, spans>>, each distinct text of a payload searched once (spans may overlap)."""
+def with_spans(payloads: DataFrame, detectors: Sequence[Detector], messages: str = "messages", structured: bool = True, types: Sequence[str] | None = None) -> DataFrame:
+    """payloads with __found: array<struct<text, spans>>, each distinct text of a payload searched once (spans may overlap).
+    structured=False: string content alone. types: those that may be found at all."""
 
     def listed(b: pa.RecordBatch) -> pa.RecordBatch:
-        return b.append_column("__texts", pa.array([_texts(m) for m in b.column(messages).to_pylist()], pa.list_(pa.string())))
+        return b.append_column("__texts", pa.array([_texts(m, structured) for m in b.column(messages).to_pylist()], pa.list_(pa.string())))
 
     seen = _mapped(payloads, listed, StructType([*payloads.schema, StructField("__texts", ArrayType(StringType()))]))
-    return seen.withColumn("__found", F.transform("__texts", lambda t: F.struct(t.alias("text"), detect(t, detectors).alias("spans")))).drop("__texts")
+    return seen.withColumn("__found", F.transform("__texts", lambda t: F.struct(t.alias("text"), detect(t, detectors, allow=types).alias("spans")))).drop("__texts")
 
 
-def redacted(spotted: DataFrame, messages: str = "messages", allow: str | None = None) -> DataFrame:
+def redacted(spotted: DataFrame, messages: str = "messages", allow: str | None = None, structured: bool = True) -> DataFrame:
     """with_spans()'s payloads with messages redacted, and mapping, one for the payload. allow: a column with the types that count."""
     wanted: Callable[[Column], Column] = (lambda s: F.filter(s, lambda x: F.array_contains(F.col(allow), x["type"]))) if allow else (lambda s: s)
     kept = spotted.withColumn("__found", F.transform("__found", lambda p: F.struct(p["text"].alias("text"), resolve(wanted(p["spans"])).alias("spans"))))
@@ -145,16 +151,16 @@ def redacted(spotted: DataFrame, messages: str = "messages", allow: str | None =
         for m, pairs in zip(b.column(messages).to_pylist(), b.column("__new").to_pylist(), strict=True):
             by = {p["old"]: p["new"] for p in pairs or []}
             change = lambda t, by=by: by.get(t, t)
-            out.append(_changed(m, change, lambda a, change=change: walk(a, change)) if by else m)
+            out.append(_changed(m, change, lambda a, change=change: walk(a, change), structured) if by else m)
         at = b.schema.get_field_index(messages)
         return b.set_column(at, b.schema.field(at), pa.array(out, b.schema.field(at).type)).drop_columns(["__new"])
 
     return _mapped(ready, put, StructType([f for f in ready.schema if f.name != "__new"]))
 
 
-def redact_payloads(payloads: DataFrame, detectors: Sequence[Detector], messages: str = "messages", allow: str | None = None) -> DataFrame:
-    """payloads with messages redacted by their tree, and the column mapping."""
-    return redacted(with_spans(payloads, detectors, messages), messages, allow)
+def redact_payloads(payloads: DataFrame, detectors: Sequence[Detector], messages: str = "messages", allow: str | None = None, structured: bool = True, types: Sequence[str] | None = None) -> DataFrame:
+    """payloads with messages redacted by their tree, and the column mapping. structured=False: string content alone."""
+    return redacted(with_spans(payloads, detectors, messages, structured, types), messages, allow, structured)
 
 
 def restore_payloads(payloads: DataFrame, messages: str = "messages") -> DataFrame:

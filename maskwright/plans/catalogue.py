@@ -17,6 +17,7 @@ from ..operators.redact import redact, resolve
 from ..operators.redact import restore as restored
 from ..session import shared_path
 from ..sources import readers
+from . import reports
 
 TYPES = {"EMAIL_ADDRESS": (EMAIL, 0), "IP_ADDRESS": (IP, 0), "PHONE_NUMBER": (PHONE, 0), "CREDIT_CARD": (CARD, 0), "SECRET": (SECRET, 1)}
 #: What a redactor replaces for each type.
@@ -863,6 +864,12 @@ def best_match(spark, d):
     return found.select("doc_id", F.col("b.tp").alias("tp"), F.col("tp").alias("greedy_tp"), *(F.array_join(F.array_sort(F.col(f"b.{c}")), "|").alias(c) for c in ("matched", "fp", "fn")))
 
 
+@query("SELECT DISTINCT coalesce(lang, '?') AS key FROM documents")
+def language_keys(spark, d):
+    """The languages there are, for reports that have a column for each."""
+    return reports.keys(_t(spark, d, "documents"), "lang", "?")
+
+
 # --- arguments by tree ------------------------------------------------------------------------------------------------
 
 

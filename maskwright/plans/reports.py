@@ -6,14 +6,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import let, literal_contains, strictly_absent
-from ..operators import payload as P
-from ..operators.detect import ALLOWLIST, REGISTRY, Detector, detect
+from ..operators import arguments, payload as P
+from ..operators.detect import ALLOWLIST, DEFAULT_LANGUAGES, REGISTRY, Detector, detect
 from ..operators.redact import originals, redact
 from ..operators.sampling import label_entries
 from ..operators.score import greedy_match, precision_recall, rate
+from ..sources.sinks import small
 
 
 #: How the figures of a report are to be read, by column.
@@ -49,11 +50,11 @@ def default_solutions() -> list[Solution]:
     return [Solution("allowlisted", allow=ALLOWLIST), Solution("all-types"), Solution("flat-only", structured=False)]
 
 
-def redacted(corpus: DataFrame, solution: Solution) -> DataFrame:
-    """id, lang, labels (array<struct<pii, type>>), out, found (distinct originals)."""
+def redacted(corpus: DataFrame, solution: Solution, *more: str) -> DataFrame:
+    """id, lang, labels (array<struct<pii, type>>), out, found (distinct originals), and more columns of the corpus."""
     base = corpus.withColumn("labels", label_entries(F.col("expected")))
     done = base.withColumn("__r", redact(F.col("text"), detect(F.col("text"), solution.detectors, F.col("lang"), solution.allow)))
-    return done.select("id", "lang", "labels", F.col("__r.text").alias("out"), originals(F.col("__r.mapping")).alias("found"))
+    return done.select("id", "lang", "labels", F.col("__r.text").alias("out"), originals(F.col("__r.mapping")).alias("found"), *more)
 
 
 def precision_recall_report(corpus: DataFrame, solution: Solution) -> dict[str, DataFrame]:
@@ -64,32 +65,40 @@ def precision_recall_report(corpus: DataFrame, solution: Solution) -> dict[str,
 
 
 def carrier_report(corpus: DataFrame, solution: Solution, carriers: Sequence[str] = P.CARRIERS) -> DataFrame:
-    """For each carrier: labels, anonymized, leaked, regressions (caught in flat, leaked here), round trips checked, failed."""
-    labelled = corpus.withColumn("labels", F.transform(label_entries(F.col("expected")), lambda x: x["pii"]))
-
-    def seen(c: str):
-        """struct<leaked, rt> of a carrier."""
-
-        def of(r):
-            leaked = let(P.flatten(r["messages"]), lambda out: F.filter("labels", lambda v: literal_contains(out, v)))
-            return let(leaked, lambda x: F.struct(x.alias("leaked"), P.round_trip(r["messages"], r["mapping"], F.array_except("labels", x)).alias("rt")))
+    """For each carrier: labels, anonymized, leaked, regressions (caught in flat, leaked here), round trips checked, failed.
+
+    Each document is a payload for each carrier; payloads are redacted, and restored, as rows."""
+    labelled = corpus.withColumn("labels", F.transform(label_entries(F.col("expected")), lambda x: x["pii"])).withColumn("__row", F.monotonically_increasing_id())
+    every = F.array(*(F.struct(F.lit(c).alias("carrier"), P.wrap(F.col("text"), c).alias("messages")) for c in dict.fromkeys(("flat", *carriers))))
+    payloads = labelled.select("__row", "labels", F.explode(every).alias("c")).select("__row", "labels", "c.*")
+    done = arguments.redact_payloads(payloads, solution.detectors, structured=solution.structured, types=solution.allow)
+    seen = done.withColumn("leaked", let(P.flatten(F.col("messages")), lambda out: F.filter("labels", lambda v: literal_contains(out, v))))
+    flat = F.max(F.when(F.col("carrier") == "flat", F.col("leaked"))).over(Window.partitionBy("__row"))  # the carriers of a document
+    back = arguments.restore_payloads(seen.withColumn("flat", flat)).withColumn("calls", P.tool_calls(F.col("messages")))
+    told = let(F.array_join(F.flatten(F.transform(F.filter("calls", lambda c: c["function"]["arguments"].isNotNull()), lambda c: P.leaves(c["function"]["arguments"]))), "\n"), lambda text: F.forall(F.array_except("labels", "leaked"), lambda v: F.contains(text, v)))
+    judged = back.filter(F.col("carrier").isin(*carriers)).withColumns({"regressions": F.size(F.array_except("leaked", "flat")), "rt": F.when(F.size("calls") > 0, told)})
+    rows = judged.select("carrier", F.size("labels").alias("labels"), F.size("leaked").alias("leaked"), "regressions", "rt")
+    total = lambda e, n: F.sum(e).cast("long").alias(n)
+    return rows.groupBy("carrier").agg(total("labels", "labels"), total(F.col("labels") - F.col("leaked"), "anonymized"), total("leaked", "leaked"), total("regressions", "regressions"), F.count("rt").alias("rt_checked"), F.count_if(~F.col("rt")).alias("rt_failed")).orderBy("carrier")
 
-        return let(P.redact_payload(P.wrap(F.col("text"), c), solution.detectors, solution.structured, solution.allow), of)
 
-    done = labelled.select("id", "labels", *(seen(c).alias(c) for c in dict.fromkeys(("flat", *carriers))))
-    rows = [F.struct(F.lit(c).alias("carrier"), F.size("labels").alias("labels"), F.size(f"{c}.leaked").alias("leaked"), F.size(F.array_except(f"{c}.leaked", "flat.leaked")).alias("regressions"), F.col(f"{c}.rt").alias("rt")) for c in carriers]
-    flat = done.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
-    total = lambda e, n: F.sum(e).cast("long").alias(n)
-    return flat.groupBy("carrier").agg(total("labels", "labels"), total(F.col("labels") - F.col("leaked"), "anonymized"), total("leaked", "leaked"), total("regressions", "regressions"), F.count("rt").alias("rt_checked"), F.count_if(~F.col("rt")).alias("rt_failed")).orderBy("carrier")
+def keys(df: DataFrame, column: str, missing: str | None = None) -> DataFrame:
+    """key: the distinct values of a column, sorted; missing stands in for null."""
+    value = F.col(column) if missing is None else F.coalesce(column, F.lit(missing))
+    return df.select(value.alias("key")).distinct().orderBy("key")
 
 
-def comparison_report(corpus: DataFrame, solutions: Sequence[Solution]) -> dict[str, DataFrame]:
-    """Span and strict recall overall, by language and by type (a pivot), false positives on clean documents, leaks in
-    tool calls and message parts, protection."""
+def comparison_report(corpus: DataFrame, solutions: Sequence[Solution], langs: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """Span and strict recall overall, by language and by type (pivots), false positives on clean documents, leaks in
+    tool calls and message parts, protection. langs: the columns of by_lang; if not given they are looked up in the corpus, which costs
+    a scan of one column (and not of all that the report is made from)."""
+    unknown = DEFAULT_LANGUAGES["result"]
+    langs = [r["key"] for r in small(keys(corpus, "lang", unknown))] if langs is None else list(langs)
     parts = []
     for s in solutions:
-        out = redacted(corpus, s).join(corpus.select("id", P.redact_payload(P.combined(F.col("text")), s.detectors, s.structured, s.allow).alias("p")), "id")
-        parts.append(out.select(F.lit(s.name).alias("solution"), "id", "lang", "labels", "out", "found", F.array_join(P.leaves(P.first_arguments(F.col("p.messages"))), "\n").alias("args"), P.first_multimodal(F.col("p.messages")).alias("mm")))
+        out = redacted(corpus, s, "text").withColumn("messages", P.combined(F.col("text"))).drop("text")
+        out = arguments.redact_payloads(out, s.detectors, structured=s.structured, types=s.allow)
+        parts.append(out.select(F.lit(s.name).alias("solution"), "id", "lang", "labels", "out", "found", F.array_join(P.leaves(P.first_arguments(F.col("messages"))), "\n").alias("args"), P.first_multimodal(F.col("messages")).alias("mm")))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -102,6 +111,6 @@ def comparison_report(corpus: DataFrame, solutions: Sequence[Solution]) -> dict[
     return {
         "headline": headline.orderBy("solution"),
         "clean": clean.orderBy("solution"),
-        "by_lang": labels.groupBy("solution").pivot("lang").agg(recall).na.fill(0.0).orderBy("solution"),
+        "by_lang": labels.withColumn("lang", F.coalesce("lang", F.lit(unknown))).groupBy("solution").pivot("lang", langs).agg(recall).na.fill(0.0).orderBy("solution"),
         "by_type": labels.groupBy("type").pivot("solution", [s.name for s in solutions]).agg(recall).na.fill(0.0).orderBy("type"),
     }

@@ -83,6 +83,9 @@ def test_reports_and_sinks(spark, tmp_path):
     assert head["all-types"].recall == 80.0 and head["all-types"].tool_protection == 100.0
     assert head["flat-only"].tool_leak == 100.0 and head["flat-only"].recall == 80.0
     assert {r.false_positives for r in compared["clean"].collect()} == {0}
+    assert set(compared["by_lang"].columns) == {"solution", "?", "fr", "en"}
+    one = reports.comparison_report(df, [reports.Solution("all-types", rules)], langs=["fr", "xx"])["by_lang"].first()
+    assert (one["xx"], one["fr"] > 0) == (0.0, True)
     text = sinks.markdown_report("T", compared, ["note"])
     assert "| all-types |" in text and "80.0" in text
     assert json.loads(sinks.json_report(compared))["clean"][0]["clean_docs"] == 1
