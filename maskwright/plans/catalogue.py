@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import checksums
 from ..functions import text as X
@@ -530,12 +530,14 @@ LIGHT = (Rule("email", "EMAIL_ADDRESS", EMAIL, guard="@"), Rule("ip", "IP_ADDRES
 
 
 def _parity(spark, d) -> DataFrame:
-    """doc_id, carrier, truth, leaked, flat_leaked: the light redactor on every carrier."""
+    """doc_id, carrier, truth, leaked, flat_leaked: the light redactor on every carrier, a payload each."""
     docs = _t(spark, d, "documents").withColumn("truth", F.transform(truth_array(F.col("text")), lambda x: x["pii"])).filter("size(truth) > 0")
-    left = lambda c: X.let(P.flatten(P.redact_payload(P.wrap(F.col("text"), c), LIGHT)["messages"]), lambda out: F.filter("truth", lambda v: X.literal_contains(out, v)))
-    done = docs.select("doc_id", "truth", *(left(c).alias(c) for c in P.CARRIERS))
-    rows = F.array(*(F.struct(F.lit(c).alias("carrier"), F.col(c).alias("leaked"), F.col("flat").alias("flat_leaked")) for c in P.CARRIERS))
-    return done.select("doc_id", "truth", F.explode(rows).alias("x")).select("doc_id", "truth", "x.*")
+    each = F.array(*(F.struct(F.lit(c).alias("carrier"), P.wrap(F.col("text"), c).alias("messages")) for c in P.CARRIERS))
+    payloads = docs.select("doc_id", "truth", F.explode(each).alias("c")).select("doc_id", "truth", "c.*")
+    done = arguments.redact_payloads(payloads, LIGHT).select("doc_id", "truth", "carrier", P.flatten(F.col("messages")).alias("out"))
+    seen = done.select("doc_id", "truth", "carrier", F.filter("truth", lambda v: X.literal_contains(F.col("out"), v)).alias("leaked"))
+    flat = F.max(F.when(F.col("carrier") == "flat", F.col("leaked"))).over(Window.partitionBy("doc_id"))  # four rows of a document
+    return seen.withColumn("flat_leaked", flat)
 
 
 _LIGHT_OUT = _masked_sql("text", SOLUTIONS["light"])
