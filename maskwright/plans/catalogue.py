@@ -743,19 +743,12 @@ def carrier_roundtrips(spark, d):
     """Arguments of tool calls, redacted and restored: a digest of what comes back, and whether every value that was replaced is
     there again. Carriers without tool calls have nothing to check."""
     docs = _t(spark, d, "documents").withColumn("truth", F.transform(truth_array(F.col("text")), lambda x: x["pii"])).filter("size(truth) > 0")
-
-    def of(c: str) -> Column:
-        wrapped = P.wrap(F.col("text"), c)
-
-        def back(r: Column) -> Column:
-            gone = F.filter("truth", lambda v: ~X.literal_contains(P.flatten(r["messages"]), v))
-            restored_calls = P.first_arguments(P.restore_tool_calls(r["messages"], r["mapping"]))
-            return F.struct(F.lit(c).alias("carrier"), (P.first_arguments(r["messages"]) != P.first_arguments(wrapped)).alias("changed"), F.md5(restored_calls).alias("restored"), P.round_trip(r["messages"], r["mapping"], gone).alias("ok"))
-
-        return X.let(P.redact_payload(wrapped, LIGHT), back)
-
-    rows = docs.select("doc_id", F.explode(F.array(*(of(c) for c in P.CARRIERS))).alias("x")).select("doc_id", "x.*")
-    return rows.filter(F.startswith("carrier", F.lit("tool_call")) & F.col("ok").isNotNull())
+    each = F.array(*(F.struct(F.lit(c).alias("carrier"), P.wrap(F.col("text"), c).alias("messages")) for c in P.CARRIERS))
+    payloads = docs.select("doc_id", "truth", F.explode(each).alias("c")).select("doc_id", "truth", "c.*").withColumn("given", P.first_arguments(F.col("messages")))
+    done = arguments.redact_payloads(payloads, LIGHT).withColumn("gone", X.let(P.flatten(F.col("messages")), lambda out: F.filter("truth", lambda v: ~X.literal_contains(out, v)))).withColumn("changed", P.first_arguments(F.col("messages")) != F.col("given"))
+    back = arguments.restore_payloads(done.filter(F.startswith("carrier", F.lit("tool_call")))).withColumn("back", P.first_arguments(F.col("messages")))
+    shown = F.array_join(P.leaves(F.col("back")), "\n")
+    return back.select("doc_id", "carrier", "changed", F.md5("back").alias("restored"), X.let(shown, lambda x: F.forall("gone", lambda v: F.contains(x, v))).alias("ok"))
 
 
 _ROLE = "CASE WHEN doc_id % 2 = 0 THEN 'assistant' ELSE 'user' END"
