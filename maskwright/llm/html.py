@@ -13,8 +13,10 @@
    wide as their widest cell, unless the blanks would be several times the table's text (one very long cell among thousands
    of rows): then the widest columns are cut down to what keeps the output in proportion.
 
-Everything is iterative and linear in the page: open elements are found by their last places, rules by their id, class or tag,
-and descendant rules by counts of what the open elements have matched. Neither depth nor length of a page is limited.
+Everything is iterative: open elements are found by their last places, rules by their id, class or tag, and descendant rules by
+counts of what the open elements have matched. Work is in proportion to the page, but for pages with thousands of style rules that
+match thousands of elements, or of cells with huge spans, where it grows with their product. Neither depth nor length is limited;
+the layout is: NESTED tables within tables, INDENT columns of indentation, PADDING times a table's text.
 
 Defined cases. Null html: as empty. Empty page: empty text. Null page_id: kept. Repeated rows: each. Empty table: empty.
 Other columns are ignored.
