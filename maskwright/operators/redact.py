@@ -24,8 +24,8 @@ def resolve(spans: Column) -> Column:
     step = lambda acc, s: F.when(s["start"] >= acc["last"], F.struct(s["end"].alias("last"), F.concat(acc["out"], F.array(s)).alias("out"))).otherwise(acc)
     start = F.struct(F.lit(0).alias("last"), F.array().cast(SPANS).alias("out"))
     apart = lambda s: F.forall(F.sequence(F.lit(1), F.size(s) - 1), lambda i: F.get(s, i)["start"] >= F.get(s, i - 1)["end"])
-    kept = lambda s: F.when(apart(s), s).otherwise(F.aggregate(s, start, step, lambda acc: acc["out"]))
-    return F.when(F.size(spans) < 2, spans).otherwise(let(F.array_sort(spans, before), kept))
+    kept = lambda s: F.when(F.size(s) < 2, s).when(apart(s), s).otherwise(F.aggregate(s, start, step, lambda acc: acc["out"]))
+    return let(F.array_sort(spans, before), kept)  # spans may be dear to find: they are named once
 
 
 def _key(s: Column, original: str = "text") -> Column:
